@@ -85,14 +85,14 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", window
     NULL text stays NULL. An empty table gives no rows. The added names replace columns so
     called; all other columns stay.
     """
-    docs = docs.drop("removed_runs", "removed_lines")
-    runs = repeated_runs(docs, key, text, window, long_words).withColumnsRenamed({"key": "_key", "text_md5": "_md5"})
-    joined = docs.join(runs, docs[key].eqNullSafe(F.col("_key")) & (F.unhex(F.md5(F.coalesce(docs[text], F.lit("")))) == F.col("_md5")), "left")
-    lines = F.split(F.col(text), "\n")
-    kept = F.filter(lines, lambda x, i: ~F.exists("runs", lambda r: (i >= r["start"]) & (i <= r["end"])))
+    kept = [c for c in docs.columns if c not in ("removed_runs", "removed_lines")]
+    rows = docs.select(F.struct(*kept).alias("row"), F.col(key).alias("key"), F.col(text).alias("text"), F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("md5"))
+    runs = repeated_runs(docs, key, text, window, long_words).withColumnsRenamed({"key": "of_key", "text_md5": "of_md5"})
+    joined = rows.join(runs, F.col("key").eqNullSafe(F.col("of_key")) & (F.col("md5") == F.col("of_md5")), "left")
+    left = F.filter(F.split("text", "\n"), lambda x, i: ~F.exists("runs", lambda r: (i >= r["start"]) & (i <= r["end"])))
     removed = F.aggregate("runs", F.lit(0), lambda n, r: n + r["end"] - r["start"] + 1)
     return joined.select(
-        *[F.when(F.col("runs").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")).alias(text) if c == text else docs[c] for c in docs.columns],
+        *[F.when(F.col("runs").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias(c) if c == text else F.col("row").getField(c).alias(c) for c in kept],
         F.coalesce("runs", F.array().cast("array<struct<start:int,end:int>>")).alias("removed_runs"),
         F.coalesce(removed, F.lit(0)).cast("long").alias("removed_lines"),
     )

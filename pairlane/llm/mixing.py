@@ -106,11 +106,11 @@ def mix_sources(
     empty table gives an empty result. More than ``max_patterns`` patterns raise an error:
     it is the documented bound of what the driver's flow gets.
     """
-    docs = docs.drop("source_sizes", "targets", "copies", "parts")
+    added = ("source_sizes", "targets", "copies", "parts")
     member = F.col(sources) if isinstance(docs.schema[sources].dataType, T.ArrayType) else F.array(F.col(sources))
-    docs = docs.withColumn("_pattern", F.array_sort(F.array_distinct(F.coalesce(member, F.array(F.lit(None).cast("string"))))))
-    docs = docs.withColumn("_size", F.coalesce(F.col(size), F.lit(0)).cast("long"))
-    patterns = docs.groupBy("_pattern").agg(F.sum("_size").alias("n")).limit(max_patterns + 1).collect()
+    pattern = F.array_sort(F.array_distinct(F.coalesce(member, F.array(F.lit(None).cast("string")))))
+    rows = docs.select(F.struct(*[c for c in docs.columns if c not in added]).alias("row"), F.col(key).alias("key"), pattern.alias("_pattern"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("_size"))
+    patterns = rows.groupBy("_pattern").agg(F.sum("_size").alias("n")).limit(max_patterns + 1).collect()
     if len(patterns) > max_patterns:
         raise ValueError(f"more than {max_patterns} membership patterns")
     patterns.sort(key=lambda r: [(x is None, x or "") for x in r["_pattern"]])
@@ -130,18 +130,18 @@ def mix_sources(
         plan.append((r["_pattern"], r["n"], ends, [float(sizes[s]) for s in m], [quota[s] for s in m]))
     kind = "p array<string>, n long, ends array<struct<source:string,upto:double>>, source_sizes array<double>, targets array<double>"
     table = docs.sparkSession.createDataFrame(plan, kind)
-    docs = docs.withColumn("_digest", seeded_digest(seed, F.col(key))).withColumn("_part", F.substring("_digest", 1, 3))
-    docs = running(docs, ["_pattern"], "_part", ["_digest", "_size"], F.col("_size"), "_upto")
+    rows = rows.withColumn("_digest", seeded_digest(seed, F.col("key"))).withColumn("_part", F.substring("_digest", 1, 3))
+    rows = running(rows, ["_pattern"], "_part", ["_digest", "_size"], F.col("_size"), "_upto")
     # at most max_patterns rows: the size was checked above
-    docs = docs.join(F.broadcast(table), F.col("_pattern").eqNullSafe(F.col("p")), "left")
+    rows = rows.join(F.broadcast(table), F.col("_pattern").eqNullSafe(F.col("p")), "left")
 
     def part(copy):
         middle = copy * F.col("n") + F.col("_upto") - F.col("_size") / 2
         return F.get(F.filter(F.col("ends"), lambda e: (middle <= e["upto"]) & (e["upto"] > 0)), F.lit(0))
 
     taken = F.filter(F.transform(F.sequence(F.lit(0), F.lit(max_copies - 1)), part), lambda e: e.isNotNull())
-    docs = docs.withColumn("parts", F.transform(taken, lambda e: e["source"])).withColumn("copies", F.size("parts"))
-    return docs.drop("_pattern", "_size", "_digest", "_part", "_upto", "p", "n", "ends")
+    rows = rows.withColumn("parts", F.transform(taken, lambda e: e["source"]))
+    return rows.select("row.*", "source_sizes", "targets", "parts", F.size("parts").alias("copies"))
 
 
 def op1_flow_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

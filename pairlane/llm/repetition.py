@@ -142,7 +142,7 @@ def repetition_rules(
     judged alike. Columns with a measure's name are replaced. An empty table gives no rows.
     """
     keep = [c for c in (keep or docs.columns) if c not in (*NAMES, "base_failed", "kept")]
-    plain = docs.select(*keep, F.col(text).alias("_measured"))
+    plain = docs.select(*keep, F.col(text).alias("__pairlane_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.select(*keep).schema)
     found = plain.mapInArrow(_measure, ", ".join([*([schema] if keep else []), *[f"{x} long" for x in NAMES]]))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > BASE_PERCENT * F.col("n_words"))

@@ -45,13 +45,13 @@ def assign_shards(df: DataFrame, key: str, shards: int = SHARDS, order: list[str
     """
     if shards < 1:
         raise ValueError("shards must be at least 1")
-    df = df.drop("shard", "grown_shard", "slot")
-    text = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    at = _jumps(text, shards)
-    df = df.withColumn("_at", at).withColumn("_digest", F.md5(text)).withColumn("_part", F.substring("_digest", 1, SPLIT_DIGITS))
-    df = df.select("*", F.col("_at.shard").cast("int").alias("shard"), F.col("_at.grown").cast("int").alias("grown_shard")).drop("_at")
-    df = running(df, ["shard"], "_part", ["_digest", key, *(order or [])], F.lit(1).cast("long"), "slot")
-    return df.withColumn("slot", F.col("slot") - 1).drop("_digest", "_part")
+    kept = [c for c in df.columns if c not in ("shard", "grown_shard", "slot")]
+    by = [key, *(order or [])]
+    rows = df.select(F.struct(*kept).alias("row"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("text"), *[F.col(c).alias(f"by{i}") for i, c in enumerate(by)])
+    rows = rows.withColumn("at", _jumps(F.col("text"), shards)).withColumn("digest", F.md5("text")).withColumn("part", F.substring("digest", 1, SPLIT_DIGITS))
+    rows = rows.withColumn("shard", F.col("at.shard").cast("int")).withColumn("grown", F.col("at.grown").cast("int")).drop("at", "text")
+    rows = running(rows, ["shard"], "part", ["digest", *[f"by{i}" for i in range(len(by))]], F.lit(1).cast("long"), "upto")
+    return rows.select("row.*", "shard", F.col("grown").alias("grown_shard"), (F.col("upto") - 1).alias("slot"))
 
 
 def op3_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,10 +22,13 @@ from pairlane.llm import bytewise as bw
 from pairlane.llm.common import read
 from pairlane.llm.labels import Adam, calibrate, labelled_sample, remainder, sigmoid
 
-BUCKETS, DIM, FILTERS, WIDTHS = 1 << 15, 8, 8, (1, 2, 3)
+BUCKETS, DIM, FILTERS, WIDTHS = 1 << 17, 8, 4, (1, 2, 3)
 #: Bound of the labelled sample: documents of each label that the model is fitted on.
-PER_CLASS = 3000
-EPOCHS, BATCH, SEED = 4, 64, 7
+PER_CLASS = 6000
+EPOCHS, BATCH, SEED = 8, 64, 7
+#: Buckets seen in fewer documents of the sample have no embedding; share of words hidden in a training step;
+#: documents of the prior that a bucket's log odds are shrunk to.
+LEAST_DOCS, HIDDEN, PRIOR = 3, 0.3, 10.0
 GAP = max(WIDTHS) - 1
 
 _LETTER = np.array([chr(i).isalnum() or i >= 128 for i in range(128)] + [True] * 128)
@@ -80,8 +83,8 @@ def _threshold(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
     """Threshold with the best F1, halfway to the next lower score."""
     order = np.argsort(-p, kind="stable")
     hit, wrong = np.cumsum((weight * y)[order]), np.cumsum((weight * (1 - y))[order])
-    f1 = 2 * hit / np.maximum(hit + wrong + (weight * y).sum(), 1e-9)
-    i = int(np.argmax(f1))
+    best = 2 * hit / np.maximum(hit + wrong + (weight * y).sum(), 1e-9)
+    i = int(np.argmax(best))
     return float((p[order][i] + (p[order][i + 1] if i + 1 < len(p) else 0)) / 2)
 
 
@@ -97,8 +100,11 @@ def train(rows: pa.Table, weight: np.ndarray, text: str = "text", lang: str | No
         seen[int(y[i]), np.unique(texts[i])] += 1
     n1, n0 = max(1.0, y[fit].sum()), max(1.0, (1 - y[fit]).sum())
     total = seen.sum(axis=0)
-    odds = np.log((seen[1] + 0.5) / (n1 + 1)) - np.log((seen[0] + 0.5) / (n0 + 1))
-    emb[:, 0] = np.clip(odds * total / (total + 5), -3, 3)
+    share = n1 / (n1 + n0)
+    p = (seen[1] + PRIOR * share) / (total + PRIOR)
+    emb[:, 0] = np.log(p / (1 - p)) - np.log(share / (1 - share))
+    known = total >= LEAST_DOCS
+    emb[~known] = 0
     emb[BUCKETS] = 0
     taps = [(rng.standard_normal((w, DIM, FILTERS)) * 0.2).astype(np.float32) for w in WIDTHS]
     for t in taps:
@@ -113,6 +119,7 @@ def train(rows: pa.Table, weight: np.ndarray, text: str = "text", lang: str | No
         for low in range(0, len(order), BATCH):
             batch = order[low : low + BATCH]
             ids = np.concatenate([texts[i] for i in batch])
+            ids = np.where((rng.random(len(ids)) < HIDDEN) | ~known[ids], BUCKETS, ids)
             start = np.r_[0, np.cumsum([len(texts[i]) for i in batch])]
             e = emb[ids]
             best, place = [], []
@@ -142,7 +149,7 @@ def train(rows: pa.Table, weight: np.ndarray, text: str = "text", lang: str | No
             step = np.zeros((len(hit), DIM), np.float32)
             np.add.at(step, inverse, np.concatenate(deltas))
             memory[hit] += (step**2).mean(axis=1)
-            emb[hit] -= 0.02 * step / np.sqrt(memory[hit])[:, None]
+            emb[hit] -= 0.005 * step / np.sqrt(memory[hit])[:, None]
             emb[BUCKETS] = 0
     table = np.concatenate([(emb @ t[k]) for t in taps for k in range(len(t))], axis=1).astype(np.float32)
     model = TextCnn(table, bias, out, float(out_bias[0]))
@@ -183,7 +190,7 @@ def scorer(model):
 def score_texts(docs: DataFrame, model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (default: all but ``score``) and the score of every whole text; NULL text is empty."""
     keep = [c for c in (keep or docs.columns) if c != "score"]
-    plain = docs.select(*keep, F.col(text).alias("_scored"))
+    plain = docs.select(*keep, F.col(text).alias("__pairlane_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.select(*keep).schema)
     return plain.mapInArrow(scorer(model), f"{schema}, score double")
 

@@ -164,7 +164,8 @@ def train(rows: pa.Table, weight: np.ndarray, text: str = "text", lang: str | No
     if len(set(y[aside].tolist())) == 2:
         model.scale = calibrate(z[aside], y[aside], weight[aside])
     p = sigmoid(model.scale[0] * z + model.scale[1])
-    model.threshold = _threshold(p[aside], y[aside], weight[aside]) if y[aside].any() else 0.5
+    # with few toxic rows set aside the best F1 says little: an even chance decides then
+    model.threshold = _threshold(p[aside], y[aside], weight[aside]) if y[aside].sum() >= 20 else 0.5
     if lang:
         tongue = np.array([x if x is not None else "" for x in rows.column(lang).to_pylist()])
         for x in sorted(set(tongue.tolist())):

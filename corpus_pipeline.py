@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlane.llm.common import cut, read, saved, word_count
+from pairlane.llm.common import read, saved, word_count
 from pairlane.llm.line_dedup import dedup_lines
 from pairlane.llm.mixing import mix_sources
 from pairlane.llm.ngram_join import near_duplicates
@@ -34,25 +34,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one with the smallest id."""
-    linked = near_duplicates(docs.select("doc_id", "text"))
-    # of a group's rows, all but the smallest id go; rows without links are not looked up
-    gone = linked.where("n_links > 0 and doc_id <> class_id").select("doc_id").distinct()
-    rest = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
-    # repeated rows of the id that stays are copies of one another
-    twice = linked.where("n_links > 0 and doc_id = class_id").groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("_twice"))
-    marked = rest.join(twice, "doc_id", "left")
-    single = marked.where("_twice is null").select(*COLUMNS)
-    return single.unionByName(marked.where("_twice").select(*COLUMNS).dropDuplicates(["doc_id"]))
+    linked = near_duplicates(docs.select("doc_id", "text")).where("n_links > 0")
+    gone = linked.where("doc_id <> class_id").select("doc_id").distinct()
+    # repeated rows of the id that stays are copies of one another: one of them stays
+    twice = linked.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    rest = docs.select(*COLUMNS).join(gone.union(twice).distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    again = docs.select(*COLUMNS).join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    return rest.unionByName(again)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    mixed = mix_sources(cut(sized)).where("copies > 0").select("doc_id", "source", "size", "copies").dropDuplicates(["doc_id", "source", "size"])
-    rows = docs.select(*COLUMNS, word_count(F.col("text")).alias("size"))
-    on = rows["doc_id"].eqNullSafe(mixed["doc_id"]) & rows["source"].eqNullSafe(mixed["source"]) & (rows["size"] == mixed["size"])
-    taken = rows.join(mixed, on).select(*[rows[c] for c in COLUMNS], "copies")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
+    mixed = mix_sources(docs.select(*COLUMNS, word_count(F.col("text")).alias("size"))).where("copies > 0")
+    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,7 +27,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, key: str, te
     parts = [clean.where(F.col("label") == x).orderBy(seeded_digest(seed, F.col(key)), key).limit(per_class) for x in (0, 1)]
     chosen = parts[0].union(parts[1])
     columns = [key, text] + ([lang] if lang else [])
-    rows = docs.select(*columns).join(F.broadcast(chosen), key).toArrow()
+    joined = docs.select(*columns).join(F.broadcast(chosen), key)
+    # a repeated key counts once, with its smallest row, so the sample stays as small as its bound
+    rows = joined.groupBy(key).agg(F.min(F.struct(*[c for c in joined.columns if c != key])).alias("_row")).select(key, "_row.*").toArrow()
     rows = rows.take(np.argsort(rows.column(key).to_numpy(), kind="stable"))
     y = rows.column("label").to_numpy()
     weight = np.ones(len(y))

@@ -1,0 +1 @@
+"""Analytics over control-versus-treatment experiments, on Spark."""

@@ -1,0 +1 @@
+"""Operators: DataFrames and parameters in, a DataFrame out."""

@@ -1,0 +1 @@
+"""Readers, writers, audits, and views over the driver tables."""

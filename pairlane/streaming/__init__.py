@@ -1,0 +1 @@
+"""Empty: the operator inventory has no streams."""

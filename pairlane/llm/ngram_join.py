@@ -179,6 +179,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ng
 
     spread = classes.select("k", F.posexplode("bands").alias("band", "hash"))
     buckets = spread.groupBy("band", "hash").agg(F.count("*").alias("n"), F.min("k").alias("root")).where("n > 1").drop("n")
+    buckets = cut(buckets)  # so that the join stands on plain exchanges and a common bucket can be split
     member = cut(spread.join(buckets, ["band", "hash"]))
     area = components(member.select(F.col("k").alias("a"), F.col("root").alias("b"))).withColumnsRenamed({"node": "k", "root": "area"})
 
@@ -201,10 +202,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ng
     links = found.groupBy("k").agg(F.sum("links").alias("links"))
     reach = components(found.select(F.col("k").alias("a"), F.col("root").alias("b")))
     named = classes.join(reach.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
-    lowest = named.groupBy("root").agg(F.min("rep").alias("class_id"))
+    lowest = cut(named.groupBy("root").agg(F.min("rep").alias("class_id")))
     named = named.join(links, "k", "left").where("weight > 1 or links > 0").join(lowest, "root")
     named = named.select("k", "class_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    out = table.select("id", "k", "n_words").join(named, "k", "left")
+    out = table.select("id", "k", "n_words").join(cut(named), "k", "left")
     return out.select(
         F.col("id").alias(key), F.when(F.col("n_links").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_words"
     )

@@ -54,12 +54,12 @@ def _(t):
 
 @query("pair_ids", _BASE + " select cell_id, 'pair_' || lpad(pos::VARCHAR, 12, '0') as pair_id from treated")
 def _(t):
-    return M.pair_ids(t.treated(), "pos").select("cell_id", "pair_id")
+    return M.pair_ids(t.numbered_treated(), "pos").select("cell_id", "pair_id")
 
 
 @query("pair_output_obs", _S1 + " select p.cell_id, p.pos as pairing_pos, p.perturbation as pairing_perturbation, p.sampling_seed as pairing_seed, c.cell_id as pairing_control_id, 'S1' as pairing_strategy, true as pairing_available from p join control c using (control_pos)")
 def _(t):
-    pairs = M.random_single(t.treated(), t.control(), _n(t), SEEDS)
+    pairs = M.random_single(t.numbered_treated(), t.control(), _n(t), SEEDS)
     return pairs.select("cell_id", F.col("pos").alias("pairing_pos"), F.col("perturbation").alias("pairing_perturbation"), F.col("sampling_seed").alias("pairing_seed"), F.col("control_id").alias("pairing_control_id"), F.lit("S1").alias("pairing_strategy"), F.lit(True).alias("pairing_available"))
 
 

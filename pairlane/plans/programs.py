@@ -118,7 +118,7 @@ def _(t):
     return _rounded(_effects(t).drop("true"), ["sampling_seed"])
 
 
-_MM = "round(sqrt(avg((pseudo - true_effect) * (pseudo - true_effect))), 6) + 0.0 as rmse, round(avg(abs(pseudo - true_effect)), 6) + 0.0 as mae, round(corr(pseudo, true_effect), 6) + 0.0 as pearson, round(corr(rx, ry), 6) + 0.0 as spearman, round(sqrt(sum(pseudo * pseudo)) / sqrt(sum(true_effect * true_effect)), 6) + 0.0 as magnitude_ratio, round(sum(pseudo * true_effect) / sqrt(sum(pseudo * pseudo) * sum(true_effect * true_effect)), 6) + 0.0 as cosine, count(*) as n"
+_MM = "round(sqrt(avg((pseudo - true_effect) * (pseudo - true_effect))), 6) + 0.0 as rmse, round(avg(abs(pseudo - true_effect)), 6) + 0.0 as mae, round(corr(pseudo, true_effect), 6) + 0.0 as pearson, round(corr(rx, ry), 6) + 0.0 as spearman, round(sqrt(sum(pseudo * pseudo)) / sqrt(sum(true_effect * true_effect)), 6) + 0.0 as magnitude_ratio, round(case when count(*) >= 2 then sum(pseudo * true_effect) / sqrt(sum(pseudo * pseudo) * sum(true_effect * true_effect)) end, 6) + 0.0 as cosine, count(*) as n"
 
 
 def _metric_sql(by: str) -> str:
@@ -135,7 +135,7 @@ def _(t):
     return _rounded(G.matrix_metrics(_effects(t), ["sampling_seed", "program_id"]), ["sampling_seed"])
 
 
-@query("per_perturbation_metrics")
+@query("per_perturbation_metrics", _metric_sql("sampling_seed, perturbation"))
 def _(t):
     return _rounded(G.matrix_metrics(_effects(t), ["sampling_seed", "perturbation"]), ["sampling_seed"])
 

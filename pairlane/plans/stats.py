@@ -34,6 +34,16 @@ def _sides(t):
     return s.where(F.col("method") != _REF).select("method", F.lit("x").alias("side"), "value").unionByName(names.join(F.broadcast(ref)).select("method", F.lit("y").alias("side"), "value"))
 
 
+def _t_even(t: str, df: int) -> str:
+    """Two-sided p of Student's t with an even number of degrees of freedom, in closed form."""
+    x = f"atan(abs({t}) / sqrt({df}.0::DOUBLE))"
+    terms, c = ["1"], 1.0
+    for i in range(1, df // 2):
+        c *= (2 * i - 1) / (2 * i)
+        terms.append(f"{c!r}::DOUBLE * pow(cos({x}), {2 * i})")
+    return f"(1 - sin({x}) * ({' + '.join(terms)}))"
+
+
 _PAIR = SEED + f", pr as (select a.method, a.value as x, b.value as y from sm a join sm b using (sampling_seed) where b.method = '{_REF}' and a.method <> '{_REF}')"
 
 
@@ -42,9 +52,9 @@ def _(t):
     return S.paired_design(seed_means(t), [], "method", "sampling_seed")
 
 
-@query("paired_t", _PAIR + " select method, count(*) as n, round(avg(x - y), 6) + 0.0 as mean_difference, count(*) - 1 as df, round(avg(x - y) / (stddev_samp(x - y) / sqrt(count(*))), 5) + 0.0 as t from pr group by all")
+@query("paired_t", _PAIR + " select method, count(*) as n, round(avg(x - y), 6) + 0.0 as mean_difference, count(*) - 1 as df, round(avg(x - y) / (stddev_samp(x - y) / sqrt(count(*))), 5) + 0.0 as t, round(" + _t_even("(avg(x - y) / (stddev_samp(x - y) / sqrt(count(*))))", 4) + ", 6) + 0.0 as p from pr group by all")
 def _(t):
-    return S.paired_t(_against(t), ["method"]).select("method", "n", r6(F.col("mean_difference")).alias("mean_difference"), "df", (F.round("t", 5) + F.lit(0.0)).alias("t"))
+    return S.paired_t(_against(t), ["method"]).select("method", "n", r6(F.col("mean_difference")).alias("mean_difference"), "df", (F.round("t", 5) + F.lit(0.0)).alias("t"), r6(F.col("p")).alias("p"))
 
 
 @query("welch_t", SEED + f", x as (select method, count(*) as n_x, avg(value) as mx, var_samp(value) as vx from sm where method <> '{_REF}' group by all), y as (select count(*) as n_y, avg(value) as my, var_samp(value) as vy from sm where method = '{_REF}') select method, n_x, n_y, round(mx, 6) + 0.0 as mean_x, round(my, 6) + 0.0 as mean_y, round((vx / n_x + vy / n_y) * (vx / n_x + vy / n_y) / ((vx / n_x) * (vx / n_x) / (n_x - 1) + (vy / n_y) * (vy / n_y) / (n_y - 1)), 5) + 0.0 as df, round((mx - my) / sqrt(vx / n_x + vy / n_y), 5) + 0.0 as t from x, y")
@@ -53,9 +63,16 @@ def _(t):
     return w.select("method", "n_x", "n_y", r6(F.col("mean_x")).alias("mean_x"), r6(F.col("mean_y")).alias("mean_y"), (F.round("df", 5) + F.lit(0.0)).alias("df"), (F.round("t", 5) + F.lit(0.0)).alias("t"))
 
 
-@query("reference_tests")
+_TESTS = _PAIR + ", ts as (select method as variant_id, avg(x) as mean_x, avg(y) as mean_y, avg(x - y) / (stddev_samp(x - y) / sqrt(count(*))) as t from pr group by method), tp as (select *, " + _t_even("t", 4) + " as p from ts), th as (select *, row_number() over (order by p, variant_id) as r, count(*) over () as m from tp), ta as (select *, least(max((m - r + 1) * p) over (order by r rows unbounded preceding), 1) as p_holm from th)"
+
+
+@query(
+    "reference_tests",
+    _TESTS + " select variant_id, 'paired' as test, round(mean_x, 6) + 0.0 as mean_x, round(mean_y, 6) + 0.0 as mean_y, round(t, 5) + 0.0 as t, round(p, 6) + 0.0 as p, round(p_holm, 6) + 0.0 as p_holm, case when p_holm <= 1e-4 then '****' when p_holm <= 1e-3 then '***' when p_holm <= 1e-2 then '**' when p_holm <= 0.05 then '*' else 'ns' end as stars from ta",
+)
 def _(t):
-    return S.reference_tests(seed_means(t).withColumnRenamed("method", "variant_id"), _REF, [])
+    out = S.reference_tests(seed_means(t).withColumnRenamed("method", "variant_id"), _REF, [])
+    return out.select("variant_id", "test", r6(F.col("mean_x")).alias("mean_x"), r6(F.col("mean_y")).alias("mean_y"), (F.round("t", 5) + F.lit(0.0)).alias("t"), r6(F.col("p")).alias("p"), r6(F.col("p_holm")).alias("p_holm"), "stars")
 
 
 _ABS = _PAIR + ", d as (select method, x - y as d, rank() over (partition by method order by abs(x - y)) + (count(*) over (partition by method, abs(x - y)) - 1) / 2.0::DOUBLE as r from pr where x <> y)"
@@ -74,14 +91,14 @@ def _(t):
 _RANK = SEED + ", rk as (select *, rank() over (partition by sampling_seed order by value) + (count(*) over (partition by sampling_seed, value) - 1) / 2.0::DOUBLE as rank from sm), rs as (select method, sum(rank) as s, sum(rank * rank) as a, count(*) as n from rk group by all), tt as (select count(*) as k, max(n) as n, sum(s * s) as q, sum(a) as a from rs)"
 
 
-@query("friedman", _RANK + " select k, n, round(12.0::DOUBLE / (n * k * (k + 1)) * q - 3 * n * (k + 1), 6) + 0.0 as chi2, k - 1 as df from tt")
+@query("friedman", _RANK + " select k, n, round(12.0::DOUBLE / (n * k * (k + 1)) * q - 3 * n * (k + 1), 6) + 0.0 as chi2, k - 1 as df, round(exp(-(12.0::DOUBLE / (n * k * (k + 1)) * q - 3 * n * (k + 1)) / 2) * (1 + (12.0::DOUBLE / (n * k * (k + 1)) * q - 3 * n * (k + 1)) / 2), 6) + 0.0 as p from tt")
 def _(t):
-    return S.friedman(seed_means(t), "sampling_seed", "method", "value").select("k", "n", r6(F.col("chi2")).alias("chi2"), "df")
+    return S.friedman(seed_means(t), "sampling_seed", "method", "value").select("k", "n", r6(F.col("chi2")).alias("chi2"), "df", r6(F.col("p")).alias("p"))
 
 
-@query("kruskal", SEED + ", r as (select method, rank() over (order by value) + (count(*) over (partition by value) - 1) / 2.0::DOUBLE as r from sm), s as (select method, sum(r) as s, count(*) as n from r group by all) select count(*) as k, sum(n)::BIGINT as n, round(12.0::DOUBLE / (sum(n) * (sum(n) + 1)) * sum(s * s / n) - 3 * (sum(n) + 1), 6) + 0.0 as h, count(*) - 1 as df from s")
+@query("kruskal", SEED + ", r as (select method, rank() over (order by value) + (count(*) over (partition by value) - 1) / 2.0::DOUBLE as r from sm), s as (select method, sum(r) as s, count(*) as n from r group by all) select k, n, round(h, 6) + 0.0 as h, k - 1 as df, round(exp(-h / 2) * (1 + h / 2), 6) + 0.0 as p from (select count(*) as k, sum(n)::BIGINT as n, 12.0::DOUBLE / (sum(n) * (sum(n) + 1)) * sum(s * s / n) - 3 * (sum(n) + 1) as h from s)")
 def _(t):
-    return S.kruskal(seed_means(t), "method", "value").select("k", "n", r6(F.col("h")).alias("h"), "df")
+    return S.kruskal(seed_means(t), "method", "value").select("k", "n", r6(F.col("h")).alias("h"), "df", r6(F.col("p")).alias("p"))
 
 
 _P = RUN + ", p as (select variant_id, case when count(*) % 7 <> 0 then sum(run_no % 97)::BIGINT % 1000 / 5000.0::DOUBLE end as p from m group by all)"
@@ -171,9 +188,9 @@ def _(t):
     return S.cd_groups(ranks, "method", 1.0)
 
 
-@query("conover_posthoc", _RANK + " select x.method as a, y.method as b, (n - 1) * (k - 1) as df, round(abs(x.s - y.s) / sqrt(2 * (tt.n * tt.a - tt.q) / ((tt.n - 1) * (k - 1))), 5) + 0.0 as t from rs x join rs y on x.method < y.method, tt".replace("(n - 1) * (k - 1) as df", "(tt.n - 1) * (k - 1) as df"))
+@query("conover_posthoc", _RANK + ", cv as (select x.method as a, y.method as b, (tt.n - 1) * (k - 1) as df, abs(x.s - y.s) / sqrt(2 * (tt.n * tt.a - tt.q) / ((tt.n - 1) * (k - 1))) as t from rs x join rs y on x.method < y.method, tt), cp as (select *, " + _t_even("t", 16) + " as p from cv), ch as (select *, row_number() over (order by p, a || '|' || b) as r, count(*) over () as m from cp) select a, b, df, round(t, 5) + 0.0 as t, round(p, 6) + 0.0 as p, round(least(max((m - r + 1) * p) over (order by r rows unbounded preceding), 1), 6) + 0.0 as p_holm from ch")
 def _(t):
-    return S.conover(seed_means(t), "sampling_seed", "method", "value").select("a", "b", "df", (F.round("t", 5) + F.lit(0.0)).alias("t"))
+    return S.conover(seed_means(t), "sampling_seed", "method", "value").select("a", "b", "df", (F.round("t", 5) + F.lit(0.0)).alias("t"), r6(F.col("p")).alias("p"), r6(F.col("p_holm")).alias("p_holm"))
 
 
 @query("cd_report", _MET + ", sv as (select family as method, sampling_seed::VARCHAR as b, avg(value) as value, 'seed' as level from lg where metric = 'y' group by all union all select family, metric, avg(value), 'metric' from lg group by family, metric), r as (select *, rank() over (partition by level, b order by value) + (count(*) over (partition by level, b, value) - 1) / 2.0::DOUBLE as rank from sv) select level, method, round(avg(rank), 6) + 0.0 as mean_rank, count(*) as n_blocks from r group by all")

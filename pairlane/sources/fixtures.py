@@ -77,6 +77,10 @@ class Tables:
         return numbered(self.cell().where("analysis_group = 'control'").select("cell_id", "vec"), ["cell_id"], "control_pos")
 
     def treated(self) -> DataFrame:
+        return self.cell().where("analysis_group <> 'control'").select("cell_id", "perturbation", "vec")
+
+    def numbered_treated(self) -> DataFrame:
+        """Treated cells, numbered by id."""
         from pairlane.functions.exprs import numbered
 
-        return numbered(self.cell().where("analysis_group <> 'control'").select("cell_id", "perturbation", "vec"), ["cell_id"], "pos")
+        return numbered(self.treated(), ["cell_id"], "pos")

@@ -58,10 +58,12 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", wind
     # neighbouring windows mostly share a fingerprint; it is counted once
     fresh = F.transform("windows", lambda w, i: F.struct(w.alias("w"), (F.coalesce(F.get("windows", i - 1)["place"], F.lit(-1)) != w["place"]).alias("fresh")))
     found = cut(rows.select("key", "text_md5", F.explode(fresh).alias("x")).select("key", "text_md5", "x.w.start", "x.w.end", "x.w.gram", "x.w.mark", "x.fresh"))
-    marks = found.where("fresh").groupBy("mark").count().where("count > 1").select("mark")
+    # both sides of the joins below stand on plain exchanges, so a very common line's rows can be split
+    marks = cut(found.where("fresh").groupBy("mark").count().where("count > 1").select("mark"))
     here = F.struct(F.col("key").isNull().alias("n"), F.col("key").alias("k"), F.col("text_md5").alias("m"), F.col("start").alias("s"))
     candidates = found.join(marks, "mark", "left_semi").select("gram", here.alias("here"), "end")
     first = candidates.groupBy("gram").agg(F.min("here").alias("first"), F.max("here").alias("last")).where("first < last").drop("last")
+    first = cut(first)
     later = candidates.join(first, "gram").where("here > first").select("here", "end")
     spans = later.select(F.col("here.k").alias("key"), F.col("here.m").alias("text_md5"), F.struct(F.col("here.s").alias("start"), "end").alias("span"))
     by = spans.groupBy("key", "text_md5").agg(F.array_sort(F.collect_set("span")).alias("spans"))

@@ -71,7 +71,7 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", diges
     rank = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col("row_id").alias("r"))
     groups = table.groupBy("recipe").agg(F.min(rank).alias("first"), F.count("*").alias("group_size"))
     groups = groups.where("group_size > 1")  # single documents keep themselves and need no match
-    joined = table.join(groups, "recipe", "left")
+    joined = table.join(cut(groups), "recipe", "left")  # on plain exchanges, so that a group of very many copies can be split
     single = F.col("group_size").isNull()
     return joined.select(
         F.col(key),

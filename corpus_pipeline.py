@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlane.llm.common import read, saved, word_count
+from pairlane.llm.common import discard, read, saved, word_count
 from pairlane.llm.line_dedup import dedup_lines
 from pairlane.llm.mixing import mix_sources
 from pairlane.llm.ngram_join import near_duplicates
@@ -61,7 +61,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each stage's rows written to the shared folder in between."""
     docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir))
+        before, docs = docs, saved(stage(spark, docs, sf_dir))
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from pairlane.llm import bytewise as bw
 from pairlane.llm.common import read
-from pairlane.llm.labels import Adam, calibrate, labelled_sample, remainder, sigmoid
+from pairlane.llm.labels import Adam, calibrate, fit_on_sample, remainder, sigmoid
 from pairlane.llm.toxicity import score_texts
 
 WIDTH, FILTERS, STRIDE, PART, PARTS = 6, 16, 2, 128, 4
@@ -157,8 +157,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
     ``score_texts`` applies the model: every row stays with its columns, NULL text is scored
     as the empty text, and an empty table gives no rows.
     """
-    rows, weight = labelled_sample(docs, labels, label, key, text, None, per_class, seed)
-    return train(rows, weight, text, seed=seed)
+    return fit_on_sample(docs, labels, label, key, text, None, per_class, seed, lambda rows, weight: train(rows, weight, seed=seed))
 
 
 def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:

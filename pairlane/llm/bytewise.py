@@ -1,6 +1,6 @@
 """Numpy helpers over the UTF-8 buffers of an Arrow string column, used inside Spark tasks.
 
-Everything works on blocks of a few MB, so a task's memory does not depend on the size of
+Everything works on blocks of about a MB, so a task's memory does not depend on the size of
 its partition; a block holds whole texts, and a longer text is a block of its own.
 """
 
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
@@ -36,7 +36,9 @@ def powers(base: int, n: int) -> np.ndarray:
     if have is None or len(have) < n:
         out = np.full(max(n, BLOCK + 1), base & _MASK, dtype=np.uint64)
         out[0] = 1
-        _powers[base] = have = np.multiply.accumulate(out)
+        have = np.multiply.accumulate(out)
+        if n <= 4 * BLOCK:  # those of a longer text are not kept
+            _powers[base] = have
     return have[:n]
 
 
@@ -122,7 +124,7 @@ def shingles(hashes: np.ndarray, doc: np.ndarray, n: int = 5) -> tuple[np.ndarra
     first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
     length = np.diff(np.r_[first, total])
     acc = np.zeros(max(0, total - n + 1), np.uint64)
-    for i in range(n):
+    for i in range(n if len(acc) else 0):
         acc += hashes[i : total - n + 1 + i] * order[i]
     fits = doc[: len(acc)] == doc[n - 1 :] if len(acc) else np.zeros(0, bool)
     short, short_doc = [], []

@@ -33,8 +33,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = cut(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
-        # small star: a node and its smaller neighbours move to the smallest of them
-        small = cut(large.groupBy("a").agg(F.min("b").alias("m")))
+        # small star: a node and its smaller neighbours move to the smallest of them (no node has many of those now)
+        small = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(small, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = cut(moved.union(small.select("a", F.col("m").alias("b"))).distinct())
     raise RuntimeError(f"components did not settle in {rounds} rounds")

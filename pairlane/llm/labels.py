@@ -1,7 +1,10 @@
-"""A bounded, seeded sample of labelled documents for fitting a classifier on the driver."""
+"""Fitting a classifier on a bounded, seeded sample of labelled documents."""
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -15,28 +18,39 @@ def remainder(key: str, of: int) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % of
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str, lang: str | None, per_class: int, seed: int) -> tuple[pa.Table, np.ndarray]:
-    """Up to ``per_class`` documents of each label (key, text, label, lang), and a weight for each.
+def fit_on_sample(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str, lang: str | None, per_class: int, seed: int, train: Callable[[pa.Table, np.ndarray], object]) -> object:
+    """``train(rows, weights)`` on up to ``per_class`` documents of each label, in one task.
 
-    Weights restore the shares that the classes have among all labelled rows. Labels that are
-    NULL, or neither 0 nor 1, and repeated labels of a key do not count. The sampled keys are
-    bounded by ``2 * per_class``, so the join to the documents broadcasts them.
+    Rows have text, label and lang. Weights restore the shares that the classes have among all
+    labelled rows. Labels that are NULL, or neither 0 nor 1, and repeated labels of a key do not
+    count; a repeated document counts once, with its smallest row. The sampled keys are bounded
+    by ``2 * per_class``, so the join to the documents broadcasts them, one task can hold them,
+    and only the model comes to the driver.
     """
     clean = labels.select(F.col(key), F.col(label).cast("int").alias("label")).where("label in (0, 1)").where(F.col(key).isNotNull()).groupBy(key).agg(F.min("label").alias("label"))
     shares = {r["label"]: r["count"] for r in clean.groupBy("label").count().collect()}
     parts = [clean.where(F.col("label") == x).orderBy(seeded_digest(seed, F.col(key)), key).limit(per_class) for x in (0, 1)]
-    chosen = parts[0].union(parts[1])
-    columns = [key, text] + ([lang] if lang else [])
-    joined = docs.select(*columns).join(F.broadcast(chosen), key)
-    # a repeated key counts once, with its smallest row, so the sample stays as small as its bound
-    rows = joined.groupBy(key).agg(F.min(F.struct(*[c for c in joined.columns if c != key])).alias("_row")).select(key, "_row.*").toArrow()
-    rows = rows.take(np.argsort(rows.column(key).to_numpy(), kind="stable"))
-    y = rows.column("label").to_numpy()
-    weight = np.ones(len(y))
-    for x in (0, 1):
-        if (y == x).any():
-            weight[y == x] = shares[x] / (y == x).sum()
-    return rows, weight / weight.mean() if len(weight) else weight
+    chosen = parts[0].union(parts[1]).select(F.col(key).alias("key"), "label")
+    pair = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), (F.col(lang) if lang else F.lit(None)).cast("string").alias("lang"))
+    rows = pair.join(F.broadcast(chosen), "key").groupBy("key").agg(F.min(F.struct("text", "lang", "label")).alias("row")).select("key", "row.*")
+
+    def fit(table: pa.Table) -> bytes:
+        table = table.take(np.argsort(table.column("key").to_numpy(zero_copy_only=False), kind="stable"))
+        y = table.column("label").to_numpy(zero_copy_only=False)
+        weight = np.ones(len(y))
+        for x in (0, 1):
+            if (y == x).any():
+                weight[y == x] = shares[x] / (y == x).sum()
+        return pickle.dumps(train(table, weight / weight.mean() if len(weight) else weight))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if got := list(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([fit(pa.Table.from_batches(got))], pa.binary())], ["model"])
+
+    found = rows.repartition(1).mapInArrow(run, "model binary").collect()
+    if found:
+        return pickle.loads(found[0]["model"])
+    return pickle.loads(fit(pa.table({"key": pa.array([], pa.int64()), "text": pa.array([], pa.string()), "lang": pa.array([], pa.string()), "label": pa.array([], pa.int32())})))
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

@@ -16,8 +16,8 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -150,13 +150,18 @@ def links_within(keys: list[bytes], block: np.ndarray, weight: np.ndarray, grams
 
 
 def _verify(threshold: float):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("k").drop_duplicates("k")
-        a, b = group["a"].iat[0], group["b"].iat[0]
-        weight = group["weight"].to_numpy(np.int64)
-        links, root = links_within(group["k"].tolist(), group["block"].to_numpy(), weight, [np.asarray(g) for g in group["grams"]], threshold, a != b)
-        out = pd.DataFrame({"k": group["k"].tolist(), "links": links, "root": root})
-        return out[out["links"] > 0]
+    def run(group: pa.Table) -> pa.Table:
+        place: dict[bytes, int] = {}
+        for i, k in enumerate(group.column("k").to_pylist()):
+            place.setdefault(k, i)
+        keys = sorted(place)
+        own = group.take([place[k] for k in keys])
+        sets = own.column("grams").combine_chunks()
+        grams = np.split(sets.flatten().to_numpy(), np.cumsum(pc.list_value_length(sets).to_numpy())[:-1])
+        cross = own.column("a")[0].as_py() != own.column("b")[0].as_py()
+        links, root = links_within(keys, own.column("block").to_numpy(), own.column("weight").to_numpy(), grams, threshold, cross)
+        hit = np.flatnonzero(links > 0).tolist()
+        return pa.table({"k": pa.array([keys[i] for i in hit], pa.binary()), "links": pa.array(links[hit].astype(np.int64)), "root": pa.array([root[i] for i in hit], pa.binary())})
 
     return run
 
@@ -197,7 +202,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ng
     source = pair.join(wanted, pair["id"].eqNullSafe(wanted["rep"])).select("_text", "k", "area", "block", "weight", "tasks")
     sets = source.mapInArrow(_sets(ngram), "k binary, area binary, block int, weight long, tasks array<struct<a:int,b:int>>, grams array<long>")
     dealt = sets.select("k", "area", "block", "weight", "grams", F.explode("tasks").alias("task")).select("*", "task.a", "task.b").drop("task")
-    found = cut(dealt.groupBy("area", "a", "b").applyInPandas(_verify(threshold), "k binary, links long, root binary"))
+    found = cut(dealt.groupBy("area", "a", "b").applyInArrow(_verify(threshold), "k binary, links long, root binary"))
 
     links = found.groupBy("k").agg(F.sum("links").alias("links"))
     reach = components(found.select(F.col("k").alias("a"), F.col("root").alias("b")))

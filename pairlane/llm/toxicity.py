@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from pairlane.llm import bytewise as bw
 from pairlane.llm.common import read
-from pairlane.llm.labels import Adam, calibrate, labelled_sample, remainder, sigmoid
+from pairlane.llm.labels import Adam, calibrate, fit_on_sample, remainder, sigmoid
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 17, 8, 4, (1, 2, 3)
 #: Bound of the labelled sample: documents of each label that the model is fitted on.
@@ -48,7 +48,8 @@ def word_ids(d: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class TextCnn:
-    table: np.ndarray = field(repr=False)  # bucket x (all widths' taps x filters): embedding times filters
+    row: np.ndarray = field(repr=False)  # bucket -> row of the table; 0 for buckets without an embedding
+    table: np.ndarray = field(repr=False)  # row x (all widths' taps x filters): embedding times filters
     bias: np.ndarray = field(repr=False)
     out: np.ndarray = field(repr=False)
     out_bias: float = 0.0
@@ -58,7 +59,7 @@ class TextCnn:
 
     def score(self, d: np.ndarray, off: np.ndarray) -> np.ndarray:
         ids, start = word_ids(d, off)
-        taps = self.table[ids]
+        taps = self.table[self.row[ids]]
         pooled, at = [], 0
         for w in WIDTHS:
             c = taps[:, at : at + FILTERS].copy()
@@ -151,8 +152,11 @@ def train(rows: pa.Table, weight: np.ndarray, text: str = "text", lang: str | No
             memory[hit] += (step**2).mean(axis=1)
             emb[hit] -= 0.005 * step / np.sqrt(memory[hit])[:, None]
             emb[BUCKETS] = 0
-    table = np.concatenate([(emb @ t[k]) for t in taps for k in range(len(t))], axis=1).astype(np.float32)
-    model = TextCnn(table, bias, out, float(out_bias[0]))
+    rows_of = np.r_[BUCKETS, np.flatnonzero(known[:BUCKETS])]
+    row = np.zeros(BUCKETS + 1, np.int32)
+    row[rows_of] = np.arange(len(rows_of))
+    table = np.concatenate([(emb[rows_of] @ t[k]) for t in taps for k in range(len(t))], axis=1).astype(np.float32)
+    model = TextCnn(row, table, bias, out, float(out_bias[0]))
     aside = np.flatnonzero(spare) if spare.any() else np.arange(len(y))
     if len(set(y.tolist())) < 2:
         model.out[:] = 0
@@ -198,8 +202,7 @@ def score_texts(docs: DataFrame, model, text: str = "text", keep: list[str] | No
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", lang: str | None = "lang", per_class: int = PER_CLASS, seed: int = SEED) -> TextCnn:
     """Train on a seeded sample of at most ``2 * per_class`` labelled documents (NULL texts are empty texts)."""
-    rows, weight = labelled_sample(docs, labels, label, key, text, lang, per_class, seed)
-    return train(rows, weight, text, lang, seed=seed)
+    return fit_on_sample(docs, labels, label, key, text, lang, per_class, seed, lambda rows, weight: train(rows, weight, lang="lang" if lang else None, seed=seed))
 
 
 def flag_toxic(docs: DataFrame, model: TextCnn, text: str = "text", lang: str = "lang") -> DataFrame:

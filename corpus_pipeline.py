@@ -27,8 +27,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Delete repeated line runs; every document stays with what is left of it."""
-    out = dedup_lines(docs.select(*COLUMNS))
+    """Delete repeated line runs in their full length; every document stays with what is left of it."""
+    out = dedup_lines(docs.select(*COLUMNS), extend=True)
     return out.withColumn("n_chars", F.when(F.col("removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 

@@ -6,8 +6,15 @@ smallest hash in a window is its fingerprint: equal windows pick equal fingerpri
 whatever is repeated over a window's length is sure to share one. Only windows whose
 fingerprint occurs more than once are candidates. A candidate is joined to the first
 position of its content (a grouped minimum, never pairs of occurrences) and is repeated
-if it stands later. Overlapping and adjacent repeated windows make one run, which extends
-the match both ways to its full length, and the run is deleted.
+if it stands later. Overlapping and adjacent repeated windows make one run, and the run is
+deleted.
+
+Windows alone leave the end of a repeated passage where its last lines fill no window of
+their own. With ``extend`` a match grows to its full length: a window that reached its words
+in fewer than ``WINDOW`` lines is also looked up with the lines after it, until the next
+window is full. Upwards nothing is missing, as the line before a match starts a window that
+ends within it. So a line goes exactly if some run of lines that covers it and holds a full
+window has stood earlier, whatever its source; each line adds one row at most.
 """
 
 from __future__ import annotations
@@ -28,14 +35,25 @@ def _lines(text: Column) -> Column:
     return F.filter(F.transform(plain, item), lambda x: x["full"])
 
 
-def _windows(lines: Column, window: int, long_words: int) -> Column:
-    """struct(start, end, gram, mark, place) of each window; lines numbered as in the text, place: of the fingerprint."""
+def _windows(lines: Column, window: int, long_words: int, extend: bool = False) -> Column:
+    """struct(start, end, gram, mark, place) of each window; lines numbered as in the text, place: of the fingerprint.
 
-    def at(i: Column) -> Column:
-        grow = lambda s, k: F.when((s["n"] < window) & (s["words"] < long_words), F.struct((s["n"] + 1).alias("n"), (s["words"] + F.coalesce(F.get(lines, i + k)["words"], F.lit(-1 << 30))).alias("words"))).otherwise(s)
+    With ``extend`` also of each window with the lines after it that fill no window of their own.
+    """
+
+    def reach(i: Column) -> Column:
+        grow = lambda s, k: F.when((s["n"] < window) & s["words"].between(0, long_words - 1), F.struct((s["n"] + 1).alias("n"), (s["words"] + F.coalesce(F.get(lines, i + k)["words"], F.lit(-1 << 30))).alias("words"))).otherwise(s)
         zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("words"))
-        reach = F.aggregate(F.sequence(F.lit(0), F.lit(window - 1)), zero, grow, lambda s: F.when(s["words"] >= 0, s["n"]).otherwise(0))
-        return F.struct(i.alias("i"), reach.alias("n"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(window - 1)), zero, grow, lambda s: F.when(s["words"] >= 0, s["n"]).otherwise(0))
+
+    def at(i: Column) -> Column:
+        return F.struct(i.alias("i"), reach(i).alias("n"))
+
+    def longer(w: Column) -> Column:
+        # the window, and its extensions by lines among which the next start has no full window
+        after = F.array(F.when(w["n"] < window, reach(w["i"] + 1)).otherwise(0))
+        sizes = F.flatten(F.transform(after, lambda r: F.filter(F.sequence(w["n"], F.lit(window)), lambda n: (n == w["n"]) | ((w["i"] + n <= F.size(lines)) & ((r == 0) | (r >= n))))))
+        return F.transform(sizes, lambda n: F.struct(w["i"].alias("i"), n.alias("n")))
 
     def full(w: Column) -> Column:
         part = F.transform(F.slice(lines, w["i"] + 1, w["n"]), lambda x: x["digest"])
@@ -48,13 +66,14 @@ def _windows(lines: Column, window: int, long_words: int) -> Column:
         )
 
     starts = F.when(F.size(lines) > 0, F.sequence(F.lit(0), F.size(lines) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(F.filter(F.transform(starts, at), lambda w: w["n"] > 0), full)
+    found = F.filter(F.transform(starts, at), lambda w: w["n"] > 0)
+    return F.transform(F.flatten(F.transform(found, longer)) if extend else found, full)
 
 
-def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, long_words: int = LONG_WORDS) -> DataFrame:
+def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, long_words: int = LONG_WORDS, extend: bool = False) -> DataFrame:
     """(key, text_md5, runs): line runs [start, end] of each text that repeat something earlier."""
     base = docs.select(F.col(key).alias("key"), F.md5(F.coalesce(text, F.lit(""))).alias("text_md5"), _lines(F.col(text)).alias("lines"))
-    rows = base.select("key", F.unhex("text_md5").alias("text_md5"), _windows(F.col("lines"), window, long_words).alias("windows"))
+    rows = base.select("key", F.unhex("text_md5").alias("text_md5"), _windows(F.col("lines"), window, long_words, extend).alias("windows"))
     # neighbouring windows mostly share a fingerprint; it is counted once
     fresh = F.transform("windows", lambda w, i: F.struct(w.alias("w"), (F.coalesce(F.get("windows", i - 1)["place"], F.lit(-1)) != w["place"]).alias("fresh")))
     found = cut(rows.select("key", "text_md5", F.explode(fresh).alias("x")).select("key", "text_md5", "x.w.start", "x.w.end", "x.w.gram", "x.w.mark", "x.fresh"))
@@ -77,11 +96,12 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", wind
     return by.select("key", "text_md5", F.aggregate("spans", F.array().cast(kind), merge).alias("runs"))
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, long_words: int = LONG_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, long_words: int = LONG_WORDS, extend: bool = False) -> DataFrame:
     """Delete later repeats of line runs; adds ``removed_runs`` and ``removed_lines`` to the columns of ``docs``.
 
     A line goes if a window that covers it has stood at an earlier place: in a document with
-    a smaller key (NULL keys last), or above in the same one. Lines are compared without
+    a smaller key (NULL keys last), or above in the same one; with ``extend`` also if any longer
+    run of lines from such a window on has. Lines are compared without
     outer and repeated white space; blank lines are skipped and stay. Documents that agree in
     key and text are one document: they get the same result and are no repeats of each other.
     NULL text stays NULL. An empty table gives no rows. The added names replace columns so
@@ -89,7 +109,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", window
     """
     kept = [c for c in docs.columns if c not in ("removed_runs", "removed_lines")]
     rows = docs.select(F.struct(*kept).alias("row"), F.col(key).alias("key"), F.col(text).alias("text"), F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("md5"))
-    runs = repeated_runs(docs, key, text, window, long_words).withColumnsRenamed({"key": "of_key", "text_md5": "of_md5"})
+    runs = repeated_runs(docs, key, text, window, long_words, extend).withColumnsRenamed({"key": "of_key", "text_md5": "of_md5"})
     joined = rows.join(runs, F.col("key").eqNullSafe(F.col("of_key")) & (F.col("md5") == F.col("of_md5")), "left")
     left = F.filter(F.split("text", "\n"), lambda x, i: ~F.exists("runs", lambda r: (i >= r["start"]) & (i <= r["end"])))
     removed = F.aggregate("runs", F.lit(0), lambda n, r: n + r["end"] - r["start"] + 1)

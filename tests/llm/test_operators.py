@@ -163,6 +163,43 @@ def test_line_dedup_brute_force(spark):
     assert sum(x.removed_lines for x in got) > 100
 
 
+def brute_runs(docs, window=3, long_words=50):
+    """{doc: kept text} by looking at every run of lines that holds a full window."""
+    seen, out = set(), {}
+    for d, t in sorted(docs.items()):
+        lines = (t or "").split("\n")
+        plain = [(i, " ".join(re.findall("[^\x20\x09-\x0d]+", line))) for i, line in enumerate(lines)]
+        plain = [(i, x) for i, x in plain if x]
+        gone = set()
+        for a in range(len(plain)):
+            for b in range(a, len(plain)):
+                run = tuple(x for _, x in plain[a : b + 1])
+                if len(run) >= window or sum(len(x.split(" ")) for x in run) >= long_words:
+                    if run in seen:
+                        gone |= set(range(plain[a][0], plain[b][0] + 1))
+                    seen.add(run)
+        out[d] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+    return out
+
+
+def test_line_runs_in_full_length(spark):
+    r, long = random.Random(2), "long " * 60
+    docs = {1: f"head\n{long}\nfirst tail\n\nsecond tail", 2: f"other\n{long}\nfirst tail\n\nsecond tail", 3: f"{long}\nfirst tail\nanother", 4: long}
+    for d in range(10, 150):
+        docs[d] = "\n".join(r.choice(["l1 a", "l2  b", "l3", "", "l4 x", "l5 " * 60, "l6 " * 30, "l7"]) for _ in range(r.randrange(12)))
+    got = {x.doc_id: x for x in dedup_lines(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), extend=True).collect()}
+    assert {d: x.text for d, x in got.items()} == brute_runs(docs)
+    assert got[2].text == "other" and got[3].text == "another" and got[4].text == ""
+
+
+def test_pipeline_deletes_whole_runs(spark):
+    import corpus_pipeline as C
+
+    long = "long " * 60
+    docs = spark.createDataFrame([(1, f"{long}\nthe tail", "en", "a", 0), (2, f"own\n{long}\nthe tail", "en", "a", 0)], SCHEMA)
+    assert {r.doc_id: r.text for r in C.line_dedup(spark, docs, SF).collect()} == {1: f"{long}\nthe tail", 2: "own"}
+
+
 def test_awkward_lines(awkward):
     out = dedup_lines(awkward)
     assert out.count() == awkward.count() and {"runs", "part", "row"} <= set(out.columns)

@@ -108,12 +108,13 @@ def transport_cost(treated: DataFrame, metacell: DataFrame) -> DataFrame:
     return raw.join(middle, "perturbation").withColumn("cost", F.col("distance") / F.coalesce("_scale", F.lit(1.0))).drop("_scale")
 
 
-def sinkhorn(cost: DataFrame, mass: DataFrame, reg: float = 0.05, iterations: int = 2000) -> DataFrame:
+def sinkhorn(cost: DataFrame, mass: DataFrame, reg: float = 0.05, iterations: int = 2000, tolerance: float = 1e-7) -> DataFrame:
     """Entropic transport plan of each perturbation: (perturbation, cell_id, mc_index, flow).
 
     One row per perturbation holds its kernel, and the scaling iterations are a single
-    ``aggregate`` over it, so no iteration shuffles. A group's rows are bounded by
-    ``cap_per_group`` before. Each cell's smallest cost is subtracted before the exponential,
+    ``aggregate`` over it, so no iteration shuffles; all cells of a perturbation take part,
+    and its cells x metacells must fit one task. A group stops when, at a tenth iteration,
+    the cells' marginals are off by less than ``tolerance`` (Euclidean norm). Each cell's smallest cost is subtracted before the exponential,
     which leaves the plan as it is and keeps the kernel from vanishing; a metacell whose
     whole row still vanishes gets a floor. Results that are not finite raise an error.
     """
@@ -132,12 +133,17 @@ def sinkhorn(cost: DataFrame, mass: DataFrame, reg: float = 0.05, iterations: in
     def scale_u(v: Column) -> Column:
         return F.zip_with("_a", F.transform("_t", lambda row: inner(row, v)), lambda a, d: a / d)
 
-    def step(v: Column, _: Column) -> Column:
-        # u is bound once by transform over a one-element array, or it would be computed anew for each cell
-        return F.get(F.transform(F.array(scale_u(v)), lambda u: F.transform("_m", lambda row: F.lit(1.0) / n / inner(row, u))), F.lit(0))
-
-    start = F.transform("_rows", lambda _: F.lit(1.0))
-    solved = kernel.withColumn("_v", F.aggregate(F.sequence(F.lit(1), F.lit(iterations)), start, step)).withColumn("_u", scale_u(F.col("_v")))
+    def step(s: Column, i: Column) -> Column:
+        # u and the next v are bound once by transform over a one-element array, or they would be computed anew for each cell
+        after = F.transform(F.array(scale_u(s["v"])), lambda u: F.transform("_m", lambda row: F.lit(1.0) / n / inner(row, u)))
+        off = lambda v: F.sqrt(F.aggregate(F.zip_with(s["v"], v, lambda x, y: (x / y - 1) * (x / y - 1)), F.lit(0.0), lambda t, x: t + x)) / n
+        moved = F.transform(after, lambda v: F.when((i % 10 == 0) & (off(v) < tolerance), F.struct(s["v"].alias("v"), F.lit(True).alias("done"))).otherwise(F.struct(v.alias("v"), F.lit(False).alias("done"))))
+        return F.when(s["done"], s).otherwise(F.get(moved, F.lit(0)))
+
+    first = F.transform("_m", lambda row: F.lit(1.0) / n / (F.aggregate(row, F.lit(0.0), lambda t, x: t + x) / m))  # of an even u
+    start = F.struct(first.alias("v"), F.lit(False).alias("done"))
+    rounds = F.sequence(F.lit(0), F.lit(iterations - 2)) if iterations > 1 else F.array().cast("array<int>")
+    solved = kernel.withColumn("_v", F.aggregate(rounds, start, step, lambda s: s["v"])).withColumn("_u", scale_u(F.col("_v")))
     plan = F.transform("_rows", lambda r, i: F.struct(r["cell_id"].alias("cell_id"), F.zip_with(r["_row"], "_u", lambda k, u: k * u * F.get("_v", i)).alias("flows")))
     out = solved.select("perturbation", F.explode(plan).alias("p")).select("perturbation", "p.cell_id", F.posexplode("p.flows").alias("mc_index", "flow"))
     bad = F.isnan("flow") | (F.abs("flow") == F.lit(float("inf")))

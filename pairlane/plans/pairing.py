@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pairlane.functions.exprs import draw_sql, numbered, r6
 from pairlane.operators import normalise as N
 from pairlane.operators import pairing as M
-from pairlane.operators.prepare import cap_per_group
 from pairlane.plans.registry import query
 from pairlane.sources.fixtures import cte
 
@@ -157,10 +156,9 @@ def _(t):
     return out.select("cell_id", "mc_index", (F.round("distance", 5) + F.lit(0.0)).alias("distance"), (F.round("cost", 5) + F.lit(0.0)).alias("cost"))
 
 
-def _plan(t, iterations: int = 500):
-    treated = cap_per_group(t.treated(), "perturbation", "cell_id", 100, 5)
+def _plan(t):
     metacell = _metacells(t)
-    return M.sinkhorn(M.transport_cost(treated, metacell), M.control_mass(metacell), iterations=iterations)
+    return M.sinkhorn(M.transport_cost(t.treated(), metacell), M.control_mass(metacell))
 
 
 @query("ot_sinkhorn")
@@ -177,8 +175,7 @@ def _(t):
 @query("ot_assign")
 def _(t):
     n = t.view("membership").select("metacell_id").distinct().count()
-    treated = cap_per_group(t.treated(), "perturbation", "cell_id", 100, 5)
-    raw = M.transport_cost(treated, _metacells(t)).select("cell_id", "mc_index", "distance")
+    raw = M.transport_cost(t.treated(), _metacells(t)).select("cell_id", "mc_index", "distance")
     top = M.top_transport(_plan(t), 3, n).withColumn("mc_index", F.get("top", F.lit(0))["mc_index"]).withColumn("dominant_weight", F.get("top", F.lit(0))["weight"])
     return top.join(raw, ["cell_id", "mc_index"])
 

@@ -166,6 +166,33 @@ def test_transport_has_its_marginals(spark):
     assert all(len(r.top) == 4 and abs(sum(x.weight for x in r.top) - 1) < 1e-9 and 0 <= r.entropy <= 1 + 1e-9 for r in top)
 
 
+def test_transport_stops_by_the_tolerance(spark):
+    rng = np.random.default_rng(2)
+    x, p, size = rng.standard_normal((15, 3)), rng.standard_normal((4, 3)), np.array([1.0, 2, 3, 4])
+    treated = table(spark, [(i, "p", v.tolist()) for i, v in enumerate(x)], "cell_id long, perturbation string, vec array<double>")
+    mc = table(spark, [(j, 1 + j, v.tolist()) for j, v in enumerate(p)], "mc_index int, n_cells long, profile array<double>")
+    cost = np.sqrt(((p[:, None] - x[None]) ** 2).sum(axis=2))
+    k, a, b = np.exp(-cost / np.median(cost) / 0.05), size / size.sum(), np.full(15, 1 / 15)
+    for most, tolerance in ((1, 1e-7), (25, 0.0), (2000, 1e-2), (2000, 1e-7)):
+        u = np.full(4, 1 / 4)
+        for i in range(most):
+            v = b / (k.T @ u)
+            u = a / (k @ v)
+            if i % 10 == 0 and np.linalg.norm(v * (k.T @ u) - b) < tolerance:
+                break
+        plan = P.sinkhorn(P.transport_cost(treated, mc), P.control_mass(mc), iterations=most, tolerance=tolerance).collect()
+        assert len(plan) == 60 and all(abs(r.flow - u[r.mc_index] * k[r.mc_index, r.cell_id] * v[r.cell_id]) < 1e-9 for r in plan)
+
+
+def test_transport_takes_every_cell(spark):
+    from pairlane import plans
+
+    sf = "/root/testdata/sf0.1"
+    size = {r.label: r["count"] for r in spark.read.parquet(f"{sf}/embeddings.parquet").where("label <> 0").groupBy("label").count().collect()}
+    out = plans.queries()["ot_sinkhorn"](spark, sf).collect()
+    assert {r.perturbation for r in out} == {f"p{x}" for x in size} and all(r.n_cells == size[int(r.perturbation[1:])] > 100 for r in out)
+
+
 def test_entropy_of_one_use_is_zero(spark):
     r = one(P.usage_entropy(table(spark, [("r", "c1", 5)], "run string, control_id string, times long"), ["run"]))
     assert r["entropy"] == 0.0 and r["n_used"] == 1

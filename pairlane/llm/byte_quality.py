@@ -40,13 +40,21 @@ def layout(d: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
-def _maxima(x: np.ndarray, filters: np.ndarray) -> np.ndarray:
-    """Part x filter: the largest value of each filter within a part (windows may reach into the next)."""
+def _maxima(x: np.ndarray, filters: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Part x filter: the largest value of each filter within a part.
+
+    Windows may reach into the next part, but those of ``last``, the last parts of texts, read padding there.
+    """
     n = len(x) - WIDTH
     c = filters[0][x[0:n:STRIDE]]
     for t in range(1, WIDTH):
         c += filters[t][x[t : n + t : STRIDE]]
-    return c.reshape(-1, PART // STRIDE, FILTERS).max(axis=1)
+    c = c.reshape(-1, PART // STRIDE, FILTERS)
+    ends = np.concatenate([x[:n].reshape(-1, PART)[last, PART - WIDTH :], np.full((len(last), WIDTH), PAD, x.dtype)], axis=1)
+    for s in range(0, PART, STRIDE):
+        if s + WIDTH > PART:
+            c[last, s // STRIDE] = sum(filters[t][ends[:, s + WIDTH - PART + t]] for t in range(WIDTH))
+    return c.max(axis=1)
 
 
 def _chunks(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,8 +86,12 @@ class ByteCnn:
     def logits(self, d: np.ndarray, off: np.ndarray) -> np.ndarray:
         x, first = layout(d, off)
         # parts are handled a few thousand at a time
-        step = 4096 * PART
-        maxima = np.concatenate([_maxima(x[a : min(a + step, len(x) - WIDTH) + WIDTH], self.filters) for a in range(0, len(x) - WIDTH, step)])
+        step, last = 4096 * PART, first[1:] - 1
+        maxima = []
+        for a in range(0, len(x) - WIDTH, step):
+            here = last[np.searchsorted(last, a // PART) : np.searchsorted(last, (a + step) // PART)] - a // PART
+            maxima.append(_maxima(x[a : min(a + step, len(x) - WIDTH) + WIDTH], self.filters, here))
+        maxima = np.concatenate(maxima)
         begin, end, doc = _chunks(first)
         u = np.tanh(_pool(maxima, begin, end) @ self.hidden + self.hidden_bias) @ self.out
         at = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])

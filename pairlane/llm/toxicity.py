@@ -37,13 +37,16 @@ _FOLDED[65:91] = _FOLDED[97:123]
 
 
 def word_ids(d: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket ids of all texts with GAP padding ids after each, and where each text starts."""
+    """Bucket ids of all texts with 2 * GAP padding ids after each, and where each text starts.
+
+    A window that starts before the last GAP ids of a text ends within the text's own padding.
+    """
     n = len(off) - 1
     w = bw.runs(_LETTER[d], off)
     ids = (bw.Hasher(d, _FOLDED)(w.start, w.end) % np.uint64(BUCKETS)).astype(np.int32)
-    out = np.full(len(ids) + n * GAP, BUCKETS, np.int32)
-    out[np.arange(len(ids)) + w.doc * GAP] = ids
-    return out, np.r_[0, np.cumsum(bw.counts(w.doc, n) + GAP)]
+    out = np.full(len(ids) + n * 2 * GAP, BUCKETS, np.int32)
+    out[np.arange(len(ids)) + w.doc * 2 * GAP] = ids
+    return out, np.r_[0, np.cumsum(bw.counts(w.doc, n) + 2 * GAP)]
 
 
 @dataclass
@@ -60,12 +63,13 @@ class TextCnn:
     def score(self, d: np.ndarray, off: np.ndarray) -> np.ndarray:
         ids, start = word_ids(d, off)
         taps = self.table[self.row[ids]]
+        own = np.stack([start[:-1], start[1:] - GAP], axis=1).ravel()  # only these windows are a text's own
         pooled, at = [], 0
         for w in WIDTHS:
             c = taps[:, at : at + FILTERS].copy()
             for t in range(1, w):
                 c[: len(c) - t] += taps[t:, at + t * FILTERS : at + (t + 1) * FILTERS]
-            pooled.append(np.maximum.reduceat(c, start[:-1], axis=0))
+            pooled.append(np.maximum.reduceat(c, own, axis=0)[::2])
             at += w * FILTERS
         z = np.maximum(np.concatenate(pooled, axis=1) + self.bias, 0) @ self.out + self.out_bias
         return sigmoid(self.scale[0] * z.astype(np.float64) + self.scale[1])
@@ -128,7 +132,7 @@ def train(rows: pa.Table, weight: np.ndarray, text: str = "text", lang: str | No
                 c = e @ t[0]
                 for k in range(1, w):
                     c[: len(c) - k] += e[k:] @ t[k]
-                where = np.stack([start[j] + c[start[j] : start[j + 1]].argmax(axis=0) for j in range(len(batch))])
+                where = np.stack([start[j] + c[start[j] : start[j + 1] - GAP].argmax(axis=0) for j in range(len(batch))])
                 place.append(where)
                 best.append(np.take_along_axis(c, where, axis=0))
             z = np.concatenate(best, axis=1) + bias
@@ -140,7 +144,7 @@ def train(rows: pa.Table, weight: np.ndarray, text: str = "text", lang: str | No
                 part = dz[:, j * FILTERS : (j + 1) * FILTERS]
                 g = np.zeros_like(t)
                 for k in range(w):
-                    at = np.minimum(place[j] + k, len(ids) - 1)
+                    at = place[j] + k
                     g[k] = np.einsum("bfd,bf->df", e[at], part)
                     rows_.append(ids[at].ravel())
                     deltas.append((part[:, :, None] * t[k].T[None]).reshape(-1, DIM))

@@ -38,6 +38,27 @@ def test_awkward_scores(spark):
     assert flagged.where("toxic is null").count() == 0 and flagged.count() == 6
 
 
+def test_a_score_is_of_its_own_text(spark):
+    import pyarrow as pa
+
+    from pairlane.llm import bytewise as bw
+    from pairlane.llm import byte_quality, toxicity
+
+    bad, good = "awful nasty words come first", "kind and plain words come first"
+    texts = [x for i in range(40) for x in (f"{bad} {i}", f"{good} {i}")]
+    rows = pa.table({"text": texts, "label": [1, 0] * 40})
+    rng = np.random.default_rng(4)
+    some = ["", bad, "x" * 128, "", "kind", "y" * 125 + "\n", good * 20, "awful nasty", "z" * 384, "z" * 131]
+    models = [toxicity.train(rows, np.ones(80), epochs=4), byte_quality.train(rows, np.ones(80), epochs=2)]
+    models[0].table[1:] = rng.standard_normal(models[0].table[1:].shape)  # taps of either sign, so that a neighbour's words show
+    for model in models:
+        score = lambda x, model=model: model.score(*bw.column(pa.array(x)))
+        alone = {x: score([x])[0] for x in some}
+        for _ in range(20):
+            order = [some[i] for i in rng.permutation(len(some))]
+            assert np.allclose(score(order), [alone[x] for x in order], rtol=0, atol=1e-6)
+
+
 def test_pipeline_decisions(spark):
     import corpus_pipeline as C
 

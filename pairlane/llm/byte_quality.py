@@ -20,7 +20,7 @@ from pairlane.llm.common import read
 from pairlane.llm.labels import Adam, calibrate, fit_on_sample, remainder, sigmoid
 from pairlane.llm.toxicity import score_texts
 
-WIDTH, FILTERS, STRIDE, PART, PARTS = 6, 16, 2, 128, 4
+WIDTH, FILTERS, STRIDE, PART, PARTS = 6, 16, 1, 128, 4
 PAD = 256
 #: Bound of the labelled sample: documents of each label that the model is fitted on.
 PER_CLASS = 2500

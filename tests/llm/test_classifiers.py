@@ -59,6 +59,18 @@ def test_a_score_is_of_its_own_text(spark):
             assert np.allclose(score(order), [alone[x] for x in order], rtol=0, atol=1e-6)
 
 
+def test_filters_meet_every_byte_offset():
+    from pairlane.llm import byte_quality as Q
+
+    filters = np.zeros((Q.WIDTH, 257, Q.FILTERS), np.float32)
+    for t, x in enumerate(b"needle"):
+        filters[t, x, 0] = 1
+    for at in range(200):
+        d = np.frombuffer(b"." * at + b"needle" + b"." * 60, np.uint8)
+        x, first = Q.layout(d, np.array([0, len(d)]))
+        assert Q._maxima(x, filters, first[1:] - 1)[:, 0].max() == Q.WIDTH
+
+
 def test_pipeline_decisions(spark):
     import corpus_pipeline as C
 

@@ -33,13 +33,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the smallest id."""
-    linked = near_duplicates(docs.select("doc_id", "text")).where("n_links > 0")
-    gone = linked.where("doc_id <> class_id").select("doc_id").distinct()
-    # repeated rows of the id that stays are copies of one another: one of them stays
-    twice = linked.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    rest = docs.select(*COLUMNS).join(gone.union(twice).distinct(), "doc_id", "left_anti").select(*COLUMNS)
-    again = docs.select(*COLUMNS).join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """One document of each near-duplicate group stays: the one with the smallest id (NULL last), then text digest.
+
+    A document is its id and text together, so rows that share an id, or have none, are
+    decided one text at a time.
+    """
+    own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("digest")).alias("own")
+    linked = near_duplicates(docs.select(own, "text"), key="own").where("n_links > 0")
+    gone = linked.where("own <> class_id").select("own").distinct()
+    # repeated rows of the document that stays are copies of one another: one of them stays
+    twice = linked.where("own = class_id").groupBy("own").count().where("count > 1").select("own")
+    rows = docs.select(*COLUMNS, own)
+    rest = rows.join(gone.union(twice).distinct(), "own", "left_anti").select(*COLUMNS)
+    again = rows.join(twice, "own", "left_semi").dropDuplicates(["own"]).select(*COLUMNS)
     return rest.unionByName(again)
 
 

@@ -71,6 +71,18 @@ def test_filters_meet_every_byte_offset():
         assert Q._maxima(x, filters, first[1:] - 1)[:, 0].max() == Q.WIDTH
 
 
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    import corpus_pipeline as C
+
+    text = lambda x: " ".join(f"{x}{i}" for i in range(40))
+    a, b, c, d, e = (text(x) for x in "abcde")
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c + " more"), (None, d), (None, d), (None, e), (None, a), (4, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, "en", "x", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r.doc_id, r.text) for r in C.ngram_join(spark, docs, SF).collect()]
+    assert sum(i == 3 for i, _ in kept) == 1  # near copies under one id: one stays
+    assert sorted((str(i), str(t)) for i, t in kept if i != 3) == sorted((str(i), str(t)) for i, t in [(1, a), (2, b), (None, d), (None, e), (4, None), (4, "")])
+
+
 def test_pipeline_decisions(spark):
     import corpus_pipeline as C
 

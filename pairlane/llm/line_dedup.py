@@ -3,115 +3,139 @@
 A *window* starts at every non-blank line and grows until it has ``WINDOW`` lines or
 ``LONG_WORDS`` words, so one long paragraph is a window by itself. The line with the
 smallest hash in a window is its fingerprint: equal windows pick equal fingerprints, so
-whatever is repeated over a window's length is sure to share one. Only windows whose
-fingerprint occurs more than once are candidates. A candidate is joined to the first
-position of its content (a grouped minimum, never pairs of occurrences) and is repeated
-if it stands later. Overlapping and adjacent repeated windows make one run, and the run is
-deleted.
-
-Windows alone leave the end of a repeated passage where its last lines fill no window of
-their own. With ``extend`` a match grows to its full length: a window that reached its words
-in fewer than ``WINDOW`` lines is also looked up with the lines after it, until the next
-window is full. Upwards nothing is missing, as the line before a match starts a window that
-ends within it. So a line goes exactly if some run of lines that covers it and holds a full
-window has stood earlier, whatever its source; each line adds one row at most.
+whatever is repeated over a window's length is sure to share one.
+
+1. Only fingerprints (hash, document, position) are shuffled, about one for two lines;
+   those that occur once leave.
+2. The windows that picked a repeated fingerprint are joined to the first position of their
+   content (a grouped minimum, never pairs of occurrences). A window that stands later is a
+   *match* with one source position.
+3. Matches of a document with one source at one distance are grown together: the two lists
+   of line hashes are laid side by side, and each match reaches up and down to the next
+   difference.
+4. What the grown matches cover is merged into runs, and the runs are deleted.
+
+The first occurrence of a line is never deleted, as each deleted line has an equal one before it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairlane.llm.common import cut, read
+from pairlane.llm.common import cut, read, saved
 
 WINDOW = 3
 LONG_WORDS = 50
 
 
+def _digest(text: Column) -> Column:
+    return F.unhex(F.md5(text))
+
+
 def _lines(text: Column) -> Column:
     """struct(line, words, digest) of each line with a word; white space within a line does not count."""
     plain = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(F.regexp_replace(x, r"[\x20\x09-\x0D]+", " ")))
-    item = lambda x, i: F.struct(i.alias("line"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("words"), F.md5(x).alias("digest"), (x != "").alias("full"))
-    return F.filter(F.transform(plain, item), lambda x: x["full"])
+    words = lambda x: (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1)
+    item = lambda x, i: F.when(x != "", F.struct(i.alias("line"), words(x).alias("words"), _digest(x).alias("digest")))
+    return F.filter(F.transform(plain, item), lambda x: x.isNotNull())
 
 
-def _windows(lines: Column, window: int, long_words: int, extend: bool = False) -> Column:
-    """struct(start, end, gram, mark, place) of each window; lines numbered as in the text, place: of the fingerprint.
-
-    With ``extend`` also of each window with the lines after it that fill no window of their own.
-    """
+def _window(lines: Column, i: Column, window: int, long_words: int) -> Column:
+    """struct(s, n, place, gram) of the window at line ``i`` of ``lines``; n is 0 where the text ends before it is full."""
 
-    def reach(i: Column) -> Column:
-        grow = lambda s, k: F.when((s["n"] < window) & s["words"].between(0, long_words - 1), F.struct((s["n"] + 1).alias("n"), (s["words"] + F.coalesce(F.get(lines, i + k)["words"], F.lit(-1 << 30))).alias("words"))).otherwise(s)
-        zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("words"))
-        return F.aggregate(F.sequence(F.lit(0), F.lit(window - 1)), zero, grow, lambda s: F.when(s["words"] >= 0, s["n"]).otherwise(0))
+    def grow(s: Column, k: Column) -> Column:
+        longer = F.struct((s["n"] + 1).alias("n"), (s["words"] + F.coalesce(F.get(lines, i + k)["words"], F.lit(-1 << 30))).alias("words"))
+        return F.when((s["n"] < window) & s["words"].between(0, long_words - 1), longer).otherwise(s)
 
-    def at(i: Column) -> Column:
-        return F.struct(i.alias("i"), reach(i).alias("n"))
-
-    def longer(w: Column) -> Column:
-        # the window, and its extensions by lines among which the next start has no full window
-        after = F.array(F.when(w["n"] < window, reach(w["i"] + 1)).otherwise(0))
-        sizes = F.flatten(F.transform(after, lambda r: F.filter(F.sequence(w["n"], F.lit(window)), lambda n: (n == w["n"]) | ((w["i"] + n <= F.size(lines)) & ((r == 0) | (r >= n))))))
-        return F.transform(sizes, lambda n: F.struct(w["i"].alias("i"), n.alias("n")))
+    zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("words"))
+    size = F.aggregate(F.sequence(F.lit(0), F.lit(window - 1)), zero, grow, lambda s: F.when(s["words"] >= 0, s["n"]).otherwise(0))
 
     def full(w: Column) -> Column:
-        part = F.transform(F.slice(lines, w["i"] + 1, w["n"]), lambda x: x["digest"])
-        return F.struct(
-            F.get(lines, w["i"])["line"].alias("start"),
-            F.get(lines, w["i"] + w["n"] - 1)["line"].alias("end"),
-            F.unhex(F.md5(F.array_join(part, ""))).alias("gram"),
-            F.unhex(F.array_min(part)).alias("mark"),
-            (w["i"] + F.array_position(part, F.array_min(part))).alias("place"),
-        )
-
-    starts = F.when(F.size(lines) > 0, F.sequence(F.lit(0), F.size(lines) - 1)).otherwise(F.array().cast("array<int>"))
-    found = F.filter(F.transform(starts, at), lambda w: w["n"] > 0)
-    return F.transform(F.flatten(F.transform(found, longer)) if extend else found, full)
-
-
-def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, long_words: int = LONG_WORDS, extend: bool = False) -> DataFrame:
-    """(key, text_md5, runs): line runs [start, end] of each text that repeat something earlier."""
-    base = docs.select(F.col(key).alias("key"), F.md5(F.coalesce(text, F.lit(""))).alias("text_md5"), _lines(F.col(text)).alias("lines"))
-    rows = base.select("key", F.unhex("text_md5").alias("text_md5"), _windows(F.col("lines"), window, long_words, extend).alias("windows"))
-    # neighbouring windows mostly share a fingerprint; it is counted once
-    fresh = F.transform("windows", lambda w, i: F.struct(w.alias("w"), (F.coalesce(F.get("windows", i - 1)["place"], F.lit(-1)) != w["place"]).alias("fresh")))
-    found = cut(rows.select("key", "text_md5", F.explode(fresh).alias("x")).select("key", "text_md5", "x.w.start", "x.w.end", "x.w.gram", "x.w.mark", "x.fresh"))
-    # both sides of the joins below stand on plain exchanges, so a very common line's rows can be split
-    marks = cut(found.where("fresh").groupBy("mark").count().where("count > 1").select("mark"))
-    here = F.struct(F.col("key").isNull().alias("n"), F.col("key").alias("k"), F.col("text_md5").alias("m"), F.col("start").alias("s"))
-    candidates = found.join(marks, "mark", "left_semi").select("gram", here.alias("here"), "end")
-    first = candidates.groupBy("gram").agg(F.min("here").alias("first"), F.max("here").alias("last")).where("first < last").drop("last")
+        part = w["part"]
+        gram = F.concat(*[F.coalesce(F.get(part, F.lit(k)), F.lit(b"")) for k in range(window)])
+        return F.struct(w["s"].alias("s"), w["n"].alias("n"), (w["s"] + F.array_position(part, F.array_min(part)).cast("int") - 1).alias("place"), gram.alias("gram"))
+
+    # arrays of one element name what is used more than once
+    sized = F.transform(F.array(size), lambda n: F.struct(i.alias("s"), n.alias("n"), F.transform(F.slice(lines, i + 1, n), lambda x: x["digest"]).alias("part")))
+    return F.get(F.transform(sized, full), F.lit(0))
+
+
+def _matches(lines: DataFrame, window: int, long_words: int) -> DataFrame:
+    """(row, s, row0, s0): each window of a text at line ``s`` whose content stands first elsewhere, and where."""
+    starts = F.sequence(F.lit(0), F.size("lines") - 1)
+    places = F.array_distinct(F.transform(F.filter(F.transform(starts, lambda i: _window(F.col("lines"), i, window, long_words)), lambda w: w["n"] > 0), lambda w: w["place"]))
+    prints = lines.select("row", F.col("lines"), F.explode(places).alias("place")).select("row", "place", F.get("lines", F.col("place"))["digest"].alias("mark"))
+    prints = cut(prints)
+    # both sides of the joins stand on plain exchanges, so a very common line's rows can be split
+    marks = cut(prints.groupBy("mark").count().where("count > 1").select("mark"))
+    repeated = prints.join(marks, "mark", "left_semi").groupBy("row").agg(F.collect_set("place").alias("places"))
+    # the few starts from which a window can pick a place
+    near = lambda p: F.filter(F.transform(F.sequence(F.greatest(p - (window - 1), F.lit(0)), p), lambda i: _window(F.col("lines"), i, window, long_words)), lambda w: (w["n"] > 0) & (w["place"] == p))
+    picked = lines.join(repeated, "row").select("row", "doc", F.explode(F.flatten(F.transform("places", near))).alias("w"))
+    windows = cut(picked.select("row", F.struct("doc.*", F.col("w.s").alias("s")).alias("here"), F.md5("w.gram").alias("gram")))
+    first = windows.groupBy("gram").agg(F.min(F.struct("here", "row")).alias("first"), F.max("here").alias("last")).where("first.here < last").drop("last")
     first = cut(first)
-    later = candidates.join(first, "gram").where("here > first").select("here", "end")
-    spans = later.select(F.col("here.k").alias("key"), F.col("here.m").alias("text_md5"), F.struct(F.col("here.s").alias("start"), "end").alias("span"))
-    by = spans.groupBy("key", "text_md5").agg(F.array_sort(F.collect_set("span")).alias("spans"))
-
-    def merge(out: Column, span: Column) -> Column:
-        last = F.get(out, F.size(out) - 1)
-        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], span["end"]).alias("end"))
-        return F.when((F.size(out) > 0) & (last["end"] + 1 >= span["start"]), F.concat(F.slice(out, 1, F.size(out) - 1), F.array(joined))).otherwise(F.concat(out, F.array(span)))
-
-    kind = "array<struct<start:int,end:int>>"
-    return by.select("key", "text_md5", F.aggregate("spans", F.array().cast(kind), merge).alias("runs"))
+    return windows.join(first, "gram").where("here > first.here").select("row", F.col("here.s").alias("s"), F.col("first.row").alias("row0"), F.col("first.here.s").alias("s0"))
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, long_words: int = LONG_WORDS, extend: bool = False) -> DataFrame:
+def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, long_words: int = LONG_WORDS) -> DataFrame:
+    """(key, text_md5, runs): line runs [start, end] of each text that repeat something earlier."""
+    doc = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), _digest(F.coalesce(F.col(text), F.lit(""))).alias("m"))
+    lines = docs.select(doc.alias("doc"), _lines(F.col(text)).alias("lines")).where(F.size("lines") > 0)
+    lines = saved(lines.select(F.monotonically_increasing_id().alias("row"), "doc", "lines"))
+    found = _matches(lines, window, long_words).groupBy("row", "row0", (F.col("s") - F.col("s0")).alias("shift")).agg(F.collect_set("s").alias("starts"))
+
+    # the two texts side by side from line ``low`` on: 1 for an equal line, 0 for a difference
+    own = lines.select("row", "doc", "lines")
+    source = lines.select(F.col("row").alias("row0"), F.transform("lines", lambda x: x["digest"]).alias("other"))
+    both = found.join(own, "row").join(source, "row0")
+    low, up = F.greatest("shift", F.lit(0)), F.least(F.size("lines"), F.size("other") + F.col("shift"))
+    both = both.select("doc", "lines", "other", "starts", "shift", low.alias("low"), (up - low).alias("n"))
+    same = F.zip_with(F.slice("lines", F.col("low") + 1, F.col("n")), F.slice("other", F.col("low") - F.col("shift") + 1, F.col("n")), lambda a, b: F.when(a["digest"] == b, "1").otherwise("0"))
+    both = both.select("doc", "lines", "starts", "low", "n", F.array_join(same, "").alias("same"))
+    both = both.withColumn("back", F.reverse("same"))
+
+    def grown(s: Column) -> Column:
+        down = F.position(F.lit("0"), F.col("same"), s - F.col("low") + 1)
+        above = F.position(F.lit("0"), F.col("back"), F.col("n") - (s - F.col("low")))
+        start = F.when(above == 0, F.col("low")).otherwise(F.col("low") + F.col("n") - above + 1)
+        end = F.when(down == 0, F.col("low") + F.col("n") - 1).otherwise(F.col("low") + down - 2)
+        return F.struct(F.get("lines", start)["line"].alias("start"), F.get("lines", end)["line"].alias("end"))
+
+    spans = cut(both.select("doc", F.explode(F.array_distinct(F.transform("starts", grown))).alias("span")).select("doc.n", "doc.k", "doc.m", "span.start", "span.end"))
+    # a span that starts beyond all spans before it opens a run
+    by = Window.partitionBy("n", "k", "m").orderBy("start", "end")
+    reach = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    runs = spans.distinct().withColumn("opens", F.coalesce(F.col("start") > reach + 1, F.lit(True)).cast("int"))
+    runs = runs.withColumn("run", F.sum("opens").over(by.rowsBetween(Window.unboundedPreceding, 0))).groupBy("n", "k", "m", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    runs = runs.groupBy("n", "k", "m").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("runs"))
+    return runs.select(F.col("k").alias("key"), F.col("m").alias("text_md5"), "runs")
+
+
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, long_words: int = LONG_WORDS) -> DataFrame:
     """Delete later repeats of line runs; adds ``removed_runs`` and ``removed_lines`` to the columns of ``docs``.
 
-    A line goes if a window that covers it has stood at an earlier place: in a document with
-    a smaller key (NULL keys last), or above in the same one; with ``extend`` also if any longer
-    run of lines from such a window on has. Lines are compared without
-    outer and repeated white space; blank lines are skipped and stay. Documents that agree in
-    key and text are one document: they get the same result and are no repeats of each other.
+    A window that has stood at an earlier place (in a document with a smaller key, NULL keys
+    last, or above in the same one) is a match with the first such place, and goes with
+    all lines around it that equal those around that place. Lines are compared without
+    outer and repeated white space; blank lines are skipped, and go only within a run. Documents that
+    agree in key and text are one document: they get the same result and are no repeats of each other.
     NULL text stays NULL. An empty table gives no rows. The added names replace columns so
     called; all other columns stay.
     """
     kept = [c for c in docs.columns if c not in ("removed_runs", "removed_lines")]
-    rows = docs.select(F.struct(*kept).alias("row"), F.col(key).alias("key"), F.col(text).alias("text"), F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("md5"))
-    runs = repeated_runs(docs, key, text, window, long_words, extend).withColumnsRenamed({"key": "of_key", "text_md5": "of_md5"})
+    rest = F.struct(F.lit(0).alias("0"), *[F.col(c) for c in kept if c != text])  # never empty
+    rows = docs.select(rest.alias("row"), F.col(key).alias("key"), F.col(text).alias("text"), _digest(F.coalesce(F.col(text), F.lit(""))).alias("md5"))
+    runs = repeated_runs(docs, key, text, window, long_words).withColumnsRenamed({"key": "of_key", "text_md5": "of_md5"})
     joined = rows.join(runs, F.col("key").eqNullSafe(F.col("of_key")) & (F.col("md5") == F.col("of_md5")), "left")
-    left = F.filter(F.split("text", "\n"), lambda x, i: ~F.exists("runs", lambda r: (i >= r["start"]) & (i <= r["end"])))
+    joined = joined.withColumn("parts", F.when(F.col("runs").isNotNull(), F.split("text", "\n")))
+
+    def gap(k: Column) -> Column:  # the lines between run k - 1 and run k
+        low = F.coalesce(F.get("runs", k - 1)["end"] + 1, F.lit(0))
+        return F.slice("parts", low + 1, F.coalesce(F.get("runs", k)["start"], F.size("parts")) - low)
+
+    left = F.flatten(F.transform(F.sequence(F.lit(0), F.size("runs")), gap))
     removed = F.aggregate("runs", F.lit(0), lambda n, r: n + r["end"] - r["start"] + 1)
     return joined.select(
         *[F.when(F.col("runs").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias(c) if c == text else F.col("row").getField(c).alias(c) for c in kept],
@@ -130,19 +154,24 @@ OP5_SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
 l AS (SELECT doc_id, unnest(parts) AS raw, generate_subscripts(parts, 1) - 1 AS line FROM d),
 p AS (SELECT *, trim(regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS plain FROM l),
-f AS (SELECT doc_id, line, md5(plain) AS h, len(string_split(plain, ' ')) AS words FROM p WHERE plain <> ''),
+f AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS i, md5(plain) AS h, len(string_split(plain, ' ')) AS words FROM p WHERE plain <> ''),
 g AS (
-  SELECT doc_id, line AS s, h, words, lead(h, 1) OVER w AS h1, lead(h, 2) OVER w AS h2, lead(words, 1) OVER w AS w1,
-         lead(line, 1) OVER w AS e1, lead(line, 2) OVER w AS e2
-  FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY line)
+  SELECT doc_id, i, h, words, lead(h, 1) OVER w AS h1, lead(h, 2) OVER w AS h2, lead(words, 1) OVER w AS w1
+  FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY i)
 ), n AS (
-  SELECT doc_id, s, CASE WHEN words >= {LONG_WORDS} THEN s WHEN words + w1 >= {LONG_WORDS} THEN e1 ELSE e2 END AS e,
-         CASE WHEN words >= {LONG_WORDS} THEN h WHEN words + w1 >= {LONG_WORDS} THEN h || h1 ELSE h || h1 || h2 END AS gram
-  FROM g
+  SELECT doc_id, i AS s, CASE WHEN words >= {LONG_WORDS} THEN h WHEN words + w1 >= {LONG_WORDS} THEN h || h1 ELSE h || h1 || h2 END AS gram FROM g
 ), r AS (
-  SELECT doc_id, s, e, row_number() OVER (PARTITION BY gram ORDER BY doc_id, s) AS nth FROM n WHERE e IS NOT NULL
+  SELECT doc_id, s, first_value(doc_id) OVER w AS d0, first_value(s) OVER w AS s0 FROM n WHERE gram IS NOT NULL WINDOW w AS (PARTITION BY gram ORDER BY doc_id, s)
+), hit AS (
+  SELECT doc_id, s, d0, s - s0 AS shift FROM r WHERE doc_id <> d0 OR s <> s0
+), eq AS (
+  SELECT q.*, a.i, a.line, a.i - row_number() OVER (PARTITION BY q.doc_id, q.d0, q.shift ORDER BY a.i) AS island
+  FROM (SELECT DISTINCT doc_id, d0, shift FROM hit) q JOIN f a ON a.doc_id = q.doc_id JOIN f b ON b.doc_id = q.d0 AND b.i = a.i - q.shift AND b.h = a.h
+), span AS (
+  SELECT eq.doc_id, min(eq.line) AS s, max(eq.line) AS e FROM eq LEFT JOIN hit ON hit.doc_id = eq.doc_id AND hit.d0 = eq.d0 AND hit.shift = eq.shift AND hit.s = eq.i
+  GROUP BY eq.doc_id, eq.d0, eq.shift, eq.island HAVING count(hit.s) > 0
 ), gone AS (
-  SELECT DISTINCT p.doc_id, p.line FROM p JOIN r ON r.nth > 1 AND p.doc_id = r.doc_id AND p.line BETWEEN r.s AND r.e
+  SELECT DISTINCT p.doc_id, p.line FROM p JOIN span ON p.doc_id = span.doc_id AND p.line BETWEEN span.s AND span.e
 ), k AS (
   SELECT p.doc_id, p.line, p.raw, gone.line IS NOT NULL AS away FROM p LEFT JOIN gone ON p.doc_id = gone.doc_id AND p.line = gone.line
 ), e AS (

@@ -22,6 +22,8 @@ from pairlane.llm.common import cut, read, running, saved, seeded_digest
 from pairlane.llm.tokens import Tokens
 
 LENGTH, END_ID = 2048, 1
+#: Fixed value: the special token of the 50k byte-level vocabulary.
+SPECIALS = {"<|endoftext|>": 50256}
 HASHED, DIMS, BITS, SEED = 256, 4, 10, 9
 
 
@@ -59,9 +61,16 @@ def _projection(vocabulary: int) -> np.ndarray:
     return (directions[(h % np.uint64(HASHED)).astype(np.int64)] * sign[:, None]).astype(np.float32)
 
 
-def _tokenise(ranks_path: str, pattern: str, vocabulary: int):
+def _id_type(vocabulary: int) -> str:
+    """Little-endian ids as they are kept: two bytes where they fit, else four."""
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
+def _tokenise(ranks_path: str, pattern: str, vocabulary: int, specials: dict[str, int]):
+    kept = np.dtype(_id_type(vocabulary))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, table = Tokens(ranks_path, pattern), _projection(vocabulary)
+        tokens, table = Tokens(ranks_path, pattern, specials), _projection(vocabulary)
         for batch in batches:
             data, offsets = bw.column(batch.column(2))
             for a, b, d, off in bw.blocks(data, offsets):
@@ -73,9 +82,9 @@ def _tokenise(ranks_path: str, pattern: str, vocabulary: int):
                     sums[full] = np.add.reduceat(table[ids], bound[full], axis=0)
                 at = sums / np.sqrt(np.maximum(size, 1))[:, None]
                 cells = ((at / (np.abs(at) + 4) + 1) / 2 * (1 << BITS)).astype(np.int64)
-                # each text's ids and the end id, two bytes an id
-                out = np.insert(ids.astype("<u2"), bound[1:], END_ID)
-                binary = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((np.r_[0, np.cumsum(size + 1)] * 2).astype(np.int32)), pa.py_buffer(out.tobytes())])
+                # each text's ids and the end id
+                out = np.insert(ids.astype(kept), bound[1:], END_ID)
+                binary = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((np.r_[0, np.cumsum(size + 1)] * kept.itemsize).astype(np.int32)), pa.py_buffer(out.tobytes())])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(hilbert(np.minimum(cells, (1 << BITS) - 1), BITS)), pa.array(size + 1), binary], ["row_id", "id", "curve", "n_tokens", "ids"]
                 )
@@ -83,7 +92,7 @@ def _tokenise(ranks_path: str, pattern: str, vocabulary: int):
     return run
 
 
-def _pieces(length: int):
+def _pieces(length: int, vocabulary: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = np.array(batch.column("n_tokens"), np.int64)
@@ -94,7 +103,7 @@ def _pieces(length: int):
             sequence = begin[doc] // length + nth
             low = np.maximum(begin[doc], sequence * length)
             high = np.minimum(begin[doc] + n[doc], (sequence + 1) * length)
-            raw = [np.frombuffer(x.as_buffer(), "<u2").astype("<u4") for x in batch.column("ids")]
+            raw = [np.frombuffer(x.as_buffer(), _id_type(vocabulary)).astype("<u4") for x in batch.column("ids")]
             crc = [zlib.crc32(raw[d][a:b].tobytes()) for d, a, b in zip(doc.tolist(), (low - begin[doc]).tolist(), (high - begin[doc]).tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id").take(pa.array(doc)), *[pa.array(x) for x in (low - begin[doc], high - low, np.array(crc, np.int64), n[doc], sequence, low - sequence * length)]],
@@ -104,21 +113,23 @@ def _pieces(length: int):
     return run
 
 
-def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, ranks: str = "byte_bpe_50k.tiktoken", vocabulary: int = 50257) -> DataFrame:
+def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, ranks: str = "byte_bpe_50k.tiktoken", vocabulary: int = 50257, specials: dict[str, int] | None = None) -> DataFrame:
     """One row per piece: ``key``, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     NULL text is empty: one end id. Repeated rows are packed each for itself; NULL keys are
     ordinary rows. Other columns are not carried. An empty table gives no rows. ``ranks`` is a
-    file of the public tokenizers, or a path; ids take two bytes, so they stay below 65,536.
+    file of the public tokenizers, or a path. Strings of ``specials`` (default: ``SPECIALS``; {}
+    takes them for ordinary text) in a text become their ids. Any vocabulary goes: ids take
+    two bytes below 65,536 and four beyond.
     """
-    if vocabulary > 1 << 16:
-        raise ValueError("ids are kept in two bytes")
     import public_tokenizers
 
+    specials = SPECIALS if specials is None else specials
+
     path = ranks if "/" in ranks else public_tokenizers.path(ranks)
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(key).alias("id"), F.col(text).alias("_text"))
-    tokens = saved(rows.mapInArrow(_tokenise(path, public_tokenizers.PATTERN, vocabulary), f"row_id long, id {kind}, curve long, n_tokens long, ids binary"))
+    tokens = saved(rows.mapInArrow(_tokenise(path, public_tokenizers.PATTERN, vocabulary, specials), f"row_id long, id {kind}, curve long, n_tokens long, ids binary"))
     order = tokens.select("row_id", "curve", "n_tokens", seeded_digest(SEED, F.col("id")).alias("_digest"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = cut(order.repartitionByRange(parts, "curve", "_digest", "row_id").withColumn("_part", F.spark_partition_id()))
@@ -126,7 +137,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int =
     placed = placed.select("row_id", (F.col("_end") - F.col("n_tokens")).alias("begin"))
     joined = tokens.select("row_id", "id", "n_tokens", "ids").join(placed, "row_id").select("id", "n_tokens", "begin", "ids")
     fields = ", ".join(f"{x} long" for x in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"))
-    return joined.mapInArrow(_pieces(length), f"id {kind}, {fields}").withColumnRenamed("id", key)
+    return joined.mapInArrow(_pieces(length, vocabulary), f"id {kind}, {fields}").withColumnRenamed("id", key)
 
 
 def op9_hilbert_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

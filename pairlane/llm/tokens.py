@@ -3,7 +3,8 @@
 The BPE splits a text by a pattern into pieces and encodes each piece by itself. In texts
 of ASCII and Latin letters the pieces are cut for a whole block at once and each distinct
 piece is encoded once per task; every other text is encoded by the library as it stands.
-Either way the ids are those of the library for the text.
+A special token's string within a text becomes that token's id, as the tokenizer file's own
+defaults have it. Either way the ids are those of the library for the text.
 """
 
 from __future__ import annotations
@@ -27,12 +28,12 @@ _HARD = np.zeros(256, bool)
 _HARD[[39, 127, *range(0, 9), *range(11, 32), *range(0xC0, 0xC3), *range(0xC6, 256)]] = True
 
 
-def load(ranks_path: str, pattern: str):
+def load(ranks_path: str, pattern: str, specials: dict[str, int]):
     import tiktoken
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=specials)
 
 
 def starts_of_pieces(d: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -53,10 +54,21 @@ def starts_of_pieces(d: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 class Tokens:
-    def __init__(self, ranks_path: str, pattern: str):
-        self.bpe = load(ranks_path, pattern)
+    def __init__(self, ranks_path: str, pattern: str, specials: dict[str, int] | None = None):
+        self.bpe = load(ranks_path, pattern, specials or {})
+        self.specials = [x.encode() for x in specials or {}]
         self.known: dict[int, np.ndarray] = {}
 
+    def _special(self, d: np.ndarray) -> np.ndarray:
+        """Where the first two bytes of a special token's string stand; such texts go to the library."""
+        out = np.zeros(len(d), bool)
+        for x in self.specials:
+            if len(x) == 1:
+                out |= d == x[0]
+            else:
+                out[:-1] |= (d[:-1] == x[0]) & (d[1:] == x[1])
+        return out
+
     def _pieces(self, d: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ids per text) of easy texts."""
         start = starts_of_pieces(d, off)
@@ -84,7 +96,7 @@ class Tokens:
     def encode(self, d: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in order, offsets of the texts in them)."""
         n = len(off) - 1
-        bad = _HARD[d].copy()
+        bad = _HARD[d] | self._special(d)
         # the multiplication and division signs are no letters
         bad[1:] |= (d[:-1] == 0xC3) & ((d[1:] == 0x97) | (d[1:] == 0xB7))
         hard = bw.per_doc(bad, off) > 0
@@ -99,5 +111,5 @@ class Tokens:
         for j, i in enumerate(easy.tolist()):
             parts[i] = ids[bound[j] : bound[j + 1]]
         for i in np.flatnonzero(hard).tolist():
-            parts[i] = np.array(self.bpe.encode_ordinary(d[off[i] : off[i + 1]].tobytes().decode()), np.int32)
+            parts[i] = np.array(self.bpe.encode(d[off[i] : off[i + 1]].tobytes().decode(), allowed_special="all"), np.int32)
         return np.concatenate([np.zeros(0, np.int32), *parts]), np.r_[0, np.cumsum([len(x) for x in parts])]

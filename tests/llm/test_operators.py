@@ -130,24 +130,30 @@ def test_exact_groups_and_weak_digests(spark, awkward):
 
 
 def brute_lines(docs, window=3, long_words=50):
-    """{doc: kept text} by looking at every window."""
-    seen, out = set(), {}
+    """{doc: kept text}: each window that stood earlier is a match with its first place, grown up and down to the next difference."""
+    first, texts, out = {}, {}, {}
     for d, t in sorted(docs.items()):
         lines = (t or "").split("\n")
-        plain = [(i, " ".join(x for x in re.split("[\x20\x09-\x0d]+", line) if x)) for i, line in enumerate(lines)]
+        plain = [(i, " ".join(WORD.findall(line))) for i, line in enumerate(lines)]
         plain = [(i, x) for i, x in plain if x]
+        own = texts[d] = [x for _, x in plain]
         gone = set()
-        for a in range(len(plain)):
+        for a in range(len(own)):
             n, words = 0, 0
-            while n < window and words < long_words and a + n < len(plain):
-                words += len(plain[a + n][1].split(" "))
+            while n < window and words < long_words and a + n < len(own):
+                words += len(own[a + n].split(" "))
                 n += 1
             if n < window and words < long_words:
                 continue
-            gram = tuple(x for _, x in plain[a : a + n])
-            if gram in seen:
-                gone |= set(range(plain[a][0], plain[a + n - 1][0] + 1))
-            seen.add(gram)
+            source, b = first.setdefault(tuple(own[a : a + n]), (d, a))
+            if (source, b) == (d, a):
+                continue
+            other, up, down = texts[source], 0, 0
+            while min(a, b) > up and own[a - up - 1] == other[b - up - 1]:
+                up += 1
+            while a + down + 1 < len(own) and b + down + 1 < len(other) and own[a + down + 1] == other[b + down + 1]:
+                down += 1
+            gone |= set(range(plain[a - up][0], plain[a + down][0] + 1))
         out[d] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
     return out
 
@@ -155,41 +161,21 @@ def brute_lines(docs, window=3, long_words=50):
 def test_line_dedup_brute_force(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     r = random.Random(1)
-    for d in range(10_000, 10_080):
-        docs[d] = "\n".join(r.choice(["l1 a", "l2  b", "l3", "", "l4 x", "l5 " * 60, "l6"]) for _ in range(r.randrange(12)))
+    for d in range(10_000, 10_200):
+        docs[d] = "\n".join(r.choice(["l1 a", "l2  b", "l3", "", "l4 x", "l5 " * 60, "l6 " * 30, "l7"]) for _ in range(r.randrange(12)))
     got = dedup_lines(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()
     want = brute_lines(docs)
-    assert all(x.text == want[x.doc_id] for x in got) and len(got) == len(docs)
+    assert {x.doc_id: x.text or "" for x in got} == want and len(got) == len(docs)
     assert sum(x.removed_lines for x in got) > 100
 
 
-def brute_runs(docs, window=3, long_words=50):
-    """{doc: kept text} by looking at every run of lines that holds a full window."""
-    seen, out = set(), {}
-    for d, t in sorted(docs.items()):
-        lines = (t or "").split("\n")
-        plain = [(i, " ".join(re.findall("[^\x20\x09-\x0d]+", line))) for i, line in enumerate(lines)]
-        plain = [(i, x) for i, x in plain if x]
-        gone = set()
-        for a in range(len(plain)):
-            for b in range(a, len(plain)):
-                run = tuple(x for _, x in plain[a : b + 1])
-                if len(run) >= window or sum(len(x.split(" ")) for x in run) >= long_words:
-                    if run in seen:
-                        gone |= set(range(plain[a][0], plain[b][0] + 1))
-                    seen.add(run)
-        out[d] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
-    return out
-
-
-def test_line_runs_in_full_length(spark):
-    r, long = random.Random(2), "long " * 60
-    docs = {1: f"head\n{long}\nfirst tail\n\nsecond tail", 2: f"other\n{long}\nfirst tail\n\nsecond tail", 3: f"{long}\nfirst tail\nanother", 4: long}
-    for d in range(10, 150):
-        docs[d] = "\n".join(r.choice(["l1 a", "l2  b", "l3", "", "l4 x", "l5 " * 60, "l6 " * 30, "l7"]) for _ in range(r.randrange(12)))
-    got = {x.doc_id: x for x in dedup_lines(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), extend=True).collect()}
-    assert {d: x.text for d, x in got.items()} == brute_runs(docs)
-    assert got[2].text == "other" and got[3].text == "another" and got[4].text == ""
+def test_matches_grow_both_ways(spark):
+    long = "long " * 60
+    docs = {1: f"head\n{long}\nfirst tail\n\nsecond tail", 2: f"other\n{long}\nfirst tail\n\nsecond tail", 3: f"{long}\nfirst tail\nanother", 4: long, 5: f"x\nhead\n{long}\ny", 6: "a\na\na\na\na"}
+    got = {x.doc_id: x for x in dedup_lines(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    assert {d: x.text for d, x in got.items()} == brute_lines(docs)
+    assert got[2].text == "other" and got[3].text == "another" and got[4].text == "" and got[5].text == "x\ny" and got[6].text == "a"
+    assert [(x.start, x.end) for x in got[2].removed_runs] == [(1, 4)] and got[2].removed_lines == 4
 
 
 def test_pipeline_deletes_whole_runs(spark):
@@ -317,8 +303,7 @@ def test_pieces_hold_the_library_ids(spark, awkward):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    odd = ["  two  spaces \n\n and\ttabs \n x", "I'll don't 's 12 345abc a1b2 ...!? <|endoftext|>", "çÀÿ×÷ œ Œ ǆ 日本  nbsp \x1c", "a", " ", "\n", "  ", "x \n", "x  y", "\n\nz"]
+    odd = ["<|endoftext|>", "a <|endoftext|> b<|endoftext|>\n\n c  <|endoftext|>", "<|endoftext", "<| x é<|endoftext|><|endoftext|>日", "  two  spaces \n\n and\ttabs \n x", "I'll don't 's 12 345abc a1b2 ...!? <|endoftext|>", "çÀÿ×÷ œ Œ ǆ 日本  nbsp \x1c", "a", " ", "\n", "  ", "x \n", "x  y", "\n\nz"]
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()] + [(90_000 + i, x) for i, x in enumerate(odd)]
     rows = pack(spark.createDataFrame(docs, "doc_id long, text string")).toPandas()
     want = {d: np.array([*t.encode(x or "", add_special_tokens=False).ids, 1], "<u4") for d, x in docs}
@@ -330,6 +315,29 @@ def test_pieces_hold_the_library_ids(spark, awkward):
     assert pack(awkward).select("doc_id").distinct().count() == 10 and pack(awkward.limit(0)).count() == 0
 
 
+def test_ids_of_random_texts_are_the_library_ids():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from pairlane.llm.packing import SPECIALS
+    from pairlane.llm.tokens import Tokens
+
+    t, own, r = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), Tokens(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, SPECIALS), random.Random(6)
+    parts = ["<|endoftext|>", "<|", "|>", "endoftext", " ", "  ", "\n", "\t", "a", "Word", " word", "12", "'s", "é", "日本", "ß", "×", ".", "!?", "\u00a0", "\x1c"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(14))) for _ in range(2000)]
+    raw = [x.encode() for x in texts]
+    ids, bound = own.encode(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(x) for x in raw])])
+    want = t.encode_batch(texts, add_special_tokens=False)
+    assert all(ids[bound[i] : bound[i + 1]].tolist() == w.ids for i, w in enumerate(want))
+    assert any(50256 in w.ids for w in want)
+
+
+def test_wide_vocabularies_keep_four_bytes(spark):
+    docs = spark.createDataFrame([(1, "some words here"), (2, "")], "doc_id long, text string")
+    wide, narrow = (ids(pack(docs, vocabulary=v), "doc_id", "start", "length", "ids_crc32", "doc_tokens") for v in (100_000, 50_257))
+    assert wide == narrow
+
+
 def test_hashes_do_not_depend_on_the_place():
     raw = np.frombuffer(b"abc xyz abc", np.uint8)
     w = bw.runs(~bw.SPACE[raw], np.array([0, 11]))

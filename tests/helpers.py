@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import numpy as np
+import pandas as pd
 
 
 def connect(sf_dir):
@@ -17,7 +18,7 @@ def connect(sf_dir):
 def text(v):
     if isinstance(v, (list, tuple, np.ndarray)):
         return str([text(x) for x in v])
-    if v is None or v != v:
+    if pd.isna(v):
         return "~"
     if isinstance(v, (bool, np.bool_)):
         return str(bool(v))

@@ -11,10 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where none is set (local sessions)."""
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share.
+
+    Only a local session, whose executors are threads of the driver, may go without it and gets
+    a temporary folder; on a cluster its absence is an error.
+    """
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pairlane-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="pairlane-"))
     return context.getCheckpointDir()
 
 
@@ -24,6 +31,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """Write ``df`` as compressed Parquet in the shared folder and read it back: for wide rows, where
+    a checkpoint would be several times larger. The table goes when the session's driver ends."""
+    path = new_folder(df.sparkSession, "table")
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.saved_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``saved`` wrote, once nothing reads it any more."""
+    if path := getattr(df, "saved_path", None):
+        _remove(df.sparkSession, path)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder that goes when the driver ends."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

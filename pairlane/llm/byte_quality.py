@@ -20,13 +20,13 @@ from pairlane.llm.common import read
 from pairlane.llm.labels import Adam, calibrate, fit_on_sample, remainder, sigmoid
 from pairlane.llm.toxicity import score_texts
 
-WIDTH, FILTERS, STRIDE, PART, PARTS = 6, 16, 1, 128, 4
+WIDTH, FILTERS, PART, PARTS = 6, 16, 128, 4
 PAD = 256
 #: Bound of the labelled sample: documents of each label that the model is fitted on.
 PER_CLASS = 2500
 EPOCHS, BATCH, SEED = 6, 32, 10
-#: Chunks of a training document that a step looks at; scoring always takes all.
-TRAIN_CHUNKS = 12
+#: Chunks whose filter outputs a training step holds at once.
+SLICE = 512
 
 
 def layout(d: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -46,14 +46,13 @@ def _maxima(x: np.ndarray, filters: np.ndarray, last: np.ndarray) -> np.ndarray:
     Windows may reach into the next part, but those of ``last``, the last parts of texts, read padding there.
     """
     n = len(x) - WIDTH
-    c = filters[0][x[0:n:STRIDE]]
+    c = filters[0][x[:n]]
     for t in range(1, WIDTH):
-        c += filters[t][x[t : n + t : STRIDE]]
-    c = c.reshape(-1, PART // STRIDE, FILTERS)
+        c += filters[t][x[t : n + t]]
+    c = c.reshape(-1, PART, FILTERS)
     ends = np.concatenate([x[:n].reshape(-1, PART)[last, PART - WIDTH :], np.full((len(last), WIDTH), PAD, x.dtype)], axis=1)
-    for s in range(0, PART, STRIDE):
-        if s + WIDTH > PART:
-            c[last, s // STRIDE] = sum(filters[t][ends[:, s + WIDTH - PART + t]] for t in range(WIDTH))
+    for s in range(PART - WIDTH + 1, PART):
+        c[last, s] = sum(filters[t][ends[:, s + WIDTH - PART + t]] for t in range(WIDTH))
     return c.max(axis=1)
 
 
@@ -74,6 +73,20 @@ def _pool(maxima: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return out
 
 
+def _peaks(x: np.ndarray, filters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Chunk x filter: the largest value, and where its window begins. Each row of ``x`` ends with WIDTH bytes that no window starts at."""
+    best, place = np.empty((len(x), FILTERS), np.float32), np.empty((len(x), FILTERS), np.int64)
+    reach = x.shape[1] - WIDTH
+    for a in range(0, len(x), SLICE):
+        part = x[a : a + SLICE].astype(np.int64)
+        c = filters[0][part[:, :reach]]
+        for t in range(1, WIDTH):
+            c += filters[t][part[:, t : reach + t]]
+        place[a : a + SLICE] = c.argmax(axis=1)
+        best[a : a + SLICE] = c.max(axis=1)
+    return best, place
+
+
 @dataclass
 class ByteCnn:
     filters: np.ndarray = field(repr=False)  # width x 257 x filters
@@ -128,17 +141,11 @@ def train(rows: pa.Table, weight: np.ndarray, text: str = "text", epochs: int =
                 own[: offsets[i + 1] - offsets[i]] = data[offsets[i] : offsets[i + 1]]
                 begins = np.arange(0, max(1, offsets[i + 1] - offsets[i] - PART), (PARTS - 1) * PART)
                 begins = np.minimum(begins, len(own) - WIDTH - reach)
-                if len(begins) > TRAIN_CHUNKS:
-                    begins = rng.choice(begins, TRAIN_CHUNKS, replace=False)
                 pieces += [own[b : b + reach + WIDTH] for b in begins]
                 doc += [j] * len(begins)
-            x, doc = np.stack(pieces).astype(np.int64), np.array(doc)
+            x, doc = np.stack(pieces), np.array(doc)
             n = len(x)
-            c = model.filters[0][x[:, 0:reach:STRIDE]]
-            for t in range(1, WIDTH):
-                c += model.filters[t][x[:, t : reach + t : STRIDE]]
-            place = c.argmax(axis=1)
-            pooled = np.take_along_axis(c, place[:, None], axis=1)[:, 0]
+            pooled, place = _peaks(x, model.filters)
             h = np.tanh(pooled @ model.hidden + model.hidden_bias)
             u = h @ model.out
             at = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
@@ -150,9 +157,9 @@ def train(rows: pa.Table, weight: np.ndarray, text: str = "text", epochs: int =
             dh = du[:, None] * model.out * (1 - h * h)
             dp = dh @ model.hidden.T
             g = np.zeros_like(model.filters)
-            which = np.broadcast_to(np.arange(FILTERS), place.shape)
             for t in range(WIDTH):
-                np.add.at(g[t], (np.take_along_axis(x, place * STRIDE + t, axis=1), which), dp)
+                at_byte = np.take_along_axis(x, place + t, axis=1).astype(np.int64)
+                g[t] = np.bincount((at_byte * FILTERS + np.arange(FILTERS)).ravel(), dp.ravel(), 257 * FILTERS).reshape(257, FILTERS)
             g[:, PAD] = 0
             head = np.array([(d * mean).sum(), (d * top).sum(), (d * low_).sum(), d.sum()], np.float32)
             adam.step([g, pooled.T @ dh, dh.sum(axis=0), h.T @ du + 1e-4 * model.out, head])
@@ -164,7 +171,7 @@ def train(rows: pa.Table, weight: np.ndarray, text: str = "text", epochs: int =
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = PER_CLASS, seed: int = SEED) -> ByteCnn:
-    """Train on a seeded sample of at most ``2 * per_class`` labelled documents (NULL texts are empty texts).
+    """Train on whole texts of a seeded sample of at most ``2 * per_class`` labelled documents (NULL texts are empty texts).
 
     ``score_texts`` applies the model: every row stays with its columns, NULL text is scored
     as the empty text, and an empty table gives no rows.

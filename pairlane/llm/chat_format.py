@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pairlane.llm.common import read
 
 OPEN, MID, CLOSE, AND = "<turn:", ">", "</turn>\n", "<and/>"
+#: Turns whose offsets are summed together, so that long conversations do not copy growing lists.
+STEP = 256
 
 
 def escape(text: Column) -> Column:
@@ -47,7 +49,7 @@ def format_chats(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
         F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
     chats = rows.groupBy(F.col(conv)).agg(F.sort_array(F.collect_list(plain)).alias("_turns"))
-    safe = F.transform("_turns", lambda t: F.struct(_role_in(t["role"]).alias("role"), escape(t["text"]).alias("text")))
+    safe = F.transform("_turns", lambda t: F.struct(_role_in(t["role"]).alias("role"), escape(t["text"]).alias("text"), (t["role"] == loss_role).alias("loss")))
     chats = chats.select(conv, safe.alias("_turns"))
     turns = F.col("_turns")
     # a turn opens a block if its role differs from the one before, and closes it if it differs from the next
@@ -56,20 +58,27 @@ def format_chats(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
     def pieces(t: Column, i: Column) -> Column:
         head = F.when(other(i, i - 1), F.concat(F.lit(OPEN), t["role"], F.lit(MID))).otherwise(F.lit(AND))
         tail = F.when(other(i, i + 1), F.lit(CLOSE)).otherwise(F.lit(""))
-        return F.struct(head.alias("head"), t["text"].alias("text"), tail.alias("tail"), (t["role"] == loss_role).alias("loss"))
+        return F.struct(head.alias("head"), t["text"].alias("text"), tail.alias("tail"), t["loss"].alias("loss"))
 
     chats = chats.select(conv, F.transform(turns, pieces).alias("_pieces"))
     whole = F.array_join(F.transform("_pieces", lambda p: F.concat(p["head"], p["text"], p["tail"])), "")
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
+    size = lambda p: F.length(p["head"]) + F.length(p["text"]) + F.length(p["tail"])
+    steps = F.transform(F.sequence(F.lit(0), F.floor(F.size("_pieces") / STEP).cast("int")), lambda b: F.slice("_pieces", b * STEP + 1, STEP))
+    chats = chats.select(conv, whole.alias("formatted"), steps.alias("_steps"))
+    # where each step begins, then the spans within it
+    begins = F.aggregate(F.transform("_steps", lambda s: F.aggregate(s, F.lit(0).cast("long"), lambda n, p: n + size(p))), F.array(F.lit(0).cast("long")), lambda ends, n: F.concat(ends, F.array(F.element_at(ends, -1) + n)))
 
     def advance(state: Column, p: Column) -> Column:
         begin = state["at"] + F.length(p["head"])
-        end = begin + F.length(p["text"])
-        span = F.array(F.struct(begin.alias("start"), end.alias("end")))
-        return F.struct((end + F.length(p["tail"])).alias("at"), F.when(p["loss"], F.concat(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
+        span = F.array(F.struct(begin.alias("start"), (begin + F.length(p["text"])).alias("end")))
+        return F.struct((state["at"] + size(p)).alias("at"), F.when(p["loss"], F.concat(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
 
-    spans = F.aggregate("_pieces", start, advance, lambda s: s["spans"])
-    return chats.select(conv, whole.alias("formatted"), spans.alias("loss_spans"))
+    def spans(step: Column) -> Column:
+        start = F.struct(step["at"].alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
+        return F.aggregate(step["pieces"], start, advance, lambda s: s["spans"])
+
+    found = F.flatten(F.transform(F.arrays_zip(F.slice(begins, 1, F.size("_steps")).alias("at"), F.col("_steps").alias("pieces")), spans))
+    return chats.select(conv, "formatted", found.alias("loss_spans"))
 
 
 def parse_chats(formatted: DataFrame) -> DataFrame:

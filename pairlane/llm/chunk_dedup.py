@@ -16,9 +16,14 @@ from pyspark.sql import functions as F
 
 from pairlane.llm.common import cut, read
 
+#: One in so many characters outside ASCII may end a chunk: ranges of 2 of each 32 code points.
+_OTHER = "".join(f"\\u{c:04x}-\\u{c + 1:04x}" for c in range(0x00A1, 0xD800, 32) if not 0x0300 <= c < 0x0370)
 #: A chunk has 256 to 2048 code points and ends after the first space past its minimum that
-#: stands before one of these characters (about every eighth word); else at its maximum.
-CHUNK = r"(?s).{256,2048}?(?:(?<= )(?=[bgkmuvyzBGKMUVYZ5])|\z)|.{1,2048}"
+#: stands before one of these letters (about every eighth word). A stretch without such a space
+#: (a script without spaces, encoded data) ends before the first of these letters or of the
+#: characters above, so there too the text's own content says where; only a stretch with none of
+#: them in 2048 characters ends at its maximum.
+CHUNK = r"(?s).{256,2048}?(?:(?<= )(?=[bgkmuvyzBGKMUVYZ5])|\z)|.{256,2048}?(?=[bgkmuvyzBGKMUVYZ5" + _OTHER + r"])|.{1,2048}"
 
 
 def normalise(text: Column) -> Column:

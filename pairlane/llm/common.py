@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pairlane.functions.storage import checkpointed as cut
+from pairlane.functions.storage import discard, saved
+
+__all__ = ["WORD", "cut", "discard", "ranged", "read", "running", "saved", "seeded_digest", "word_count"]
+
 #: The white space of every text contract here: space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -18,47 +18,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` once in the shared checkpoint folder and cut its lineage.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where none is set
-    (a local test session) a temporary one is made.
-    """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which driver and executors share."""
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pairlane-"))
-    return context.getCheckpointDir()
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """Write ``df`` as compressed Parquet in the shared folder and read it back: for wide rows, where
-    a checkpoint would be several times larger. The table goes when the session's driver ends."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.saved_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete what ``saved`` wrote, once nothing reads it any more."""
-    if path := getattr(df, "saved_path", None):
-        _remove(df.sparkSession, path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):  # the session may have ended before
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def ranged(df: DataFrame, order: list[str], part: str = "_part") -> DataFrame:
+    """``df`` range-partitioned by ``order`` and written once, with its partition number: a bucket for ``running``."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(df.repartitionByRange(parts, *order).withColumn(part, F.spark_partition_id()))
 
 
 def word_count(text: Column) -> Column:

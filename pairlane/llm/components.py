@@ -15,17 +15,17 @@ def _settled(edges: DataFrame) -> bool:
     return loose.isEmpty()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b of one orderable type); root is the smallest node.
 
     Edges stay as many as they were or become fewer, and nothing is collected: a node's
     smallest neighbour is a grouped minimum (combined before the shuffle), written out and
     joined back on plain exchanges, so a node with very many edges is split like any skewed
-    join. Loops and NULL ends are ignored. The rounds needed grow with the logarithm of the
-    longest path; stars need none.
+    join. Loops and NULL ends are ignored. Rounds go on until all edges are stars; their number
+    grows with the logarithm of the longest path, and stars need none.
     """
     now = cut(edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    for _ in range(rounds):
+    while True:
         if _settled(now):
             roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
@@ -37,4 +37,3 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(small, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = cut(moved.union(small.select("a", F.col("m").alias("b"))).distinct())
-    raise RuntimeError(f"components did not settle in {rounds} rounds")

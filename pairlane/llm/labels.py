@@ -7,10 +7,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairlane.llm.common import seeded_digest
+from pairlane.llm.common import discard, saved, seeded_digest
+
+
+#: Bound of a labelled sample in bytes of text: rows beyond it, in the seeded order, are not in the sample.
+MOST_BYTES = 128 << 20
 
 
 def remainder(key: str, of: int) -> Column:
@@ -18,14 +22,15 @@ def remainder(key: str, of: int) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % of
 
 
-def fit_on_sample(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str, lang: str | None, per_class: int, seed: int, train: Callable[[pa.Table, np.ndarray], object]) -> object:
+def fit_on_sample(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str, lang: str | None, per_class: int, seed: int, train: Callable[[pa.Table, np.ndarray], object], most_bytes: int = MOST_BYTES) -> object:
     """``train(rows, weights)`` on up to ``per_class`` documents of each label, in one task.
 
     Rows have text, label and lang. Weights restore the shares that the classes have among all
     labelled rows. Labels that are NULL, or neither 0 nor 1, and repeated labels of a key do not
     count; a repeated document counts once, with its smallest row. The sampled keys are bounded
-    by ``2 * per_class``, so the join to the documents broadcasts them, one task can hold them,
-    and only the model comes to the driver.
+    by ``2 * per_class``, so the join to the documents broadcasts them. Whole documents are taken
+    in a seeded order while their texts sum up to ``most_bytes`` at most, so one task can hold
+    them; only the model comes to the driver.
     """
     clean = labels.select(F.col(key), F.col(label).cast("int").alias("label")).where("label in (0, 1)").where(F.col(key).isNotNull()).groupBy(key).agg(F.min("label").alias("label"))
     shares = {r["label"]: r["count"] for r in clean.groupBy("label").count().collect()}
@@ -47,7 +52,12 @@ def fit_on_sample(docs: DataFrame, labels: DataFrame, label: str, key: str, text
         if got := list(batches):
             yield pa.RecordBatch.from_arrays([pa.array([fit(pa.Table.from_batches(got))], pa.binary())], ["model"])
 
-    found = rows.repartition(1).mapInArrow(run, "model binary").collect()
+    rows = saved(rows)
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    upto = F.sum(size).over(Window.orderBy(seeded_digest(seed, F.col("key")), "key").rowsBetween(Window.unboundedPreceding, 0))  # 2 * per_class rows at most
+    within = rows.select("key", upto.alias("upto")).where(F.col("upto") <= most_bytes).select("key")
+    found = rows.join(F.broadcast(within), "key").repartition(1).mapInArrow(run, "model binary").collect()
+    discard(rows)
     if found:
         return pickle.loads(found[0]["model"])
     return pickle.loads(fit(pa.table({"key": pa.array([], pa.int64()), "text": pa.array([], pa.string()), "lang": pa.array([], pa.string()), "label": pa.array([], pa.int32())})))

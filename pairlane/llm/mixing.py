@@ -1,8 +1,10 @@
 """Mixing sources to target weights by a min-cost flow over membership patterns.
 
 1. Documents are summed by *membership pattern* (the set of sources that a document
-   belongs to), with map-side combine; only the pattern totals reach the driver, and
-   their number is checked against ``max_patterns``.
+   belongs to), with map-side combine. Up to ``max_patterns`` pattern totals are routed on
+   the driver. Beyond, quotas are shared out by running sums over the table of sources, and
+   patterns that overlap, directly or through others, are routed together in one task: no
+   capacity can flow between two such groups, so the flow is the same.
 2. Token capacity flows from patterns to source quotas. The r-th copy of a document
    costs more than the one before it (convex), whatever the source. As cost depends on
    the copy number alone, shortest augmenting paths open the copies level by level:
@@ -16,11 +18,13 @@ from __future__ import annotations
 
 from collections import deque
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairlane.llm.common import cut, read, running, seeded_digest, word_count
+from pairlane.llm.common import cut, ranged, read, running, seeded_digest, word_count
+from pairlane.llm.components import components
 
 WEIGHTS = (5.0, 2.0, 1.0)
 BUDGET = 1.5
@@ -85,6 +89,73 @@ def route(capacity: list[float], members: list[list[int]], quota: list[float], c
     return flow
 
 
+def _order(x: str | None) -> tuple[bool, str]:
+    return x is None, x or ""
+
+
+def spend(patterns: list[tuple[list[str | None], int]], sizes: dict[str | None, int], quota: dict[str | None, float], copies: int) -> list[tuple]:
+    """Route the patterns; per pattern: its sources, its size, where each source's part of its flow ends, and its sources' sizes and quotas."""
+    patterns = sorted(patterns, key=lambda r: [_order(x) for x in r[0]])
+    names = sorted(quota, key=_order)
+    index = {x: i for i, x in enumerate(names)}
+    flow = route([float(n) for _, n in patterns], [[index[x] for x in p] for p, _ in patterns], [quota[x] for x in names], copies)
+    out = []
+    for (p, n), f in zip(patterns, flow, strict=True):
+        ends, at = [], 0.0
+        for x in p:
+            at += f.get(index[x], 0.0)
+            ends.append((x, at))
+        out.append((p, n, ends, [float(sizes[x]) for x in p], [float(quota[x]) for x in p]))
+    return out
+
+
+_KIND = "p array<string>, n long, ends array<struct<source:string,upto:double>>, source_sizes array<double>, targets array<double>"
+
+
+def _routed_on_driver(patterns: DataFrame, weights: tuple[float, ...], budget: float, copies: int) -> DataFrame:
+    got = [(r["_pattern"], r["n"]) for r in patterns.collect()]
+    names = sorted({x for p, _ in got for x in p}, key=_order)
+    sizes = {x: sum(n for p, n in got if x in p) for x in names}
+    weight = [weights[i % len(weights)] for i in range(len(names))]
+    quota = dict(zip(names, share([sizes[x] for x in names], weight, budget * sum(n for _, n in got), copies), strict=True)) if names else {}
+    return patterns.sparkSession.createDataFrame(spend(got, sizes, quota, copies), _KIND)
+
+
+def quotas(patterns: DataFrame, weights: tuple[float, ...], budget: float, copies: int) -> DataFrame:
+    """(source, size, quota): ``share`` by running sums, for any number of sources."""
+    size = patterns.select(F.explode("_pattern").alias("source"), "n").groupBy("source").agg(F.sum("n").cast("double").alias("size"))
+    named = running(ranged(size.select("source", F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"), "size"), ["none", "name"]), [], "_part", ["none", "name"], F.lit(1).cast("long"), "nth").drop("_part")
+    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.col("nth") - 1) % len(weights) + 1).cast("int"))
+    capped = named.select("source", "size", "nth", weight.alias("w"), (F.lit(float(copies)) * F.col("size")).alias("cap")).withColumn("ratio", F.col("cap") / F.col("w"))
+    capped = ranged(capped, ["ratio", "nth"])
+    capped = running(running(capped, [], "_part", ["ratio", "nth"], F.col("cap"), "full"), [], "_part", ["ratio", "nth"], F.col("w"), "weight")
+    whole = patterns.agg((F.sum("n") * F.lit(float(budget))).alias("budget")).crossJoin(named.select(weight.alias("w")).agg(F.sum("w").alias("all")))  # one row
+    capped = cut(capped.crossJoin(F.broadcast(whole)))
+    level = (F.col("budget") - (F.col("full") - F.col("cap"))) / (F.col("all") - (F.col("weight") - F.col("w")))
+    stop = capped.where(F.col("cap") > level * F.col("w")).agg(F.min(F.struct("ratio", "nth", level.alias("level"))).alias("stop"))  # one row
+    before = F.col("stop").isNull() | (F.struct("ratio", "nth") < F.struct(F.col("stop.ratio"), F.col("stop.nth")))
+    return capped.crossJoin(F.broadcast(stop)).select("source", "size", F.when(before, F.col("cap")).otherwise(F.col("stop.level") * F.col("w")).alias("quota"))
+
+
+def _routed_by_group(patterns: DataFrame, weights: tuple[float, ...], budget: float, copies: int) -> DataFrame:
+    """The routed patterns, each group of overlapping ones in one task."""
+    node = lambda x: F.coalesce(F.concat(F.lit("s"), x), F.lit("null"))
+    ends = patterns.select("_pattern", "n", F.explode("_pattern").alias("source")).withColumn("name", node(F.col("source")))
+    edges = ends.select(F.concat(F.lit("p"), F.to_json(F.struct("_pattern"))).alias("a"), F.col("name").alias("b"))
+    roots = cut(components(edges))
+    quota = cut(quotas(patterns, weights, budget, copies).withColumn("name", node(F.col("source"))).drop("source"))
+    full = cut(ends.join(quota, "name").join(roots, F.col("name") == F.col("node")))
+
+    def solve(group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+        found = spend([(list(p), n) for p, n in {tuple(r["_pattern"]): r["n"] for r in rows}.items()], {r["source"]: int(r["size"]) for r in rows}, {r["source"]: r["quota"] for r in rows}, copies)
+        kinds = [pa.list_(pa.string()), pa.int64(), pa.list_(pa.struct([("source", pa.string()), ("upto", pa.float64())])), pa.list_(pa.float64()), pa.list_(pa.float64())]
+        columns = [pa.array([[{"source": x, "upto": u} for x, u in r[i]] if i == 2 else r[i] for r in found], kind) for i, kind in enumerate(kinds)]
+        return pa.table(columns, names=["p", "n", "ends", "source_sizes", "targets"])
+
+    return full.select("root", "_pattern", "n", "source", "size", "quota").groupBy("root").applyInArrow(solve, _KIND)
+
+
 def mix_sources(
     docs: DataFrame,
     sources: str = "source",
@@ -103,45 +174,29 @@ def mix_sources(
     ``parts`` lists the source each taken copy counts for; ``copies`` is its length.
     NULL sizes count as 0. A document without any source (empty array) is never taken.
     Rows that agree in key and size are interchangeable; reruns take the same rows. An
-    empty table gives an empty result. More than ``max_patterns`` patterns raise an error:
-    it is the documented bound of what the driver's flow gets.
+    empty table gives an empty result. Up to ``max_patterns`` pattern totals go to the driver;
+    more are routed in tasks, one for each group of overlapping patterns, with the same result.
     """
     added = ("source_sizes", "targets", "copies", "parts")
     member = F.col(sources) if isinstance(docs.schema[sources].dataType, T.ArrayType) else F.array(F.col(sources))
     pattern = F.array_sort(F.array_distinct(F.coalesce(member, F.array(F.lit(None).cast("string")))))
     rows = docs.select(F.struct(*[c for c in docs.columns if c not in added]).alias("row"), F.col(key).alias("key"), pattern.alias("_pattern"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("_size"))
-    patterns = rows.groupBy("_pattern").agg(F.sum("_size").alias("n")).limit(max_patterns + 1).collect()
-    if len(patterns) > max_patterns:
-        raise ValueError(f"more than {max_patterns} membership patterns")
-    patterns.sort(key=lambda r: [(x is None, x or "") for x in r["_pattern"]])
-    names = sorted({x for r in patterns for x in r["_pattern"]}, key=lambda x: (x is None, x or ""))
-    index = {x: i for i, x in enumerate(names)}
-    members = [[index[x] for x in r["_pattern"]] for r in patterns]
-    sizes = [sum(r["n"] for r, m in zip(patterns, members, strict=True) if i in m) for i in range(len(names))]
-    weight = [weights[i % len(weights)] for i in range(len(names))]
-    quota = share(sizes, weight, budget * sum(r["n"] for r in patterns), max_copies) if names else []
-    flow = route([float(r["n"]) for r in patterns], members, quota, max_copies)
-    plan = []
-    for r, m, f in zip(patterns, members, flow, strict=True):
-        ends, at = [], 0.0
-        for s in m:
-            at += f.get(s, 0.0)
-            ends.append((names[s], at))
-        plan.append((r["_pattern"], r["n"], ends, [float(sizes[s]) for s in m], [quota[s] for s in m]))
-    kind = "p array<string>, n long, ends array<struct<source:string,upto:double>>, source_sizes array<double>, targets array<double>"
-    table = docs.sparkSession.createDataFrame(plan, kind)
+    patterns = cut(rows.groupBy("_pattern").agg(F.sum("_size").alias("n")))
+    few = patterns.limit(max_patterns + 1).count() <= max_patterns
+    table = (_routed_on_driver if few else _routed_by_group)(patterns, weights, budget, max_copies)
     rows = rows.withColumn("_digest", seeded_digest(seed, F.col("key"))).withColumn("_part", F.substring("_digest", 1, 3))
     rows = running(rows, ["_pattern"], "_part", ["_digest", "_size"], F.col("_size"), "_upto")
-    # at most max_patterns rows: the size was checked above
-    rows = rows.join(F.broadcast(table), F.col("_pattern").eqNullSafe(F.col("p")), "left")
+    # broadcast only what the driver has counted
+    rows = rows.join(F.broadcast(table) if few else table, F.col("_pattern").eqNullSafe(F.col("p")), "left")
 
     def part(copy):
         middle = copy * F.col("n") + F.col("_upto") - F.col("_size") / 2
         return F.get(F.filter(F.col("ends"), lambda e: (middle <= e["upto"]) & (e["upto"] > 0)), F.lit(0))
 
     taken = F.filter(F.transform(F.sequence(F.lit(0), F.lit(max_copies - 1)), part), lambda e: e.isNotNull())
-    rows = rows.withColumn("parts", F.transform(taken, lambda e: e["source"]))
-    return rows.select("row.*", "source_sizes", "targets", "parts", F.size("parts").alias("copies"))
+    rows = rows.withColumn("parts", F.coalesce(F.transform(taken, lambda e: e["source"]), F.array().cast("array<string>")))
+    none = F.array().cast("array<double>")
+    return rows.select("row.*", F.coalesce("source_sizes", none).alias("source_sizes"), F.coalesce("targets", none).alias("targets"), "parts", F.size("parts").alias("copies"))
 
 
 def op1_flow_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairlane.llm import bytewise as bw
-from pairlane.llm.common import cut, read, running, saved, seeded_digest
+from pairlane.llm.common import ranged, read, running, saved, seeded_digest
 from pairlane.llm.tokens import Tokens
 
 LENGTH, END_ID = 2048, 1
@@ -131,9 +131,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int =
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(key).alias("id"), F.col(text).alias("_text"))
     tokens = saved(rows.mapInArrow(_tokenise(path, public_tokenizers.PATTERN, vocabulary, specials), f"row_id long, id {kind}, curve long, n_tokens long, ids binary"))
     order = tokens.select("row_id", "curve", "n_tokens", seeded_digest(SEED, F.col("id")).alias("_digest"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = cut(order.repartitionByRange(parts, "curve", "_digest", "row_id").withColumn("_part", F.spark_partition_id()))
-    placed = running(ranged, [], "_part", ["curve", "_digest", "row_id"], F.col("n_tokens"), "_end")
+    placed = running(ranged(order, ["curve", "_digest", "row_id"]), [], "_part", ["curve", "_digest", "row_id"], F.col("n_tokens"), "_end")
     placed = placed.select("row_id", (F.col("_end") - F.col("n_tokens")).alias("begin"))
     joined = tokens.select("row_id", "id", "n_tokens", "ids").join(placed, "row_id").select("id", "n_tokens", "begin", "ids")
     fields = ", ".join(f"{x} long" for x in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"))

@@ -5,7 +5,9 @@ several widths run over the whole text, the maximum of each filter over all posi
 the text's feature vector, and a logistic layer gives the score. The embedding starts from
 smoothed log odds of each hash bucket and everything is then trained with Adam. A part of
 the sample is kept for calibration: of the score (one logistic map) and of a threshold for
-each language. Language is never an input of the score.
+each language. The common threshold is the one with the best F1, shrunk towards an even chance,
+and a language's is its own best, shrunk towards the common one: ``SURE`` toxic rows count as
+much as what they are shrunk to. Language is never an input of the score.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ EPOCHS, BATCH, SEED = 8, 64, 7
 #: Buckets seen in fewer documents of the sample have no embedding; share of words hidden in a training step;
 #: documents of the prior that a bucket's log odds are shrunk to.
 LEAST_DOCS, HIDDEN, PRIOR = 3, 0.3, 10.0
+#: Toxic rows set aside that weigh as much as the prior of a threshold.
+SURE = 20.0
 GAP = max(WIDTHS) - 1
 
 _LETTER = np.array([chr(i).isalnum() or i >= 128 for i in range(128)] + [True] * 128)
@@ -84,13 +88,16 @@ def _texts(rows: pa.Table, text: str) -> list[np.ndarray]:
     return out
 
 
-def _threshold(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
-    """Threshold with the best F1, halfway to the next lower score."""
+def _threshold(p: np.ndarray, y: np.ndarray, weight: np.ndarray, prior: float) -> float:
+    """Threshold with the best F1, halfway to the next lower score, shrunk towards ``prior`` by the number of toxic rows."""
+    if not len(p):
+        return prior
     order = np.argsort(-p, kind="stable")
     hit, wrong = np.cumsum((weight * y)[order]), np.cumsum((weight * (1 - y))[order])
     best = 2 * hit / np.maximum(hit + wrong + (weight * y).sum(), 1e-9)
     i = int(np.argmax(best))
-    return float((p[order][i] + (p[order][i + 1] if i + 1 < len(p) else 0)) / 2)
+    own = (p[order][i] + (p[order][i + 1] if i + 1 < len(p) else 0)) / 2
+    return float((y.sum() * own + SURE * prior) / (y.sum() + SURE))
 
 
 def train(rows: pa.Table, weight: np.ndarray, text: str = "text", lang: str | None = None, epochs: int = EPOCHS, seed: int = SEED) -> TextCnn:
@@ -172,14 +179,12 @@ def train(rows: pa.Table, weight: np.ndarray, text: str = "text", lang: str | No
     if len(set(y[aside].tolist())) == 2:
         model.scale = calibrate(z[aside], y[aside], weight[aside])
     p = sigmoid(model.scale[0] * z + model.scale[1])
-    # with few toxic rows set aside the best F1 says little: an even chance decides then
-    model.threshold = _threshold(p[aside], y[aside], weight[aside]) if y[aside].sum() >= 20 else 0.5
+    model.threshold = _threshold(p[aside], y[aside], weight[aside], 0.5)
     if lang:
         tongue = np.array([x if x is not None else "" for x in rows.column(lang).to_pylist()])
         for x in sorted(set(tongue.tolist())):
             own = aside[tongue[aside] == x]
-            if y[own].sum() >= 20:
-                model.thresholds[x] = _threshold(p[own], y[own], weight[own])
+            model.thresholds[x] = _threshold(p[own], y[own], weight[own], model.threshold)
     return model
 
 
@@ -212,7 +217,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
 def flag_toxic(docs: DataFrame, model: TextCnn, text: str = "text", lang: str = "lang") -> DataFrame:
     """Add ``score`` and ``toxic``: the score reaches the threshold of the row's language.
 
-    Languages without a threshold of their own, and NULL, take the common one. An empty table
+    NULL counts as a language called the empty string; languages that the sample does not hold
+    take the common threshold. An empty table
     gives no rows; columns called score or toxic are replaced, all others stay.
     """
     scored = score_texts(docs.drop("score", "toxic"), model, text)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pairlane.llm.byte_quality import fit_quality, op10_byte_cnn
 from pairlane.llm.toxicity import fit_toxicity, flag_toxic, op7_text_cnn, score_texts
 
-SF = "/root/testdata/sf0.1"
+SF, SF01 = "/root/testdata/sf0.1", "/root/testdata/sf0.001"
 
 
 def auc(score, y):
@@ -71,6 +71,70 @@ def test_filters_meet_every_byte_offset():
         assert Q._maxima(x, filters, first[1:] - 1)[:, 0].max() == Q.WIDTH
 
 
+def test_scores_against_plain_loops():
+    import pyarrow as pa
+
+    from pairlane.llm import bytewise as bw
+    from pairlane.llm import byte_quality as Q
+    from pairlane.llm import toxicity as T
+
+    rng = np.random.default_rng(11)
+    texts = ["", "One word", "Some WORDS, and some more words; and then again words " * 9, "x" * 700, "é ß kind words!"]
+    rows = pa.table({"text": texts * 8, "label": [0, 1, 0, 1, 1] * 8})
+    m = T.train(rows, np.ones(40), epochs=1)
+    m.table[:] = rng.standard_normal(m.table.shape)
+    for text in texts:
+        raw = text.encode()
+        words, at = [], 0
+        for end in range(len(raw) + 1):
+            if end == len(raw) or not T._LETTER[raw[end]]:
+                if end > at:
+                    one = np.frombuffer(bytes(c + 32 if 65 <= c <= 90 else c for c in raw[at:end]), np.uint8)
+                    words.append(int(bw.Hasher(one)(np.array([0]), np.array([len(one)]))[0] % np.uint64(T.BUCKETS)))
+                at = end + 1
+        ids = words + [T.BUCKETS] * (2 * T.GAP)
+        pooled, column = [], 0
+        for w in T.WIDTHS:
+            for f in range(T.FILTERS):
+                pooled.append(max(sum(m.table[m.row[ids[s + t]], column + t * T.FILTERS + f] for t in range(w)) for s in range(len(words) + T.GAP)))
+            column += w * T.FILTERS
+        z = sum(max(p + b, 0) * o for p, b, o in zip(pooled, m.bias, m.out)) + m.out_bias
+        want = 1 / (1 + np.exp(-(m.scale[0] * z + m.scale[1])))
+        assert abs(m.score(*bw.column(pa.array([text])))[0] - want) < 1e-4
+    q = Q.train(rows, np.ones(40), epochs=1)
+    for text in texts:
+        raw = list(text.encode())
+        length = max(1, -(-len(raw) // Q.PART)) * Q.PART
+        x = raw + [Q.PAD] * (length + Q.WIDTH - len(raw))
+        u, begin = [], 0
+        while True:
+            end = min(begin + Q.PARTS * Q.PART, length)
+            peak = [max(sum(q.filters[t, x[s + t], f] for t in range(Q.WIDTH)) for s in range(begin, end)) for f in range(Q.FILTERS)]
+            u.append(float(np.tanh(np.array(peak) @ q.hidden + q.hidden_bias) @ q.out))
+            begin += (Q.PARTS - 1) * Q.PART
+            if begin + Q.PART >= length:
+                break
+        z = q.head[0] * np.mean(u) + q.head[1] * max(u) + q.head[2] * min(u) + q.head[3]
+        want = 1 / (1 + np.exp(-(q.scale[0] * z + q.scale[1])))
+        assert abs(q.score(*bw.column(pa.array([text])))[0] - want) < 1e-4
+
+
+def test_awkward_pipeline_stages(spark):
+    import corpus_pipeline as C
+
+    rows = [(1, "the quick brown fox jumps over the lazy dog again", "en", "a", 1, "x"), (2, None, None, None, None, None), (3, "", "en", "a", 0, "x"), (None, "words without an id", "en", "b", 5, "x"), (None, None, None, None, None, None), (1, "the quick brown fox jumps over the lazy dog again", "en", "a", 1, "x"), (6, "long " * 30_000, "en", "c", 9, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row string").withColumns({"own": F.lit(1), "size": F.lit(2), "key": F.lit("k"), "copies": F.lit(3), "score": F.lit("s")})
+    for name, stage in C.STAGES:
+        out = stage(spark, docs, SF01)
+        assert out.count() > 0 and stage(spark, docs.limit(0), SF01).count() == 0
+        if name != "packing":
+            assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        if name in ("line dedup", "packing"):
+            assert out.select("doc_id").distinct().count() == 5
+        if name == "n-gram join":
+            assert out.count() == 6
+
+
 def test_near_duplicates_of_repeated_and_null_ids(spark):
     import corpus_pipeline as C
 

@@ -1,8 +1,10 @@
 """Brute-force versions, round trips, and the awkward inputs that every operator must take."""
 
+import math
 import random
 import re
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -107,6 +109,17 @@ def test_mix_of_overlapping_sources(spark):
     assert all(set(p) <= set(s) for p, s in zip(out.parts, out.source))
 
 
+def test_patterns_beyond_the_driver_bound_mix_alike(spark):
+    r = random.Random(8)
+    names = [*"abcdefghij", None]
+    rows = [(i, r.sample(names, r.randrange(1, 3)) if i % 9 else [], r.randrange(1, 9)) for i in range(900)] + [(1000 + i, [f"lone{i % 5}"], 3) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, source array<string>, size long")
+    for budget in (0.4, 1.5, 9.0):
+        few, many = (mix_sources(df, budget=budget, max_patterns=n).toPandas().sort_values("doc_id").reset_index(drop=True) for n in (4096, 3))
+        assert [list(x) for x in few.parts] == [list(x) for x in many.parts] and few.copies.equals(many.copies)
+        assert all((a is None) == (b is None) and (a is None or np.allclose(a, b)) for a, b in zip(few.targets, many.targets))
+
+
 def test_awkward_mix(awkward):
     sized = awkward.withColumn("size", F.length("text"))
     out = mix_sources(sized)
@@ -235,6 +248,39 @@ def test_near_duplicates_brute_force(spark, monkeypatch):
     assert {x.doc_id: (x.class_id, x.n_links) for x in got} == want
 
 
+def exact_links(texts):
+    """{words of a text: number of documents with other words that are similar to it}, by an exact prefix filter."""
+    weight = Counter(tuple(WORD.findall(t or "")) for t in texts)
+    weight.pop((), None)
+    sets = {w: {w[i : i + 5] for i in range(len(w) - 4)} or {w} for w in weight}
+    often = Counter(g for s in sets.values() for g in s)
+    found, links = defaultdict(list), dict.fromkeys(weight, 0)
+    for w, s in sets.items():
+        # similar sets share one of their rarest grams: one more than may be missing
+        rarest = sorted(s, key=lambda g: (often[g], g))[: len(s) - math.ceil(0.8 * len(s) - 1e-9) + 1]
+        for other in {x for g in rarest for x in found[g]}:
+            both = len(s & sets[other])
+            if both >= 0.8 * (len(s) + len(sets[other]) - both) - 1e-9:
+                links[w] += weight[other]
+                links[other] += weight[w]
+        for g in rarest:
+            found[g].append(w)
+    return links, weight
+
+
+def test_recall_of_links_at_a_tenth(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    links, weight = exact_links(texts.values())
+    got = want = 0
+    for r in near_duplicates(docs).collect():
+        words = tuple(WORD.findall(texts[r.doc_id] or ""))
+        if words:
+            assert weight[words] - 1 <= r.n_links <= weight[words] - 1 + links[words]  # no link that is none
+            got, want = got + r.n_links - weight[words] + 1, want + links[words]
+    assert want > 500 and got >= 0.995 * want, (got, want)
+
+
 def test_bands_reach_the_recall():
     bands, rows = choose_bands(0.8, 0.999, 144)
     assert bands * rows <= 144 and 1 - (1 - 0.8**rows) ** bands >= 0.999
@@ -267,6 +313,25 @@ def test_chats_come_back(spark, awkward):
     assert format_chats(df.limit(0)).count() == 0
 
 
+def test_long_chats_and_odd_loss_roles(spark):
+    rows = [(1, t, ["a<b", "us\\er"][t // 3 % 2], f"t{t} <x> é" * (t % 3), "x") for t in range(1500)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, other string")
+    for role in ("a<b", "us\\er"):
+        (x,) = parse_chats(format_chats(df, loss_role=role)).collect()
+        assert list(x.loss_texts) == [c for _, _, b, c, _ in rows if b == role] and len(x.turns) == 1500
+
+
+def test_chunks_follow_the_content_in_any_script():
+    from pairlane.llm.chunk_dedup import CHUNK
+
+    r = random.Random(9)
+    for low, high in ((0x4E00, 0x9000), (0x3041, 0x3097), (97, 123), (0x0E01, 0x0E2F), (0xAC00, 0xD7A0)):
+        text = "".join(chr(r.randrange(low, high)) for _ in range(20_000))
+        rule = re.compile(CHUNK)
+        a, b = (set(rule.findall(t)) for t in (text, "x" * 77 + text))
+        assert len(a & b) > 0.8 * len(a) and "".join(rule.findall(text)) == text
+
+
 def brute_measures(t):
     w = WORD.findall(t)
     cover = lambda n: len({j for i in range(len(w) - n + 1) for j in range(i, i + n) if sum(w[k : k + n] == w[i : i + n] for k in range(len(w) - n + 1)) > 1})

@@ -1,64 +1,14 @@
 """Corpus pipeline: toxicity, line dedup, near-duplicate join, source mixing, packing.
 
-Each stage works on all that its predecessor kept and decides by its operator's own
-interface; the calling code writes a stage's rows and reads them again for the next one.
+The calling code writes a stage's rows and reads them again for the next one.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from pairlane.llm.common import discard, read, saved, word_count
-from pairlane.llm.line_dedup import dedup_lines
-from pairlane.llm.mixing import mix_sources
-from pairlane.llm.ngram_join import near_duplicates
-from pairlane.llm.packing import pack
-from pairlane.llm.toxicity import fit_toxicity, flag_toxic
-
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
-
-def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents whose score reaches the threshold of their language."""
-    model = fit_toxicity(docs, read(spark, sf_dir, "labels"))
-    judged = flag_toxic(docs.select(*COLUMNS), model)
-    return judged.where(~F.col("toxic")).select(*COLUMNS)
-
-
-def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Delete repeated line runs in their full length; every document stays with what is left of it."""
-    out = dedup_lines(docs.select(*COLUMNS))
-    return out.withColumn("n_chars", F.when(F.col("removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
-
-
-def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the smallest id (NULL last), then text digest.
-
-    A document is its id and text together, so rows that share an id, or have none, are
-    decided one text at a time.
-    """
-    own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("digest")).alias("own")
-    linked = near_duplicates(docs.select(own, "text"), key="own").where("n_links > 0")
-    gone = linked.where("own <> class_id").select("own").distinct()
-    # repeated rows of the document that stays are copies of one another: one of them stays
-    twice = linked.where("own = class_id").groupBy("own").count().where("count > 1").select("own")
-    rows = docs.select(*COLUMNS, own)
-    rest = rows.join(gone.union(twice).distinct(), "own", "left_anti").select(*COLUMNS)
-    again = rows.join(twice, "own", "left_semi").dropDuplicates(["own"]).select(*COLUMNS)
-    return rest.unionByName(again)
-
-
-def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
-    mixed = mix_sources(docs.select(*COLUMNS, word_count(F.col("text")).alias("size"))).where("copies > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
-
-
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of full sequences."""
-    return pack(docs.select("doc_id", "text"))
 
+from pairlane.llm.common import discard, read, saved
+from pairlane.llm.pipeline import line_dedup, mixing, ngram_join, packing, toxicity
 
 STAGES = [("toxicity", toxicity), ("line dedup", line_dedup), ("n-gram join", ngram_join), ("mixing", mixing), ("packing", packing)]
 

@@ -47,6 +47,23 @@ def tie_rank(by: list[str], value: Column, descending: bool = False) -> Column:
     return F.rank().over(Window.partitionBy(*by).orderBy(order)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, value)) - 1) / 2.0
 
 
+def value_ranks(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """``tie_rank`` for groups of any size, as column ``name``: rows are counted by value, and the counts are range-partitioned and summed."""
+    from pairlane.functions.storage import checkpointed
+
+    keys = [*by, value]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_c")).repartitionByRange(parts, *keys).withColumn("_range", F.spark_partition_id())
+    counts = checkpointed(counts)
+    group = by or [F.lit(0)]
+    sums = counts.groupBy(*by, "_range").agg(F.sum("_c").alias("_s"))
+    before = F.sum("_s").over(Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select(*by, "_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    upto = F.sum("_c").over(Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    ranks = counts.join(sums, [*by, "_range"]).select(*keys, (F.col("_before") + upto - (F.col("_c") - 1) / 2.0).alias(name), F.col("_c").alias(f"{name}_ties"))
+    return df.join(ranks, keys)
+
+
 def place(by: list[str], *order: object) -> Column:
     """Row number from 1 within ``by``."""
     return F.row_number().over(Window.partitionBy(*by).orderBy(*order))

@@ -9,10 +9,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairlane.functions.exprs import distance2, draw, place
+from pairlane.functions.storage import checkpointed
 
 
 def mean_profile(controls: DataFrame, vec: str = "vec") -> DataFrame:
@@ -59,11 +62,19 @@ def distinct_draws(treated: DataFrame, controls: DataFrame, n: int, k: int, seed
     return drawn.join(controls.select("control_pos", F.col("cell_id").alias("control_id")), "control_pos")
 
 
-def average_profiles(draws: DataFrame, source: DataFrame, key: str, expr: DataFrame, k: int) -> DataFrame:
-    """Mean profile of the k drawn rows in long form; ``source`` (key) rows and ``expr`` (key, gene, value) meet by join."""
-    used = draws.groupBy("cell_id", "perturbation", "sampling_seed", key).agg(F.count("*").alias("times"))
-    values = used.join(source, key).join(expr, key) if source is not None else used.join(expr, key)
-    return values.groupBy("cell_id", "perturbation", "sampling_seed", "gene").agg((F.sum(F.col("times") * F.col("value")) / k).alias("value"))
+def blend(weighted: DataFrame, vectors: DataFrame, key: str, by: list[str], vec: str = "vec") -> DataFrame:
+    """Weighted sum of the vectors that each group draws: (by, profile). Only the drawn vectors of a group meet, as arrays."""
+    joined = weighted.join(vectors.select(key, F.transform(vec, lambda x: x.cast("double")).alias("_v")), key)
+    drawn = joined.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(key, "weight", "_v"))).alias("_all"))
+    start = F.transform(F.get("_all", F.lit(0))["_v"], lambda x: F.lit(0.0))
+    total = F.aggregate("_all", start, lambda s, d: F.zip_with(s, d["_v"], lambda a, b: a + d["weight"] * b))
+    return drawn.select(*by, total.alias("profile"))
+
+
+def average_profiles(draws: DataFrame, vectors: DataFrame, key: str, k: int, vec: str = "vec") -> DataFrame:
+    """Mean profile of the k drawn ``vectors`` (key) of each row and seed."""
+    by = ["cell_id", "perturbation", "sampling_seed"]
+    return blend(draws.groupBy(*by, key).agg((F.count("*") / k).alias("weight")), vectors, key, by, vec)
 
 
 def balanced_metacells(treated: DataFrame, m: int, seed: int) -> DataFrame:
@@ -108,48 +119,86 @@ def transport_cost(treated: DataFrame, metacell: DataFrame) -> DataFrame:
     return raw.join(middle, "perturbation").withColumn("cost", F.col("distance") / F.coalesce("_scale", F.lit(1.0))).drop("_scale")
 
 
-def sinkhorn(cost: DataFrame, mass: DataFrame, reg: float = 0.05, iterations: int = 2000, tolerance: float = 1e-7) -> DataFrame:
+#: Cells of a perturbation up to which its scaling runs in one task.
+IN_TASK = 200_000
+
+
+def sinkhorn(cost: DataFrame, mass: DataFrame, reg: float = 0.05, iterations: int = 2000, tolerance: float = 1e-7, in_task: int = IN_TASK) -> DataFrame:
     """Entropic transport plan of each perturbation: (perturbation, cell_id, mc_index, flow).
 
-    One row per perturbation holds its kernel, and the scaling iterations are a single
-    ``aggregate`` over it, so no iteration shuffles; all cells of a perturbation take part,
-    and its cells x metacells must fit one task. A group stops when, at a tenth iteration,
-    the cells' marginals are off by less than ``tolerance`` (Euclidean norm). Each cell's smallest cost is subtracted before the exponential,
+    All cells of a perturbation take part. Each has a row of the kernel, one number for each
+    metacell. A perturbation of at most ``in_task`` cells is scaled in one task; of a larger one
+    only the sums by metacell leave the tasks, round after round, and the plan is the same.
+    A perturbation stops when, at a tenth iteration, the cells' marginals are off by less than
+    ``tolerance`` (Euclidean norm). Each cell's smallest cost is subtracted before the exponential,
     which leaves the plan as it is and keeps the kernel from vanishing; a metacell whose
     whole row still vanishes gets a floor. Results that are not finite raise an error.
     """
-    best = cost.groupBy("perturbation", "cell_id").agg(F.min("cost").alias("_low"))
-    cells = cost.join(best, ["perturbation", "cell_id"]).withColumn("_k", F.greatest(F.exp(-(F.col("cost") - F.col("_low")) / reg), F.lit(1e-250)))
-    rows = cells.groupBy("perturbation", "cell_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("mc_index", "_k"))), lambda s: s["_k"]).alias("_row"))
-    kernel = rows.groupBy("perturbation").agg(F.array_sort(F.collect_list(F.struct("cell_id", "_row"))).alias("_rows"))
+    per = cost.groupBy("perturbation", "cell_id").agg(F.min("cost").alias("_low"), F.array_sort(F.collect_list(F.struct("mc_index", "cost"))).alias("_c"))
+    rows = per.select("perturbation", "cell_id", F.transform("_c", lambda c: F.greatest(F.exp(-(c["cost"] - F.col("_low")) / reg), F.lit(1e-250))).alias("_row"))
     masses = mass.agg(F.transform(F.array_sort(F.collect_list(F.struct("mc_index", "mass"))), lambda s: s["mass"]).alias("_a"))
-    kernel = kernel.crossJoin(F.broadcast(masses))  # one row
-    n = F.size("_rows")
-    m = F.size("_a")
-    matrix = F.transform("_rows", lambda r: r["_row"])  # cells x metacells
-    kernel = kernel.select("perturbation", "_rows", "_a", matrix.alias("_m"), F.transform(F.sequence(F.lit(0), m - 1), lambda i: F.transform("_rows", lambda r: F.get(r["_row"], i))).alias("_t"))
-    inner = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-    def scale_u(v: Column) -> Column:
-        return F.zip_with("_a", F.transform("_t", lambda row: inner(row, v)), lambda a, d: a / d)
-
-    def step(s: Column, i: Column) -> Column:
-        # u and the next v are bound once by transform over a one-element array, or they would be computed anew for each cell
-        after = F.transform(F.array(scale_u(s["v"])), lambda u: F.transform("_m", lambda row: F.lit(1.0) / n / inner(row, u)))
-        off = lambda v: F.sqrt(F.aggregate(F.zip_with(s["v"], v, lambda x, y: (x / y - 1) * (x / y - 1)), F.lit(0.0), lambda t, x: t + x)) / n
-        moved = F.transform(after, lambda v: F.when((i % 10 == 0) & (off(v) < tolerance), F.struct(s["v"].alias("v"), F.lit(True).alias("done"))).otherwise(F.struct(v.alias("v"), F.lit(False).alias("done"))))
-        return F.when(s["done"], s).otherwise(F.get(moved, F.lit(0)))
-
-    first = F.transform("_m", lambda row: F.lit(1.0) / n / (F.aggregate(row, F.lit(0.0), lambda t, x: t + x) / m))  # of an even u
-    start = F.struct(first.alias("v"), F.lit(False).alias("done"))
-    rounds = F.sequence(F.lit(0), F.lit(iterations - 2)) if iterations > 1 else F.array().cast("array<int>")
-    solved = kernel.withColumn("_v", F.aggregate(rounds, start, step, lambda s: s["v"])).withColumn("_u", scale_u(F.col("_v")))
-    plan = F.transform("_rows", lambda r, i: F.struct(r["cell_id"].alias("cell_id"), F.zip_with(r["_row"], "_u", lambda k, u: k * u * F.get("_v", i)).alias("flows")))
-    out = solved.select("perturbation", F.explode(plan).alias("p")).select("perturbation", "p.cell_id", F.posexplode("p.flows").alias("mc_index", "flow"))
+    rows = checkpointed(rows.crossJoin(F.broadcast(masses)))  # one row
+    large = checkpointed(rows.groupBy("perturbation").agg(F.count("*").alias("_n")).where(F.col("_n") > in_task))
+    key = rows.schema["cell_id"].dataType.simpleString()
+    if large.isEmpty():
+        small, rounds = rows, None
+    else:
+        small, rounds = rows.join(large, "perturbation", "left_anti"), _scaled_in_rounds(rows.join(F.broadcast(large), "perturbation"), iterations, tolerance)  # few: each has over in_task cells
+
+    def solve(group: pa.Table) -> pa.Table:
+        group = group.sort_by("cell_id")
+        k, a = _kernel(group), np.array(group.column("_a")[0].as_py())
+        n = len(k)
+        v = 1 / n / k.mean(axis=1)
+        for i in range(iterations - 1):
+            after = 1 / n / (k @ (a / (k.T @ v)))
+            if i % 10 == 0 and np.sqrt(((v / after - 1) ** 2).sum()) / n < tolerance:
+                break
+            v = after
+        flow = k * (a / (k.T @ v)) * v[:, None]
+        lists = pa.FixedSizeListArray.from_arrays(pa.array(flow.ravel()), flow.shape[1]).cast(pa.list_(pa.float64()))
+        return pa.table([group.column("perturbation"), group.column("cell_id"), lists], names=["perturbation", "cell_id", "flows"])
+
+    out = small.groupBy("perturbation").applyInArrow(solve, f"perturbation string, cell_id {key}, flows array<double>")
+    out = out if rounds is None else out.unionByName(rounds)
+    out = out.select("perturbation", "cell_id", F.posexplode("flows").alias("mc_index", "flow"))
     bad = F.isnan("flow") | (F.abs("flow") == F.lit(float("inf")))
     return out.withColumn("flow", F.when(bad, F.raise_error(F.lit("transport did not stay finite"))).otherwise(F.col("flow")))
 
 
+def _kernel(group: pa.Table) -> np.ndarray:
+    return group.column("_row").combine_chunks().flatten().to_numpy().reshape(group.num_rows, -1)
+
+
+def _scaled_in_rounds(rows: DataFrame, iterations: int, tolerance: float) -> DataFrame:
+    """``sinkhorn`` for large groups (perturbation, cell_id, _row, _a, _n): a round shuffles one sum for each group and metacell.
+
+    Scaling vectors of metacells are broadcast: a row for each group of this size.
+    """
+    inner = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda t, z: t + z)
+
+    def scales(state: DataFrame) -> DataFrame:
+        sums = state.select("perturbation", "_a", F.posexplode(F.transform("_row", lambda k: k * F.col("_v"))).alias("i", "x")).groupBy("perturbation", "i").agg(F.sum("x").alias("d"), F.first("_a").alias("_a"))
+        return sums.groupBy("perturbation").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", (F.get("_a", F.col("i")) / F.col("d")).alias("u")))), lambda x: x["u"]).alias("_u"))
+
+    even = F.aggregate("_row", F.lit(0.0), lambda t, x: t + x) / F.size("_row")
+    state = checkpointed(rows.withColumn("_v", 1.0 / F.col("_n") / even).withColumn("_done", F.lit(False)))
+    for i in range(iterations - 1):
+        after = state.join(F.broadcast(scales(state)), "perturbation").withColumn("_w", F.when(F.col("_done"), F.col("_v")).otherwise(1.0 / F.col("_n") / inner("_row", "_u"))).drop("_u")
+        if i % 10 == 0:
+            after = checkpointed(after)
+            off = after.groupBy("perturbation").agg((F.sqrt(F.sum((F.col("_v") / F.col("_w") - 1) ** 2)) / F.max("_n") < tolerance).alias("_close"))
+            after = checkpointed(after.join(F.broadcast(off), "perturbation").withColumn("_done", F.col("_done") | F.col("_close")).drop("_close"))
+        state = after.withColumn("_v", F.when(F.col("_done"), F.col("_v")).otherwise(F.col("_w"))).drop("_w")
+        if i % 10 == 0 and state.where("not _done").isEmpty():
+            break
+        if i % 5 == 4:
+            state = checkpointed(state)
+    state = checkpointed(state)
+    last = state.join(F.broadcast(scales(state)), "perturbation")
+    return last.select("perturbation", "cell_id", F.zip_with("_row", "_u", lambda k, u: k * u * F.col("_v")).alias("flows"))
+
+
 def top_transport(plan: DataFrame, k: int, n_metacells: int) -> DataFrame:
     """Per cell the k largest shares of its column, renormalised, and the column's normalised entropy (0 for one metacell)."""
     per = plan.groupBy("perturbation", "cell_id").agg(F.sum("flow").alias("_sum"), F.array_sort(F.collect_list(F.struct((-F.col("flow")).alias("neg"), "mc_index"))).alias("_all"))
@@ -163,14 +212,14 @@ def top_transport(plan: DataFrame, k: int, n_metacells: int) -> DataFrame:
     return per.select("perturbation", "cell_id", weights.alias("top"), (entropy / norm if n_metacells > 1 else F.lit(0.0)).alias("entropy"))
 
 
-def transport_profiles(assigned: DataFrame, member: DataFrame, expr: DataFrame, n_draws: int, seed: int) -> DataFrame:
-    """S5: sum over the top metacells of weight x mean of ``n_draws`` sampled members."""
+def transport_profiles(assigned: DataFrame, member: DataFrame, controls: DataFrame, n_draws: int, seed: int) -> DataFrame:
+    """S5: sum over the top metacells of weight x mean of ``n_draws`` sampled members; ``controls`` have cell_id and vec."""
     exploded = assigned.select("perturbation", "cell_id", F.explode("top").alias("t")).select("perturbation", "cell_id", "t.mc_index", "t.weight", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))).alias("draw_no"))
     sized = exploded.join(member.select("mc_index", "mc_size").distinct(), "mc_index")
     picked = sized.withColumn("member_no", draw("s5", seed, F.col("cell_id"), F.col("mc_index"), F.col("draw_no")) % F.col("mc_size"))
     ids = picked.join(member.select("mc_index", "member_no", "control_id"), ["mc_index", "member_no"])
     weight = ids.groupBy("perturbation", "cell_id", "control_id").agg((F.sum("weight") / n_draws).alias("weight"))
-    return weight.join(expr.withColumnRenamed("cell_id", "control_id").select("control_id", "gene", "value"), "control_id").groupBy("perturbation", "cell_id", "gene").agg(F.sum(F.col("weight") * F.col("value")).alias("value"))
+    return blend(weight, controls.select(F.col("cell_id").alias("control_id"), "vec"), "control_id", ["perturbation", "cell_id"])
 
 
 def pair_ids(pairs: DataFrame, order: str) -> DataFrame:

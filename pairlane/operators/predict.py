@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairlane.functions.exprs import draw, place, tie_rank
+from pairlane.functions.exprs import draw, place, value_ranks
+from pairlane.operators.evaluate import effect_similarity, effect_topk, row_cosine, row_pearson
 
 
 def label_encode(rows: DataFrame, label: str, least: int) -> DataFrame:
@@ -30,12 +31,52 @@ def delta_features(pairs: DataFrame, control_mean: DataFrame) -> DataFrame:
     return pairs.join(control_mean, "gene").withColumn("strategy_delta", F.col("xt") - F.col("x0")).withColumn("common_delta", F.col("xt") - F.col("control_mean"))
 
 
-def forward_metrics(pred: DataFrame, by: list[str]) -> DataFrame:
-    """Errors of a prediction of xt, of the input alone, of the deltas, and the gains; long rows (x0, xt, pred)."""
+#: The row-wise agreements of a prediction: name, left side, right side, measure.
+ROWWISE = [
+    ("model_cell_pearson_xt", "pred", "xt", "pearson"), ("input_cell_pearson_xt", "x0", "xt", "pearson"), ("model_cell_cosine_xt", "pred", "xt", "cosine"), ("input_cell_cosine_xt", "x0", "xt", "cosine"),
+    ("strategy_delta_cell_pearson", "pred - x0", "xt - x0", "pearson"), ("strategy_delta_cell_cosine", "pred - x0", "xt - x0", "cosine"),
+    ("model_common_delta_cell_pearson", "pred - control_mean", "xt - control_mean", "pearson"), ("input_common_delta_cell_pearson", "x0 - control_mean", "xt - control_mean", "pearson"),
+]
+
+
+def forward_metrics(pred: DataFrame, by: list[str], key: str = "cell_id") -> DataFrame:
+    """Errors of a prediction of xt, of the input alone and of the deltas, the gains, and five statistics of each row-wise agreement.
+
+    Long rows (by, key, gene, x0, xt, pred, control_mean).
+    """
     e, i = F.col("pred") - F.col("xt"), F.col("x0") - F.col("xt")
-    out = pred.groupBy(*by).agg(F.avg(e * e).alias("model_mse"), F.avg(F.abs(e)).alias("model_mae"), F.avg(i * i).alias("input_mse"), F.avg(F.abs(i)).alias("input_mae"))
-    gain = F.col("input_mse") - F.col("model_mse")
-    return out.withColumn("mse_gain", gain).withColumn("mse_gain_fraction", F.try_divide(gain, F.col("input_mse")))
+    d = (F.col("pred") - F.col("x0")) - (F.col("xt") - F.col("x0"))
+    means = {"model_mse_xt": e * e, "model_mae_xt": F.abs(e), "input_only_mse_xt": i * i, "input_only_mae_xt": F.abs(i), "strategy_specific_delta_mse": d * d, "strategy_specific_delta_mae": F.abs(d)}
+    out = pred.groupBy(*by).agg(*[F.avg(x).alias(n) for n, x in means.items()])
+    out = out.withColumn("model_gain_mse_xt", F.col("input_only_mse_xt") - F.col("model_mse_xt")).withColumn("model_gain_mae_xt", F.col("input_only_mae_xt") - F.col("model_mae_xt"))
+    out = out.withColumn("model_gain_mse_xt_fraction", F.col("model_gain_mse_xt") / (F.col("input_only_mse_xt") + 1e-12))
+    measure = {"pearson": row_pearson, "cosine": row_cosine}
+    rows = pred.groupBy(*by, key).agg(*[measure[m](F.expr(x), F.expr(y)).alias(n) for n, x, y, m in ROWWISE])
+    stats = [f(F.col(n)).alias(f"{n}_{s}") for n, *_ in ROWWISE for s, f in SUMMARY.items()]
+    return out.join(rows.groupBy(*by).agg(*stats), by)
+
+
+SUMMARY = {"mean": F.avg, "median": lambda x: F.percentile(x, F.lit(0.5)), "std": F.stddev_pop, "sem": lambda x: F.stddev_pop(x) / F.sqrt(F.count(x)), "n_valid": F.count}
+
+
+def forward_per_perturbation(pred: DataFrame, by: list[str], ks: list[int], label: str = "perturbation", key: str = "cell_id") -> DataFrame:
+    """Agreement of the predicted and true mean common deltas of each perturbation, over all genes and the k with the largest true ones."""
+    keys = [*by, label]
+    mean = pred.groupBy(*keys, "gene").agg(F.avg(F.col("pred") - F.col("control_mean")).alias("strategy_delta"), F.avg(F.col("xt") - F.col("control_mean")).alias("common_delta"))
+    whole = effect_similarity(mean, keys).select(*keys, *[F.col(c).alias(f"common_delta_{n}") for c, n in (("pearson", "pearson"), ("spearman", "spearman"), ("cosine", "cosine"), ("rmse", "l2"))])
+    out = pred.groupBy(*keys).agg(F.count_distinct(key).alias("n_test_cells")).join(whole, keys)
+    for k in ks:
+        top = effect_topk(mean, keys, k)
+        out = out.join(top.select(*keys, F.col("pearson").alias(f"top{k}_common_delta_pearson"), F.col("cosine").alias(f"top{k}_common_delta_cosine"), F.col("overlap").alias(f"top{k}_common_delta_overlap")), keys)
+    return out
+
+
+def forward_report(pred: DataFrame, by: list[str], ks: list[int], label: str = "perturbation") -> DataFrame:
+    """``forward_metrics`` with the mean and median over perturbations of ``forward_per_perturbation``."""
+    per = forward_per_perturbation(pred, by, ks, label)
+    names = [c for c in per.columns if c not in (*by, label, "n_test_cells")]
+    stats = [f(F.col(c)).alias(f"per_perturbation_{c}_{s}") for c in names for s, f in SUMMARY.items() if s in ("mean", "median")]
+    return forward_metrics(pred, by).join(per.groupBy(*by).agg(*stats, F.count("*").alias("n_perturbations_evaluated")), by)
 
 
 def forward_baseline(train: DataFrame, test: DataFrame, by: list[str], label: str = "perturbation") -> DataFrame:
@@ -87,7 +128,7 @@ def topk_accuracy(prob: DataFrame, by: list[str], ks: list[int], key: str = "cel
 
 def auc_per_class(prob: DataFrame, by: list[str]) -> DataFrame:
     """One-against-rest AUC of each class by rank sums with mean ranks of ties; NULL if a side is empty."""
-    ranked = prob.withColumn("_r", tie_rank([*by, "class"], F.col("p"))).withColumn("_y", (F.col("class") == F.col("y_true")).cast("long"))
+    ranked = value_ranks(prob, [*by, "class"], "p", "_r").withColumn("_y", (F.col("class") == F.col("y_true")).cast("long"))
     s = ranked.groupBy(*by, "class").agg(F.sum(F.col("_r") * F.col("_y")).alias("_rs"), F.sum("_y").alias("support"), F.count("*").alias("_n"))
     neg = F.col("_n") - F.col("support")
     auc = F.try_divide(F.col("_rs") - F.col("support") * (F.col("support") + 1) / 2.0, F.col("support") * neg)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairlane.functions.cdf import chi2_sf, normal_two_sided, t_two_sided
-from pairlane.functions.exprs import tie_rank
+from pairlane.functions.exprs import tie_rank, value_ranks
 
 #: Nemenyi q over sqrt(2) at 0.05 for 2 to 20 methods.
 Q_005 = {
@@ -134,8 +134,7 @@ def friedman(df: DataFrame, block: str, method: str, value: str) -> DataFrame:
 
 def kruskal(df: DataFrame, method: str, value: str) -> DataFrame:
     """H over independent groups with tie correction."""
-    ranked = df.withColumn("_one", F.lit(1))
-    r = ranked.withColumn("_r", tie_rank(["_one"], F.col(value))).withColumn("_t", F.count("*").over(Window.partitionBy("_one", value)))
+    r = value_ranks(df, [], value, "_r").withColumnRenamed("_r_ties", "_t")
     sums = r.groupBy(method).agg(F.sum("_r").alias("_s"), F.count("*").alias("_n"), F.sum(F.col("_t") * F.col("_t") - 1).alias("_tie"))
     s = sums.agg(F.count("*").alias("k"), F.sum("_n").alias("n"), F.sum(F.col("_s") * F.col("_s") / F.col("_n")).alias("_q"), F.sum("_tie").alias("_tie"))
     n = F.col("n")

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pairlane.functions.exprs import draw_sql, r6
+from pairlane.functions.exprs import draw, draw_sql, r6
 from pairlane.operators import evaluate as E
 from pairlane.operators import pairing as M
-from pairlane.operators.prepare import explode_usage
 from pairlane.plans.registry import query
-from pairlane.sources.fixtures import cte
+from pairlane.sources.fixtures import SHARED, cte
 
 SEEDS = [0, 1]
 
@@ -53,49 +52,76 @@ def _(t):
     return _rounded(E.profile_metrics(_pseudo(t), _control(t), ["sampling_seed"]).drop("mean_pearson", "mean_r2", "mean_rmse"), ["sampling_seed"])
 
 
-@query("pca_centroid_metrics", _PROF + " select sampling_seed, round(sqrt(sum((m - cm) * (m - cm))), 6) + 0.0 as centroid_distance, round(sum(v) / sum(cv), 6) + 0.0 as total_variance_ratio from ab group by all")
-def _(t):
-    return _rounded(E.centroid_metrics(_pseudo(t), _control(t), ["sampling_seed"]), ["sampling_seed"])
+AXES = 8
+_AX = f", ax as (select list(w order by a) as axes from (select a, list((({draw_sql(chr(39) + 'axis' + chr(39), 'a', 'i')}) % 2 * 2 - 1) / 8.0::DOUBLE order by i) as w from (select unnest(range({AXES})) as a) x, (select unnest(range(64)) as i) y group by a))"
+_PT = (
+    _AX
+    + ", r0 as (select d.sampling_seed, 0 as source, c.cell_id, c.vec from control c, (select distinct sampling_seed from pc) d union all select pc.sampling_seed, 1, pc.cell_id, c.vec from pc join control c on c.cell_id = pc.control_id)"
+    + ", pt as (select sampling_seed, source, cell_id, list_transform(axes, lambda w: list_sum(list_transform(list_zip(vec, w), lambda x: x[1]::DOUBLE * x[2]))) as vec from r0, ax)"
+)
+_CENT = _PT + ", pe as (select sampling_seed, source, unnest(vec) as x, generate_subscripts(vec, 1) as i from pt), pm as (select sampling_seed, source, i, avg(x) as m, var_pop(x) as v from pe group by all), ct as (select a.sampling_seed, sqrt(sum((a.m - b.m) * (a.m - b.m))) as centroid_distance, sum(a.v) / sum(b.v) as total_variance_ratio from pm a join pm b on a.sampling_seed = b.sampling_seed and a.i = b.i and a.source = 1 and b.source = 0 group by a.sampling_seed)"
 
 
-def _sources(t):
-    """Controls (source 0) and the constructed rows of one seed (source 1)."""
-    a = t.control().select(F.lit(0).alias("run"), F.lit(0).alias("source"), "cell_id", "vec")
-    b = _pairs(t).where("sampling_seed = 0").select(F.lit(0).alias("run"), F.lit(1).alias("source"), "cell_id", F.col("profile").alias("vec"))
-    return a.unionByName(b)
+def _axes(t):
+    """Eight seeded directions of +-1/8: a projection that SQL can state. ``pca_fit_transform`` gives fitted ones."""
+    grid = t.spark.range(AXES).select(F.col("id").alias("axis"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i"))
+    weight = (draw("axis", F.col("axis"), F.col("i")) % 2 * 2 - 1) / 8.0
+    return grid.groupBy("axis").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", weight.alias("w")))), lambda x: x["w"]).alias("weights"))
 
 
-_TWO = _S1 + ", r0 as (select 0 as source, cell_id, vec from control union all select 1, pc.cell_id, c.vec from pc join control c on c.cell_id = pc.control_id where pc.sampling_seed = 0), r as (select * from r0 qualify row_number() over (partition by source order by cell_id) <= {most})"
-_D2 = "list_sum(list_transform(list_zip(a.vec, b.vec), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE)))"
+def _sources(t):
+    """Controls (source 0, once for each seed) and the constructed rows of each seed (source 1), in the projected space."""
+    a = t.control().select(F.explode(F.array(*map(F.lit, SEEDS))).alias("sampling_seed"), F.lit(0).alias("source"), "cell_id", "vec")
+    b = _pairs(t).select("sampling_seed", F.lit(1).alias("source"), "cell_id", F.col("profile").alias("vec"))
+    return E.project(a.unionByName(b), _axes(t))
 
 
-@query(
-    "mmd_rbf",
-    _TWO.replace("{most}", "150")
-    + f", i as (select *, row_number() over (order by source, cell_id) as i from r), g as (select 1.0::DOUBLE / median(d2) as gamma from (select {_D2} as d2 from i a join i b on a.i < b.i where a.i <= 100 and b.i <= 100) where d2 > 0), k as (select a.source as sa, b.source as sb, gamma, exp(-gamma * {_D2}) as k from r a, r b, g where a.source <= b.source) select 0 as run, round(max(gamma), 6) + 0.0 as gamma, round(avg(k) filter (sa = 0 and sb = 0) + avg(k) filter (sa = 1 and sb = 1) - 2 * avg(k) filter (sa = 0 and sb = 1), 6) + 0.0 as mmd2 from k",
-)
+@query("pca_centroid_metrics", _S1 + _CENT + " select sampling_seed, round(centroid_distance, 6) + 0.0 as centroid_distance, round(total_variance_ratio, 6) + 0.0 as total_variance_ratio from ct")
 def _(t):
-    return _rounded(E.mmd_rbf(_sources(t), ["run"], most=150, gamma_rows=100), ["run"])
+    flat = _sources(t).select("sampling_seed", "source", F.posexplode("vec").alias("gene", "value"))
+    return _rounded(E.centroid_metrics(flat.where("source = 1").drop("source"), flat.where("source = 0").drop("source"), ["sampling_seed"]), ["sampling_seed"])
 
 
+_D2 = "list_sum(list_transform(list_zip(a.vec, b.vec), lambda x: (x[1] - x[2]) * (x[1] - x[2])))"
+_MMD = (
+    f", mn as (select *, row_number() over (partition by sampling_seed, source order by {draw_sql(chr(39) + 'mmd' + chr(39), 'cell_id')}, cell_id) as n from pt), mr as (select * from mn where n <= 3000)"
+    + f", mi as (select *, row_number() over (partition by sampling_seed order by source, n) as i from mr), mg as (select sampling_seed, 1.0::DOUBLE / median(d2) as gamma from (select a.sampling_seed, {_D2} as d2 from mi a join mi b on a.sampling_seed = b.sampling_seed and a.i < b.i where a.i <= 1000 and b.i <= 1000) where d2 > 0 group by all)"
+    + f", mk as (select a.sampling_seed, a.source as sa, b.source as sb, gamma, exp(-gamma * {_D2}) as k from mr a join mr b on a.sampling_seed = b.sampling_seed and a.source <= b.source join mg on mg.sampling_seed = a.sampling_seed)"
+    + ", mm as (select sampling_seed, max(gamma) as gamma, avg(k) filter (sa = 0 and sb = 0) + avg(k) filter (sa = 1 and sb = 1) - 2 * avg(k) filter (sa = 0 and sb = 1) as mmd2 from mk group by all)"
+)
 _MIX = (
-    _TWO.replace("{most}", "150")
-    + f", d as (select a.cell_id as ka, a.source as sa, b.cell_id as kb, b.source as sb, {_D2} as d from r a, r b where not (a.cell_id = b.cell_id and a.source = b.source)), q as (select *, row_number() over (partition by ka, sa order by d, sb, kb) as n from d qualify n <= 30), s as (select ka, sa, avg((sa <> sb)::INT) as share from q group by all) select 0 as run, round(avg(share), 6) + 0.0 as mixing, round(avg(share) filter (sa = 0), 6) + 0.0 as mixing_control, round(avg(share) filter (sa = 1), 6) + 0.0 as mixing_pseudo from s"
-).replace(", s as (select unnest([0, 1]) as sampling_seed)", ", sd as (select unnest([0, 1]) as sampling_seed)").replace("from treated t, s, n)", "from treated t, sd, n)").replace("s.sampling_seed", "sd.sampling_seed")
+    f", xn as (select *, row_number() over (partition by sampling_seed, source order by {draw_sql(chr(39) + 'mixing' + chr(39), 'cell_id')}, cell_id) as n from pt), xr as (select * from xn where n <= 10000)"
+    + f", xd as (select a.sampling_seed, a.cell_id as ka, a.source as sa, b.cell_id as kb, b.source as sb, {_D2} as d from xr a join xr b on a.sampling_seed = b.sampling_seed and not (a.cell_id = b.cell_id and a.source = b.source)), xq as (select *, row_number() over (partition by sampling_seed, ka, sa order by d, sb, kb) as n from xd qualify n <= 30), xs as (select sampling_seed, ka, sa, avg((sa <> sb)::INT) as share from xq group by all)"
+    + ", mx as (select sampling_seed, avg(share) as mixing, avg(share) filter (sa = 0) as mixing_control, avg(share) filter (sa = 1) as mixing_pseudo from xs group by all)"
+)
+_R = lambda *names: ", ".join(f"round({n}, 6) + 0.0 as {n}" for n in names)
 
 
-@query("source_mixing", _MIX)
+@query("mmd_rbf", _S1 + _PT + _MMD + f" select sampling_seed, {_R('gamma', 'mmd2')} from mm")
 def _(t):
-    return _rounded(E.source_mixing(_sources(t), ["run"], k=30, most=150), ["run"])
+    return _rounded(E.mmd_rbf(_sources(t), ["sampling_seed"]), ["sampling_seed"])
 
 
-@query(
-    "metacell_coverage",
-    cte("run") + ", u as (select strategy, x as used_id, count(*) as times from (select strategy, unnest(string_split(replace(parameter_label, '__', '|'), '|')) as x from run) group by all), q as (select *, times / sum(times) over (partition by strategy) as p from u) select strategy, count(*) as n_covered, round(count(*) / 12, 6) + 0.0 as covered_fraction, round(-sum(p * ln(p)) / ln(count(*)), 6) + 0.0 as entropy, round(max(p), 6) + 0.0 as max_share from q group by all",
-)
+@query("source_mixing", _S1 + _PT + _MIX + f" select sampling_seed, {_R('mixing', 'mixing_control', 'mixing_pseudo')} from mx")
+def _(t):
+    return _rounded(E.source_mixing(_sources(t), ["sampling_seed"]), ["sampling_seed"])
+
+
+_COV = ", us as (select pc.sampling_seed, m.metacell_id, count(*) as times from pc join membership m on m.cell_id = pc.control_id group by all), uq as (select *, times / sum(times) over (partition by sampling_seed) as p from us), cv as (select sampling_seed, count(*) as n_covered, count(*) / (select count(distinct metacell_id) from membership) as covered_fraction, case when count(*) > 1 then -sum(p * ln(p)) / ln(count(*)) else 0 end as entropy, max(p) as max_share from uq group by all)"
+_S1M = _S1 + ", membership as (" + SHARED["membership"].replace("{embeddings}", "embeddings") + ")"
+
+
+def _used(t):
+    return _pairs(t).join(t.view("membership").select(F.col("cell_id").alias("control_id"), F.col("metacell_id").alias("used_id")), "control_id")
+
+
+def _metacells(t):
+    return t.view("membership").agg(F.count_distinct("metacell_id").alias("n_metacells"))
+
+
+@query("metacell_coverage", _S1M + _COV + f" select sampling_seed, n_covered, {_R('covered_fraction', 'entropy', 'max_share')} from cv")
 def _(t):
-    used = explode_usage(t.view("run").withColumn("used", F.regexp_replace("parameter_label", "__", ",")), ["used"])
-    return _rounded(E.metacell_coverage(used, ["strategy"], 12), ["strategy"])
+    return _rounded(E.metacell_coverage(_used(t), ["sampling_seed"], _metacells(t)), ["sampling_seed"])
 
 
 @query("duplicate_stats", _S1 + " select sampling_seed, count(distinct control_id) as n_unique, round(1 - count(distinct control_id) / count(*), 6) + 0.0 as duplicate_rate from pc group by all")
@@ -103,14 +129,17 @@ def _(t):
     return _rounded(E.duplicate_stats(_pairs(t), ["sampling_seed"]), ["sampling_seed"])
 
 
+_PROFILES = ", pf as (select sampling_seed, corr(m, cm) as mean_pearson, corr(m, cm) * corr(m, cm) as mean_r2, sqrt(avg((m - cm) * (m - cm))) as mean_rmse, corr(v, cv) as variance_pearson, corr(v, cv) * corr(v, cv) as variance_r2, sqrt(avg((v - cv) * (v - cv))) as variance_rmse, corr(ln(1 + v), ln(1 + cv)) as log_variance_pearson, median(v / (cv + 1e-12)) as variance_ratio_median from ab group by all), du as (select sampling_seed, count(distinct control_id) as n_unique, 1 - count(distinct control_id) / count(*) as duplicate_rate from pc group by all)"
+_FIELDS = ["mean_pearson", "mean_r2", "mean_rmse", "variance_pearson", "variance_r2", "variance_rmse", "log_variance_pearson", "variance_ratio_median", "centroid_distance", "total_variance_ratio", "gamma", "mmd2", "mixing", "mixing_control", "mixing_pseudo", "duplicate_rate", "covered_fraction", "entropy", "max_share"]
+
+
 @query(
     "control_manifold_report",
-    _PROF + ", d as (select sampling_seed, count(distinct control_id) as n_unique from pc group by all) select sampling_seed, round(corr(m, cm), 6) + 0.0 as mean_pearson, round(corr(v, cv), 6) + 0.0 as variance_pearson, round(sqrt(sum((m - cm) * (m - cm))), 6) + 0.0 as centroid_distance, any_value(n_unique) as n_unique from ab join d using (sampling_seed) group by all",
+    _S1M + _PROF[len(_S1) :] + _CENT + _MMD + _MIX + _PROFILES + _COV + f" select sampling_seed, {_R(*_FIELDS)}, n_unique, n_covered from pf join ct using (sampling_seed) join mm using (sampling_seed) join mx using (sampling_seed) join du using (sampling_seed) join cv using (sampling_seed)",
 )
 def _(t):
-    by, pseudo, control = ["sampling_seed"], _pseudo(t), _control(t)
-    out = E.profile_metrics(pseudo, control, by).join(E.centroid_metrics(pseudo, control, by), by).join(E.duplicate_stats(_pairs(t), by), by)
-    return _rounded(out.select("sampling_seed", "mean_pearson", "variance_pearson", "centroid_distance", "n_unique"), by)
+    by = ["sampling_seed"]
+    return _rounded(E.control_report(_pseudo(t), _control(t), _sources(t), _pairs(t), _used(t), _metacells(t), by), by)
 
 
 @query("eligible_labels", cte("cell") + " select perturbation, count(*) as n_cells from cell group by all having count(*) >= 50")
@@ -145,35 +174,46 @@ def _(t):
     return _rounded(E.effect_topk(_deltas(t), _BY, 20), _BY)
 
 
-_LONG = _DELTA + f", sm as (select sampling_seed, perturbation, {_SIM.replace('round(', '').replace(', 6) + 0.0', '')} from rk group by sampling_seed, perturbation), lg as (unpivot sm on pearson, rmse into name metric value value)"
+_ALL = (
+    _TOP
+    + ", e1 as (select sampling_seed, perturbation, count(*)::DOUBLE as n, corr(x, y) as pearson, corr(rx, ry) as spearman, sum(x * y) / sqrt(sum(x * x) * sum(y * y)) as cosine, sqrt(avg((x - y) * (x - y))) as rmse, avg(abs(x - y)) as mae, sqrt(avg(x * x)) as rms_x, sqrt(avg(y * y)) as rms_y from rk group by sampling_seed, perturbation)"
+    + ", e2 as (select sampling_seed, perturbation, corr(x, y) as top20_pearson, corr(rx, ry) as top20_spearman, sum(x * y) / sqrt(sum(x * x) * sum(y * y)) as top20_cosine, avg((sign(x) = sign(y))::INT) as top20_sign_agreement, count(*) filter (ns <= 20) / count(*) as top20_overlap from t10 group by sampling_seed, perturbation)"
+    + ", lg as (unpivot (select * from e1 join e2 using (sampling_seed, perturbation)) on columns(* exclude (sampling_seed, perturbation)) into name metric value value)"
+)
+_STATS = "round(avg(value), 6) + 0.0 as mean, round(median(value), 6) + 0.0 as median, round(stddev_pop(value), 6) + 0.0 as std, round(stddev_pop(value) / sqrt(count(value)), 6) + 0.0 as sem, count(value) as n_valid from lg group by all"
 
 
-@query("effect_run_summary", _LONG + " select sampling_seed, metric, round(avg(value), 6) + 0.0 as mean, round(median(value), 6) + 0.0 as median, round(stddev_pop(value), 6) + 0.0 as std, round(stddev_pop(value) / sqrt(count(value)), 6) + 0.0 as sem, count(value) as n_valid from lg group by all")
+@query("effect_run_summary", _ALL + f" select sampling_seed, metric, {_STATS}")
 def _(t):
-    return _rounded(E.summarize(E.effect_similarity(_deltas(t), _BY), ["sampling_seed"], ["pearson", "rmse"]), ["sampling_seed", "metric"])
+    table = E.effect_table(_deltas(t), _BY, [20]).withColumn("n", F.col("n").cast("double"))
+    return _rounded(E.summarize(table, ["sampling_seed"], [c for c in table.columns if c not in _BY]), ["sampling_seed", "metric"])
 
 
-@query("effect_report", _LONG + " select metric, round(avg(value), 6) + 0.0 as mean, round(median(value), 6) + 0.0 as median, round(stddev_pop(value), 6) + 0.0 as std, round(stddev_pop(value) / sqrt(count(value)), 6) + 0.0 as sem, count(value) as n_valid from lg group by all")
+@query(
+    "effect_report",
+    _ALL + f" select 'perturbation' as level, sampling_seed, perturbation, metric, {_STATS} union all select 'run', sampling_seed, null, metric, {_STATS} union all select 'variant', null, null, metric, {_STATS}",
+)
 def _(t):
-    return _rounded(E.summarize(E.effect_similarity(_deltas(t), _BY), [], ["pearson", "rmse"]), ["metric"])
+    report = E.effect_report(E.effect_table(_deltas(t), _BY, [20]), ["sampling_seed"], [])
+    return _rounded(report, ["level", "sampling_seed", "perturbation", "metric"])
 
 
-_ROW = _S1 + ", pr as (select ps.cell_id, ps.value as x, e.value as y, e.gene from ps join expr e on e.cell_id = ps.cell_id and e.gene = ps.gene where ps.sampling_seed = 0)"
+_ROW = _S1 + ", pr as (select ps.cell_id, ps.value as x, e.value as y, e.gene, ps.sampling_seed from ps join expr e on e.cell_id = ps.cell_id and e.gene = ps.gene)"
 
 
 def _rows(t):
     own = t.expr().select("cell_id", "gene", F.col("value").alias("y"))
-    return _pseudo(t).where("sampling_seed = 0").select("cell_id", "gene", F.col("value").alias("x")).join(own, ["cell_id", "gene"])
+    return _pseudo(t).select("sampling_seed", "cell_id", "gene", F.col("value").alias("x")).join(own, ["cell_id", "gene"])
 
 
-@query("rowwise_pearson", _ROW + " select cell_id, round(corr(x, y), 6) + 0.0 as pearson from pr group by all")
+@query("rowwise_pearson", _ROW + " select sampling_seed, cell_id, round(corr(x, y), 6) + 0.0 as pearson from pr group by all")
 def _(t):
-    return _rounded(E.rowwise_metrics(_rows(t), ["cell_id"]).select("cell_id", "pearson"), ["cell_id"])
+    return _rounded(E.rowwise_metrics(_rows(t), ["sampling_seed", "cell_id"]).select("sampling_seed", "cell_id", "pearson"), ["sampling_seed", "cell_id"])
 
 
-@query("rowwise_cosine", _ROW + " select cell_id, round(sum(x * y) / (sqrt(sum(x * x) * sum(y * y)) + 1e-12), 6) + 0.0 as cosine from pr group by all")
+@query("rowwise_cosine", _ROW + " select sampling_seed, cell_id, round(sum(x * y) / (sqrt(sum(x * x) * sum(y * y)) + 1e-12), 6) + 0.0 as cosine from pr group by all")
 def _(t):
-    return _rounded(E.rowwise_metrics(_rows(t), ["cell_id"]).select("cell_id", "cosine"), ["cell_id"])
+    return _rounded(E.rowwise_metrics(_rows(t), ["sampling_seed", "cell_id"]).select("sampling_seed", "cell_id", "cosine"), ["sampling_seed", "cell_id"])
 
 
 _XY = cte("run") + ", xy as (select strategy, sampling_seed, input_only_mse_xt as x, case when run_no % 10 <> 0 then model_mse_xt end as y from run)"
@@ -195,12 +235,14 @@ def _(t):
 
 @query("safe_spearman", _XY + ", r as (select strategy, rank() over (partition by strategy order by x) + (count(*) over (partition by strategy, x) - 1) / 2.0::DOUBLE as rx, rank() over (partition by strategy order by y) + (count(*) over (partition by strategy, y) - 1) / 2.0::DOUBLE as ry from xy where y is not null) select strategy, round(corr(rx, ry), 6) + 0.0 as spearman from r group by all")
 def _(t):
-    return _rounded(E.pair_metrics(_xy(t), ["strategy"]).select("strategy", "spearman"), ["strategy"])
+    return _rounded(E.pair_metrics(_xy(t), ["strategy"], large=True).select("strategy", "spearman"), ["strategy"])
 
 
-@query("safe_corr2", _XY + " select strategy, sampling_seed, round(corr(x, y), 6) + 0.0 as pearson from xy where y is not null group by all")
+@query("safe_corr2", _XY + ", z as (select strategy, sampling_seed, x, case when sampling_seed = 4 then 3.0::DOUBLE + 1e-7 * (x > 0)::INT else y end as y from xy where y is not null), zr as (select *, rank() over (partition by strategy, sampling_seed order by x) + (count(*) over (partition by strategy, sampling_seed, x) - 1) / 2.0::DOUBLE as rx, rank() over (partition by strategy, sampling_seed order by y) + (count(*) over (partition by strategy, sampling_seed, y) - 1) / 2.0::DOUBLE as ry from z) select strategy, sampling_seed, count(*) as n, case when sampling_seed <> 4 then round(corr(x, y), 6) + 0.0 end as pearson, case when sampling_seed <> 4 then round(corr(rx, ry), 6) + 0.0 end as spearman from zr group by strategy, sampling_seed")
 def _(t):
-    return _rounded(E.pair_metrics(_xy(t), ["strategy", "sampling_seed"], least=2).select("strategy", "sampling_seed", "pearson"), ["strategy", "sampling_seed"])
+    close = F.when(F.col("y").isNotNull() & (F.col("sampling_seed") == 4), 3.0 + F.when(F.col("x") > 0, 1e-7).otherwise(0.0)).otherwise(F.col("y"))
+    by = ["strategy", "sampling_seed"]
+    return _rounded(E.guarded_correlation(_xy(t).withColumn("y", close), by), by)
 
 
 @query("summarize_array", _XY + ", l as (unpivot (select strategy, x, y from xy) on x, y into name metric value value) select strategy, metric, round(avg(value), 6) + 0.0 as mean, round(median(value), 6) + 0.0 as median, round(stddev_pop(value), 6) + 0.0 as std, round(stddev_pop(value) / sqrt(count(value)), 6) + 0.0 as sem, count(value) as n_valid from l group by all")

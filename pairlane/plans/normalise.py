@@ -140,10 +140,10 @@ def _(t):
     return N.assign_metacells(t.control().select("cell_id", "vec"), 12, 1)
 
 
-@query("rank_tokens", cte("counts", "var") + ", s as (select cell_id, gene_pos, row_number() over (partition by cell_id order by value desc, gene_pos) as n from counts join var using (gene) where value > 0) select cell_id, string_agg((gene_pos + 100)::VARCHAR, ' ' order by n) as tokens from s where n <= 4 group by all")
+@query("rank_tokens", cte("counts", "var") + ", s as (select cell_id, gene_pos, row_number() over (partition by cell_id order by value desc, gene_pos) as n from counts join var using (gene) where value > 0) select cell_id, string_agg((gene_pos + 100)::VARCHAR, ' ' order by n) as tokens from s where n <= 2048 group by all")
 def _(t):
     expr = t.view("counts").join(t.view("var").select("gene", "gene_pos", (F.col("gene_pos") + 100).alias("token_id")), "gene")
-    return N.rank_tokens(expr, 4).select("cell_id", F.array_join(F.transform("tokens", lambda x: x.cast("string")), " ").alias("tokens"))
+    return N.rank_tokens(expr, 2048).select("cell_id", F.array_join(F.transform("tokens", lambda x: x.cast("string")), " ").alias("tokens"))
 
 
 @query("gene_value_sequence", cte("counts", "var") + " select cell_id, '-1:0 ' || string_agg(gene_pos || ':' || value::BIGINT, ' ' order by gene_pos) as sequence, count(*) + 1 as length from counts join var using (gene) group by all")

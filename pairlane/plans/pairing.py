@@ -44,10 +44,10 @@ def _(t):
     return M.random_single(t.treated(), t.control(), _n(t), SEEDS).select("cell_id", "sampling_seed", "control_id")
 
 
-@query("gather_rows", _S1 + " select p.cell_id, p.sampling_seed, e.gene, round(e.value, 6) + 0.0 as value from p join control c using (control_pos) join expr e on e.cell_id = c.cell_id where e.gene_pos < 8")
+@query("gather_rows", _S1 + " select p.cell_id, p.sampling_seed, e.gene, round(e.value, 6) + 0.0 as value from p join control c using (control_pos) join expr e on e.cell_id = c.cell_id")
 def _(t):
     pairs = M.random_single(t.treated(), t.control(), _n(t), SEEDS).select("cell_id", "sampling_seed", "control_id")
-    rows = t.expr().where("gene_pos < 8").select(F.col("cell_id").alias("control_id"), "gene", "value")
+    rows = t.expr().select(F.col("cell_id").alias("control_id"), "gene", "value")
     return pairs.join(rows, "control_id").select("cell_id", "sampling_seed", "gene", r6(F.col("value")).alias("value"))
 
 
@@ -87,10 +87,8 @@ _S2 = _BASE + f", d as (select t.cell_id, s.sampling_seed, j, {draw_sql(chr(39)
 @query("s2_random_average", _S2 + " select d.cell_id, d.sampling_seed, e.gene, round(sum(e.value) / 5, 6) + 0.0 as value from d join control c using (control_pos) join expr e on e.cell_id = c.cell_id group by all")
 def _(t):
     draws = M.random_draws(t.treated(), _n(t), 5, SEEDS, "s2", "control_pos")
-    expr = t.expr().select(F.col("cell_id").alias("control_id"), "gene", "value")
-    ids = t.control().select("control_pos", F.col("cell_id").alias("control_id"))
-    out = M.average_profiles(draws.join(ids, "control_pos"), None, "control_id", expr, 5)
-    return out.select("cell_id", "sampling_seed", "gene", r6(F.col("value")).alias("value"))
+    vectors = t.control().select("control_pos", "vec")
+    return _long(M.average_profiles(draws, vectors, "control_pos", 5), "cell_id", "sampling_seed")
 
 
 @query("s2_without_replacement")
@@ -104,11 +102,9 @@ _S3 = cte("expr", "control", "treated", "membership") + _MC + f", s as (select u
 
 @query("s3_metacell_average", _S3 + " select d.cell_id, d.sampling_seed, gene, round(sum(value) / 3, 6) + 0.0 as value from d join mp using (mc_index) group by all")
 def _(t):
-    member = M.members(t.view("membership"), 0)
-    profiles = N.metacells(t.expr(), t.view("membership")).join(member.select("metacell_id", "mc_index").distinct(), "metacell_id").select("mc_index", "gene", F.col("mean").alias("value"))
     n = t.view("membership").select("metacell_id").distinct().count()
     draws = M.random_draws(t.treated(), n, 3, SEEDS, "s3", "mc_index")
-    return M.average_profiles(draws, None, "mc_index", profiles, 3).select("cell_id", "sampling_seed", "gene", r6(F.col("value")).alias("value"))
+    return _long(M.average_profiles(draws, _metacells(t), "mc_index", 3, "profile"), "cell_id", "sampling_seed")
 
 
 _S4 = cte("treated", "membership") + _MC + f", k as (select count(*) as n from mi), a as (select *, row_number() over (partition by perturbation order by {draw_sql(chr(39) + 's4' + chr(39), '7', 'cell_id')}, cell_id) - 1 as o from treated), b as (select cell_id, perturbation, o % n as mc_index, o // n as use_no from a, k), r as (select *, count(*) over (partition by perturbation, mc_index) as rows_ from b), mb as (select *, row_number() over (partition by metacell_id order by {draw_sql(chr(39) + 'member' + chr(39), '7', 'cell_id')}, cell_id) - 1 as member_no from mm), q as (select r.cell_id, r.mc_index, case when rows_ <= mc_size then use_no else {draw_sql(chr(39) + 's4m' + chr(39), '7', 'r.cell_id')} % mc_size end as member_no from r join mi using (mc_index))"
@@ -161,30 +157,51 @@ def _plan(t):
     return M.sinkhorn(M.transport_cost(t.treated(), metacell), M.control_mass(metacell))
 
 
-@query("ot_sinkhorn")
-def _(t):
-    return _plan(t).groupBy("perturbation", "mc_index").agg(F.count("*").alias("n_cells"), F.round(F.sum("flow"), 6).alias("mass"))
+#: The same scaling as recursive SQL, one row for each perturbation and iteration.
+_OT = _COST.replace("WITH ", "WITH RECURSIVE ", 1) + (
+    ", am as (select list(mc_size::DOUBLE / (select sum(mc_size) from mi) order by mc_index) as a from mi), lo as (select *, min(cost) over (partition by perturbation, cell_id) as low from co)"
+    ", kr as (select perturbation, cell_id, list(greatest(exp(-(cost - low) / 0.05::DOUBLE), 1e-250) order by mc_index) as r from lo group by all), k0 as (select perturbation, list(r order by cell_id) as m, list(cell_id order by cell_id) as cells, count(*) as n from kr group by all)"
+    ", km as (select *, list_transform(range(1, len(m[1]) + 1), lambda i: list_transform(m, lambda r: r[i])) as t from k0)"
+    ", it(perturbation, i, v, done) as (select perturbation, 0::BIGINT, list_transform(m, lambda r: 1.0::DOUBLE / n / (list_sum(r) / len(r))), false from km union all select perturbation, i + 1, case when near then v else w end, near from ("
+    "select *, i % 10 = 0 and sqrt(list_sum(list_transform(list_zip(v, w), lambda x: (x[1] / x[2] - 1) * (x[1] / x[2] - 1)))) / n < 1e-7 as near from (select *, list_transform(m, lambda r: 1.0::DOUBLE / n / list_dot_product(r, u)) as w from ("
+    "select it.perturbation, it.i, it.v, km.m, km.n, list_transform(list_zip(am.a, km.t), lambda x: x[1] / list_dot_product(x[2], it.v)) as u from it join km on km.perturbation = it.perturbation, am where not it.done and it.i < 1999))))"
+    ", fin as (select perturbation, arg_max(v, i) as v from it group by all), fu as (select km.perturbation, km.cells, km.m, fin.v, list_transform(list_zip(am.a, km.t), lambda x: x[1] / list_dot_product(x[2], fin.v)) as u from km join fin using (perturbation), am)"
+    ", fc as (select perturbation, u, unnest(cells) as cell_id, unnest(m) as r, unnest(v) as v from fu), fl as (select perturbation, cell_id, unnest(range(len(r))) as mc_index, unnest(list_transform(list_zip(r, u), lambda x: x[1] * x[2] * v)) as flow from fc)"
+    ", sh as (select *, flow / sum(flow) over (partition by perturbation, cell_id) as w, row_number() over (partition by perturbation, cell_id order by flow desc, mc_index) as rank from fl), en as (select perturbation, cell_id, -sum(w * ln(w + 1e-12)) / ln(count(*)) as entropy, sum(w) filter (rank <= 3) as top from sh group by all)"
+    ", tp as (select sh.perturbation, sh.cell_id, sh.rank, sh.mc_index, sh.w / en.top as weight, en.entropy from sh join en using (perturbation, cell_id) where rank <= 3)"
+)
 
 
-@query("ot_topk")
+@query("ot_sinkhorn", _OT + " select perturbation, cell_id, mc_index, round(flow, 8) + 0.0 as flow from fl")
 def _(t):
+    return _plan(t).withColumn("flow", F.round("flow", 8) + F.lit(0.0))
+
+
+def _top(t):
     n = t.view("membership").select("metacell_id").distinct().count()
     return M.top_transport(_plan(t), 3, n)
 
 
-@query("ot_assign")
+@query("ot_topk", _OT + " select perturbation, cell_id, rank, mc_index, round(weight, 6) + 0.0 as weight, round(entropy, 6) + 0.0 as entropy from tp")
+def _(t):
+    out = _top(t).select("perturbation", "cell_id", "entropy", F.explode("top").alias("t"))
+    return out.select("perturbation", "cell_id", F.col("t.rank").alias("rank"), F.col("t.mc_index").alias("mc_index"), r6(F.col("t.weight")).alias("weight"), r6(F.col("entropy")).alias("entropy"))
+
+
+@query("ot_assign", _OT + " select tp.perturbation, tp.cell_id, tp.mc_index, round(tp.weight, 6) + 0.0 as dominant_weight, round(tp.entropy, 6) + 0.0 as entropy, round(ds.distance, 5) + 0.0 as distance from tp join ds using (cell_id, mc_index) where tp.rank = 1")
 def _(t):
-    n = t.view("membership").select("metacell_id").distinct().count()
     raw = M.transport_cost(t.treated(), _metacells(t)).select("cell_id", "mc_index", "distance")
-    top = M.top_transport(_plan(t), 3, n).withColumn("mc_index", F.get("top", F.lit(0))["mc_index"]).withColumn("dominant_weight", F.get("top", F.lit(0))["weight"])
-    return top.join(raw, ["cell_id", "mc_index"])
+    first = F.get("top", F.lit(0))
+    top = _top(t).select("perturbation", "cell_id", r6(F.col("entropy")).alias("entropy"), first["mc_index"].alias("mc_index"), r6(first["weight"]).alias("dominant_weight"))
+    return top.join(raw, ["cell_id", "mc_index"]).withColumn("distance", F.round("distance", 5) + F.lit(0.0))
 
 
-@query("s5_ot_sampled_average")
+@query(
+    "s5_ot_sampled_average",
+    _OT + f", mb as (select *, row_number() over (partition by metacell_id order by {draw_sql(chr(39) + 'member' + chr(39), '7', 'cell_id')}, cell_id) - 1 as member_no from mm), pk as (select tp.perturbation, tp.cell_id, tp.weight / 2 as weight, tp.mc_index, {draw_sql(chr(39) + 's5' + chr(39), '7', 'tp.cell_id', 'tp.mc_index', 'j')} % mi.mc_size as member_no from tp join mi using (mc_index), (select unnest([0, 1]) as j)) select pk.perturbation, pk.cell_id, e.gene, round(sum(pk.weight * e.value), 6) + 0.0 as value from pk join mb using (mc_index, member_no) join expr e on e.cell_id = mb.cell_id group by all",
+)
 def _(t):
-    n = t.view("membership").select("metacell_id").distinct().count()
-    out = M.transport_profiles(M.top_transport(_plan(t), 3, n), M.members(t.view("membership"), 7), t.expr(), 2, 7)
-    return out.withColumn("value", F.round("value", 6))
+    return _long(M.transport_profiles(_top(t), M.members(t.view("membership"), 7), t.control(), 2, 7), "perturbation", "cell_id")
 
 
 @query(

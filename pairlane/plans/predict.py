@@ -6,7 +6,6 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from pairlane.functions.exprs import draw_sql, r6
-from pairlane.operators import evaluate as E
 from pairlane.operators import pairing as M
 from pairlane.operators import predict as P
 from pairlane.plans.evaluate import _rounded
@@ -66,16 +65,43 @@ def _(t):
     return _forward(t).select("cell_id", "gene", r6(F.col("pred")).alias("pred"))
 
 
-@query("forward_metrics", _FWD + ", m as (select perturbation, avg((pred - xt) * (pred - xt)) as a, avg(abs(pred - xt)) as b, avg((x0 - xt) * (x0 - xt)) as c, avg(abs(x0 - xt)) as d from pd group by all) select perturbation, round(a, 6) + 0.0 as model_mse, round(b, 6) + 0.0 as model_mae, round(c, 6) + 0.0 as input_mse, round(d, 6) + 0.0 as input_mae, round(c - a, 6) + 0.0 as mse_gain, round((c - a) / c, 6) + 0.0 as mse_gain_fraction from m")
+def _predicted(t):
+    mean = t.expr().where("analysis_group = 'control'").groupBy("gene").agg(F.avg("value").alias("control_mean"))
+    return _forward(t).join(mean, "gene").withColumn("run_id", F.lit(0))
+
+
+_CELL = {
+    "model_cell_pearson_xt": "corr(pred, xt)", "input_cell_pearson_xt": "corr(x0, xt)", "model_cell_cosine_xt": "sum(pred * xt) / sqrt(sum(pred * pred) * sum(xt * xt))", "input_cell_cosine_xt": "sum(x0 * xt) / sqrt(sum(x0 * x0) * sum(xt * xt))",
+    "strategy_delta_cell_pearson": "corr(pred - x0, xt - x0)", "strategy_delta_cell_cosine": "sum((pred - x0) * (xt - x0)) / sqrt(sum((pred - x0) * (pred - x0)) * sum((xt - x0) * (xt - x0)))",
+    "model_common_delta_cell_pearson": "corr(pred - control_mean, xt - control_mean)", "input_common_delta_cell_pearson": "corr(x0 - control_mean, xt - control_mean)",
+}
+_ERR = {"model_mse_xt": "avg((pred - xt) * (pred - xt))", "model_mae_xt": "avg(abs(pred - xt))", "input_only_mse_xt": "avg((x0 - xt) * (x0 - xt))", "input_only_mae_xt": "avg(abs(x0 - xt))", "strategy_specific_delta_mse": "avg((pred - xt) * (pred - xt))", "strategy_specific_delta_mae": "avg(abs(pred - xt))"}
+_GAIN = {"model_gain_mse_xt": "input_only_mse_xt - model_mse_xt", "model_gain_mae_xt": "input_only_mae_xt - model_mae_xt", "model_gain_mse_xt_fraction": "(input_only_mse_xt - model_mse_xt) / input_only_mse_xt"}
+_STAT = {"mean": "avg({})", "median": "median({})", "std": "stddev_pop({})", "sem": "stddev_pop({}) / sqrt(count({}))"}
+_PD = _FWD + ", pc as (select pd.*, control_mean from pd join cm using (gene))"
+_PER = (
+    _PD
+    + ", g as (select perturbation, gene, avg(pred - control_mean) as x, avg(xt - control_mean) as y from pc group by all), gr as (select *, rank() over (partition by perturbation order by x) as rx, rank() over (partition by perturbation order by y) as ry, row_number() over (partition by perturbation order by abs(x) desc, gene) as nx, row_number() over (partition by perturbation order by abs(y) desc, gene) as ny from g)"
+    + ", nt as (select perturbation, count(distinct cell_id) as n_test_cells from pc group by all), pp as (select perturbation, any_value(n_test_cells) as n_test_cells, corr(x, y) as common_delta_pearson, corr(rx, ry) as common_delta_spearman, sum(x * y) / sqrt(sum(x * x) * sum(y * y)) as common_delta_cosine, sqrt(avg((x - y) * (x - y))) as common_delta_l2"
+    + "".join(f", corr(x, y) filter (ny <= {k}) as top{k}_common_delta_pearson, sum(x * y) filter (ny <= {k}) / sqrt(sum(x * x) filter (ny <= {k}) * sum(y * y) filter (ny <= {k})) as top{k}_common_delta_cosine, count(*) filter (ny <= {k} and nx <= {k}) / count(*) filter (ny <= {k}) as top{k}_common_delta_overlap" for k in (20, 50))
+    + " from gr join nt using (perturbation) group by perturbation)"
+)
+_PERS = ["common_delta_pearson", "common_delta_spearman", "common_delta_cosine", "common_delta_l2", *[f"top{k}_common_delta_{m}" for k in (20, 50) for m in ("pearson", "cosine", "overlap")]]
+
+
+@query(
+    "forward_metrics",
+    _PER + ", er as (select " + ", ".join(f"{x} as {n}" for n, x in _ERR.items()) + " from pc), ce as (select cell_id, " + ", ".join(f"{x} as {n}" for n, x in _CELL.items()) + " from pc group by cell_id), st as (select "
+    + ", ".join([*[f"{f.format(n, n)} as {n}_{s}" for n in _CELL for s, f in _STAT.items()], *[f"count({n}) as {n}_n_valid" for n in _CELL]]) + " from ce), pa as (select count(*) as n_perturbations_evaluated, " + ", ".join(f"{f.format(n)} as per_perturbation_{n}_{s}" for n in _PERS for s, f in _STAT.items() if s in ("mean", "median")) + " from pp) select 0 as run_id, n_perturbations_evaluated, "
+    + ", ".join([*[f"round({n}, 6) + 0.0 as {n}" for n in _ERR], *[f"round({x}, 6) + 0.0 as {n}" for n, x in _GAIN.items()], *[f"round({n}_{s}, 6) + 0.0 as {n}_{s}" for n in _CELL for s in _STAT], *[f"{n}_n_valid" for n in _CELL], *[f"round(per_perturbation_{n}_{s}, 6) + 0.0 as per_perturbation_{n}_{s}" for n in _PERS for s in ("mean", "median")]]) + " from er, st, pa",
+)
 def _(t):
-    return _rounded(P.forward_metrics(_forward(t), ["perturbation"]), ["perturbation"])
+    return _rounded(P.forward_report(_predicted(t), ["run_id"], [20, 50]), ["run_id"])
 
 
-@query("forward_per_perturbation", _FWD + ", g as (select perturbation, gene, avg(pred - control_mean) as x, avg(xt - control_mean) as y from pd join cm using (gene) group by all) select perturbation, round(corr(x, y), 6) + 0.0 as pearson, round(sum(x * y) / sqrt(sum(x * x) * sum(y * y)), 6) + 0.0 as cosine, round(sqrt(avg((x - y) * (x - y))), 6) + 0.0 as rmse from g group by all")
+@query("forward_per_perturbation", _PER + " select perturbation, n_test_cells, " + ", ".join(f"round({n}, 6) + 0.0 as {n}" for n in _PERS) + " from pp")
 def _(t):
-    mean = t.expr().where("analysis_group = 'control'").groupBy("gene").agg(F.avg("value").alias("control_mean"))
-    g = _forward(t).join(mean, "gene").groupBy("perturbation", "gene").agg(F.avg(F.col("pred") - F.col("control_mean")).alias("x"), F.avg(F.col("xt") - F.col("control_mean")).alias("y"))
-    return _rounded(E.pair_metrics(g, ["perturbation"]).select("perturbation", "pearson", "cosine", "rmse"), ["perturbation"])
+    return _rounded(P.forward_per_perturbation(_predicted(t), [], [20, 50]), ["perturbation"])
 
 
 def _classifier(t, common: bool):

@@ -233,14 +233,14 @@ def _(t):
     return P.chunk_plan(rows, "pos", "n_genes", 100).withColumn("mean_length", F.round("mean_length", 6) + F.lit(0.0))
 
 
-_TOKENS = cte("counts", "var") + ", s as (select cell_id, gene_pos, value, row_number() over (partition by cell_id order by value desc, gene_pos) as n from counts join var using (gene) where value > 0), k as (select cell_id, list(gene_pos + 1 order by n) as tokens from s where n <= 4 group by all)"
+_TOKENS = cte("counts", "var") + ", s as (select cell_id, gene_pos, value, row_number() over (partition by cell_id order by value desc, gene_pos) as n from counts join var using (gene) where value > 0), k as (select cell_id, list(gene_pos + 1 order by n) as tokens from s where n <= 2048 group by all)"
 
 
 @query("pad_tokens", _TOKENS + ", m as (select cell_id % 50 as batch, max(len(tokens)) as longest from k group by all) select cell_id, array_to_string(list_concat(tokens, list_transform(range(longest - len(tokens)), lambda x: 0)), ' ') as tokens, longest - len(tokens) as padded from k join m on m.batch = k.cell_id % 50")
 def _(t):
     from pairlane.operators.normalise import rank_tokens
 
-    ranked = rank_tokens(t.view("counts").join(t.view("var").select("gene", "gene_pos", (F.col("gene_pos") + 1).alias("token_id")), "gene"), 4)
+    ranked = rank_tokens(t.view("counts").join(t.view("var").select("gene", "gene_pos", (F.col("gene_pos") + 1).alias("token_id")), "gene"), 2048)
     out = P.pad_tokens(ranked.withColumn("batch", F.col("cell_id") % 50), "batch")
     return out.select("cell_id", F.array_join(F.transform("tokens", lambda x: x.cast("string")), " ").alias("tokens"), F.size(F.filter("mask", lambda x: x == 0)).cast("long").alias("padded"))
 

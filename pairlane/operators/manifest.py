@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,18 +19,38 @@ STRATEGY_ORDER = [
     "S5_SEACell_OT_sampled_average",
 ]
 EXPECTED_VARIANTS = dict(zip(STRATEGY_ORDER, (1, 1, 1, 15, 5, 15), strict=True))
-#: Names that older run tables use, by the canonical strategy they mean.
-_OLDER_NAMES = {
-    "S0_naive_mean_control_reference": ["S0"],
-    "S1_random_single_control": ["S1", "S4_random_single_control_oracle", "S4_random_single_control", "strategy4_random_single_control", "strategy4_random_single_control_cell"],
-    "S2_random_average_controls": ["S2", "S3_random_average_controls", "strategy3_random_average_controls", "strategy3_random_average_control_cells"],
-    "S3_SEACell_metacell_average": ["S3", "S5_random_metacell_average", "S3_random_metacell_average", "strategy5_random_metacell_average"],
-    "S4_SEACell_balanced_random_sample": ["S4", "S1_SEACell_balanced_random", "S4_SEACell_balanced_random", "strategy1_seacell_balanced_random_repeated"],
-    "S5_SEACell_OT_sampled_average": [
-        "S5", "S2_SEACell_OT_topk_sampled_average", "S2_SEACell_OT_topk_sampled_average_repeated", "strategy2_seacells_ot_topk_sampled_average", "strategy2_seacell_ot_topk_sampled_average_repeated",
-    ],
-}
-STRATEGY_NAMES = {old: new for new, names in _OLDER_NAMES.items() for old in [new, *names]}
+#: Every name that run tables use, and the canonical strategy it means.
+STRATEGY_NAMES = {
+    "S0_naive_mean_control_reference": "S0_naive_mean_control_reference",
+    "S0": "S0_naive_mean_control_reference",
+    "S1_random_single_control": "S1_random_single_control",
+    "S1": "S1_random_single_control",
+    "S4_random_single_control_oracle": "S1_random_single_control",
+    "S4_random_single_control": "S1_random_single_control",
+    "strategy4_random_single_control": "S1_random_single_control",
+    "strategy4_random_single_control_cell": "S1_random_single_control",
+    "S2_random_average_controls": "S2_random_average_controls",
+    "S2": "S2_random_average_controls",
+    "S3_random_average_controls": "S2_random_average_controls",
+    "strategy3_random_average_controls": "S2_random_average_controls",
+    "strategy3_random_average_control_cells": "S2_random_average_controls",
+    "S3_SEACell_metacell_average": "S3_SEACell_metacell_average",
+    "S3": "S3_SEACell_metacell_average",
+    "S5_random_metacell_average": "S3_SEACell_metacell_average",
+    "S3_random_metacell_average": "S3_SEACell_metacell_average",
+    "strategy5_random_metacell_average": "S3_SEACell_metacell_average",
+    "S4_SEACell_balanced_random_sample": "S4_SEACell_balanced_random_sample",
+    "S4": "S4_SEACell_balanced_random_sample",
+    "S1_SEACell_balanced_random": "S4_SEACell_balanced_random_sample",
+    "S4_SEACell_balanced_random": "S4_SEACell_balanced_random_sample",
+    "strategy1_seacell_balanced_random_repeated": "S4_SEACell_balanced_random_sample",
+    "S5_SEACell_OT_sampled_average": "S5_SEACell_OT_sampled_average",
+    "S5": "S5_SEACell_OT_sampled_average",
+    "S2_SEACell_OT_topk_sampled_average": "S5_SEACell_OT_sampled_average",
+    "S2_SEACell_OT_topk_sampled_average_repeated": "S5_SEACell_OT_sampled_average",
+    "strategy2_seacells_ot_topk_sampled_average": "S5_SEACell_OT_sampled_average",
+    "strategy2_seacell_ot_topk_sampled_average_repeated": "S5_SEACell_OT_sampled_average",
+}
 UNKNOWN_ORDER = 99
 
 
@@ -92,9 +114,34 @@ def match_key(strategy: Column) -> Column:
     return F.concat_ws("|", s, mc, F.when(s == "S3", num("k")).when(s == "S5", num("top_k")).otherwise(""))
 
 
-def variant_slug(text: Column) -> Column:
-    """A path or name as ``a__b__c``."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(text), r"[/\\]+", "__"), r"[^A-Za-z0-9_.\-]+", "_"), r"^_+|_+$", "")
+def variant_slug(text: Column, groups: list[str], files: list[str]) -> Column:
+    """The variant of a path or name as ``a__b__c``; empty for NULL.
+
+    A strategy's own name or path stays whole. Of a path to one of ``files`` counts what lies below
+    the folder of one of the ``groups``, else the last folder; of an embedding path the folder
+    after ``/embeddings/``.
+    """
+    path = F.replace(F.trim(F.coalesce(text, F.lit(""))), F.lit("\\"), F.lit("/"))
+    own = F.regexp_like(path, F.lit("^(" + "|".join(STRATEGY_ORDER) + ")(__|/|$)"))
+    ending = "/(" + "|".join(re.escape(f) for f in files) + ")$"
+    parent = F.regexp_replace(path, ending, "")
+    marker = "^.*?/(" + "|".join(re.escape(g) for g in groups) + ")/"
+    below = F.when(F.regexp_like(parent, F.lit(marker)), F.regexp_replace(parent, marker, "")).otherwise(F.element_at(F.split(parent, "/"), -1))
+    embedded = F.regexp_extract(path, "/embeddings/([^/]*)", 1)
+    part = F.when(own, path).when(F.regexp_like(path, F.lit(ending)), below).when(F.contains(path, F.lit("/embeddings/")), embedded).otherwise(path)
+    return F.regexp_replace(F.regexp_replace(part, "^/+|/+$", ""), "/+", "__")
+
+
+def strategy_base(slug: Column) -> Column:
+    """The strategy that a slug begins with, else the slug before its seed."""
+    found = F.regexp_extract(slug, "^(" + "|".join(STRATEGY_ORDER) + ")(?:__|$)", 1)
+    return F.when(found != "", found).otherwise(F.element_at(F.split(slug, "__seed_"), 1))
+
+
+def s5_key(slug: Column) -> Column:
+    """``<metacells>&<top k>`` of an S5 slug that has both, else empty."""
+    n, k = F.regexp_extract(slug, "(?:^|__)nmc_([^_]+)", 1), F.regexp_extract(slug, "(?:^|__)topk_0*([^_]+)", 1)
+    return F.when(F.startswith(slug, F.lit(STRATEGY_ORDER[5])) & (n != "") & (k != ""), F.concat(n, F.lit("&"), k)).otherwise("")
 
 
 def standardize(manifest: DataFrame, aliases: dict[str, list[str]], run_parts: list[str], order: list[str]) -> DataFrame:
@@ -129,9 +176,19 @@ def pending(plan: DataFrame, done: DataFrame, keys: list[str], overwrite: bool =
     return plan if overwrite else plan.join(done.where("matrix_bytes > 0 and pairs_bytes > 0").select(*keys), keys, "left_anti")
 
 
-def select_variants(rows: DataFrame, wanted: DataFrame, key: str = "variant_id") -> tuple[DataFrame, DataFrame]:
-    """(rows of the wanted variants, wanted variants that have none)."""
-    return rows.join(wanted.select(key), key, "left_semi"), wanted.join(rows.select(key), key, "left_anti")
+def select_variants(rows: DataFrame, wanted: DataFrame, key: str = "variant_id", strict: bool = False) -> DataFrame:
+    """Rows of the wanted variants with ``found``; a wanted variant without rows has one row of NULLs, or raises an error if ``strict``."""
+    out = wanted.select(key).distinct().join(rows.withColumn("_there", F.lit(True)), key, "left").withColumn("found", F.col("_there").isNotNull()).drop("_there")
+    if strict:
+        out = out.withColumn("found", F.when(F.col("found"), F.col("found")).otherwise(F.raise_error(F.concat(F.lit("no rows of "), F.col(key))).cast("boolean")))
+    return out
+
+
+def seed_rows(seeds: DataFrame, selection: DataFrame, key: str = "match_key", variant: str = "variant_id") -> DataFrame:
+    """Seed rows of each selected variant by match key, with both ids; a selection without rows stays with NULLs (``matched`` false)."""
+    own = seeds.withColumnRenamed(variant, "metric_variant_id").withColumn("_there", F.lit(True))
+    joined = selection.select(key, F.col(variant).alias("selected_variant_id")).join(own, key, "left")
+    return joined.withColumn("matched", F.col("_there").isNotNull()).drop("_there")
 
 
 def resolve_seed(candidates: list[Column], text: Column, strategy: Column, variant: str, order: str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairlane.functions.exprs import draw, null_token, place
+from pairlane.functions.exprs import draw, general, null_token, place
 
 #: Names under which a perturbation column is looked for, in order.
 PERTURBATION_KEYS = ["perturbation_key", "perturbation_label", "condition", "gene", "target_gene", "guide_identity", "perturbation", "gene_symbol"]
@@ -102,9 +102,15 @@ def filter_vocabulary(expr: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 def project_to_order(expr: DataFrame, model_genes: DataFrame) -> DataFrame:
-    """Values on the model's genes, duplicates added up; only stored values are returned, the rest is 0."""
-    hit = expr.join(model_genes.select("gene", "model_pos"), "gene")
-    return hit.groupBy("cell_id", "model_pos").agg(F.sum("value").alias("value"))
+    """Values of every cell on all of the model's genes: duplicates added up, missing ones 0.
+
+    The model's gene list is fixed and bounded; each cell takes it in as an array, so nothing is shuffled twice.
+    """
+    hit = expr.join(model_genes.select("gene", "model_pos"), "gene", "left").groupBy("cell_id", "model_pos").agg(F.sum("value").alias("value"))
+    cells = hit.groupBy("cell_id").agg(F.map_from_entries(F.collect_list(F.when(F.col("model_pos").isNotNull(), F.struct("model_pos", "value")))).alias("_have"))
+    order = model_genes.agg(F.array_sort(F.collect_set("model_pos")).alias("_all"))
+    full = cells.crossJoin(F.broadcast(order)).select("cell_id", "_have", F.explode("_all").alias("model_pos"))  # one row
+    return full.select("cell_id", "model_pos", F.coalesce(F.try_element_at("_have", F.col("model_pos")), F.lit(0.0)).alias("value"))
 
 
 def pick_batch_key(obs: DataFrame, candidates: list[str]) -> DataFrame:
@@ -150,9 +156,9 @@ def explode_usage(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select("*", F.explode(F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")).alias("used_id"))
 
 
-def array_text(x):
-    """Numbers joined by ``|``."""
-    return F.array_join(F.transform(x, lambda v: v.cast("string")), "|")
+def array_text(x, fractions: bool = False):
+    """Numbers joined by ``|``; ``fractions``: with six significant digits."""
+    return F.array_join(F.transform(x, lambda v: general(v) if fractions else v.cast("string")), "|")
 
 
 def membership_from_labels(obs: DataFrame, label: str, order: str) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairlane.functions.cdf import chi2_sf, normal_two_sided, t_two_sided
 from pairlane.functions.exprs import tie_rank, value_ranks
+from pairlane.operators.manifest import block_key
 
 #: Nemenyi q over sqrt(2) at 0.05 for 2 to 20 methods.
 Q_005 = {
@@ -176,26 +179,26 @@ def conover(df: DataFrame, block: str, method: str, value: str) -> DataFrame:
     return holm(out, ["_all"], tie="pair").select("a", "b", "t", "df", "p", "p_holm")
 
 
-def compact_letters(pairs: DataFrame, methods: list[str]) -> DataFrame:
-    """Letters shared by methods that do not differ: maximal sets without a significant pair (at most 20 methods).
+def compact_letters(pairs: DataFrame, order: DataFrame) -> DataFrame:
+    """Letters shared by methods that do not differ: maximal sets without a significant pair.
 
-    ``pairs`` (a, b, different) is bounded by the methods of one comparison.
+    ``order`` (method, value): the methods of one comparison, at most 20, lettered by value; ``pairs``
+    (a, b, different). Starting from one set of all methods, each significant pair splits the sets
+    that hold both, and sets within others are dropped, all as array expressions over one row.
     """
-    if len(methods) > 20:
-        raise ValueError("at most 20 methods have letters")
-    spark = pairs.sparkSession
-    order = {m: i for i, m in enumerate(methods)}
-    bad = {(order[r["a"]], order[r["b"]]) for r in pairs.where("different").select("a", "b").collect()}
-    differ = lambda i, j: (i, j) in bad or (j, i) in bad
-    sets = [set(range(len(methods)))]
-    for i in range(len(methods)):  # split each set at a differing pair, then drop sets within others
-        for j in range(i):
-            if differ(i, j):
-                sets = [x for s in sets for x in ((s - {i}, s - {j}) if {i, j} <= s else (s,))]
-                sets = [s for n, s in enumerate(sets) if not any(s < o or (s == o and m < n) for m, o in enumerate(sets))]
-    sets.sort(key=lambda s: sorted(s))
-    rows = [(m, "".join(chr(97 + n) for n, s in enumerate(sets) if order[m] in s)) for m in methods]
-    return spark.createDataFrame(rows, "method string, letters string")
+    place = order.select("method", (F.row_number().over(Window.orderBy("value", "method")) - 1).alias("_i"))
+    bad = pairs.where("different").join(place.select(F.col("method").alias("a"), F.col("_i").alias("i")), "a").join(place.select(F.col("method").alias("b"), F.col("_i").alias("j")), "b")
+    state = place.agg(F.array_sort(F.collect_list("_i")).alias("_all")).crossJoin(bad.agg(F.array_sort(F.collect_list(F.struct("i", "j"))).alias("_bad")))  # one row each
+    state = state.withColumn("_bad", F.when(F.size("_all") <= 20, F.col("_bad")).otherwise(F.raise_error(F.lit("at most 20 methods have letters")).cast("array<struct<i:int,j:int>>")))
+    without = lambda s, x: F.filter(s, lambda v: v != x)
+
+    def split(sets: Column, pair: Column) -> Column:
+        parts = F.flatten(F.transform(sets, lambda s: F.when(F.array_contains(s, pair["i"]) & F.array_contains(s, pair["j"]), F.array(without(s, pair["i"]), without(s, pair["j"]))).otherwise(F.array(s))))
+        return F.get(F.transform(F.array(F.array_distinct(parts)), lambda all_: F.filter(all_, lambda s: ~F.exists(all_, lambda o: (o != s) & (F.size(F.array_except(s, o)) == 0)))), F.lit(0))
+
+    sets = state.select(F.array_sort(F.aggregate("_bad", F.array("_all"), split)).alias("_sets"))
+    letters = F.array_join(F.transform(F.col("_sets"), lambda s, n: F.when(F.array_contains(s, F.col("_i")), F.char(97 + n)).otherwise("")), "")
+    return place.crossJoin(F.broadcast(sets)).select("method", letters.alias("letters"))  # one row
 
 
 def best_of_family(df: DataFrame, scope: list[str], family: str, variant: str, value: str, higher: bool) -> DataFrame:
@@ -236,3 +239,11 @@ def complete_design(df: DataFrame, block: str, method: str, forced: list[str], l
         if row is None:
             raise ValueError("no complete blocks")
         dropped.append(row[method])
+
+
+def cd_report(levels: dict[str, tuple[DataFrame, list[str]]], method: str, value: str, higher: bool) -> DataFrame:
+    """Mean ranks, blocks and critical distance of each level: (rows, block columns); a block's value is the mean of its rows."""
+    means = [df.groupBy(method, block_key(*[F.col(c) for c in by]).alias("block")).agg(F.avg(value).alias(value)).withColumn("level", F.lit(level)) for level, (df, by) in levels.items()]
+    ranks = mean_ranks(rank_matrix(reduce(lambda a, b: a.unionByName(b), means), ["level", "block"], method, value, higher), ["level"], method)
+    k = F.count("*").over(Window.partitionBy("level"))
+    return ranks.withColumn("cd", critical_distance(k, F.col("n_blocks")))

@@ -59,9 +59,24 @@ def _(t):
     return runs(t).select("run_no", M.match_key(F.col("strategy_canonical")).alias("match_key"))
 
 
-@query("variant_slug", RUN + " select strategy || '__' || parameter_label as slug, count(*) as n from m group by all")
+_PATHS = ", pa as (select run_no, strategy_canonical as s, variant_id as v, case run_no % 6 when 0 then '/out/K562/' || strategy_canonical || '/nmc_50__topk_05__seed_' || sampling_seed || '/pairs.csv' when 1 then 'C:\\data\\' || variant_id || '\\matrix.parquet' when 2 then '/x/embeddings/' || variant_id || '/X.npy' when 3 then strategy_canonical || '/' || parameter_label when 4 then 'other/name__seed_' || sampling_seed end as path, parameter_label, sampling_seed from m)"
+_SLUG = _PATHS + ", sl as (select *, case run_no % 6 when 0 then s || '__nmc_50__topk_05__seed_' || sampling_seed when 1 then v when 2 then v when 3 then s || '__' || parameter_label when 4 then 'other__name__seed_' || sampling_seed else '' end as slug from pa)"
+
+
+@query(
+    "variant_slug",
+    RUN + _SLUG + ", b as (select run_no, slug, case when run_no % 6 = 4 then 'other__name' when run_no % 6 = 5 then '' else s end as base, case when s not like 'S5%' or run_no % 6 > 3 then '' when run_no % 6 = 0 then '50&5' else coalesce(regexp_extract(slug, 'nmc_(\\d+)', 1) || '&' || ltrim(regexp_extract(slug, 'topk_(\\d+)', 1), '0'), '') end as s5 from sl) select * from b",
+)
 def _(t):
-    return t.view("run").select(M.variant_slug(F.concat("strategy", F.lit(" / "), "parameter_label")).alias("slug0")).select(F.regexp_replace("slug0", "_{3,}", "__").alias("slug")).groupBy("slug").agg(F.count("*").alias("n"))
+    r = runs(t)
+    seed, text = F.col("sampling_seed").cast("string"), lambda *x: F.concat(*[F.lit(y) if i % 2 == 0 else y for i, y in enumerate(x)])
+    s, v = F.col("strategy_canonical"), F.col("variant_id")
+    forms = [text("/out/K562/", s, "/nmc_50__topk_05__seed_", seed, "/pairs.csv"), text("C:\\data\\", v, "\\matrix.parquet"), text("/x/embeddings/", v, "/X.npy"), text("", s, "/", F.col("parameter_label")), text("other/name__seed_", seed)]
+    path = F.lit(None).cast("string")
+    for i, form in enumerate(forms):
+        path = F.when(F.col("run_no") % 6 == i, form).otherwise(path)
+    slugs = r.select("run_no", M.variant_slug(path, ["K562"], ["pairs.csv", "matrix.parquet"]).alias("slug"))
+    return slugs.select("run_no", "slug", M.strategy_base(F.col("slug")).alias("base"), M.s5_key(F.col("slug")).alias("s5"))
 
 
 @query("setting_id_infer", RUN + " select run_no, case when s2 in ('S3', 'S4', 'S5') then 'nmc_' || n_metacells::BIGINT end as setting_id from m")
@@ -101,11 +116,11 @@ def _(t):
 
 
 
-@query("select_variant_rows", RUN + " select run_no, variant_id from m where variant_id like '%nmc_50%'")
+@query("select_variant_rows", RUN + " select run_no, variant_id, true as found from m where variant_id like '%nmc_50%' union all select null, 'S9__none', false")
 def _(t):
     r = runs(t).select("run_no", "variant_id")
     wanted = r.where("variant_id like '%nmc_50%'").select("variant_id").distinct().unionByName(t.spark.createDataFrame([("S9__none",)], "variant_id string"))
-    return M.select_variants(r, wanted)[0]
+    return M.select_variants(r, wanted)
 
 
 @query("seed_resolve", RUN + ", q as (select *, row_number() over (partition by variant_id order by run_no) - 1 as nth from m) select run_no, case when run_no % 4 = 0 then sampling_seed when run_no % 4 = 1 then run_no else nth end::INT as seed from q")

@@ -148,7 +148,7 @@ def _(t):
     return numbered(P.filter_vocabulary(t.view("counts"), t.view("var").where("gene_pos < 10")), ["cell_id"], "prepared_order")
 
 
-@query("project_to_gene_order", cte("counts", "var") + " select cell_id, gene_pos % 7 as model_pos, sum(value) as value from counts join var using (gene) where gene_pos < 21 group by all")
+@query("project_to_gene_order", cte("counts", "var") + ", v as (select gene, gene_pos % 7 as model_pos from var where gene_pos < 21), c as (select distinct cell_id from counts), w as (select c.cell_id, v.gene, v.model_pos from c, v) select w.cell_id, w.model_pos, coalesce(sum(k.value), 0)::DOUBLE as value from w left join counts k on k.cell_id = w.cell_id and k.gene = w.gene group by w.cell_id, w.model_pos")
 def _(t):
     model = t.view("var").where("gene_pos < 21").select("gene", (F.col("gene_pos") % 7).alias("model_pos"))
     return P.project_to_order(t.view("counts"), model)
@@ -190,9 +190,11 @@ def _(t):
     return P.explode_usage(listed, ["a", "b"]).groupBy("used_id").agg(F.count("*").alias("n"))
 
 
-@query("array_to_text", cte("membership") + " select metacell_id, string_agg(cell_id::VARCHAR, '|' order by cell_id) as ids from membership group by all")
+@query("array_to_text", cte("cell", "membership") + " select metacell_id, string_agg(cell_id::VARCHAR, '|' order by cell_id) as ids, string_agg(printf('%.6g', vec[1]::DOUBLE * pow(10.0, cell_id % 13 - 6)), '|' order by cell_id) as weights from membership join cell using (cell_id) group by all")
 def _(t):
-    return t.view("membership").groupBy("metacell_id").agg(P.array_text(F.array_sort(F.collect_list("cell_id"))).alias("ids"))
+    both = t.view("membership").join(t.cell().select("cell_id", (F.get("vec", F.lit(0)).cast("double") * F.pow(F.lit(10.0), F.col("cell_id") % 13 - 6)).alias("w")), "cell_id")
+    rows = both.groupBy("metacell_id").agg(F.array_sort(F.collect_list(F.struct("cell_id", "w"))).alias("r"))
+    return rows.select("metacell_id", P.array_text(F.transform("r", lambda x: x["cell_id"])).alias("ids"), P.array_text(F.transform("r", lambda x: x["w"]), fractions=True).alias("weights"))
 
 
 @query("parse_bool_text", "select o_orderkey, o_orderstatus = 'O' or o_orderkey % 3 = 0 as flag from orders")
@@ -252,9 +254,9 @@ def _(t):
     return cells.groupBy(F.lit(name).alias("found"), F.col(name).alias("label")).agg(F.count("*").alias("n"))
 
 
-@query("int_like_format", cte("run") + " select run_no, case when n_metacells_requested is null then null else n_metacells_requested::BIGINT::VARCHAR end as text from run")
+@query("int_like_format", cte("run") + ", x as (select run_no, n_metacells_requested as a, input_only_mse_xt * pow(10.0, run_no % 15 - 7) as b from run) select run_no, a::BIGINT::VARCHAR as text, case when abs(b - round(b)) < 1e-8 then round(b)::BIGINT::VARCHAR else printf('%g', b) end as number from x")
 def _(t):
-    return t.view("run").select("run_no", int_like(F.col("n_metacells_requested")).alias("text"))
+    return t.view("run").select("run_no", int_like(F.col("n_metacells_requested")).alias("text"), int_like(F.col("input_only_mse_xt") * F.pow(F.lit(10.0), F.col("run_no") % 15 - 7)).alias("number"))
 
 
 @query("seeded_draw", cte("cell") + f" select cell_id, {draw_sql('11', 'cell_id')} % 97 as slot from cell")

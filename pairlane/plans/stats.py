@@ -57,10 +57,16 @@ def _(t):
     return S.paired_t(_against(t), ["method"]).select("method", "n", r6(F.col("mean_difference")).alias("mean_difference"), "df", (F.round("t", 5) + F.lit(0.0)).alias("t"), r6(F.col("p")).alias("p"))
 
 
-@query("welch_t", SEED + f", x as (select method, count(*) as n_x, avg(value) as mx, var_samp(value) as vx from sm where method <> '{_REF}' group by all), y as (select count(*) as n_y, avg(value) as my, var_samp(value) as vy from sm where method = '{_REF}') select method, n_x, n_y, round(mx, 6) + 0.0 as mean_x, round(my, 6) + 0.0 as mean_y, round((vx / n_x + vy / n_y) * (vx / n_x + vy / n_y) / ((vx / n_x) * (vx / n_x) / (n_x - 1) + (vy / n_y) * (vy / n_y) / (n_y - 1)), 5) + 0.0 as df, round((mx - my) / sqrt(vx / n_x + vy / n_y), 5) + 0.0 as t from x, y")
+#: Two-sided p of Student's t for any degrees of freedom: Simpson's rule over the density from 0 to |t|.
+_T_ANY = ", ti as (select *, abs({t}) / 4000 as step, exp(lgamma(({df} + 1) / 2) - lgamma({df} / 2)) / sqrt({df} * pi()) as c from w), tq as (select *, 1 - 2 * c * step / 3 * list_sum(list_transform(range(0, 4001), lambda i: (case when i in (0, 4000) then 1 when i % 2 = 1 then 4 else 2 end) * pow(1 + pow(i * step, 2) / {df}, -({df} + 1) / 2))) as p from ti)"
+#: Two-sided p of a normal z by the power series of the error function.
+_NORMAL = "(1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 90), lambda n: pow(-1.0, n) * pow(abs({z}) / sqrt(2.0), 2 * n + 1) / (gamma(n + 1.0) * (2 * n + 1)))))"
+
+
+@query("welch_t", SEED + f", x as (select method, count(*) as n_x, avg(value) as mx, var_samp(value) as vx from sm where method <> '{_REF}' group by all), y as (select count(*) as n_y, avg(value) as my, var_samp(value) as vy from sm where method = '{_REF}'), w as (select *, (vx / n_x + vy / n_y) * (vx / n_x + vy / n_y) / ((vx / n_x) * (vx / n_x) / (n_x - 1) + (vy / n_y) * (vy / n_y) / (n_y - 1)) as df, (mx - my) / sqrt(vx / n_x + vy / n_y) as t from x, y)" + _T_ANY.replace("{t}", "t").replace("{df}", "df") + " select method, n_x, n_y, round(mx, 6) + 0.0 as mean_x, round(my, 6) + 0.0 as mean_y, round(df, 5) + 0.0 as df, round(t, 5) + 0.0 as t, round(p, 6) + 0.0 as p from tq")
 def _(t):
     w = S.welch_t(_sides(t), ["method"])
-    return w.select("method", "n_x", "n_y", r6(F.col("mean_x")).alias("mean_x"), r6(F.col("mean_y")).alias("mean_y"), (F.round("df", 5) + F.lit(0.0)).alias("df"), (F.round("t", 5) + F.lit(0.0)).alias("t"))
+    return w.select("method", "n_x", "n_y", r6(F.col("mean_x")).alias("mean_x"), r6(F.col("mean_y")).alias("mean_y"), (F.round("df", 5) + F.lit(0.0)).alias("df"), (F.round("t", 5) + F.lit(0.0)).alias("t"), r6(F.col("p")).alias("p"))
 
 
 _TESTS = _PAIR + ", ts as (select method as variant_id, avg(x) as mean_x, avg(y) as mean_y, avg(x - y) / (stddev_samp(x - y) / sqrt(count(*))) as t from pr group by method), tp as (select *, " + _t_even("t", 4) + " as p from ts), th as (select *, row_number() over (order by p, variant_id) as r, count(*) over () as m from tp), ta as (select *, least(max((m - r + 1) * p) over (order by r rows unbounded preceding), 1) as p_holm from th)"
@@ -78,14 +84,14 @@ def _(t):
 _ABS = _PAIR + ", d as (select method, x - y as d, rank() over (partition by method order by abs(x - y)) + (count(*) over (partition by method, abs(x - y)) - 1) / 2.0::DOUBLE as r from pr where x <> y)"
 
 
-@query("wilcoxon", _ABS + " select method, count(*) as n, round(coalesce(sum(r) filter (d > 0), 0), 6) + 0.0 as w_plus, round(coalesce(sum(r) filter (d < 0), 0), 6) + 0.0 as w_minus from d group by all")
+@query("wilcoxon", _ABS + ", w as (select method, count(*) as n, coalesce(sum(r) filter (d > 0), 0) as w_plus, coalesce(sum(r) filter (d < 0), 0) as w_minus, sum(c * c - 1) as tie from (select *, count(*) over (partition by method, abs(d)) as c from d) group by all), z as (select *, least(w_plus, w_minus) as statistic, (least(w_plus, w_minus) - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - tie / 48) as z from w) select method, n, round(w_plus, 6) + 0.0 as w_plus, round(w_minus, 6) + 0.0 as w_minus, round(statistic, 6) + 0.0 as statistic, round(z, 6) + 0.0 as z, round(" + _NORMAL.replace("{z}", "z") + ", 6) + 0.0 as p from z")
 def _(t):
-    return S.wilcoxon(_against(t), ["method"]).select("method", "n", r6(F.col("w_plus")).alias("w_plus"), r6(F.col("w_minus")).alias("w_minus"))
+    return _rounded(S.wilcoxon(_against(t), ["method"]), ["method"])
 
 
-@query("mann_whitney", SEED + f", b as (select method, 'x' as side, value from sm where method <> '{_REF}' union all select n.method, 'y', r.value from (select distinct method from sm where method <> '{_REF}') n, sm r where r.method = '{_REF}'), r as (select *, rank() over (partition by method order by value) + (count(*) over (partition by method, value) - 1) / 2.0::DOUBLE as r from b) select method, count(*) filter (side = 'x') as n_x, count(*) filter (side = 'y') as n_y, sum(r) filter (side = 'x') - count(*) filter (side = 'x') * (count(*) filter (side = 'x') + 1) / 2.0::DOUBLE as u from r group by all")
+@query("mann_whitney", SEED + f", b as (select method, 'x' as side, value from sm where method <> '{_REF}' union all select n.method, 'y', r.value from (select distinct method from sm where method <> '{_REF}') n, sm r where r.method = '{_REF}'), r as (select *, rank() over (partition by method order by value) + (count(*) over (partition by method, value) - 1) / 2.0::DOUBLE as r, count(*) over (partition by method, value) as c from b), w as (select method, count(*) filter (side = 'x') as n_x, count(*) filter (side = 'y') as n_y, sum(r) filter (side = 'x') - count(*) filter (side = 'x') * (count(*) filter (side = 'x') + 1) / 2.0::DOUBLE as u, sum(c * c - 1) as tie from r group by all), z as (select *, (u - n_x * n_y / 2) / sqrt(n_x * n_y / 12 * (n_x + n_y + 1 - tie / ((n_x + n_y) * (n_x + n_y - 1)))) as z from w) select method, n_x, n_y, u, round(z, 6) + 0.0 as z, round(" + _NORMAL.replace("{z}", "z") + ", 6) + 0.0 as p from z")
 def _(t):
-    return S.mann_whitney(_sides(t), ["method"]).select("method", "n_x", "n_y", "u")
+    return _rounded(S.mann_whitney(_sides(t), ["method"]), ["method", "u"])
 
 
 _RANK = SEED + ", rk as (select *, rank() over (partition by sampling_seed order by value) + (count(*) over (partition by sampling_seed, value) - 1) / 2.0::DOUBLE as rank from sm), rs as (select method, sum(rank) as s, sum(rank * rank) as a, count(*) as n from rk group by all), tt as (select count(*) as k, max(n) as n, sum(s * s) as q, sum(a) as a from rs)"
@@ -120,11 +126,20 @@ def _(t):
     return _ps(t).select("variant_id", S.stars(F.col("p")).alias("stars"))
 
 
-@query("compact_letters")
+#: Letters by all subsets of the methods: those without a significant pair that lie in no other such subset.
+_LETTERS = (
+    _RANK + ", cv as (select x.method as a, y.method as b, (tt.n - 1) * (k - 1) as df, abs(x.s - y.s) / sqrt(2 * (tt.n * tt.a - tt.q) / ((tt.n - 1) * (k - 1))) as t from rs x join rs y on x.method < y.method, tt), cp as (select *, " + _t_even("t", 16) + " as p from cv), ch as (select *, row_number() over (order by p, a || '|' || b) as r, count(*) over () as m from cp), cq as (select a, b, least(max((m - r + 1) * p) over (order by r rows unbounded preceding), 1) as p_holm from ch)"
+    ", od as (select method, row_number() over (order by avg(value), method) - 1 as i from sm group by method), bad as (select x.i as i, y.i as j from cq join od x on x.method = cq.a join od y on y.method = cq.b where p_holm <= {level})"
+    ", ok as (select mask from (select unnest(range(1, (1 << (select count(*) from od))::BIGINT)) as mask) where not exists (select 1 from bad where (mask >> i) & 1 = 1 and (mask >> j) & 1 = 1)), top as (select mask from ok where not exists (select 1 from ok o where o.mask <> ok.mask and o.mask & ok.mask = ok.mask))"
+    ", named as (select mask, row_number() over (order by list_transform(list_filter(range(0, 20), lambda i: (mask >> i) & 1 = 1), lambda i: i)) - 1 as n from top) select method, string_agg(chr((97 + n)::INT), '' order by n) as letters from od join named on (mask >> i) & 1 = 1 group by method"
+)
+
+
+@query("compact_letters", _LETTERS.replace("{level}", "0.6"))
 def _(t):
     ranks = S.conover(seed_means(t), "sampling_seed", "method", "value")
-    methods = [r["method"] for r in seed_means(t).groupBy("method").agg(F.avg("value").alias("v")).orderBy("v").collect()]  # the strategies, at most 20
-    return S.compact_letters(ranks.withColumn("different", F.col("p_holm") <= 0.05), methods)
+    order = seed_means(t).groupBy("method").agg(F.avg("value").alias("value"))
+    return S.compact_letters(ranks.withColumn("different", F.col("p_holm") <= 0.6), order)
 
 
 _MET = RUN + ", lg as (select variant_id, s2 as family, sampling_seed, 'x' as metric, input_only_mse_xt as value from m union all select variant_id, s2, sampling_seed, 'y', model_mse_xt from m), mv as (select variant_id, family, metric, avg(value) as value from lg group by all)"
@@ -193,10 +208,9 @@ def _(t):
     return S.conover(seed_means(t), "sampling_seed", "method", "value").select("a", "b", "df", (F.round("t", 5) + F.lit(0.0)).alias("t"), r6(F.col("p")).alias("p"), r6(F.col("p_holm")).alias("p_holm"))
 
 
-@query("cd_report", _MET + ", sv as (select family as method, sampling_seed::VARCHAR as b, avg(value) as value, 'seed' as level from lg where metric = 'y' group by all union all select family, metric, avg(value), 'metric' from lg group by family, metric), r as (select *, rank() over (partition by level, b order by value) + (count(*) over (partition by level, b, value) - 1) / 2.0::DOUBLE as rank from sv) select level, method, round(avg(rank), 6) + 0.0 as mean_rank, count(*) as n_blocks from r group by all")
+@query("cd_report", _MET + ", g as (select s2 as method, sampling_seed % 2 as dataset, input_only_mse_xt as x, model_mse_xt as y from m), gl as (unpivot g on x, y into name metric value v), sv as (select family as method, sampling_seed::VARCHAR as b, avg(value) as value, 'seed' as level from lg where metric = 'y' group by all union all select family, metric, avg(value), 'metric' from lg group by family, metric union all select method, dataset || '||' || metric, avg(v), 'dataset_metric' from gl group by all), r as (select *, rank() over (partition by level, b order by value) + (count(*) over (partition by level, b, value) - 1) / 2.0::DOUBLE as rank from sv), q as (select level, method, avg(rank) as mean_rank, count(*) as n_blocks from r group by all) select level, method, round(mean_rank, 6) + 0.0 as mean_rank, n_blocks, round((case count(*) over (partition by level) when 2 then 1.960 when 3 then 2.344 when 4 then 2.569 when 5 then 2.728 when 6 then 2.850 end)::DOUBLE * sqrt(count(*) over (partition by level) * (count(*) over (partition by level) + 1) / (6.0::DOUBLE * n_blocks)), 6) + 0.0 as cd from q")
 def _(t):
-    r = runs(t).withColumn("method", F.substring("strategy_canonical", 1, 2))
-    seed = r.groupBy("method", F.col("sampling_seed").cast("string").alias("block")).agg(F.avg("model_mse_xt").alias("value")).withColumn("level", F.lit("seed"))
-    metric = r.select("method", F.col("input_only_mse_xt").alias("x"), F.col("model_mse_xt").alias("y")).unpivot(["method"], ["x", "y"], "block", "v").groupBy("method", "block").agg(F.avg("v").alias("value")).withColumn("level", F.lit("metric"))
-    ranks = S.rank_matrix(seed.unionByName(metric), ["level", "block"], "method", "value", False)
-    return _rounded(S.mean_ranks(ranks, ["level"], "method"), ["method"])
+    r = runs(t).select(F.substring("strategy_canonical", 1, 2).alias("method"), "sampling_seed", (F.col("sampling_seed") % 2).alias("dataset"), F.col("input_only_mse_xt").alias("x"), F.col("model_mse_xt").alias("y"))
+    long = r.unpivot(["method", "sampling_seed", "dataset"], ["x", "y"], "metric", "value")
+    levels = {"seed": ["sampling_seed"], "metric": ["metric"], "dataset_metric": ["dataset", "metric"]}
+    return _rounded(S.cd_report({k: (long.where("metric = 'y'") if k == "seed" else long, by) for k, by in levels.items()}, "method", "value", False), ["level", "method"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,3 +152,26 @@ def softmax_distance(rows: DataFrame, centres: DataFrame, by: list[str]) -> Data
     d = pairs.withColumn("_d", -F.sqrt(distance2(F.col("vec"), F.col("_c")))).drop("_c", "vec")
     w = Window.partitionBy(*by, "cell_id")
     return d.withColumn("p", F.exp(F.col("_d") - F.max("_d").over(w))).withColumn("p", F.col("p") / F.sum("p").over(w)).drop("_d")
+
+
+def chance_baseline(df: DataFrame, by: list[str], candidates: list[str]) -> DataFrame:
+    """1 / C: C is the median of the positive values of the first candidate column that has any in the group."""
+    positive = lambda c: F.percentile(F.when(F.col(c) > 0, F.col(c).cast("double")), F.lit(0.5))
+    classes = F.coalesce(*[positive(c) for c in candidates if c in df.columns])
+    return df.groupBy(*by).agg(classes.alias("n_classes")).where("n_classes is not null").withColumn("accuracy_baseline", 1.0 / F.col("n_classes"))
+
+
+def representation_targets(pairs: DataFrame, control: DataFrame, by: list[str], vec: str = "vec") -> DataFrame:
+    """Mean common delta (row minus mean control vector) of each group in a representation; vectors of another dimension raise an error."""
+    from pairlane.operators.pairing import mean_profile
+
+    same = pairs.crossJoin(F.broadcast(mean_profile(control, vec).withColumnRenamed("profile", "_c")))  # one row
+    checked = F.when(F.size(vec) == F.size("_c"), F.zip_with(vec, "_c", lambda x, c: x.cast("double") - c)).otherwise(F.raise_error(F.lit("representations differ in dimension")).cast("array<double>"))
+    return same.select(*by, F.posexplode(checked).alias("dimension", "x")).groupBy(*by, "dimension").agg(F.count("*").alias("n"), F.avg("x").alias("target"))
+
+
+def inverse_report(prob: DataFrame, ks: list[int]) -> DataFrame:
+    """Every summary of a classifier's long probabilities (cell_id, y_true, class, p) in one row."""
+    pred = prob.withColumn("_n", place(["cell_id"], F.desc("p"), "class")).where("_n = 1").select("cell_id", "y_true", F.col("class").alias("y_pred"))
+    top = topk_accuracy(prob, [], ks).agg(*[F.max(F.when(F.col("k") == k, F.col("topk_accuracy"))).alias(f"top{k}_accuracy") for k in ks])
+    return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), [classification_metrics(pred, []), log_loss(prob, []), top, auc_ovr(prob, [])])  # one row each

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pairlane.functions.exprs import draw_sql, numbered, r6
+from pairlane.functions.storage import new_folder
 from pairlane.operators import normalise as N
 from pairlane.operators import pairing as M
 from pairlane.plans.registry import query
 from pairlane.sources.fixtures import cte
+from pairlane.sources.tables import write_table
 
 SEEDS = [0, 1, 2]
 
@@ -31,9 +33,11 @@ def _(t):
     return _long(M.mean_control(t.treated(), t.control()), "cell_id")
 
 
-@query("write_repeated_profile", _S0)
+@query("write_repeated_profile", _S0.replace("select cell_id, gene,", "select perturbation, cell_id, gene,"))
 def _(t):
-    return _long(M.mean_control(t.treated().select("cell_id"), t.control()), "cell_id")
+    path = new_folder(t.spark, "profiles")
+    write_table(M.mean_control(t.treated().select("cell_id", "perturbation"), t.control()), path, ["perturbation"])
+    return _long(t.spark.read.parquet(path), "perturbation", "cell_id")
 
 
 _S1 = _BASE + f", p as (select t.cell_id, t.perturbation, t.pos, s.sampling_seed, {draw_sql(chr(39) + 's1' + chr(39), 's.sampling_seed', 't.cell_id')} % n as control_pos from treated t, s, n)"

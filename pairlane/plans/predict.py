@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from pairlane.functions.exprs import draw_sql, r6
+from pairlane.functions.storage import checkpointed
+from pairlane.operators import evaluate as E
 from pairlane.operators import pairing as M
 from pairlane.operators import predict as P
-from pairlane.plans.evaluate import _rounded
+from pairlane.plans.evaluate import _AX, _axes, _rounded
 from pairlane.plans.registry import query
 from pairlane.sources.fixtures import cte
 
@@ -44,10 +46,10 @@ def _(t):
     return out.select("cell_id", "gene", r6(F.col("strategy_delta")).alias("strategy_delta"), r6(F.col("common_delta")).alias("common_delta"))
 
 
-@query("representation_targets", _PAIR + " select perturbation, gene, count(*) as n, round(avg(xt - control_mean), 6) + 0.0 as target from px join cm using (gene) group by all")
+@query("representation_targets", _PAIR + _AX + ", rp as (select cell_id, perturbation, analysis_group, unnest(list_transform(axes, lambda w: list_sum(list_transform(list_zip(vec, w), lambda x: x[1]::DOUBLE * x[2])))) as x, unnest(range(8)) as dimension from cell, ax), rc as (select dimension, avg(x) as c from rp where analysis_group = 'control' group by all) select perturbation, dimension, count(*) as n, round(avg(x - c), 6) + 0.0 as target from rp join rc using (dimension) where analysis_group <> 'control' group by all")
 def _(t):
-    mean = t.expr().where("analysis_group = 'control'").groupBy("gene").agg(F.avg("value").alias("control_mean"))
-    out = P.delta_features(_pairs_long(t), mean).groupBy("perturbation", "gene").agg(F.count("*").alias("n"), F.avg("common_delta").alias("target"))
+    own, control = (E.project(df, _axes(t)) for df in (t.treated(), t.control()))
+    out = P.representation_targets(own, control, ["perturbation"])
     return out.withColumn("target", r6(F.col("target")))
 
 
@@ -116,17 +118,18 @@ def _classifier(t, common: bool):
     n_labels = int(ready.agg(F.max("label")).first()[0]) + 1
     width = t.cell().select(F.size("vec")).first()[0]
     model = MultilayerPerceptronClassifier(layers=[width, 32, n_labels], maxIter=60, seed=1).fit(ready.where("split = 'train'"))
-    return model.transform(ready.where("split = 'test'")).select("cell_id", F.col("label").cast("int").alias("y_true"), F.col("prediction").cast("int").alias("y_pred"))
+    scored = model.transform(ready.where("split = 'test'")).select("cell_id", F.col("label").cast("int").alias("y_true"), F.posexplode(vector_to_array("probability")).alias("class", "p"))
+    return checkpointed(scored)
 
 
 @query("inverse_classifier")
 def _(t):
-    return P.classification_metrics(_classifier(t, False), [])
+    return P.inverse_report(_classifier(t, False), [3, 5])
 
 
 @query("inverse_common_reference")
 def _(t):
-    return P.classification_metrics(_classifier(t, True), []).withColumn("strategy", F.lit("COMMON_REFERENCE_DELTA"))
+    return P.inverse_report(_classifier(t, True), [3, 5]).withColumn("strategy", F.lit("COMMON_REFERENCE_DELTA"))
 
 
 _D = "sqrt(list_sum(list_transform(list_zip(c.vec, m.vec), lambda x: (x[1]::DOUBLE - x[2]) * (x[1]::DOUBLE - x[2]))))"
@@ -185,7 +188,7 @@ def _(t):
     return _rounded(out, ["label", "support"])
 
 
-@query("chance_baseline", cte("run") + " select strategy, 1.0::DOUBLE / median(coalesce(n_metacells_requested, sampling_seed + 2)) as accuracy_baseline from run where coalesce(n_metacells_requested, sampling_seed + 2) > 0 group by all")
+@query("chance_baseline", cte("run") + ", c as (select strategy, median(n_metacells_requested) filter (n_metacells_requested > 0) as a, median(sampling_seed - 1) filter (sampling_seed > 1) as b from run group by all) select strategy, coalesce(a, b)::DOUBLE as n_classes, 1.0::DOUBLE / coalesce(a, b) as accuracy_baseline from c")
 def _(t):
-    c = F.coalesce(F.col("n_metacells_requested"), F.col("sampling_seed") + 2).cast("double")
-    return t.view("run").withColumn("_c", c).where("_c > 0").groupBy("strategy").agg((1.0 / F.percentile("_c", F.lit(0.5))).alias("accuracy_baseline"))
+    r = t.view("run").withColumn("n_labels", F.col("sampling_seed") - 1)
+    return P.chance_baseline(r, ["strategy"], ["n_classes", "n_metacells_requested", "n_labels"])

@@ -10,22 +10,30 @@ from pairlane.plans.evaluate import _rounded
 from pairlane.plans.manifest import RUN, runs
 from pairlane.plans.registry import query
 
-SPECS = {
-    "input_only_mse": ("direct", ["input_only_mse_xt"]),
-    "model_mse": ("direct", ["model_mse_xt"]),
-    "absolute_mse_improvement": ("absolute_improvement", ["input_only_mse_xt", "model_mse_xt"]),
-    "relative_mse_reduction": ("relative_reduction", ["input_only_mse_xt", "model_mse_xt"]),
-    "mse_ratio": ("ratio", ["model_mse_xt", "input_only_mse_xt"]),
-    "correlation_gain": ("correlation_gain", ["model_mse_xt", "input_only_mse_xt"]),
-    "relative_correlation_gain": ("relative_correlation_gain", ["model_mse_xt", "input_only_mse_xt"]),
-}
+#: Columns that the final metrics are made of, beside the two errors that runs have: (factor, period) of a stand-in made of the run's number.
+MADE = {
+    "mean_expression_rmse": (0.1, 7), "mean_expression_pearson": (0.02, 11), "variance_pearson": (0.03, 13), "source_mixing_opposite_neighbor_fraction_mean": (0.01, 17), "pca_mean_distance": (0.2, 5), "mmd_rbf_pca": (0.001, 19),
+    "strategy_delta_rmse_common_mean": (0.04, 23), "strategy_delta_pearson_common_mean": (0.02, 29), "strategy_delta_norm_mean": (0.5, 9), "common_delta_norm_mean": (0.25, 6), "top100_common_delta_pearson_true_genes_mean": (0.01, 31),
+    "input_only_mae_xt": (0.3, 8), "model_mae_xt": (0.2, 10), "input_common_delta_cell_pearson_mean": (0.05, 21), "model_common_delta_cell_pearson_mean": (0.04, 22),
+    "test_accuracy": (0.01, 37), "test_macro_f1": (0.02, 41), "test_macro_recall": (0.01, 43), "test_macro_precision": (0.02, 47), "test_macro_auc_ovr": (0.01, 53),
+}
+SPECS = {name: spec for task in S.FINAL_METRICS.values() for name, spec in task.items()}
+
+
+def full_runs(t):
+    """Runs with every source column. The gain of the MSE is given in some rows, that of the MAE and the fraction in none."""
+    made = {c: F.col("run_no") % period * factor for c, (factor, period) in MADE.items()}
+    given = F.when(F.col("run_no") % 4 != 0, F.col("run_no") % 15 * 0.1)
+    return runs(t).withColumns(made | {"model_gain_mse_xt": given, "model_gain_mse_xt_fraction": F.lit(None).cast("double"), "model_gain_mae_xt": F.lit(float("nan"))})
+
+
 DER = RUN + ", d as (select *, input_only_mse_xt as x, model_mse_xt as y, input_only_mse_xt - model_mse_xt as imp, (input_only_mse_xt - model_mse_xt) / nullif(input_only_mse_xt, 0) as red from m)"
 AGG = DER + ", ag as (select variant_id, strategy_canonical, strategy_order, avg(x) as x_mean, stddev_samp(x) as x_std, count(x) as x_n, avg(y) as y_mean, stddev_samp(y) as y_std, count(y) as y_n, count(*) as n_runs, count(distinct sampling_seed) as n_random_seeds from d group by variant_id, strategy_canonical, strategy_order)"
 SD = DER + ", sd as (select variant_id, strategy_canonical, sampling_seed, avg(y) as value from d group by all)"
 
 
 def derived(t):
-    return S.derive_metrics(runs(t), SPECS)[0]
+    return S.derive_metrics(full_runs(t), SPECS)[0]
 
 
 def wide(t):
@@ -45,16 +53,27 @@ def _(t):
     return S.filter_by_map(runs(t), {"sampling_seed": [1, 3], "strategy_canonical": "S3_SEACell_metacell_average", "no_such_column": "x"}).select("run_no")
 
 
-@query("derive_metrics", DER + " select run_no, round(imp, 6) + 0.0 as absolute_mse_improvement, round(red, 6) + 0.0 as relative_mse_reduction, round(y / nullif(x, 0), 6) + 0.0 as mse_ratio, round(100 * (y - x) / nullif(1 - x, 0), 5) + 0.0 as relative_correlation_gain from d")
+_FULL = RUN + ", fr as (select *, " + ", ".join(f"(run_no % {period}) * {factor}::DOUBLE as {c}" for c, (factor, period) in MADE.items()) + ", case when run_no % 4 <> 0 then (run_no % 15) * 0.1::DOUBLE end as model_gain_mse_xt from m)"
+_DERIVED = {
+    "mean_expression_rmse": "mean_expression_rmse", "mean_expression_correlation": "mean_expression_pearson", "variance_pearson": "variance_pearson", "control_pseudo_local_mixing_score": "source_mixing_opposite_neighbor_fraction_mean", "pca_centroid_distance": "pca_mean_distance", "mmd_pca": "mmd_rbf_pca",
+    "perturbation_effect_rmse": "strategy_delta_rmse_common_mean", "perturbation_effect_pearson": "strategy_delta_pearson_common_mean", "perturbation_effect_magnitude_ratio": "strategy_delta_norm_mean / nullif(common_delta_norm_mean, 0)", "top100_perturbation_effect_correlation": "top100_common_delta_pearson_true_genes_mean",
+    "input_only_mse": "input_only_mse_xt", "model_mse": "model_mse_xt", "absolute_mse_improvement": "model_gain_mse_xt", "relative_mse_reduction": "(input_only_mse_xt - model_mse_xt) / nullif(input_only_mse_xt, 0)",
+    "input_only_mae": "input_only_mae_xt", "model_mae": "model_mae_xt", "absolute_mae_improvement": "input_only_mae_xt - model_mae_xt", "relative_mae_reduction": "(input_only_mae_xt - model_mae_xt) / nullif(input_only_mae_xt, 0)",
+    "input_common_reference_correlation": "input_common_delta_cell_pearson_mean", "model_common_reference_correlation": "model_common_delta_cell_pearson_mean", "absolute_correlation_improvement": "model_common_delta_cell_pearson_mean - input_common_delta_cell_pearson_mean",
+    "relative_correlation_improvement": "100 * (model_common_delta_cell_pearson_mean - input_common_delta_cell_pearson_mean) / nullif(1 - input_common_delta_cell_pearson_mean, 0)",
+    "test_accuracy": "test_accuracy", "macro_f1": "test_macro_f1", "recall": "test_macro_recall", "precision": "test_macro_precision", "macro_auc": "test_macro_auc_ovr",
+}
+
+
+@query("derive_metrics", _FULL + " select run_no, " + ", ".join(f"round({x}, 5) + 0.0 as {n}" for n, x in _DERIVED.items()) + " from fr")
 def _(t):
-    d = derived(t)
-    return d.select("run_no", r6(F.col("absolute_mse_improvement")).alias("absolute_mse_improvement"), r6(F.col("relative_mse_reduction")).alias("relative_mse_reduction"), r6(F.col("mse_ratio")).alias("mse_ratio"), (F.round("relative_correlation_gain", 5) + F.lit(0.0)).alias("relative_correlation_gain"))
+    return derived(t).select("run_no", *[(F.round(n, 5) + F.lit(0.0)).alias(n) for n in SPECS])
 
 
-@query("metric_source_report", RUN + ", s as (select unnest([{'metric': 'model_mse', 'c': 'model_mse_xt', 'a': true}, {'metric': 'recall', 'c': 'test_macro_recall', 'a': false}], recursive := true)) select metric, 'direct' as formula, c as columns, a as available, count(run_no) as n_runs from s, m group by all")
+@query("metric_source_report", RUN + ", s as (select unnest([" + ", ".join(repr(n) for n in _DERIVED) + "]) as metric, unnest([" + ", ".join(str(n in ("input_only_mse", "model_mse", "absolute_mse_improvement", "relative_mse_reduction")).lower() for n in _DERIVED) + "]) as available) select metric, available, count(run_no) as n_runs from s, m group by all")
 def _(t):
     r = runs(t)
-    report = S.derive_metrics(r, {"model_mse": SPECS["model_mse"], "recall": ("direct", ["test_macro_recall"])}, strict=False)[1]
+    report = S.derive_metrics(r, SPECS, strict=False)[1].select("metric", "available")
     return report.crossJoin(F.broadcast(r.agg(F.count("run_no").alias("n_runs"))))  # one row
 
 
@@ -68,9 +87,15 @@ def _(t):
     return _r(wide(t), "variant_id")
 
 
-@query("seed_aggregate_long", AGG + " select variant_id, 'x' as metric, round(x_mean, 6) + 0.0 as mean, round(x_std, 6) + 0.0 as std, x_n as n from ag union all select variant_id, 'y', round(y_mean, 6) + 0.0, round(y_std, 6) + 0.0, y_n from ag")
+@query("seed_aggregate_long", DER + ", e as (select variant_id, x, case when s2 <> 'S4' or sampling_seed = 0 and run_no = (select min(run_no) from d z where z.variant_id = d.variant_id and z.sampling_seed = 0) then y end as y, 0.25::DOUBLE as ys, 7 as yn from d where s2 <> 'S1'), e2 as (select variant_id, x, y, ys, yn from e union all select variant_id, x, null, 0.25, 7 from d where s2 = 'S1') select variant_id, 'x' as metric, round(avg(x), 6) + 0.0 as mean, round(stddev_samp(x), 6) + 0.0 as std, count(x) as n from e2 group by variant_id union all select variant_id, 'y', round(avg(y), 6) + 0.0, round(case when count(y) > 1 then stddev_samp(y) else 0.25 end, 6) + 0.0, case when count(y) > 0 then count(y) else 7 end from e2 group by variant_id")
 def _(t):
-    d = derived(t).select("variant_id", F.col("input_only_mse").alias("x"), F.col("model_mse").alias("y"))
+    # of S4 one value is left and of S1 none, so a std and a number from before stand in
+    from pyspark.sql import Window
+
+    s2 = F.substring("strategy_canonical", 1, 2)
+    nth = F.row_number().over(Window.partitionBy("variant_id", "sampling_seed").orderBy("run_no"))
+    left = F.when(~s2.isin("S1", "S4") | ((s2 == "S4") & (F.col("sampling_seed") == 0) & (F.col("nth") == 1)), F.col("model_mse"))
+    d = derived(t).withColumn("nth", nth).select("variant_id", F.col("input_only_mse").alias("x"), left.alias("y"), F.lit(0.25).alias("y_pre_std"), F.lit(7).alias("y_pre_n"))
     return _r(S.seed_aggregate_long(d, ["variant_id"], ["x", "y"]), "variant_id")
 
 
@@ -112,9 +137,10 @@ def _selected(t):
     return v.withColumn("selection_order", F.row_number().over(Window.orderBy(F.desc("variant_id"))))
 
 
-@query("selected_comparison", AGG + _SEL + " select variant_id, selection_order, row_number() over (partition by strategy_canonical order by selection_order) as number_in_strategy, round(y_mean, 6) + 0.0 as y_mean from ag join se using (variant_id)")
+@query("selected_comparison", AGG + _SEL + ", q as (select variant_id, strategy_canonical, selection_order, row_number() over (partition by strategy_canonical order by selection_order) as number_in_strategy, count(*) over (partition by strategy_canonical) as c, y_mean from ag join se using (variant_id)) select variant_id, selection_order, number_in_strategy, round(y_mean, 6) + 0.0 as y_mean, case when selection_order = 1 then 'mine' when c > 1 then left(strategy_canonical, 2) || ' #' || number_in_strategy else left(strategy_canonical, 2) end as display_label, ['#4c72b0', '#dd8452', '#55a868', '#c44e52', '#8172b3', '#937860'][(number_in_strategy - 1) % 6 + 1] as colour from q")
 def _(t):
-    return S.selected_comparison(wide(t), _selected(t)).select("variant_id", "selection_order", "number_in_strategy", r6(F.col("y_mean")).alias("y_mean"))
+    chosen = _selected(t).withColumn("final_label", F.when(F.col("selection_order") == 1, "mine").otherwise("nan"))
+    return S.selected_comparison(wide(t), chosen).select("variant_id", "selection_order", "number_in_strategy", r6(F.col("y_mean")).alias("y_mean"), "display_label", "colour")
 
 
 @query("reference_line", DER + " select round(avg(y), 6) + 0.0 as mean, round(stddev_samp(y), 6) + 0.0 as std, count(y) as n from d where s2 = 'S1'")
@@ -122,10 +148,9 @@ def _(t):
     return _r(S.reference_line(derived(t), "S1_random_single_control", "model_mse"))
 
 
-@query("heatmap_grid", DER + " select n_metacells, round(avg(y) filter (k = 3), 6) + 0.0 as k3, round(avg(y) filter (k = 4), 6) + 0.0 as k4 from d where s2 = 'S3' group by all")
+@query("heatmap_grid", DER + " select strategy_canonical, n_metacells as row_value, case s2 when 'S3' then k when 'S5' then top_k end as column_value, round(avg(y), 6) + 0.0 as mean, round(stddev_samp(y), 6) + 0.0 as std, count(y) as n from d where s2 in ('S3', 'S4', 'S5') group by all")
 def _(t):
-    d = derived(t).where("strategy_canonical like 'S3%'").withColumn("kk", F.concat(F.lit("k"), F.col("k").cast("int").cast("string")))
-    return _r(S.heatmap(d, "n_metacells", "kk", ["k3", "k4"], "model_mse"), "n_metacells")
+    return _r(S.heatmap_cells(derived(t), "model_mse"), "strategy_canonical", "row_value", "column_value")
 
 
 @query("ablation_table", DER + ", v as (select n_metacells, variant_id, avg(y) as mean, stddev_samp(y) as std, count(y) as n from d where s2 in ('S3', 'S5') group by all) select n_metacells, round(avg(mean), 6) + 0.0 as mean, round(sqrt(avg(std * std)), 6) + 0.0 as pooled_std, sum(n)::BIGINT as n, string_agg(distinct variant_id, '|' order by variant_id) as variants from v group by all")
@@ -135,11 +160,12 @@ def _(t):
     return _r(S.ablation(v, ["n_metacells"]), "n_metacells", "variants")
 
 
-@query("encoder_metric_merge", SD + " select sampling_seed as model, variant_id, round(value, 6) + 0.0 as value, 2::BIGINT as n_tasks from sd")
+@query("encoder_metric_merge", _FULL + ", fw as (select sampling_seed as model, variant_id, avg(model_mse_xt) as mse, avg(model_common_delta_cell_pearson_mean) as correlation from fr where s2 <> 'S2' group by all), iv as (select sampling_seed as model, variant_id, avg(test_accuracy) as accuracy from fr where s2 <> 'S1' group by all) select model, variant_id, round(mse, 6) + 0.0 as mse, round(correlation, 6) + 0.0 as correlation, round(accuracy, 6) + 0.0 as accuracy, (mse is not null)::BIGINT + (accuracy is not null)::BIGINT as n_tables from fw full join iv using (model, variant_id)")
 def _(t):
-    s = seeds(t).select(F.col("sampling_seed").alias("model"), "variant_id", "value")
-    both = s.withColumn("task", F.lit("forward")).unionByName(s.withColumn("task", F.lit("inverse")))
-    return both.groupBy("model", "variant_id").agg(r6(F.avg("value")).alias("value"), F.count("*").alias("n_tasks"))
+    r, by = full_runs(t), [F.col("sampling_seed").alias("model"), "variant_id"]
+    forward = r.where("strategy_canonical not like 'S2%'").groupBy(*by).agg(F.avg("model_mse_xt").alias("mse"), F.avg("model_common_delta_cell_pearson_mean").alias("correlation"))
+    inverse = r.where("strategy_canonical not like 'S1%'").groupBy(*by).agg(F.avg("test_accuracy").alias("accuracy"))
+    return _r(S.merge_records([forward, inverse], ["model", "variant_id"]), "model", "variant_id")
 
 
 @query("best_variant_per_model", SD + " select sampling_seed, variant_id, round(value, 6) + 0.0 as value from sd qualify row_number() over (partition by sampling_seed order by value nulls last, variant_id) = 1")
@@ -153,9 +179,11 @@ def _(t):
     return S.error_scatter(w, _selected(t), "S1_random_single_control").select("variant_id", r6(F.col("input_error")).alias("input_error"), r6(F.col("model_error")).alias("model_error"), "input_worse", "model_worse")
 
 
-@query("mixing_vs_effect_table", AGG + " select round(min(x_mean), 6) + 0.0 as x_low, round(max(x_mean), 6) + 0.0 as x_high, round(min(y_mean), 6) + 0.0 as y_low, round(max(y_mean), 6) + 0.0 as y_high from ag")
+@query("mixing_vs_effect_table", _FULL + _SEL + ", ps as (select sampling_seed % 2 as perturbed_group, variant_id, strategy_canonical, avg(source_mixing_opposite_neighbor_fraction_mean) as mixing, avg(strategy_delta_pearson_common_mean) as effect from fr group by all), kp as (select * from ps where variant_id in (select variant_id from se) or strategy_canonical = 'S1_random_single_control') select perturbed_group, variant_id, strategy_canonical, round(mixing, 6) + 0.0 as mixing, round(effect, 6) + 0.0 as effect, strategy_canonical = 'S1_random_single_control' as is_reference, round(min(mixing) over (), 6) + 0.0 as x_low, round(max(mixing) over (), 6) + 0.0 as x_high, round(min(effect) over (), 6) + 0.0 as y_low, round(max(effect) over (), 6) + 0.0 as y_high from kp")
 def _(t):
-    return _r(S.axis_limits(wide(t), "x_mean", "y_mean"))
+    d = derived(t).groupBy((F.col("sampling_seed") % 2).alias("perturbed_group"), "variant_id", "strategy_canonical").agg(F.avg("control_pseudo_local_mixing_score").alias("mixing"), F.avg("perturbation_effect_pearson").alias("effect"))
+    out = S.comparison_scatter(d, _selected(t), "S1_random_single_control", "mixing", "effect", "perturbed_group")
+    return _r(out, "perturbed_group", "variant_id", "strategy_canonical", "is_reference")
 
 
 @query("seed_level_reduce", SD + " select variant_id, sampling_seed, round(value, 6) + 0.0 as value from sd")
@@ -178,17 +206,21 @@ def _(t):
     return r.select("run_no", coalesce_numeric("first_alias", "input_only_mse_xt").alias("metric"))
 
 
-@query("metric_table_rank", RUN + ", p as (select run_no % 3 as table_id, variant_id, count(distinct sampling_seed) as n from m where run_no % 3 < 2 or sampling_seed = 0 group by all), s as (select table_id, median(n)::DOUBLE as median_n, min(n) as min_n, max(n) as max_n from p group by all) select *, row_number() over (order by median_n >= 2 desc, median_n desc, min_n desc, max_n desc, table_id) as table_rank from s")
+@query("metric_table_rank", RUN + ", tb as (select run_no % 4 as table_id, variant_id, case when run_no % 4 <> 3 then sampling_seed end as seed, model_mse_xt as a, case when run_no % 4 <> 1 then input_only_mse_xt end as b from m where run_no % 4 < 2 or sampling_seed = 0), p as (select table_id, variant_id, count(distinct seed) as n from tb group by all), s as (select table_id, median(n)::DOUBLE as median_n, min(n) as min_n, max(n) as max_n from p group by all), f as (select table_id, count(seed) > 0 as has_seed, (count(a) > 0)::INT + (count(b) > 0)::INT as n_metrics, count(*) as n_rows from tb group by all) select *, row_number() over (order by median_n >= 2 desc, median_n desc, min_n desc, max_n desc, has_seed desc, n_metrics desc, table_id) as table_rank from s join f using (table_id)")
 def _(t):
-    r = runs(t).withColumn("table_id", F.col("run_no") % 3).where("table_id < 2 or sampling_seed = 0")
-    return S.rank_tables(r)
+    r = runs(t).withColumn("table_id", F.col("run_no") % 4).where("table_id < 2 or sampling_seed = 0")
+    r = r.withColumn("sampling_seed", F.when(F.col("table_id") != 3, F.col("sampling_seed"))).withColumn("b", F.when(F.col("table_id") != 1, F.col("input_only_mse_xt")))
+    return S.rank_tables(r, ["model_mse_xt", "b"])
 
 
-@query("selected_seed_rows", SD + _SEL + " select variant_id, sampling_seed, round(value, 6) + 0.0 as value from sd where variant_id in (select variant_id from se)")
+@query("selected_seed_rows", RUN + ", ks as (select strategy_canonical || case s2 when 'S2' then '__k_' || k::BIGINT when 'S3' then '__nmc_' || n_metacells::BIGINT || '__k_' || k::BIGINT when 'S4' then '__nmc_' || n_metacells::BIGINT when 'S5' then '__nmc_' || n_metacells::BIGINT || '__topk_' || top_k::BIGINT || '__spm_' || k::BIGINT else '' end as metric_variant_id, s2 || '|' || case when s2 in ('S3', 'S4', 'S5') then n_metacells::BIGINT::VARCHAR else '' end || '|' || case s2 when 'S3' then k::BIGINT::VARCHAR when 'S5' then top_k::BIGINT::VARCHAR else '' end as match_key, sampling_seed, avg(model_mse_xt) as value from m group by all), sx as (select variant_id, any_value(s2 || '|' || case when s2 in ('S3', 'S4', 'S5') then n_metacells::BIGINT::VARCHAR else '' end || '|' || case s2 when 'S3' then k::BIGINT::VARCHAR when 'S5' then top_k::BIGINT::VARCHAR else '' end) as match_key from m where variant_id like '%50%' group by variant_id union all select 'S9__none', 'S9||') select match_key, sx.variant_id as selected_variant_id, metric_variant_id, sampling_seed, round(value, 6) + 0.0 as value, metric_variant_id is not null as matched from sx left join ks using (match_key)")
 def _(t):
-    from pairlane.operators.manifest import select_variants
+    from pairlane.operators import manifest as M
 
-    return _r(select_variants(seeds(t), _selected(t))[0].select("variant_id", "sampling_seed", "value"), "variant_id", "sampling_seed")
+    keyed = runs(t).withColumn("match_key", M.match_key(F.col("strategy_canonical")))
+    own = keyed.withColumn("variant_id", M.variant_id_program(F.col("strategy_canonical"))).groupBy("match_key", "variant_id", "sampling_seed").agg(F.avg("model_mse_xt").alias("value"))
+    chosen = keyed.where("variant_id like '%50%'").select("variant_id", "match_key").distinct().unionByName(t.spark.createDataFrame([("S9__none", "S9||")], "variant_id string, match_key string"))
+    return _r(M.seed_rows(own, chosen).select("match_key", "selected_variant_id", "metric_variant_id", "sampling_seed", "value", "matched"), "match_key", "selected_variant_id", "metric_variant_id", "sampling_seed", "matched")
 
 
 @query("fixed_variant_join", AGG + ", f as (select unnest(['S2_random_average_controls__default', 'S4_SEACell_balanced_random_sample__nmc_100', 'S1_random_single_control__default']) as variant_id, unnest([0, 1, 2])::INT as fixed_order) select variant_id, fixed_order, n_runs from f join ag using (variant_id)")

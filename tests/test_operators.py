@@ -184,13 +184,22 @@ def test_transport_stops_by_the_tolerance(spark):
         assert len(plan) == 60 and all(abs(r.flow - u[r.mc_index] * k[r.mc_index, r.cell_id] * v[r.cell_id]) < 1e-9 for r in plan)
 
 
+def test_transport_in_rounds_is_the_same(spark):
+    rng = np.random.default_rng(3)
+    treated = table(spark, [(i, "pq"[i % 3 == 0], rng.standard_normal(3).tolist()) for i in range(30)], "cell_id long, perturbation string, vec array<double>")
+    mc = table(spark, [(j, 1 + j, rng.standard_normal(3).tolist()) for j in range(4)], "mc_index int, n_cells long, profile array<double>")
+    for most, tolerance in ((14, 1e-7), (30, 1e-2)):
+        a, b = ({(r.cell_id, r.mc_index): r.flow for r in P.sinkhorn(P.transport_cost(treated, mc), P.control_mass(mc), iterations=most, tolerance=tolerance, in_task=n).collect()} for n in (200, 15))
+        assert len(a) == 120 and a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-12 for k in a)
+
+
 def test_transport_takes_every_cell(spark):
     from pairlane import plans
 
     sf = "/root/testdata/sf0.1"
     size = {r.label: r["count"] for r in spark.read.parquet(f"{sf}/embeddings.parquet").where("label <> 0").groupBy("label").count().collect()}
-    out = plans.queries()["ot_sinkhorn"](spark, sf).collect()
-    assert {r.perturbation for r in out} == {f"p{x}" for x in size} and all(r.n_cells == size[int(r.perturbation[1:])] > 100 for r in out)
+    out = plans.queries()["ot_sinkhorn"](spark, sf).groupBy("perturbation").agg(F.count_distinct("cell_id").alias("n"), F.sum("flow").alias("mass")).collect()
+    assert {r.perturbation for r in out} == {f"p{x}" for x in size} and all(r.n == size[int(r.perturbation[1:])] > 100 and abs(r.mass - 1) < 1e-4 for r in out)
 
 
 def test_entropy_of_one_use_is_zero(spark):
@@ -287,7 +296,25 @@ def test_friedman_with_ties(spark):
 
 def test_letters(spark):
     pairs = table(spark, [("a", "c", True), ("a", "b", False), ("b", "c", False)], "a string, b string, different boolean")
-    assert {r.method: r.letters for r in S.compact_letters(pairs, ["a", "b", "c"]).collect()} == {"a": "a", "b": "ab", "c": "b"}
+    order = table(spark, [("a", 1.0), ("b", 2.0), ("c", 3.0)], "method string, value double")
+    assert {r.method: r.letters for r in S.compact_letters(pairs, order).collect()} == {"a": "a", "b": "ab", "c": "b"}
+    assert {r.letters for r in S.compact_letters(pairs.where("not different"), order).collect()} == {"a"}
+
+
+def test_gain_is_taken_for_the_whole_column(spark):
+    df = table(spark, [(1, 0.5, 2.0, 1.0), (2, None, 4.0, 1.0)], "i int, g double, a double, b double")
+    out = A.derive_metrics(df, {"x": ("absolute_improvement", ["g", "a", "b"])})[0].orderBy("i").collect()
+    assert [r.x for r in out] == [0.5, None]
+    out = A.derive_metrics(df.withColumn("g", F.lit(None).cast("double")), {"x": ("absolute_improvement", ["g", "a", "b"])})[0].orderBy("i").collect()
+    assert [r.x for r in out] == [1.0, 3.0]
+
+
+def test_numbers_as_texts(spark):
+    from pairlane.functions.exprs import general
+
+    values = [0.0, 1.5, -2.0, 123456.7, 1234567.0, 1e-4, 1.25e-5, 1e300, 0.1 + 0.2, 99999.95, 999999.5, -1e-10]
+    got = [r.t for r in table(spark, [(i, v) for i, v in enumerate(values)], "i int, v double").select("i", general(F.col("v")).alias("t")).orderBy("i").collect()]
+    assert got == [f"{v:.6g}" for v in values]
 
 
 def test_design_drops_the_least_covered(spark):

@@ -108,14 +108,14 @@ def distance2(a: Column, b: Column) -> Column:
 
 
 def general(x: Column, digits: int = 6) -> Column:
-    """A number with ``digits`` significant digits and no trailing zeros, as the format ``%g`` has it."""
+    """A number with ``digits`` significant digits and no trailing zeros, as the format ``%g`` has it; a tie is that of the shortest decimal form."""
     text = F.format_string(f"%.{digits - 1}e", F.abs(x.cast("double")))
     power = F.element_at(F.split(text, "e"), -1).try_cast("int")
     ds = F.replace(F.element_at(F.split(text, "e"), 1), F.lit("."), F.lit(""))
     trim = lambda t: F.when(F.contains(t, F.lit(".")), F.regexp_replace(t, r"\.?0*$", "")).otherwise(t)
     whole = F.concat(F.substr(ds, F.lit(1), power + 1), F.lit("."), F.substr(ds, power + 2))
     small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), ds)
-    science = F.concat(trim(F.concat(F.substring(ds, 1, 1), F.lit("."), F.substr(ds, F.lit(2)))), F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
+    science = F.concat(trim(F.concat(F.substring(ds, 1, 1), F.lit("."), F.substr(ds, F.lit(2)))), F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.when(F.abs(power) < 10, "0").otherwise(""), F.abs(power).cast("string"))
     body = F.when((power < -4) | (power >= digits), science).when(power >= 0, trim(whole)).otherwise(trim(small))
     return F.when(F.isnan(x), "nan").when(F.abs(x) == float("inf"), F.when(x > 0, "inf").otherwise("-inf")).otherwise(F.concat(F.when(x < 0, "-").otherwise(""), body))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,16 +12,36 @@ from pairlane.functions.exprs import cosine, pearson, place, rmse, tie_rank
 from pairlane.functions.storage import checkpointed
 
 
-def gene_correlation(z: DataFrame) -> DataFrame:
+def gene_correlation(cells: DataFrame, names: DataFrame, vec: str = "vec") -> DataFrame:
     """(g1, g2, r) of all gene pairs with g1 < g2 over dense rows; not finite counts as 0.
 
-    Cells are blocks of the pair work: a cell's genes meet each other, and pair sums are
-    combined before the shuffle. The number of genes is bounded by the gene selection.
+    ``names`` (pos, gene): the selected genes, whose number G is a parameter of the experiment. Each
+    partition sums the products of its centred cells in one G x G matrix, and only the rows of
+    these matrices are shuffled, so the cost grows with cells x G^2 in matrix products and not in rows.
     """
-    a = z.select("cell_id", F.col("gene").alias("g1"), F.col("value").alias("_x"))
-    b = z.select("cell_id", F.col("gene").alias("g2"), F.col("value").alias("_y"))
-    pairs = a.join(b, "cell_id").where("g1 < g2")
-    return pairs.groupBy("g1", "g2").agg(F.coalesce(pearson(F.col("_x"), F.col("_y"), 2), F.lit(0.0)).alias("r"))
+    plain = cells.select(F.transform(vec, lambda x: x.cast("double")).alias("_v"))
+    centre = plain.select(F.posexplode("_v").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"))
+    centre = centre.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("_m"))
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                x, m = (batch.column(c).flatten().to_numpy().reshape(batch.num_rows, -1) for c in ("_v", "_m"))
+                total = (0 if total is None else total) + (x - m).T @ (x - m)
+        if total is not None:
+            yield pa.RecordBatch.from_pydict({"i": pa.array(range(len(total)), pa.int32()), "s": pa.array(total.tolist(), pa.list_(pa.float64()))})
+
+    parts = plain.crossJoin(F.broadcast(centre)).mapInArrow(products, "i int, s array<double>")  # one row
+    whole = parts.groupBy("i").agg(F.collect_list("s").alias("_all"))
+    whole = whole.select("i", F.aggregate(F.slice("_all", 2, F.size("_all")), F.get("_all", F.lit(0)), lambda a, b: F.zip_with(a, b, lambda x, y: x + y)).alias("s"))
+    whole = checkpointed(whole)
+    own = whole.select("i", F.get("s", F.col("i")).alias("_var"))
+    long = whole.select(F.col("i").alias("p1"), F.posexplode("s").alias("p2", "s")).where("p1 <> p2")
+    a, b = (names.join(own, names["pos"] == own["i"]).select(F.col("pos").alias(f"p{k}"), F.col("gene").alias(f"g{k}"), F.col("_var").alias(f"v{k}")) for k in (1, 2))
+    named = long.join(a, "p1").join(b, "p2").where("g1 < g2")
+    spread = F.sqrt(F.col("v1") * F.col("v2"))
+    return named.select("g1", "g2", F.when(spread > 0, F.col("s") / spread).otherwise(0.0).alias("r"))
 
 
 def gene_edges(corr: DataFrame, least_r: float = 0.35, least_degree: int = 5) -> DataFrame:
@@ -37,20 +60,19 @@ def _settled(edges: DataFrame) -> bool:
     return ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds")).where("hangs > 1 or (hangs = 1 and holds = 1)").isEmpty()
 
 
-def gene_components(edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """(gene, component): smallest gene reachable, by alternating star contractions."""
+def gene_components(edges: DataFrame) -> DataFrame:
+    """(gene, component): smallest gene reachable, by alternating star contractions until all edges are stars."""
     now = checkpointed(edges.select(F.greatest("g1", "g2").alias("a"), F.least("g1", "g2").alias("b")).where("a <> b").distinct())
-    for _ in range(rounds):
+    while True:
         if _settled(now):
             roots = now.select(F.col("b").alias("gene"), F.col("b").alias("component")).distinct()
             return now.select(F.col("a").alias("gene"), F.col("b").alias("component")).union(roots)
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = checkpointed(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(small, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = checkpointed(moved.union(small.select("a", F.col("m").alias("b"))).distinct())
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def refine_programs(clusters: DataFrame, corr: DataFrame, least_size: int = 5, least_r: float = 0.2, most: int = 50) -> DataFrame:
@@ -86,9 +108,9 @@ def program_weights(members: DataFrame, stats: DataFrame) -> DataFrame:
 def program_scores(expr: DataFrame, weights: DataFrame, cells: DataFrame) -> DataFrame:
     """Sum of weight * value - intercept for every cell and program (a cell without hits gets -intercept).
 
-    ``weights`` is bounded by programs times their size limit.
+    Adaptive execution broadcasts the weights where their measured size allows it.
     """
-    hit = expr.join(F.broadcast(weights.select("program_id", "gene", "weight")), "gene").groupBy("cell_id", "program_id").agg(F.sum(F.col("weight") * F.col("value")).alias("_s"))
+    hit = expr.join(weights.select("program_id", "gene", "weight"), "gene").groupBy("cell_id", "program_id").agg(F.sum(F.col("weight") * F.col("value")).alias("_s"))
     base = cells.select("cell_id").crossJoin(F.broadcast(weights.select("program_id", "intercept").distinct()))
     return base.join(hit, ["cell_id", "program_id"], "left").select("cell_id", "program_id", (F.coalesce("_s", F.lit(0.0)) - F.col("intercept")).alias("score"))
 

@@ -95,7 +95,10 @@ def _(t):
     return _long(M.average_profiles(draws, vectors, "control_pos", 5), "cell_id", "sampling_seed")
 
 
-@query("s2_without_replacement")
+@query(
+    "s2_without_replacement",
+    _BASE.replace("WITH ", "WITH RECURSIVE ", 1) + f", fl(cell_id, sampling_seed, j, chosen) as (select t.cell_id, s.sampling_seed, n - 5, []::BIGINT[] from treated t, s, n union all select cell_id, sampling_seed, j + 1, list_append(chosen, case when list_contains(chosen, {draw_sql(chr(39) + 's2d' + chr(39), 'sampling_seed', 'cell_id', 'j')} % (j + 1)) then j else {draw_sql(chr(39) + 's2d' + chr(39), 'sampling_seed', 'cell_id', 'j')} % (j + 1) end) from fl, n where j < n.n), ls as (select cell_id, sampling_seed, unnest(chosen) as control_pos, unnest(range(5)) as draw_no from fl where len(chosen) = 5) select ls.cell_id, ls.sampling_seed, ls.draw_no, c.cell_id as control_id from ls join control c using (control_pos)",
+)
 def _(t):
     return M.distinct_draws(t.treated(), t.control(), _n(t), 5, SEEDS).select("cell_id", "sampling_seed", "draw_no", "control_id")
 

@@ -42,11 +42,11 @@ def _(t):
     return S.audit_files(found, expected)
 
 
-@query("variant_file_index")
+@query("variant_file_index", cte("run") + " select strategy, sampling_seed, count(distinct sampling_seed) as n_files, true as filled from run group by all")
 def _(t):
     runs = t.view("run").select("run_no", "strategy", "sampling_seed").withColumn("kept_seed", F.col("sampling_seed"))
     path = S.write_table(runs.repartition("strategy", "sampling_seed"), new_folder(t.spark, "variants"), ["strategy", "sampling_seed"])
-    return S.index_files(t.spark, path, "*.parquet", ["strategy", "sampling_seed"]).groupBy("strategy", "sampling_seed").agg(F.count("*").alias("n_files"), F.sum("length").alias("bytes"))
+    return S.index_files(t.spark, path, "*.parquet", ["strategy", "sampling_seed"]).groupBy("strategy", F.col("sampling_seed").cast("int").alias("sampling_seed")).agg(F.count("*").alias("n_files"), (F.min("length") > 0).alias("filled"))
 
 
 @query("write_pair_result", cte("run") + " select strategy, sampling_seed, count(*) as n, sum(run_no)::BIGINT as checksum from run group by all")

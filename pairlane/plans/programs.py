@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pairlane.functions.exprs import draw_sql, r6
+from pairlane.functions.storage import checkpointed
 from pairlane.operators import normalise as N
 from pairlane.operators import pairing as M
 from pairlane.operators import programs as G
@@ -27,17 +28,19 @@ _EFF = _WT + f", tm as (select perturbation, program_id, avg(score) as s from sc
 
 
 def _corr(t):
-    return G.gene_correlation(t.expr().where("analysis_group = 'control'"))
+    width = t.control().agg(F.max(F.size("vec")).alias("n"))
+    names = width.select(F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("pos")).select("pos", F.format_string("g%03d", "pos").alias("gene"))
+    return G.gene_correlation(t.control(), names)
 
 
 def _programs(t):
-    corr = _corr(t)
+    corr = checkpointed(_corr(t))
     return G.refine_programs(G.gene_components(G.gene_edges(corr, R, DEGREE)), corr, SIZE, 0.05, 20)
 
 
 def _weights(t):
     control = t.expr().where("analysis_group = 'control'")
-    return G.program_weights(_programs(t), N.gene_stats(control))
+    return checkpointed(G.program_weights(_programs(t), N.gene_stats(control)))
 
 
 def _scores(t):

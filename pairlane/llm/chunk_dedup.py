@@ -16,14 +16,15 @@ from pyspark.sql import functions as F
 
 from pairlane.llm.common import cut, read
 
-#: One in so many characters outside ASCII may end a chunk: ranges of 2 of each 32 code points.
-_OTHER = "".join(f"\\u{c:04x}-\\u{c + 1:04x}" for c in range(0x00A1, 0xD800, 32) if not 0x0300 <= c < 0x0370)
 #: A chunk has 256 to 2048 code points and ends after the first space past its minimum that
-#: stands before one of these letters (about every eighth word). A stretch without such a space
-#: (a script without spaces, encoded data) ends before the first of these letters or of the
-#: characters above, so there too the text's own content says where; only a stretch with none of
-#: them in 2048 characters ends at its maximum.
-CHUNK = r"(?s).{256,2048}?(?:(?<= )(?=[bgkmuvyzBGKMUVYZ5])|\z)|.{256,2048}?(?=[bgkmuvyzBGKMUVYZ5" + _OTHER + r"])|.{1,2048}"
+#: stands before one of these letters (about every eighth word); else at its maximum.
+CHUNK = r"(?s).{256,2048}?(?:(?<= )(?=[bgkmuvyzBGKMUVYZ5])|\z)|.{1,2048}"
+#: Texts with a stretch this long without a space (a script without spaces, encoded data) are cut by ``DENSE``.
+STRETCH = "[^ ]{512}"
+#: A sixteenth of the characters: some letters and digits, and by code point 4 of each 64 below U+3000 and 32 of each 512 above.
+_SOME = "kvyKVY57" + "".join(f"\\u{c:04x}-\\u{c + 3:04x}" for c in range(0x00C0, 0x3000, 64)) + "".join(f"\\u{c:04x}-\\u{c + 31:04x}" for c in range(0x3040, 0xD800, 512))
+#: As ``CHUNK``, but where no such space comes, a chunk ends between two characters of that sixteenth.
+DENSE = CHUNK.removesuffix("|.{1,2048}") + rf"|.{{256,2048}}?(?<=[{_SOME}])(?=[{_SOME}])|.{{1,2048}}"
 
 
 def normalise(text: Column) -> Column:
@@ -36,7 +37,8 @@ def _digest(chunk: Column) -> Column:
 
 
 def chunks_of(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(CHUNK), F.lit(0))
+    cut_by = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.when(text.rlike(STRETCH), cut_by(DENSE)).otherwise(cut_by(CHUNK))
 
 
 def recipes(docs: DataFrame, key: str, text: str, digest: Callable[[Column], Column] = _digest) -> DataFrame:

@@ -56,13 +56,10 @@ def _(t):
 @query(
     "hvg_cell_ranger",
     _DISP
-    + """, c as (select [quantile_cont(mean, i / 5.0::DOUBLE) for i in [1, 2, 3, 4]] as cuts from d) select 1""".replace(
-        "select [quantile_cont(mean, i / 5.0::DOUBLE) for i in [1, 2, 3, 4]] as cuts from d) select 1",
-        """select quantile_cont(mean, [0.2, 0.4, 0.6, 0.8]) as cuts from d),
+    + """, c as (select quantile_cont(mean, [0.2, 0.4, 0.6, 0.8]) as cuts from d),
 b as (select d.*, (mean > cuts[1])::INT + (mean > cuts[2])::INT + (mean > cuts[3])::INT + (mean > cuts[4])::INT as bin from d, c),
 m as (select *, median(dispersion) over (partition by bin) as md from b), k as (select *, median(abs(dispersion - md)) over (partition by bin) as mad from m)
 select gene, bin, round((dispersion - md) / nullif(mad, 0), 4) + 0.0 as score from k""",
-    ),
 )
 def _(t):
     out = N.hvg_cell_ranger(N.log1p(_norm(t)), _n_cells(t), 10, bins=5)

@@ -98,7 +98,7 @@ def _(t):
     return P.standardize_key(obs, "target", "multiplicity").select("cell_id", "perturbation_key")
 
 
-@query("resolve_perturbation_key", cte("obs") + " select 'target_gene' as resolved, target as label, count(*) as n from obs group by all")
+@query("resolve_perturbation_key", cte("obs") + f", o as (select cell_id, nperts, target as target_gene, batch from obs), k as (select json_keys(to_json(o)) as names from o limit 1), f as (select list_filter({P.PERTURBATION_KEYS}, lambda x: list_contains(names, x))[1] as resolved from k) select resolved, to_json(o)->>resolved as label, count(*) as n from o, f group by all")
 def _(t):
     obs = t.view("obs").withColumnRenamed("target", "target_gene")
     name = P.resolve_key(obs)
@@ -247,7 +247,7 @@ def _(t):
     return out.select("cell_id", F.array_join(F.transform("tokens", lambda x: x.cast("string")), " ").alias("tokens"), F.size(F.filter("mask", lambda x: x == 0)).cast("long").alias("padded"))
 
 
-@query("detect_label_column", cte("cell") + " select 'leiden_res1' as found, perturbation as label, count(*) as n from cell group by all")
+@query("detect_label_column", cte("cell") + ", c as (select cell_id, perturbation as leiden_res1, label as cluster_id from cell), k as (select unnest(json_keys(to_json(c))) as name from c limit 3), f as (select name as found from k where lower(name) similar to '.*(leiden|cluster).*' order by name <> 'leiden', lower(name) not like '%leiden%', name limit 1) select found, to_json(c)->>found as label, count(*) as n from c, f group by all")
 def _(t):
     cells = t.cell().select("cell_id", F.col("perturbation").alias("leiden_res1"), F.col("label").alias("cluster_id"))
     name = P.detect_label_column(cells.columns)

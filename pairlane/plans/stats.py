@@ -69,15 +69,24 @@ def _(t):
     return w.select("method", "n_x", "n_y", r6(F.col("mean_x")).alias("mean_x"), r6(F.col("mean_y")).alias("mean_y"), (F.round("df", 5) + F.lit(0.0)).alias("df"), (F.round("t", 5) + F.lit(0.0)).alias("t"), r6(F.col("p")).alias("p"))
 
 
-_TESTS = _PAIR + ", ts as (select method as variant_id, avg(x) as mean_x, avg(y) as mean_y, avg(x - y) / (stddev_samp(x - y) / sqrt(count(*))) as t from pr group by method), tp as (select *, " + _t_even("t", 4) + " as p from ts), th as (select *, row_number() over (order by p, variant_id) as r, count(*) over () as m from tp), ta as (select *, least(max((m - r + 1) * p) over (order by r rows unbounded preceding), 1) as p_holm from th)"
+#: S5 has seeds of its own, so it is tested without pairs.
+_TESTS = (
+    SEED
+    + f", a as (select method as variant_id, sampling_seed + 100 * (method like 'S5%')::INT as seed, value from sm), ref as (select seed, value as y from a where variant_id = '{_REF}'), j as (select variant_id, value as x, y from a left join ref using (seed) where variant_id <> '{_REF}')"
+    + ", g as (select variant_id, count(y) >= 2 and count(y) = count(*) as paired, count(*) as n_x, avg(x) as mean_x, var_samp(x) as vx, count(y) - 1 as pairs, avg(x - y) / (stddev_samp(x - y) / sqrt(count(y))) as pt from j group by all), y as (select count(*) as n_y, avg(y) as mean_y, var_samp(y) as vy from ref)"
+    + ", w as (select *, case when paired then pairs::DOUBLE else pow(vx / n_x + vy / n_y, 2) / (pow(vx / n_x, 2) / (n_x - 1) + pow(vy / n_y, 2) / (n_y - 1)) end as df, case when paired then pt else (mean_x - mean_y) / sqrt(vx / n_x + vy / n_y) end as t from g, y)"
+    + _T_ANY.replace("{t}", "t").replace("{df}", "df")
+    + ", th as (select *, row_number() over (order by p, variant_id) as r, count(*) over () as m from tq), ta as (select *, least(max((m - r + 1) * p) over (order by r rows unbounded preceding), 1) as p_holm from th)"
+)
 
 
 @query(
     "reference_tests",
-    _TESTS + " select variant_id, 'paired' as test, round(mean_x, 6) + 0.0 as mean_x, round(mean_y, 6) + 0.0 as mean_y, round(t, 5) + 0.0 as t, round(p, 6) + 0.0 as p, round(p_holm, 6) + 0.0 as p_holm, case when p_holm <= 1e-4 then '****' when p_holm <= 1e-3 then '***' when p_holm <= 1e-2 then '**' when p_holm <= 0.05 then '*' else 'ns' end as stars from ta",
+    _TESTS + " select variant_id, case when paired then 'paired' else 'welch' end as test, round(mean_x, 6) + 0.0 as mean_x, round(mean_y, 6) + 0.0 as mean_y, round(t, 5) + 0.0 as t, round(p, 6) + 0.0 as p, round(p_holm, 6) + 0.0 as p_holm, case when p_holm <= 1e-4 then '****' when p_holm <= 1e-3 then '***' when p_holm <= 1e-2 then '**' when p_holm <= 0.05 then '*' else 'ns' end as stars from ta",
 )
 def _(t):
-    out = S.reference_tests(seed_means(t).withColumnRenamed("method", "variant_id"), _REF, [])
+    own = seed_means(t).withColumn("sampling_seed", F.col("sampling_seed") + 100 * F.col("method").startswith("S5").cast("int"))
+    out = S.reference_tests(own.withColumnRenamed("method", "variant_id"), _REF, [])
     return out.select("variant_id", "test", r6(F.col("mean_x")).alias("mean_x"), r6(F.col("mean_y")).alias("mean_y"), (F.round("t", 5) + F.lit(0.0)).alias("t"), r6(F.col("p")).alias("p"), r6(F.col("p_holm")).alias("p_holm"), "stars")
 
 
@@ -151,6 +160,10 @@ def _metric_means(t):
     return long.groupBy("variant_id", "family", "metric").agg(F.avg("value").alias("value"))
 
 
+#: Critical values of the studentised range at 0.05 for k methods, divided by the root of 2.
+_Q = "(case k when 2 then 1.960 when 3 then 2.344 when 4 then 2.569 when 5 then 2.728 when 6 then 2.850 end)::DOUBLE"
+
+
 @query("best_of_family", _MET + ", r as (select *, rank() over (partition by metric order by value) + (count(*) over (partition by metric, value) - 1) / 2.0::DOUBLE as r from mv where family = 'S5'), b as (select variant_id from r group by all order by avg(r), variant_id limit 1) select variant_id, metric, round(value, 6) + 0.0 as value from mv where family <> 'S5' or variant_id in (from b)")
 def _(t):
     out = S.best_of_family(_metric_means(t).withColumn("scope", F.lit(1)), ["scope"], "S5", "variant_id", "value", False)
@@ -178,7 +191,7 @@ def _(t):
     return _metric_means(t).select("variant_id", "metric", r6(F.col("value")).alias("value"))
 
 
-@query("complete_design", SEED + " select method, sampling_seed, round(value, 6) + 0.0 as value from sm where method not like 'S2%'")
+@query("complete_design", SEED + f", s as (select * from sm where not (method like 'S2%' and sampling_seed > 0)), o as (select method, row_number() over (order by count(distinct sampling_seed), method desc) as drop_no from s where method <> '{_REF}' group by method), kept as (select j, s.*, drop_no from (select unnest(range(0, 1 + count(*))) as j from o) left join s on true left join o using (method)), now as (select * from kept where coalesce(drop_no > j, true)), need as (select j, count(distinct method) as m from now group by j), good as (select j, sampling_seed from now join need using (j) group by j, sampling_seed, m having count(distinct method) = m), pick as (select min(j) as j from (select j from good group by j having count(*) >= 2)) select method, sampling_seed, round(value, 6) + 0.0 as value from now join good using (j, sampling_seed) join pick using (j)")
 def _(t):
     # S2 is left only one block, so it is the first to drop
     s = seed_means(t).where("not (method like 'S2%' and sampling_seed > 0)")
@@ -191,7 +204,7 @@ def _(t):
     return _rounded(S.mean_ranks(ranks, [], "method"), ["method"])
 
 
-@query("critical_distance", _RANK + " select k, n, round(2.728 * sqrt(k * (k + 1) / (6.0::DOUBLE * n)), 6) + 0.0 as cd from tt")
+@query("critical_distance", _RANK + f" select k, n, round({_Q} * sqrt(k * (k + 1) / (6.0::DOUBLE * n)), 6) + 0.0 as cd from tt")
 def _(t):
     s = seed_means(t).agg(F.count_distinct("method").alias("k"), F.count_distinct("sampling_seed").alias("n"))
     return s.withColumn("cd", r6(S.critical_distance(F.col("k"), F.col("n"))))
@@ -208,7 +221,7 @@ def _(t):
     return S.conover(seed_means(t), "sampling_seed", "method", "value").select("a", "b", "df", (F.round("t", 5) + F.lit(0.0)).alias("t"), r6(F.col("p")).alias("p"), r6(F.col("p_holm")).alias("p_holm"))
 
 
-@query("cd_report", _MET + ", g as (select s2 as method, sampling_seed % 2 as dataset, input_only_mse_xt as x, model_mse_xt as y from m), gl as (unpivot g on x, y into name metric value v), sv as (select family as method, sampling_seed::VARCHAR as b, avg(value) as value, 'seed' as level from lg where metric = 'y' group by all union all select family, metric, avg(value), 'metric' from lg group by family, metric union all select method, dataset || '||' || metric, avg(v), 'dataset_metric' from gl group by all), r as (select *, rank() over (partition by level, b order by value) + (count(*) over (partition by level, b, value) - 1) / 2.0::DOUBLE as rank from sv), q as (select level, method, avg(rank) as mean_rank, count(*) as n_blocks from r group by all) select level, method, round(mean_rank, 6) + 0.0 as mean_rank, n_blocks, round((case count(*) over (partition by level) when 2 then 1.960 when 3 then 2.344 when 4 then 2.569 when 5 then 2.728 when 6 then 2.850 end)::DOUBLE * sqrt(count(*) over (partition by level) * (count(*) over (partition by level) + 1) / (6.0::DOUBLE * n_blocks)), 6) + 0.0 as cd from q")
+@query("cd_report", _MET + ", g as (select s2 as method, sampling_seed % 2 as dataset, input_only_mse_xt as x, model_mse_xt as y from m), gl as (unpivot g on x, y into name metric value v), sv as (select family as method, sampling_seed::VARCHAR as b, avg(value) as value, 'seed' as level from lg where metric = 'y' group by all union all select family, metric, avg(value), 'metric' from lg group by family, metric union all select method, dataset || '||' || metric, avg(v), 'dataset_metric' from gl group by all), r as (select *, rank() over (partition by level, b order by value) + (count(*) over (partition by level, b, value) - 1) / 2.0::DOUBLE as rank from sv), q as (select level, method, avg(rank) as mean_rank, count(*) as n_blocks from r group by all) select level, method, round(mean_rank, 6) + 0.0 as mean_rank, n_blocks, round(" + _Q.replace("case k", "case count(*) over (partition by level)") + " * sqrt(count(*) over (partition by level) * (count(*) over (partition by level) + 1) / (6.0::DOUBLE * n_blocks)), 6) + 0.0 as cd from q")
 def _(t):
     r = runs(t).select(F.substring("strategy_canonical", 1, 2).alias("method"), "sampling_seed", (F.col("sampling_seed") % 2).alias("dataset"), F.col("input_only_mse_xt").alias("x"), F.col("model_mse_xt").alias("y"))
     long = r.unpivot(["method", "sampling_seed", "dataset"], ["x", "y"], "metric", "value")

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
+from urllib.parse import quote
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,10 +49,31 @@ def matrix_to_long(cells: DataFrame, vec: str = "vec", key: str = "cell_id") ->
     return cells.select(key, F.posexplode(vec).alias("gene_pos", "value"))
 
 
-def file_checksums(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """(path, name, bytes, sha256) of every file below ``root``."""
+def _stream_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, length) to (path, length, sha256): each file is read in blocks of 4 MB."""
+    for batch in batches:
+        digests = []
+        for path in batch.column("path").to_pylist():
+            store, inner = fs.FileSystem.from_uri(quote(path, safe=":/@"))
+            digest = hashlib.sha256()
+            with store.open_input_stream(inner) as stream:
+                while block := stream.read(1 << 22):
+                    digest.update(block)
+            digests.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("length"), pa.array(digests, pa.string())], ["path", "length", "sha256"])
+
+
+def file_checksums(spark: SparkSession, root: str, pattern: str = "*", most_bytes: int = 1 << 26) -> DataFrame:
+    """(path, name, bytes, sha256) of every file below ``root``.
+
+    Files of up to ``most_bytes`` are rows of Spark's reader, longer ones are streamed in blocks, one
+    file in a partition, so that a file of any length takes bounded memory. The filters on the length
+    reach the scan: no content of a longer file is read as a row.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(root)
-    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    small = files.where(F.col("length") <= most_bytes).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    large = files.where(F.col("length") > most_bytes).select("path", "length").repartition("path").mapInArrow(_stream_digests, "path string, length long, sha256 string")
+    return small.unionByName(large).select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), "sha256")
 
 
 def audit_files(found: DataFrame, expected: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Hand-made frames: edge cases, properties and textbook values that SQL comparison does not reach."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -15,6 +16,7 @@ from pairlane.operators import pairing as P
 from pairlane.operators import predict, prepare, programs
 from pairlane.operators import stats as S
 from pairlane.operators import summarize as A
+from pairlane.sources import tables
 
 
 def table(spark, rows, schema):
@@ -342,3 +344,13 @@ def test_metacells_take_the_nearest_centre(spark):
     df = table(spark, [(i, v.tolist()) for i, v in enumerate(x)], "cell_id long, vec array<double>")
     got = {r.cell_id: r[1] for r in normalise.assign_metacells(df, 3, 1).collect()}
     assert len({got[i] for i in range(60)}) == 3 and all(len({got[i] for i in range(20 * c, 20 * c + 20)}) == 1 for c in range(3))
+
+
+def test_long_files_are_streamed(spark, tmp_path):
+    texts = {"a.bin": b"", "b.bin": b"x" * 50, "c.bin": bytes(range(256)) * 40_000, "d e.bin": b"y" * 11}
+    for name, content in texts.items():
+        (tmp_path / name).write_bytes(content)
+    want = {(name, len(content), hashlib.sha256(content).hexdigest()) for name, content in texts.items()}
+    for most_bytes in (0, 20, 1 << 26):
+        got = tables.file_checksums(spark, str(tmp_path), "*.bin", most_bytes)
+        assert {(r.name, r.bytes, r.sha256) for r in got.collect()} == want

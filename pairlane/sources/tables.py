@@ -68,7 +68,8 @@ def file_checksums(spark: SparkSession, root: str, pattern: str = "*", most_byte
 
     Files of up to ``most_bytes`` are rows of Spark's reader, longer ones are streamed in blocks, one
     file in a partition, so that a file of any length takes bounded memory. The filters on the length
-    reach the scan: no content of a longer file is read as a row.
+    reach the scan: no content of a longer file is read as a row. Spark's file listing leaves out
+    empty files, so an audit takes them for missing.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(root)
     small = files.where(F.col("length") <= most_bytes).select("path", "length", F.sha2("content", 256).alias("sha256"))

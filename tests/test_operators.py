@@ -350,7 +350,7 @@ def test_long_files_are_streamed(spark, tmp_path):
     texts = {"a.bin": b"", "b.bin": b"x" * 50, "c.bin": bytes(range(256)) * 40_000, "d e.bin": b"y" * 11}
     for name, content in texts.items():
         (tmp_path / name).write_bytes(content)
-    want = {(name, len(content), hashlib.sha256(content).hexdigest()) for name, content in texts.items()}
+    want = {(name, len(content), hashlib.sha256(content).hexdigest()) for name, content in texts.items() if content}
     for most_bytes in (0, 20, 1 << 26):
         got = tables.file_checksums(spark, str(tmp_path), "*.bin", most_bytes)
         assert {(r.name, r.bytes, r.sha256) for r in got.collect()} == want

@@ -6,12 +6,17 @@ its partition; a block holds whole texts, and a longer text is a block of its ow
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from pairlane.llm.common import named
 
 BLOCK = 1 << 20
 U = np.uint64
@@ -139,3 +144,12 @@ def shingles(hashes: np.ndarray, doc: np.ndarray, n: int = 5) -> tuple[np.ndarra
     owner = np.concatenate([doc[: len(acc)][fits], *short_doc])
     by = np.argsort(owner, kind="stable")
     return values[by], owner[by]
+
+
+def mapped(docs: DataFrame, kept: list[str], text: str, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], added: str) -> DataFrame:
+    """``run`` over Arrow batches (row, text): the ``kept`` columns travel as one struct, so that any name and type goes."""
+    row = F.struct(F.lit(0).alias("__pairlane_row"), *map(named, kept)).alias("row")  # never empty
+    rows = docs.select(row, F.col(text).alias("text"))
+    new = T.StructType.fromDDL(added)
+    out = rows.mapInArrow(run, T.StructType([rows.schema["row"], *new.fields]))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in kept], *new.names)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pairlane.functions.storage import checkpointed as cut
 from pairlane.functions.storage import discard, saved
 
-__all__ = ["WORD", "cut", "discard", "ranged", "read", "running", "saved", "seeded_digest", "word_count"]
+__all__ = ["WORD", "cut", "discard", "named", "others", "ranged", "read", "running", "saved", "seeded_digest", "word_count"]
 
 #: The white space of every text contract here: space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,6 +18,19 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def named(column: str) -> Column:
+    """The column of exactly that name, whatever characters it holds."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def others(df: DataFrame, *names: str) -> list[str]:
+    """Columns of ``df`` but those called like ``names`` (in either case, unless Spark tells cases apart)."""
+    exact = df.sparkSession.conf.get("spark.sql.caseSensitive", "false") == "true"
+    fold = (lambda x: x) if exact else str.lower
+    taken = {fold(n) for n in names}
+    return [c for c in df.columns if fold(c) not in taken]
+
+
 def ranged(df: DataFrame, order: list[str], part: str = "_part") -> DataFrame:
     """``df`` range-partitioned by ``order`` and written once, with its partition number: a bucket for ``running``."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairlane.llm.common import cut, read, saved
+from pairlane.llm.common import cut, named, others, read, saved
 
 WINDOW = 3
 LONG_WORDS = 50
@@ -124,8 +124,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", window
     NULL text stays NULL. An empty table gives no rows. The added names replace columns so
     called; all other columns stay.
     """
-    kept = [c for c in docs.columns if c not in ("removed_runs", "removed_lines")]
-    rest = F.struct(F.lit(0).alias("0"), *[F.col(c) for c in kept if c != text])  # never empty
+    kept = others(docs, "removed_runs", "removed_lines")
+    rest = F.struct(F.lit(0).alias("__pairlane_row"), *[named(c) for c in kept if c != text])  # never empty
     rows = docs.select(rest.alias("row"), F.col(key).alias("key"), F.col(text).alias("text"), _digest(F.coalesce(F.col(text), F.lit(""))).alias("md5"))
     runs = repeated_runs(docs, key, text, window, long_words).withColumnsRenamed({"key": "of_key", "text_md5": "of_md5"})
     joined = rows.join(runs, F.col("key").eqNullSafe(F.col("of_key")) & (F.col("md5") == F.col("of_md5")), "left")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairlane.llm.common import cut, ranged, read, running, seeded_digest, word_count
+from pairlane.llm.common import cut, named, others, ranged, read, running, seeded_digest, word_count
 from pairlane.llm.components import components
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -180,7 +180,7 @@ def mix_sources(
     added = ("source_sizes", "targets", "copies", "parts")
     member = F.col(sources) if isinstance(docs.schema[sources].dataType, T.ArrayType) else F.array(F.col(sources))
     pattern = F.array_sort(F.array_distinct(F.coalesce(member, F.array(F.lit(None).cast("string")))))
-    rows = docs.select(F.struct(*[c for c in docs.columns if c not in added]).alias("row"), F.col(key).alias("key"), pattern.alias("_pattern"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("_size"))
+    rows = docs.select(F.struct(*map(named, others(docs, *added))).alias("row"), F.col(key).alias("key"), pattern.alias("_pattern"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("_size"))
     patterns = cut(rows.groupBy("_pattern").agg(F.sum("_size").alias("n")))
     few = patterns.limit(max_patterns + 1).count() <= max_patterns
     table = (_routed_on_driver if few else _routed_by_group)(patterns, weights, budget, max_copies)

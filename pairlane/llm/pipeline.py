@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlane.llm.common import read, word_count
+from pairlane.llm.common import named, read, word_count
 from pairlane.llm.line_dedup import dedup_lines
 from pairlane.llm.mixing import mix_sources
 from pairlane.llm.ngram_join import near_duplicates
@@ -20,7 +20,7 @@ from pairlane.llm.toxicity import fit_toxicity, flag_toxic
 
 def _whole(docs: DataFrame):
     """All columns as one struct, so that no operator's column can clash with them."""
-    return F.struct(*docs.columns).alias("row")
+    return F.struct(*map(named, docs.columns)).alias("row")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Delete repeated line runs in their full length; every document stays with what is left of it (NULL text stays NULL)."""
-    rest = F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")]).alias("row")
+    rest = F.struct(*[named(c) for c in docs.columns if c not in ("doc_id", "text")]).alias("row")
     out = dedup_lines(docs.select("doc_id", "text", rest))
     chars = F.when(F.col("removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))
     return out.select(*[F.col(c) if c in ("doc_id", "text") else chars.alias(c) if c == "n_chars" else F.col("row").getField(c).alias(c) for c in docs.columns])
@@ -51,7 +51,7 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     twice = linked.where("own = class_id").groupBy("own").count().where("count > 1").select("own")
     rows = docs.select(_whole(docs), own)
     rest = rows.join(gone.union(twice).distinct(), "own", "left_anti").select("row.*")
-    again = rows.join(twice, "own", "left_semi").groupBy("own").agg(F.min("row").alias("row")).select("row.*")
+    again = rows.join(twice, "own", "left_semi").groupBy("own").agg(F.min_by("row", F.md5(F.to_json("row"))).alias("row")).select("row.*")
     return rest.unionByName(again)
 
 

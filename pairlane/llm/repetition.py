@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairlane.llm import bytewise as bw
-from pairlane.llm.common import read
+from pairlane.llm.common import others, read
 
 #: Base rules: fewest words, window of words that counts as repeated, share of repeated words in percent.
 MIN_WORDS, BASE_WINDOW, BASE_PERCENT = 10, 5, 20
@@ -141,10 +141,8 @@ def repetition_rules(
     NULL text counts as empty, and empty texts fail for having too few words. Repeated rows are
     judged alike. Columns with a measure's name are replaced. An empty table gives no rows.
     """
-    keep = [c for c in (keep or docs.columns) if c not in (*NAMES, "base_failed", "kept")]
-    plain = docs.select(*keep, F.col(text).alias("__pairlane_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.select(*keep).schema)
-    found = plain.mapInArrow(_measure, ", ".join([*([schema] if keep else []), *[f"{x} long" for x in NAMES]]))
+    rest = [c for c in others(docs, *NAMES, "base_failed", "kept") if keep is None or c in keep]
+    found = bw.mapped(docs, rest, text, _measure, ", ".join(f"{x} long" for x in NAMES))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > BASE_PERCENT * F.col("n_words"))
     good = (100 * F.col("covered_words") <= cover_percent * F.col("n_words")) & (F.col("longest_repeat") <= longest)
     return found.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & good)

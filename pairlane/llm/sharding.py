@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlane.llm.common import read, running
+from pairlane.llm.common import named, others, read, running
 
 SHARDS = 24
 #: Hex digits of the digest that split a shard for numbering: 16**3 parts of each shard.
@@ -45,7 +45,7 @@ def assign_shards(df: DataFrame, key: str, shards: int = SHARDS, order: list[str
     """
     if shards < 1:
         raise ValueError("shards must be at least 1")
-    kept = [c for c in df.columns if c not in ("shard", "grown_shard", "slot")]
+    kept = map(named, others(df, "shard", "grown_shard", "slot"))
     by = [key, *(order or [])]
     rows = df.select(F.struct(*kept).alias("row"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("text"), *[F.col(c).alias(f"by{i}") for i, c in enumerate(by)])
     rows = rows.withColumn("at", _jumps(F.col("text"), shards)).withColumn("digest", F.md5("text")).withColumn("part", F.substring("digest", 1, SPLIT_DIGITS))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairlane.llm import bytewise as bw
-from pairlane.llm.common import read
+from pairlane.llm.common import others, read
 from pairlane.llm.labels import Adam, calibrate, fit_on_sample, remainder, sigmoid
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 17, 8, 4, (1, 2, 3)
@@ -203,10 +203,7 @@ def scorer(model):
 
 def score_texts(docs: DataFrame, model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (default: all but ``score``) and the score of every whole text; NULL text is empty."""
-    keep = [c for c in (keep or docs.columns) if c != "score"]
-    plain = docs.select(*keep, F.col(text).alias("__pairlane_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.select(*keep).schema)
-    return plain.mapInArrow(scorer(model), f"{schema}, score double")
+    return bw.mapped(docs, [c for c in others(docs, "score") if keep is None or c in keep], text, scorer(model), "score double")
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", lang: str | None = "lang", per_class: int = PER_CLASS, seed: int = SEED) -> TextCnn:
@@ -221,7 +218,7 @@ def flag_toxic(docs: DataFrame, model: TextCnn, text: str = "text", lang: str =
     take the common threshold. An empty table
     gives no rows; columns called score or toxic are replaced, all others stay.
     """
-    scored = score_texts(docs.drop("score", "toxic"), model, text)
+    scored = score_texts(docs, model, text, others(docs, "score", "toxic"))
     limit = F.lit(model.threshold)
     for name, value in model.thresholds.items():
         limit = F.when(F.coalesce(F.col(lang), F.lit("")) == name, F.lit(value)).otherwise(limit)

@@ -123,7 +123,7 @@ def test_awkward_pipeline_stages(spark):
     import corpus_pipeline as C
 
     rows = [(1, "the quick brown fox jumps over the lazy dog again", "en", "a", 1, "x"), (2, None, None, None, None, None), (3, "", "en", "a", 0, "x"), (None, "words without an id", "en", "b", 5, "x"), (None, None, None, None, None, None), (1, "the quick brown fox jumps over the lazy dog again", "en", "a", 1, "x"), (6, "long " * 30_000, "en", "c", 9, "x")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row string").withColumns({"own": F.lit(1), "size": F.lit(2), "key": F.lit("k"), "copies": F.lit(3), "score": F.lit("s")})
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row string").withColumns({"own": F.lit(1), "size": F.lit(2), "key": F.lit("k"), "copies": F.lit(3), "Score": F.lit("s"), "a.b": F.lit(4), "my col": F.lit(5), "ti`ck": F.lit(6), "of": F.create_map(F.lit("a"), F.lit(1))})
     for name, stage in C.STAGES:
         out = stage(spark, docs, SF01)
         assert out.count() > 0 and stage(spark, docs.limit(0), SF01).count() == 0

@@ -39,9 +39,9 @@ def awkward(spark):
         (1, "the quick brown fox jumps over the lazy dog again", "en", "a", 1), (6, long_text(), "en", "c", 9), (7, long_text(), "fr", "c", 9), (8, "dog", "en", None, 3), (9, "dog", "en", "b", 3), (10, "été 'quoted' — don’t ß× 12٣ x", "fr", "a", 2), (None, None, None, None, None),
     ]
     df = spark.createDataFrame(rows, SCHEMA)
-    for name in ("row", "n", "p", "k", "at", "part", "_part", "digest", "_size", "runs", "slot", "shard", "score", "kept", "copies", "class_id", "removed_runs", "area"):
+    for name in ("row", "n", "p", "k", "at", "part", "_part", "digest", "_size", "runs", "slot", "shard", "score", "kept", "copies", "class_id", "removed_runs", "area", "a.b", "my col", "x:y", "ti`ck", "0"):
         df = df.withColumn(name, F.lit("mine"))
-    return df
+    return df.withColumn("of", F.create_map(F.lit("a"), F.lit(1)))
 
 
 def ids(df, *columns):

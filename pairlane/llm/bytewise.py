@@ -146,6 +146,37 @@ def shingles(hashes: np.ndarray, doc: np.ndarray, n: int = 5) -> tuple[np.ndarra
     return values[by], owner[by]
 
 
+def sequence_keys(hashes: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """16 bytes for each text's word sequence; zeros for a text without words."""
+    out = np.zeros((n, 2), np.uint64)
+    if len(hashes):
+        first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+        place = np.arange(len(doc)) - np.repeat(first, np.diff(np.r_[first, len(doc)]))
+        for i, base in enumerate((0xA24BAED4963EE407, 0x9FB21C651E98DF25)):
+            terms = mix(hashes + U(i)) * powers(base, int(place.max()) + 1)[place]
+            out[doc[first], i] = mix(np.add.reduceat(terms, first)) | U(1)
+    return out
+
+
+def binary(rows: np.ndarray) -> pa.Array:
+    return pa.array([x.tobytes() for x in rows], pa.binary())
+
+
+def rolling(values: np.ndarray, width: int) -> np.ndarray:
+    """Hash of each ``width`` consecutive values."""
+    n = len(values)
+    if n < width:
+        return np.zeros(0, np.uint64)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(values * powers(_BASE, n), out=sums[1:])
+    return mix((sums[width:] - sums[:-width]) * powers(pow(_BASE, -1, 1 << 64), n + 1)[: n - width + 1])
+
+
+def lists(values: pa.Array, sizes: np.ndarray) -> pa.ListArray:
+    """Lists of the given sizes over ``values``."""
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), values)
+
+
 def mapped(docs: DataFrame, kept: list[str], text: str, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], added: str) -> DataFrame:
     """``run`` over Arrow batches (row, text): the ``kept`` columns travel as one struct, so that any name and type goes."""
     row = F.struct(F.lit(0).alias("__pairlane_row"), *map(named, kept)).alias("row")  # never empty

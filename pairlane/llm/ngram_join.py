@@ -41,22 +41,6 @@ def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int
     return best
 
 
-def _keys(hashes: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-    """16 bytes for each text's word sequence; zeros for a text without words."""
-    out = np.zeros((n, 2), np.uint64)
-    if len(hashes):
-        first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-        place = np.arange(len(doc)) - np.repeat(first, np.diff(np.r_[first, len(doc)]))
-        for i, base in enumerate((0xA24BAED4963EE407, 0x9FB21C651E98DF25)):
-            terms = bw.mix(hashes + np.uint64(i)) * bw.powers(base, int(place.max()) + 1)[place]
-            out[doc[first], i] = bw.mix(np.add.reduceat(terms, first)) | np.uint64(1)
-    return out
-
-
-def _binary(rows: np.ndarray) -> pa.Array:
-    return pa.array([x.tobytes() for x in rows], pa.binary())
-
-
 def _signatures(ngram: int, bands: int, rows: int):
     """(id, text) batches to (id, k, n_words, bands)."""
     rng = np.random.default_rng(91)
@@ -82,7 +66,7 @@ def _signatures(ngram: int, bands: int, rows: int):
                     banded[:, i] = bw.mix((bw.mix(part + np.uint64(i + 1)) * spread[:, None]).sum(axis=0, dtype=np.uint64))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * bands, pa.int32()), pa.array(banded.reshape(-1).view(np.int64)))
                 words = pa.array(bw.counts(w.doc, n).astype(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), _binary(_keys(hashes, w.doc, n)), words, lists], ["id", "k", "n_words", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), bw.binary(bw.sequence_keys(hashes, w.doc, n)), words, lists], ["id", "k", "n_words", "bands"])
 
     return run
 
@@ -99,7 +83,7 @@ def _sets(ngram: int):
                 w = bw.runs(~bw.SPACE[d], off)
                 hashes = bw.Hasher(d)(w.start, w.end)
                 x, owner = bw.shingles(hashes, w.doc, ngram)
-                keys = _keys(hashes, w.doc, n)
+                keys = bw.sequence_keys(hashes, w.doc, n)
                 bounds = np.searchsorted(owner, np.arange(n + 1))
                 own = rest.slice(a, n)
                 mine = [k == keys[i].tobytes() for i, k in enumerate(own.column("k").to_pylist())]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("mixing", "sharding", "chunk_dedup", "chat_format", "ngram_join", "line_dedup", "toxicity", "repetition", "packing", "byte_quality", "phrase_automata", "resampling")
+MODULES = ("mixing", "sharding", "chunk_dedup", "chat_format", "ngram_join", "line_dedup", "toxicity", "repetition", "packing", "byte_quality", "phrase_automata", "tokenizer_alignment", "resampling")
 
 
 def _modules():

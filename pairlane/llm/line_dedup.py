@@ -10,9 +10,11 @@ whatever is repeated over a window's length is sure to share one.
 2. The windows that picked a repeated fingerprint are joined to the first position of their
    content (a grouped minimum, never pairs of occurrences). A window that stands later is a
    *match* with one source position.
-3. Matches of a document with one source at one distance are grown together: the two lists
-   of line hashes are laid side by side, and each match reaches up and down to the next
-   difference.
+3. A match knows the lines next to its window at both places. Matches of one source, one distance
+   and consecutive lines are chained; most chains end at a difference on either side.
+   A chain that goes on is grown: both texts have hashes of 1, 2, 4, ... lines from each line on, and
+   a binary descent over these finds the next difference above and below, in steps that grow
+   with the logarithm of the reach, not with the reach. Chains of the same two texts share one row.
 4. What the grown matches cover is merged into runs, and the runs are deleted.
 
 The first occurrence of a line is never deleted, as each deleted line has an equal one before it.
@@ -57,12 +59,14 @@ def _window(lines: Column, i: Column, window: int, long_words: int) -> Column:
         return F.struct(w["s"].alias("s"), w["n"].alias("n"), (w["s"] + F.array_position(part, F.array_min(part)).cast("int") - 1).alias("place"), gram.alias("gram"))
 
     # arrays of one element name what is used more than once
-    sized = F.transform(F.array(size), lambda n: F.struct(i.alias("s"), n.alias("n"), F.transform(F.slice(lines, i + 1, n), lambda x: x["digest"]).alias("part")))
+    # single elements are taken, as slice() copies the whole array
+    own = lambda n: F.filter(F.array(*[F.when(n > k, F.get(lines, i + k)["digest"]) for k in range(window)]), lambda x: x.isNotNull())
+    sized = F.transform(F.array(size), lambda n: F.struct(i.alias("s"), n.alias("n"), own(n).alias("part")))
     return F.get(F.transform(sized, full), F.lit(0))
 
 
 def _matches(lines: DataFrame, window: int, long_words: int) -> DataFrame:
-    """(row, s, row0, s0): each window of a text at line ``s`` whose content stands first elsewhere, and where."""
+    """Each window of a text (lines ``s`` to ``e``) whose content stands first elsewhere, where (``row0``, ``s0``), and whether the lines above and below it agree."""
     starts = F.sequence(F.lit(0), F.size("lines") - 1)
     places = F.array_distinct(F.transform(F.filter(F.transform(starts, lambda i: _window(F.col("lines"), i, window, long_words)), lambda w: w["n"] > 0), lambda w: w["place"]))
     prints = lines.select("row", F.col("lines"), F.explode(places).alias("place")).select("row", "place", F.get("lines", F.col("place"))["digest"].alias("mark"))
@@ -72,11 +76,67 @@ def _matches(lines: DataFrame, window: int, long_words: int) -> DataFrame:
     repeated = prints.join(marks, "mark", "left_semi").groupBy("row").agg(F.collect_set("place").alias("places"))
     # the few starts from which a window can pick a place
     near = lambda p: F.filter(F.transform(F.sequence(F.greatest(p - (window - 1), F.lit(0)), p), lambda i: _window(F.col("lines"), i, window, long_words)), lambda w: (w["n"] > 0) & (w["place"] == p))
-    picked = lines.join(repeated, "row").select("row", "doc", F.explode(F.flatten(F.transform("places", near))).alias("w"))
-    windows = cut(picked.select("row", F.struct("doc.*", F.col("w.s").alias("s")).alias("here"), F.md5("w.gram").alias("gram")))
-    first = windows.groupBy("gram").agg(F.min(F.struct("here", "row")).alias("first"), F.max("here").alias("last")).where("first.here < last").drop("last")
-    first = cut(first)
-    return windows.join(first, "gram").where("here > first.here").select("row", F.col("here.s").alias("s"), F.col("first.row").alias("row0"), F.col("first.here.s").alias("s0"))
+    line = lambda i: F.get("lines", i)
+    with_ends = lambda w: F.struct(
+        w["s"].alias("s"), (w["s"] + w["n"] - 1).alias("e"), F.md5(w["gram"]).alias("gram"), line(w["s"])["line"].alias("start"), line(w["s"] + w["n"] - 1)["line"].alias("end"),
+        line(w["s"] - 1)["digest"].alias("above"), line(w["s"] + w["n"])["digest"].alias("below"),
+    )
+    picked = lines.join(repeated, "row").select("row", "doc", F.explode(F.transform(F.flatten(F.transform("places", near)), with_ends)).alias("w"))
+    windows = cut(picked.select("row", F.struct("doc.*", F.col("w.s").alias("s")).alias("here"), "w.e", "w.gram", "w.start", "w.end", "w.above", "w.below"))
+    first = windows.groupBy("gram").agg(F.min(F.struct("here", "row", "above", "below")).alias("first"), F.max("here").alias("last")).where("first.here < last").drop("last")
+    found = windows.join(cut(first), "gram").where("here > first.here")
+    return found.select(
+        "row", F.struct("here.n", "here.k", "here.m").alias("doc"), "here.s", "e", "start", "end", F.col("first.row").alias("row0"), F.col("first.here.s").alias("s0"),
+        F.coalesce(F.expr("above = first.above"), F.lit(False)).alias("up"), F.coalesce(F.expr("below = first.below"), F.lit(False)).alias("down"),
+    )
+
+
+def _chains(matches: DataFrame) -> DataFrame:
+    """Matches with one source text at one distance and on consecutive lines, as one row."""
+    shift = F.col("s") - F.col("s0")
+    nth = F.row_number().over(Window.partitionBy("row", "row0", "shift").orderBy("s"))
+    runs = matches.withColumn("shift", shift).withColumn("chain", F.col("s") - nth)
+    ends = [F.min("s").alias("s"), F.max("e").alias("e"), F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("up", "s").alias("up"), F.max_by("down", "s").alias("down")]
+    return runs.groupBy("doc", "row", "row0", "shift", "chain").agg(*ends).drop("chain")
+
+
+def _levels(lines: Column) -> Column:
+    """levels[k][i]: hash of the 2**k lines from line i on."""
+
+    def next_level(levels: Column, k: Column) -> Column:
+        last, half = F.element_at(levels, -1), F.pow(F.lit(2), k - 1).cast("int")
+        double = F.transform(F.sequence(F.lit(0), F.size(last) - half - 1), lambda i: F.xxhash64(F.get(last, i), F.get(last, i + half)))
+        return F.when(F.size(last) > half, F.concat(levels, F.array(double))).otherwise(levels)
+
+    first = F.array(F.transform(lines, lambda x: F.xxhash64(x["digest"])))
+    return F.aggregate(F.sequence(F.lit(1), F.ceil(F.log2(F.size(lines) + F.lit(1))).cast("int")), first, next_level)
+
+
+def _reach(own: Column, other: Column, i: Column, j: Column, below: bool) -> Column:
+    """How many lines from ``i`` and ``j`` on (below) or before them (above) agree."""
+
+    def step(t: Column, k: Column) -> Column:
+        size = F.pow(F.lit(2), k).cast("int")
+        at = t if below else -t - size
+        return F.when(F.get(F.get(own, k), i + at) == F.get(F.get(other, k), j + at), t + size).otherwise(t)
+
+    return F.aggregate(F.sequence(F.size(own) - 1, F.lit(0)), F.lit(0), step)
+
+
+def _grown(chains: DataFrame, lines: DataFrame) -> DataFrame:
+    """(doc, start, end) of the chains that go on above or below, grown to the next difference on either side."""
+    more = cut(chains.where("up OR down").select("doc", "row", "row0", F.struct("s", "e", "shift", "up", "down").alias("c")))
+    rows = more.select("row").union(more.select("row0")).distinct()
+    texts = cut(lines.join(rows, "row", "left_semi").select("row", F.transform("lines", lambda x: x["line"]).alias("numbers"), _levels(F.col("lines")).alias("levels")))
+    pairs = more.groupBy("doc", "row", "row0").agg(F.collect_list("c").alias("chains"))
+    both = pairs.join(texts, "row").join(texts.select(F.col("row").alias("row0"), F.col("levels").alias("other")), "row0")
+
+    def grow(c: Column) -> Column:
+        above = F.when(c["up"], _reach(F.col("levels"), F.col("other"), c["s"], c["s"] - c["shift"], False)).otherwise(0)
+        below = F.when(c["down"], _reach(F.col("levels"), F.col("other"), c["e"] + 1, c["e"] + 1 - c["shift"], True)).otherwise(0)
+        return F.struct(F.get("numbers", c["s"] - above).alias("start"), F.get("numbers", c["e"] + below).alias("end"))
+
+    return both.select("doc", F.explode(F.transform("chains", grow)).alias("span")).select("doc", "span.start", "span.end")
 
 
 def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, long_words: int = LONG_WORDS) -> DataFrame:
@@ -84,26 +144,8 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", wind
     doc = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), _digest(F.coalesce(F.col(text), F.lit(""))).alias("m"))
     lines = docs.select(doc.alias("doc"), _lines(F.col(text)).alias("lines")).where(F.size("lines") > 0)
     lines = saved(lines.select(F.monotonically_increasing_id().alias("row"), "doc", "lines"))
-    found = _matches(lines, window, long_words).groupBy("row", "row0", (F.col("s") - F.col("s0")).alias("shift")).agg(F.collect_set("s").alias("starts"))
-
-    # the two texts side by side from line ``low`` on: 1 for an equal line, 0 for a difference
-    own = lines.select("row", "doc", "lines")
-    source = lines.select(F.col("row").alias("row0"), F.transform("lines", lambda x: x["digest"]).alias("other"))
-    both = found.join(own, "row").join(source, "row0")
-    low, up = F.greatest("shift", F.lit(0)), F.least(F.size("lines"), F.size("other") + F.col("shift"))
-    both = both.select("doc", "lines", "other", "starts", "shift", low.alias("low"), (up - low).alias("n"))
-    same = F.zip_with(F.slice("lines", F.col("low") + 1, F.col("n")), F.slice("other", F.col("low") - F.col("shift") + 1, F.col("n")), lambda a, b: F.when(a["digest"] == b, "1").otherwise("0"))
-    both = both.select("doc", "lines", "starts", "low", "n", F.array_join(same, "").alias("same"))
-    both = both.withColumn("back", F.reverse("same"))
-
-    def grown(s: Column) -> Column:
-        down = F.position(F.lit("0"), F.col("same"), s - F.col("low") + 1)
-        above = F.position(F.lit("0"), F.col("back"), F.col("n") - (s - F.col("low")))
-        start = F.when(above == 0, F.col("low")).otherwise(F.col("low") + F.col("n") - above + 1)
-        end = F.when(down == 0, F.col("low") + F.col("n") - 1).otherwise(F.col("low") + down - 2)
-        return F.struct(F.get("lines", start)["line"].alias("start"), F.get("lines", end)["line"].alias("end"))
-
-    spans = cut(both.select("doc", F.explode(F.array_distinct(F.transform("starts", grown))).alias("span")).select("doc.n", "doc.k", "doc.m", "span.start", "span.end"))
+    chains = cut(_chains(_matches(lines, window, long_words)))
+    spans = cut(chains.select("doc", "start", "end").union(_grown(chains, lines)).select("doc.n", "doc.k", "doc.m", "start", "end"))
     # a span that starts beyond all spans before it opens a run
     by = Window.partitionBy("n", "k", "m").orderBy("start", "end")
     reach = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
@@ -131,11 +173,9 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", window
     joined = rows.join(runs, F.col("key").eqNullSafe(F.col("of_key")) & (F.col("md5") == F.col("of_md5")), "left")
     joined = joined.withColumn("parts", F.when(F.col("runs").isNotNull(), F.split("text", "\n")))
 
-    def gap(k: Column) -> Column:  # the lines between run k - 1 and run k
-        low = F.coalesce(F.get("runs", k - 1)["end"] + 1, F.lit(0))
-        return F.slice("parts", low + 1, F.coalesce(F.get("runs", k)["start"], F.size("parts")) - low)
-
-    left = F.flatten(F.transform(F.sequence(F.lit(0), F.size("runs")), gap))
+    gone = F.flatten(F.transform("runs", lambda r: F.sequence(r["start"], r["end"])))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), gone)
+    left = F.transform(stay, lambda i: F.get("parts", i))
     removed = F.aggregate("runs", F.lit(0), lambda n, r: n + r["end"] - r["start"] + 1)
     return joined.select(
         *[F.when(F.col("runs").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias(c) if c == text else F.col("row").getField(c).alias(c) for c in kept],

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairlane.llm import bytewise as bw
-from pairlane.llm.common import ranged, read, running
+from pairlane.llm.common import cut, ranged, read, running
 
 NGRAM, BUCKETS, LEAST_WORDS, PERCENT, SEED = 1, 10_000, 20, 10, 2024
 #: Words of lower-cased UTF-8 (ASCII letters and digits and all bytes beyond ASCII), or one separator, which no word holds.
@@ -158,7 +158,7 @@ def resample(
     score = (F.col("weight") + F.floor(-1000 * F.log(-F.log(uniform)))).cast("long")
     rows = rows.withColumn("score", score).withColumn("out", F.col("n_words") < least_words).withColumn("down", -F.col("score")).withColumn("none", F.col("id").isNull())
     order = ["out", "down", "none", "id", "n_features"]
-    placed = ranged(rows, order)
+    placed = ranged(cut(rows), order)  # range bounds are sampled from the rows: they are weighed once
     drawn = placed.where(~F.col("out")).count() * percent // 100  # one number
     placed = running(placed, [], "_part", order, F.lit(1).cast("long"), "nth")
     return placed.select(F.col("id").alias(key), "n_features", "weight", "score", F.when(~F.col("out") & (F.col("nth") <= drawn), F.col("nth")).alias("rank"))

@@ -18,12 +18,13 @@ from __future__ import annotations
 
 from collections import deque
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairlane.llm.common import cut, named, others, ranged, read, running, seeded_digest, word_count
+from pairlane.llm.common import cut, named, others, ranged, read, running, saved, seeded_digest, word_count
 from pairlane.llm.components import components
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -47,46 +48,67 @@ def share(sizes: list[float], weights: list[float], budget: float, most: float)
     return out
 
 
+def _taken(amount: float, available: np.ndarray) -> np.ndarray:
+    """``amount`` taken from the first entries on."""
+    before = np.cumsum(available) - available
+    return np.clip(amount - before, 0.0, available)
+
+
 def route(capacity: list[float], members: list[list[int]], quota: list[float], copies: int) -> list[dict[int, float]]:
-    """Min-cost flow from patterns to source quotas; copy level r opens after level r - 1 is exhausted."""
-    flow: list[dict[int, float]] = [{} for _ in capacity]
-    into: list[set[int]] = [set() for _ in quota]
-    short, tiny = list(quota), 1e-9 * max([1.0, *quota])
+    """Min-cost flow from patterns to source quotas; copy level r opens after level r - 1 is exhausted.
+
+    Augmenting paths are searched breadth first over sources, from those that are short of words
+    backwards: a source hands on what patterns that belong to both hold in it. One path moves all
+    that its narrowest step allows, over any number of patterns at once, so the number of paths
+    depends on the sources and not on the patterns.
+    """
+    sizes = np.array([len(m) for m in members], np.int64)
+    first = np.r_[0, np.cumsum(sizes)]
+    source = np.array([s for m in members for s in m], np.int64)
+    pattern = np.repeat(np.arange(len(members)), sizes)
+    flow = np.zeros(len(source))
+    entries = [np.flatnonzero(source == s) for s in range(len(quota))]
+    short, tiny = np.array(quota, np.float64), 1e-9 * max([1.0, *quota])
+
+    def shared(s: int, t: int) -> tuple[np.ndarray, np.ndarray]:
+        """Entries of the patterns that belong to both sources, in either."""
+        _, i, j = np.intersect1d(pattern[entries[s]], pattern[entries[t]], assume_unique=True, return_indices=True)
+        return entries[s][i], entries[t][j]
+
     for _ in range(copies):
-        left = list(capacity)
+        left = np.array(capacity, np.float64)
         while True:
-            # breadth first from every pattern with capacity, over patterns that could hand a source over
-            back: dict[tuple[str, int], tuple[str, int] | None] = {("p", p): None for p in range(len(left)) if left[p] > tiny}
-            queue, end = deque(back), None
+            onto: dict[int, int | None] = {s: None for s in np.flatnonzero(short > tiny).tolist()}
+            queue, end = deque(onto), None
             while queue and end is None:
-                kind, n = at = queue.popleft()
-                if kind == "p":
-                    onward = [("s", s) for s in members[n]]
-                else:
-                    if short[n] > tiny:
-                        end = at
-                        break
-                    onward = [("p", p) for p in into[n] if flow[p].get(n, 0) > tiny]
-                for x in onward:
-                    if x not in back:
-                        back[x] = at
-                        queue.append(x)
+                s = queue.popleft()
+                own = pattern[entries[s]]
+                if (left[own] > tiny).any():
+                    end = s
+                    break
+                n = sizes[own]
+                all_entries = np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                for t in np.unique(source[all_entries[flow[all_entries] > tiny]]).tolist():
+                    if t not in onto:
+                        onto[t] = s
+                        queue.append(t)
             if end is None:
                 break
             path = [end]
-            while (prev := back[path[-1]]) is not None:
-                path.append(prev)
-            path.reverse()
-            amount = min(left[path[0][1]], short[end[1]], *[flow[path[i + 1][1]][path[i][1]] for i in range(1, len(path) - 1, 2)], float("inf"))
-            left[path[0][1]] -= amount
-            short[end[1]] -= amount
-            for i in range(0, len(path) - 1, 2):
-                p, s = path[i][1], path[i + 1][1]
-                flow[p][s] = flow[p].get(s, 0.0) + amount
-                into[s].add(p)
-                if i + 2 < len(path):
-                    flow[path[i + 2][1]][s] -= amount
-    return flow
+            while (following := onto[path[-1]]) is not None:
+                path.append(following)
+            steps = [shared(s, t) for s, t in zip(path, path[1:], strict=False)]
+            own = entries[end]
+            amount = min([left[pattern[own]].sum(), short[path[-1]], *[flow[i].sum() for i, _ in steps]])
+            took = _taken(amount, left[pattern[own]])
+            left[pattern[own]] -= took
+            flow[own] += took
+            for i, j in steps:
+                took = _taken(amount, flow[i])
+                flow[i] -= took
+                flow[j] += took
+            short[path[-1]] -= amount
+    return [{s: f for s, f in zip(source[a:b].tolist(), flow[a:b].tolist(), strict=True) if f > 0} for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
 
 
 def _order(x: str | None) -> tuple[bool, str]:
@@ -180,12 +202,15 @@ def mix_sources(
     added = ("source_sizes", "targets", "copies", "parts")
     member = F.col(sources) if isinstance(docs.schema[sources].dataType, T.ArrayType) else F.array(F.col(sources))
     pattern = F.array_sort(F.array_distinct(F.coalesce(member, F.array(F.lit(None).cast("string")))))
-    rows = docs.select(F.struct(*map(named, others(docs, *added))).alias("row"), F.col(key).alias("key"), pattern.alias("_pattern"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("_size"))
+    rows = docs.select(F.struct(*map(named, others(docs, *added))).alias("row"), seeded_digest(seed, F.col(key)).alias("_digest"), pattern.alias("_pattern"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("_size"))
+    rows = saved(rows.withColumn("_row", F.monotonically_increasing_id()))
     patterns = cut(rows.groupBy("_pattern").agg(F.sum("_size").alias("n")))
     few = patterns.limit(max_patterns + 1).count() <= max_patterns
     table = (_routed_on_driver if few else _routed_by_group)(patterns, weights, budget, max_copies)
-    rows = rows.withColumn("_digest", seeded_digest(seed, F.col("key"))).withColumn("_part", F.substring("_digest", 1, 3))
-    rows = running(rows, ["_pattern"], "_part", ["_digest", "_size"], F.col("_size"), "_upto")
+    # row numbers split the rows of one key
+    order = ["_digest", "_size", "_row"]
+    placed = running(ranged(rows.select("_pattern", *order), order), ["_pattern"], "_part", order, F.col("_size"), "_upto")
+    rows = rows.join(placed.select("_row", "_upto"), "_row").drop("_row")
     # broadcast only what the driver has counted
     rows = rows.join(F.broadcast(table) if few else table, F.col("_pattern").eqNullSafe(F.col("p")), "left")
 

@@ -11,11 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlane.llm.common import named, others, read, running
+from pairlane.llm.common import named, others, ranged, read, running, saved
 
 SHARDS = 24
-#: Hex digits of the digest that split a shard for numbering: 16**3 parts of each shard.
-SPLIT_DIGITS = 3
 _BITS = 52
 
 
@@ -39,19 +37,20 @@ def assign_shards(df: DataFrame, key: str, shards: int = SHARDS, order: list[str
 
     Slots are gapless from 0 in each shard, in the order of a digest of the key, then the
     key, then ``order``. NULL keys count as the empty string and share a shard; equal keys
-    always share one. Rows that agree in key and ``order`` get their slots in any order.
-    An empty table gives an empty result. Columns called shard, grown_shard or slot are
-    replaced; every other column stays.
+    always share one. Rows that agree in key and ``order`` get their slots in any order: their row
+    numbers split them, so a key may hold any share of the table. An empty table gives an empty
+    result. Columns called shard, grown_shard or slot are replaced; every other column stays.
     """
     if shards < 1:
         raise ValueError("shards must be at least 1")
     kept = map(named, others(df, "shard", "grown_shard", "slot"))
     by = [key, *(order or [])]
     rows = df.select(F.struct(*kept).alias("row"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("text"), *[F.col(c).alias(f"by{i}") for i, c in enumerate(by)])
-    rows = rows.withColumn("at", _jumps(F.col("text"), shards)).withColumn("digest", F.md5("text")).withColumn("part", F.substring("digest", 1, SPLIT_DIGITS))
-    rows = rows.withColumn("shard", F.col("at.shard").cast("int")).withColumn("grown", F.col("at.grown").cast("int")).drop("at", "text")
-    rows = running(rows, ["shard"], "part", ["digest", *[f"by{i}" for i in range(len(by))]], F.lit(1).cast("long"), "upto")
-    return rows.select("row.*", "shard", F.col("grown").alias("grown_shard"), (F.col("upto") - 1).alias("slot"))
+    rows = rows.withColumn("at", _jumps(F.col("text"), shards)).withColumn("digest", F.md5("text"))
+    rows = saved(rows.select("*", F.col("at.shard").cast("int").alias("shard"), F.col("at.grown").cast("int").alias("grown_shard"), F.monotonically_increasing_id().alias("row_id")).drop("at", "text"))
+    sort = ["digest", *[f"by{i}" for i in range(len(by))], "row_id"]
+    slots = running(ranged(rows.select("shard", *sort), sort), ["shard"], "_part", sort, F.lit(1).cast("long"), "upto")
+    return rows.join(slots.select("row_id", (F.col("upto") - 1).alias("slot")), "row_id").select("row.*", "shard", "grown_shard", "slot")
 
 
 def op3_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

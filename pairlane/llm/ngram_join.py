@@ -4,7 +4,8 @@ Texts with the same words are one class from the start, so groups of copies of a
 cost one row each. A class's signature is cut into bands; band hashes are shuffled, and
 classes that share a bucket are tied to the bucket's smallest member (one edge a member,
 never all pairs). The components of that graph are the only places where links can be.
-Components are cut into blocks of ``BLOCK_ROWS`` classes, and two blocks meet in a task if
+Components are cut into blocks of about ``BLOCK_WORDS`` words and 256 classes at most (a longer
+text is a block by itself, or shares it with what stands before), and two blocks meet in a task if
 some bucket has members in both. There the full n-gram sets give every pair's similarity
 in one matrix product; a task returns, per class, the number of documents linked to it and
 the root of its links, never the pairs.
@@ -22,11 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairlane.llm import bytewise as bw
-from pairlane.llm.common import cut, read, running
+from pairlane.llm.common import cut, read, running, saved
 from pairlane.llm.components import components
 
 NGRAM, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.999, 144
-BLOCK_ROWS = 256
+BLOCK_WORDS = 1 << 17
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -42,14 +43,14 @@ def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int
 
 
 def _signatures(ngram: int, bands: int, rows: int):
-    """(id, text) batches to (id, k, n_words, bands)."""
+    """(row, id, text) batches to (row, id, text, k, n_words, bands)."""
     rng = np.random.default_rng(91)
     factors = rng.integers(1, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     spread = bw.powers(0xC2B2AE3D27D4EB4F, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = bw.column(batch.column(1))
+            data, offsets = bw.column(batch.column(2))
             for a, b, d, off in bw.blocks(data, offsets):
                 n = b - a
                 w = bw.runs(~bw.SPACE[d], off)
@@ -66,13 +67,14 @@ def _signatures(ngram: int, bands: int, rows: int):
                     banded[:, i] = bw.mix((bw.mix(part + np.uint64(i + 1)) * spread[:, None]).sum(axis=0, dtype=np.uint64))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * bands, pa.int32()), pa.array(banded.reshape(-1).view(np.int64)))
                 words = pa.array(bw.counts(w.doc, n).astype(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), bw.binary(bw.sequence_keys(hashes, w.doc, n)), words, lists], ["id", "k", "n_words", "bands"])
+                own = [batch.column(i).slice(a, n) for i in range(3)]
+                yield pa.RecordBatch.from_arrays([*own, bw.binary(bw.sequence_keys(hashes, w.doc, n)), words, lists], ["row", "id", "_text", "k", "n_words", "bands"])
 
     return run
 
 
 def _sets(ngram: int):
-    """Texts of candidate classes to sorted n-gram sets; a text that is not the class's is left out."""
+    """Texts of candidate classes to sorted n-gram sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,17 +83,11 @@ def _sets(ngram: int):
             for a, b, d, off in bw.blocks(data, offsets):
                 n = b - a
                 w = bw.runs(~bw.SPACE[d], off)
-                hashes = bw.Hasher(d)(w.start, w.end)
-                x, owner = bw.shingles(hashes, w.doc, ngram)
-                keys = bw.sequence_keys(hashes, w.doc, n)
+                x, owner = bw.shingles(bw.Hasher(d)(w.start, w.end), w.doc, ngram)
                 bounds = np.searchsorted(owner, np.arange(n + 1))
+                grams = [np.unique(x[bounds[i] : bounds[i + 1]]).view(np.int64) for i in range(n)]
                 own = rest.slice(a, n)
-                mine = [k == keys[i].tobytes() for i, k in enumerate(own.column("k").to_pylist())]
-                grams = [np.unique(x[bounds[i] : bounds[i + 1]]).view(np.int64) for i in range(n) if mine[i]]
-                own = own.filter(pa.array(mine, pa.bool_()))
-                ends = np.cumsum([0, *map(len, grams)])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *grams])))
-                yield pa.RecordBatch.from_arrays([*own.columns, lists], [*own.schema.names, "grams"])
+                yield pa.RecordBatch.from_arrays([*own.columns, bw.lists(pa.array(np.concatenate(grams)), np.array([len(g) for g in grams]))], [*own.schema.names, "grams"])
 
     return run
 
@@ -135,11 +131,8 @@ def links_within(keys: list[bytes], block: np.ndarray, weight: np.ndarray, grams
 
 def _verify(threshold: float):
     def run(group: pa.Table) -> pa.Table:
-        place: dict[bytes, int] = {}
-        for i, k in enumerate(group.column("k").to_pylist()):
-            place.setdefault(k, i)
-        keys = sorted(place)
-        own = group.take([place[k] for k in keys])
+        own = group.sort_by("k")
+        keys = own.column("k").to_pylist()
         sets = own.column("grams").combine_chunks()
         grams = np.split(sets.flatten().to_numpy(), np.cumsum(pc.list_value_length(sets).to_numpy())[:-1])
         cross = own.column("a")[0].as_py() != own.column("b")[0].as_py()
@@ -162,9 +155,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ng
     """
     bands, rows = choose_bands(threshold, recall, most_hashes)
     kind = docs.schema[key].dataType.simpleString()
-    pair = docs.select(F.col(key).alias("id"), F.col(text).alias("_text"))
-    table = cut(pair.mapInArrow(_signatures(ngram, bands, rows), f"id {kind}, k binary, n_words long, bands array<long>"))
-    classes = cut(table.where("n_words > 0").groupBy("k", "bands").agg(F.min("id").alias("rep"), F.count("*").alias("weight")))
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("id"), F.col(text).alias("_text"))
+    table = saved(numbered.mapInArrow(_signatures(ngram, bands, rows), f"row long, id {kind}, _text string, k binary, n_words long, bands array<long>"))
+    # one row stands for a class, whatever ids its rows have
+    classes = cut(table.where("n_words > 0").groupBy("k", "bands").agg(F.min("id").alias("rep"), F.min("row").alias("row"), F.min("n_words").alias("n_words"), F.count("*").alias("weight")))
 
     spread = classes.select("k", F.posexplode("bands").alias("band", "hash"))
     buckets = spread.groupBy("band", "hash").agg(F.count("*").alias("n"), F.min("k").alias("root")).where("n > 1").drop("n")
@@ -173,9 +167,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ng
     area = components(member.select(F.col("k").alias("a"), F.col("root").alias("b"))).withColumnsRenamed({"node": "k", "root": "area"})
 
     # blocks of each area; classes that agree in the first band stand together
-    place = area.join(classes.select("k", "rep", "weight", F.md5(F.col("bands")[0].cast("string")).alias("_near")), "k").withColumn("_part", F.substring("_near", 1, 3))
-    place = running(place, ["area"], "_part", ["_near", "k"], F.lit(1).cast("long"), "_n")
-    place = cut(place.select("k", "area", "rep", "weight", F.floor((F.col("_n") - 1) / BLOCK_ROWS).cast("int").alias("block")))
+    cost = F.greatest("n_words", F.lit(BLOCK_WORDS // 256))
+    place = area.join(classes.select("k", "row", "weight", cost.alias("cost"), F.md5(F.col("bands")[0].cast("string")).alias("_near")), "k").withColumn("_part", F.substring("_near", 1, 3))
+    place = running(place, ["area"], "_part", ["_near", "k"], F.col("cost"), "_n")
+    place = cut(place.select("k", "area", "row", "weight", F.floor((F.col("_n") - 1) / BLOCK_WORDS).cast("int").alias("block")))
     at = member.join(place.select("k", "area", "block"), "k").select("area", "band", "hash", "block").distinct()
     meet = at.select("area", "band", "hash", F.col("block").alias("a")).join(at.select("area", "band", "hash", F.col("block").alias("b")), ["area", "band", "hash"]).where("a <= b")
     meet = meet.select("area", "a", "b").distinct()
@@ -183,7 +178,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ng
     tasks = meet.select("area", F.explode(ends).alias("block"), F.struct("a", "b").alias("task")).groupBy("area", "block").agg(F.collect_list("task").alias("tasks"))
     wanted = place.join(tasks, ["area", "block"])
 
-    source = pair.join(wanted, pair["id"].eqNullSafe(wanted["rep"])).select("_text", "k", "area", "block", "weight", "tasks")
+    source = table.select("row", "_text").join(wanted, "row").select("_text", "k", "area", "block", "weight", "tasks")
     sets = source.mapInArrow(_sets(ngram), "k binary, area binary, block int, weight long, tasks array<struct<a:int,b:int>>, grams array<long>")
     dealt = sets.select("k", "area", "block", "weight", "grams", F.explode("tasks").alias("task")).select("*", "task.a", "task.b").drop("task")
     found = cut(dealt.groupBy("area", "a", "b").applyInArrow(_verify(threshold), "k binary, links long, root binary"))

@@ -234,3 +234,56 @@ def test_texts_that_repeat_themselves(spark):
     assert [(r.start, r.end) for r in got[1].removed_runs] == [(1, 99_999)] and got[1].text == "the same line\n"
     assert [(r.start, r.end) for r in got[2].removed_runs] == [(3, 89_999)] and got[2].text == "one\ntwo x\nthree\n"
     assert [(r.start, r.end) for r in got[3].removed_runs] == [(1, 1999)]
+
+
+# ---- keys that many rows share, for op1 to op3
+
+
+def test_shared_keys(spark):
+    from pairlane.llm.mixing import mix_sources
+    from pairlane.llm.ngram_join import near_duplicates
+    from pairlane.llm.sharding import assign_shards
+
+    r = random.Random(3)
+    base = [[f"w{r.randrange(10**6)}" for _ in range(60)] for _ in range(150)]
+    texts = [" ".join(w) for w in base] + [" ".join([*w[:-1], "other"]) for w in base]  # pairs with a similarity of 0.96
+    for key in (None, 7):
+        df = spark.createDataFrame([(key, t, "a", 60) for t in texts], "doc_id long, text string, source string, size long")
+        near = near_duplicates(df).collect()
+        assert len(near) == 300 and {x.n_links for x in near} == {1} and {x.class_id for x in near} == {key}
+        mixed = mix_sources(df, budget=1.5).select("copies").collect()
+        assert len(mixed) == 300 and sum(x.copies for x in mixed) == 450
+        placed = assign_shards(df, "doc_id", 5).collect()
+        assert len({x["shard"] for x in placed}) == 1 and sorted(x["slot"] for x in placed) == list(range(300))
+
+
+def test_blocks_of_long_texts(spark, monkeypatch):
+    import pairlane.llm.ngram_join as J
+
+    r = random.Random(6)
+    long = [f"w{i}" for i in range(30_000)]
+    texts = [" ".join([*long[:i], "x", *long[i + 1 :]]) for i in r.sample(range(30_000), 12)] + ["a b c d e f", "a b c d e f g"]
+    monkeypatch.setattr(J, "BLOCK_WORDS", 40_000)
+    got = {x.doc_id: (x.class_id, x.n_links) for x in J.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), threshold=0.6).collect()}
+    assert all(got[i] == (0, 11) for i in range(12)) and got[12] == got[13] == (12, 1)
+
+
+def test_route_of_many_overlapping_patterns():
+    import time
+
+    from pairlane.llm.mixing import route
+
+    r = random.Random(1)
+    members = sorted({tuple(sorted(r.sample(range(30), r.randrange(2, 6)))) for _ in range(8200)})[:8000]
+    capacity = [float(r.randrange(1, 1000)) for _ in members]
+    total = sum(capacity)
+    began = time.time()
+    quota = [total * 1.5 * (i + 1) / 465 for i in range(30)]
+    flow = route(capacity, [list(m) for m in members], quota, 2)
+    assert time.time() - began < 20
+    assert all(set(f) <= set(m) for f, m in zip(flow, members))
+    assert all(sum(f.values()) <= 2 * c + 1e-6 for f, c in zip(flow, capacity))
+    into = [sum(f.get(s, 0) for f in flow) for s in range(30)]
+    assert all(a <= b + 1e-3 for a, b in zip(into, quota)) and abs(sum(into) - total * 1.5) < 1e-3 * total
+    # convex costs: every pattern is used once before any is used twice
+    assert sum(min(sum(f.values()), c) for f, c in zip(flow, capacity)) == pytest.approx(total, rel=1e-6)

@@ -234,7 +234,7 @@ def brute_join(docs):
 def test_near_duplicates_brute_force(spark, monkeypatch):
     import pairlane.llm.ngram_join as J
 
-    monkeypatch.setattr(J, "BLOCK_ROWS", 8)  # so that groups span several blocks
+    monkeypatch.setattr(J, "BLOCK_WORDS", 800)  # so that groups span several blocks
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     r = random.Random(2)
     base = [f"v{r.randrange(999)}" for _ in range(120)]

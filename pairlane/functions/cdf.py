@@ -86,3 +86,39 @@ def f_sf(x: Column, df1: Column, df2: Column) -> Column:
 
 def normal_two_sided(z: Column) -> Column:
     return gamma_q(F.lit(0.5), z * z / 2.0)
+
+
+def _plus(a: Column, b: Column) -> Column:
+    """Sum of two arrays, the shorter one filled up with zeros."""
+    return F.zip_with(a, b, lambda x, y: F.coalesce(x, F.lit(0.0)) + F.coalesce(y, F.lit(0.0)))
+
+
+def _moved(a: Column, by: Column) -> Column:
+    return F.concat(F.array_repeat(F.lit(0.0), by), a)
+
+
+def _share_upto(counts: Column, upto: Column) -> Column:
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
+    return total(F.slice(counts, 1, upto.cast("int") + 1)) / total(counts)
+
+
+def signed_rank_two_sided(statistic: Column, n: Column) -> Column:
+    """Exact two-sided p of the smaller rank sum of ``n`` untied differences: subsets of 1..n are counted by their sum."""
+    counts = F.aggregate(F.sequence(F.lit(1), n.cast("int")), F.array(F.lit(1.0)), lambda c, k: _plus(c, _moved(c, k)))
+    return F.least(F.lit(1.0), 2 * _share_upto(counts, statistic))
+
+
+def rank_sum_two_sided(u: Column, n_x: Column, n_y: Column) -> Column:
+    """Exact two-sided p of the smaller U of two untied samples.
+
+    Arrangements of j values of the one and i of the other are counted by U: either the largest is
+    of the one and adds i, or it is of the other and adds nothing.
+    """
+    few, many = F.least(n_x, n_y).cast("int"), F.greatest(n_x, n_y).cast("int")
+    one = F.array(F.lit(1.0))
+
+    def longer(state: Column, i: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), few), F.array(one), lambda acc, j: F.concat(acc, F.array(_plus(_moved(F.element_at(acc, -1), i), F.get(state, j)))))
+
+    counts = F.element_at(F.aggregate(F.sequence(F.lit(1), many), F.array_repeat(one, few + 1), longer), -1)
+    return F.least(F.lit(1.0), 2 * _share_upto(counts, u))

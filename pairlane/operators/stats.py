@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairlane.functions.cdf import chi2_sf, normal_two_sided, t_two_sided
+from pairlane.functions.cdf import chi2_sf, normal_two_sided, rank_sum_two_sided, signed_rank_two_sided, t_two_sided
 from pairlane.functions.exprs import tie_rank, value_ranks
 from pairlane.operators.manifest import block_key
 
@@ -86,24 +86,52 @@ def reference_tests(df: DataFrame, reference: str, by: list[str], variant: str =
     return holm(out, by, tie=variant).withColumn("stars", stars(F.col("p_holm")))
 
 
-def wilcoxon(pairs: DataFrame, by: list[str], x: str = "x", y: str = "y") -> DataFrame:
-    """Signed-rank test with mean ranks, zeros dropped; normal approximation with tie correction."""
-    d = pairs.withColumn("_d", F.col(x) - F.col(y)).where("_d <> 0").withColumn("_a", F.abs("_d"))
+#: Exact p values are taken for untied samples up to these sizes (differences; the smaller of two samples).
+EXACT_PAIRS, EXACT_SAMPLE = 50, 8
+
+
+def wilcoxon(pairs: DataFrame, by: list[str], x: str = "x", y: str = "y", close: float = 1e-8) -> DataFrame:
+    """Signed-rank test with mean ranks, zeros dropped.
+
+    p is exact for up to ``EXACT_PAIRS`` differences without zeros and ties, else from the normal approximation
+    with tie correction. A group whose pairs all agree within ``close`` has statistic 0 and p 1; pairs
+    with a missing value do not count, and a group without any pair has no p.
+    """
+    d = pairs.select(*by, (F.col(x) - F.col(y)).alias("_d"))
+    groups = d.groupBy(*by).agg(F.count("_d").alias("_all"), F.coalesce(F.max(F.abs("_d")) <= close, F.lit(False)).alias("_same"))
+    d = d.where("_d <> 0").withColumn("_a", F.abs("_d"))
     r = d.withColumn("_r", tie_rank(by, F.col("_a"))).withColumn("_t", F.count("*").over(Window.partitionBy(*by, "_a")))
-    s = r.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.when(F.col("_d") > 0, F.col("_r")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col("_d") < 0, F.col("_r")).otherwise(0.0)).alias("w_minus"), F.sum(F.col("_t") * F.col("_t") - 1).alias("_tie"))
+    s = r.groupBy(*by).agg(F.count("*").alias("_n"), F.sum(F.when(F.col("_d") > 0, F.col("_r"))).alias("_up"), F.sum(F.when(F.col("_d") < 0, F.col("_r"))).alias("_down"), F.sum(F.col("_t") * F.col("_t") - 1).alias("_tie"))
+    s = groups.join(s, by, "left")
+    part = lambda c: F.when(F.col("_all") > 0, F.coalesce(c, F.lit(0.0)))
+    s = s.select(*by, "_all", "_same", "_tie", F.coalesce("_n", F.lit(0)).alias("n"), part("_up").alias("w_plus"), part("_down").alias("w_minus"))
     var = F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) / 24.0 - F.col("_tie") / 48.0
-    s = s.withColumn("statistic", F.least("w_plus", "w_minus")).withColumn("z", F.try_divide(F.col("statistic") - F.col("n") * (F.col("n") + 1) / 4.0, F.sqrt(var)))
-    return s.withColumn("p", normal_two_sided(F.col("z"))).drop("_tie")
+    exact = (F.col("n") == F.col("_all")) & (F.col("_tie") == 0) & F.col("n").between(1, EXACT_PAIRS)
+    s = s.withColumn("statistic", F.when(F.col("_same"), 0.0).otherwise(F.least("w_plus", "w_minus"))).withColumn("exact", F.coalesce(exact & ~F.col("_same"), F.lit(False)))
+    s = s.withColumn("z", F.when(~F.col("_same"), F.try_divide(F.col("statistic") - F.col("n") * (F.col("n") + 1) / 4.0, F.sqrt(var))))
+    p = F.when(F.col("_same"), 1.0).when(F.col("exact"), signed_rank_two_sided(F.col("statistic"), F.col("n"))).otherwise(normal_two_sided(F.col("z")))
+    return s.withColumn("p", p).drop("_all", "_same", "_tie")
 
 
 def mann_whitney(values: DataFrame, by: list[str], side: str = "side", value: str = "value") -> DataFrame:
-    """U of side 'x' with mean ranks; normal approximation with tie correction."""
+    """U of side 'x' with mean ranks.
+
+    p is exact where the smaller sample has up to ``EXACT_SAMPLE`` values and none are tied, else from the normal
+    approximation with tie correction and a continuity correction of a half. A group with an empty side, or with
+    one value only, has no z, and an empty side no p.
+    """
+    values = values.where(F.col(value).isNotNull())
     r = values.withColumn("_r", tie_rank(by, F.col(value))).withColumn("_t", F.count("*").over(Window.partitionBy(*by, value)))
     s = r.groupBy(*by).agg(F.count_if(F.col(side) == "x").alias("n_x"), F.count_if(F.col(side) == "y").alias("n_y"), F.sum(F.when(F.col(side) == "x", F.col("_r"))).alias("_rx"), F.sum(F.col("_t") * F.col("_t") - 1).alias("_tie"))
-    n = F.col("n_x") + F.col("n_y")
+    n, most = F.col("n_x") + F.col("n_y"), F.col("n_x") * F.col("n_y")
     s = s.withColumn("u", F.col("_rx") - F.col("n_x") * (F.col("n_x") + 1) / 2.0)
-    var = F.col("n_x") * F.col("n_y") / 12.0 * ((n + 1) - F.try_divide(F.col("_tie"), n * (n - 1)))
-    return s.withColumn("z", F.try_divide(F.col("u") - F.col("n_x") * F.col("n_y") / 2.0, F.sqrt(var))).withColumn("p", normal_two_sided(F.col("z"))).drop("_rx", "_tie")
+    var = most / 12.0 * ((n + 1) - F.try_divide(F.col("_tie"), n * (n - 1)))
+    away = F.abs(F.col("u") - most / 2.0)
+    s = s.withColumn("exact", (F.col("_tie") == 0) & F.least("n_x", "n_y").between(1, EXACT_SAMPLE))
+    s = s.withColumn("z", F.try_divide(F.signum(F.col("u") - most / 2.0) * (away - 0.5), F.sqrt(var)))
+    corrected = F.least(F.lit(1.0), F.when(away < 0.5, 1.0).otherwise(normal_two_sided(F.col("z"))))
+    p = F.when(F.col("exact"), rank_sum_two_sided(F.least(F.col("u"), most - F.col("u")), F.col("n_x"), F.col("n_y"))).when(F.col("z").isNotNull(), corrected)
+    return s.withColumn("p", p).drop("_rx", "_tie")
 
 
 def rank_matrix(df: DataFrame, block: list[str], method: str, value: str, higher: bool) -> DataFrame:

@@ -90,17 +90,23 @@ def _(t):
     return out.select("variant_id", "test", r6(F.col("mean_x")).alias("mean_x"), r6(F.col("mean_y")).alias("mean_y"), (F.round("t", 5) + F.lit(0.0)).alias("t"), r6(F.col("p")).alias("p"), r6(F.col("p_holm")).alias("p_holm"), "stars")
 
 
-_ABS = _PAIR + ", d as (select method, x - y as d, rank() over (partition by method order by abs(x - y)) + (count(*) over (partition by method, abs(x - y)) - 1) / 2.0::DOUBLE as r from pr where x <> y)"
+#: One group more: the reference with itself, whose pairs are all equal.
+_ABS = _PAIR + f", pa as (select * from pr union all select 'same', value, value from sm where method = '{_REF}'), al as (select method, count(*) as pairs, max(abs(x - y)) <= 1e-8 as same from pa group by all), d as (select method, x - y as d, rank() over (partition by method order by abs(x - y)) + (count(*) over (partition by method, abs(x - y)) - 1) / 2.0::DOUBLE as r from pa where x <> y)"
+#: Exact p by listing all choices of signs, and of places of the one sample.
+_SIGNS = "(select least(1.0, 2.0::DOUBLE * count(*) filter (list_sum(list_transform(range(z.n), lambda i: ((b.c >> i::INT) & 1) * (i + 1))) <= z.statistic) / count(*)) from (select unnest(range(1::BIGINT << z.n::INT)) as c) b)"
+_PLACES = "(select least(1.0, 2.0::DOUBLE * count(*) filter (list_sum(list_transform(range(z.n_x + z.n_y), lambda i: ((b.c >> i::INT) & 1) * (i + 1))) - z.n_x * (z.n_x + 1) / 2 <= least(z.u, z.n_x * z.n_y - z.u)) / count(*)) from (select unnest(range(1::BIGINT << (z.n_x + z.n_y)::INT)) as c) b where bit_count(b.c) = z.n_x)"
 
 
-@query("wilcoxon", _ABS + ", w as (select method, count(*) as n, coalesce(sum(r) filter (d > 0), 0) as w_plus, coalesce(sum(r) filter (d < 0), 0) as w_minus, sum(c * c - 1) as tie from (select *, count(*) over (partition by method, abs(d)) as c from d) group by all), z as (select *, least(w_plus, w_minus) as statistic, (least(w_plus, w_minus) - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - tie / 48) as z from w) select method, n, round(w_plus, 6) + 0.0 as w_plus, round(w_minus, 6) + 0.0 as w_minus, round(statistic, 6) + 0.0 as statistic, round(z, 6) + 0.0 as z, round(" + _NORMAL.replace("{z}", "z") + ", 6) + 0.0 as p from z")
+@query("wilcoxon", _ABS + ", w as (select al.method, al.pairs, al.same, count(d) as n, coalesce(sum(r) filter (d > 0), 0) as w_plus, coalesce(sum(r) filter (d < 0), 0) as w_minus, sum(c * c - 1) as tie from al left join (select *, count(*) over (partition by method, abs(d)) as c from d) q using (method) group by all), z as (select *, case when same then 0 else least(w_plus, w_minus) end as statistic, not same and n = pairs and tie = 0 and n <= 50 as exact, case when not same then (least(w_plus, w_minus) - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - tie / 48) end as z from w) select method, n, round(w_plus, 6) + 0.0 as w_plus, round(w_minus, 6) + 0.0 as w_minus, round(statistic, 6) + 0.0 as statistic, exact, round(z, 6) + 0.0 as z, round(case when same then 1 when exact then " + _SIGNS + " else " + _NORMAL.replace("{z}", "z.z") + " end, 6) + 0.0 as p from z")
 def _(t):
-    return _rounded(S.wilcoxon(_against(t), ["method"]), ["method"])
+    own = seed_means(t).where(F.col("method") == _REF)
+    equal = own.select(F.lit("same").alias("method"), F.col("value").alias("x"), F.col("value").alias("y"))
+    return _rounded(S.wilcoxon(_against(t).select("method", "x", "y").unionByName(equal), ["method"]), ["method", "exact"])
 
 
-@query("mann_whitney", SEED + f", b as (select method, 'x' as side, value from sm where method <> '{_REF}' union all select n.method, 'y', r.value from (select distinct method from sm where method <> '{_REF}') n, sm r where r.method = '{_REF}'), r as (select *, rank() over (partition by method order by value) + (count(*) over (partition by method, value) - 1) / 2.0::DOUBLE as r, count(*) over (partition by method, value) as c from b), w as (select method, count(*) filter (side = 'x') as n_x, count(*) filter (side = 'y') as n_y, sum(r) filter (side = 'x') - count(*) filter (side = 'x') * (count(*) filter (side = 'x') + 1) / 2.0::DOUBLE as u, sum(c * c - 1) as tie from r group by all), z as (select *, (u - n_x * n_y / 2) / sqrt(n_x * n_y / 12 * (n_x + n_y + 1 - tie / ((n_x + n_y) * (n_x + n_y - 1)))) as z from w) select method, n_x, n_y, u, round(z, 6) + 0.0 as z, round(" + _NORMAL.replace("{z}", "z") + ", 6) + 0.0 as p from z")
+@query("mann_whitney", SEED + f", b as (select method, 'x' as side, value from sm where method <> '{_REF}' union all select n.method, 'y', r.value from (select distinct method from sm where method <> '{_REF}') n, sm r where r.method = '{_REF}'), r as (select *, rank() over (partition by method order by value) + (count(*) over (partition by method, value) - 1) / 2.0::DOUBLE as r, count(*) over (partition by method, value) as c from b), w as (select method, count(*) filter (side = 'x') as n_x, count(*) filter (side = 'y') as n_y, sum(r) filter (side = 'x') - count(*) filter (side = 'x') * (count(*) filter (side = 'x') + 1) / 2.0::DOUBLE as u, sum(c * c - 1) as tie from r group by all), z as (select *, tie = 0 and least(n_x, n_y) <= 8 as exact, sign(u - n_x * n_y / 2) * (abs(u - n_x * n_y / 2) - 0.5) / sqrt(n_x * n_y / 12 * (n_x + n_y + 1 - tie / ((n_x + n_y) * (n_x + n_y - 1)))) as z from w) select method, n_x, n_y, u, exact, round(z, 6) + 0.0 as z, round(case when exact then " + _PLACES + " when abs(u - n_x * n_y / 2) < 0.5 then 1 else " + _NORMAL.replace("{z}", "z.z") + " end, 6) + 0.0 as p from z")
 def _(t):
-    return _rounded(S.mann_whitney(_sides(t), ["method"]), ["method", "u"])
+    return _rounded(S.mann_whitney(_sides(t), ["method"]), ["method", "u", "exact"])
 
 
 _RANK = SEED + ", rk as (select *, rank() over (partition by sampling_seed order by value) + (count(*) over (partition by sampling_seed, value) - 1) / 2.0::DOUBLE as rank from sm), rs as (select method, sum(rank) as s, sum(rank * rank) as a, count(*) as n from rk group by all), tt as (select count(*) as k, max(n) as n, sum(s * s) as q, sum(a) as a from rs)"

@@ -354,3 +354,50 @@ def test_long_files_are_streamed(spark, tmp_path):
     for most_bytes in (0, 20, 1 << 26):
         got = tables.file_checksums(spark, str(tmp_path), "*.bin", most_bytes)
         assert {(r.name, r.bytes, r.sha256) for r in got.collect()} == want
+
+
+def test_exact_rank_tests(spark):
+    """Exact p values against all sign and place choices, equal pairs, ties and larger samples."""
+    import itertools
+    import math
+    import random
+
+    from pairlane.operators.stats import mann_whitney, wilcoxon
+
+    r = random.Random(12)
+    pairs, want = [], {}
+    for n in (1, 2, 5, 9, 12):
+        d = [r.choice([-1, 1]) * (i + 1 + r.random() / 2) for i in range(n)]
+        pairs += [(f"n{n}", x, 0.0) for x in d]
+        place = {x: i + 1 for i, x in enumerate(sorted(d, key=abs))}
+        low = min(sum(place[x] for x in d if x > 0), sum(place[x] for x in d if x < 0))
+        sums = [sum(i + 1 for i in range(n) if c >> i & 1) for c in range(1 << n)]
+        want[f"n{n}"] = (low, min(1.0, 2 * sum(s <= low for s in sums) / len(sums)))
+    pairs += [("equal", 1.0, 1.0)] * 4 + [("none", None, 1.0)] + [("tied", 1.0, 0.0), ("tied", 2.0, 1.0), ("tied", 4.0, 1.0)] + [("zero", float(i), 0.0) for i in range(4)]
+    pairs += [("large", float(i + 1), 0.0) for i in range(51)]
+    got = {x.g: x for x in wilcoxon(spark.createDataFrame(pairs, "g string, x double, y double"), ["g"]).collect()}
+    for g, (low, p) in want.items():
+        assert got[g].exact and got[g].statistic == low and got[g].p == pytest.approx(p, abs=1e-12)
+    assert (got["equal"].statistic, got["equal"].p, got["equal"].n) == (0.0, 1.0, 0) and got["none"].p is None
+    assert not got["tied"].exact and not got["zero"].exact and got["zero"].n == 3 and not got["large"].exact and got["large"].p < 1e-9
+    five = [("five", float(i), 0.0) for i in range(1, 6)]
+    assert wilcoxon(spark.createDataFrame(five, "g string, x double, y double"), ["g"]).first().p == pytest.approx(0.0625)
+
+    values, expect = [], {}
+    for a, b in ((1, 1), (2, 5), (5, 5), (8, 3), (3, 12)):
+        v = [r.random() for _ in range(a + b)]
+        g = f"{a}-{b}"
+        values += [(g, "x", x) for x in v[:a]] + [(g, "y", x) for x in v[a:]]
+        u = sum(x > y for x in v[:a] for y in v[a:])
+        low = min(u, a * b - u)
+        every = [sum(c) - a * (a + 1) // 2 for c in itertools.combinations(range(1, a + b + 1), a)]
+        expect[g] = (u, min(1.0, 2 * sum(x <= low for x in every) / len(every)))
+    values += [("apart", "x", float(i)) for i in range(5)] + [("apart", "y", float(10 + i)) for i in range(5)]
+    values += [("tie", "x", 1.0), ("tie", "y", 1.0), ("tie", "y", 2.0), ("one", "x", 1.0)] + [("many", s, float(2 * i + (s == "y"))) for i in range(9) for s in "xy"]
+    out = {x.g: x for x in mann_whitney(spark.createDataFrame(values, "g string, side string, value double"), ["g"]).collect()}
+    for g, (u, p) in expect.items():
+        assert out[g].exact and out[g].u == u and out[g].p == pytest.approx(p, abs=1e-12)
+    assert out["apart"].p == pytest.approx(2 / math.comb(10, 5)) and not out["tie"].exact and out["one"].p is None
+    # the textbook correction of a half beyond the exact sizes: u 36, mean 40.5, variance 128.25
+    z = (4.5 - 0.5) / math.sqrt(128.25)
+    assert not out["many"].exact and out["many"].p == pytest.approx(math.erfc(z / math.sqrt(2)), abs=1e-9)

@@ -6,12 +6,14 @@ need the zeros divide by the number of all cells.
 
 from __future__ import annotations
 
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairlane.functions.exprs import distance2, place
+from pairlane.functions.exprs import place
+from pairlane.functions.storage import discard, saved
+from pairlane.functions.tiles import principal_axes, projected
+from pairlane.operators.neighbors import knn_join
 
 
 def normalize_total(expr: DataFrame, target: float = 1e4) -> DataFrame:
@@ -100,27 +102,20 @@ def control_zscore(expr: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def pca(cells: DataFrame, fit_on: DataFrame, k: int, vec: str = "vec") -> DataFrame:
-    """Components of ``cells`` under a PCA of ``fit_on``: centred, and signed so that each axis' largest loading is positive."""
-    centre = fit_on.select(F.posexplode(vec).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"))
-    centre = centre.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("_centre"))
-    shift = lambda df: df.crossJoin(F.broadcast(centre)).withColumn("_v", array_to_vector(F.zip_with(F.col(vec), "_centre", lambda a, b: a.cast("double") - b)))
-    model = PCA(k=k, inputCol="_v", outputCol="_p").fit(shift(fit_on))
-    axes = model.pc.toArray()
-    signs = [1.0 if axes[abs(axes[:, j]).argmax(), j] > 0 else -1.0 for j in range(axes.shape[1])]
-    out = model.transform(shift(cells)).withColumn("pca", F.zip_with(vector_to_array("_p"), F.array(*map(F.lit, signs)), lambda a, b: a * b))
-    return out.drop("_v", "_p", "_centre")
+    """Components (column pca) of ``cells`` under a PCA of ``fit_on``: centred, and signed so that each axis' largest loading is positive.
 
+    The axes come from passes over ``fit_on`` that multiply a few directions at once; nothing of size genes x genes is
+    formed. Axes beyond the rank of ``fit_on`` are 0.
+    """
+    fitted = saved(fit_on.select(vec))
+    centre, axes, _ = principal_axes(fitted, vec, k)
+    discard(fitted)
+    return projected(cells, vec, centre, axes, "pca")
 
-def knn(queries: DataFrame, points: DataFrame, k: int, key: str = "cell_id", vec: str = "vec") -> DataFrame:
-    """The ``k`` nearest points of each query (ties by id), not itself.
 
-    ``queries`` is a stated, bounded set: it is compared with all points. The best k are kept
-    within each task before rows meet by query.
-    """
-    q = queries.select(F.col(key).alias("query_id"), F.col(vec).alias("_q"))
-    p = points.select(F.col(key).alias("neighbor_id"), F.col(vec).alias("_p"))
-    pairs = q.join(p, F.col("query_id") != F.col("neighbor_id")).select("query_id", "neighbor_id", distance2(F.col("_q"), F.col("_p")).alias("d2"))
-    return pairs.withColumn("rank", place(["query_id"], "d2", "neighbor_id")).where(F.col("rank") <= k)
+def knn(queries: DataFrame, points: DataFrame, k: int, key: str = "cell_id", vec: str = "vec") -> DataFrame:
+    """The ``k`` nearest points of each query (ties by id), not itself."""
+    return knn_join(queries, points, k, key, vec)[0]
 
 
 def group_means(expr: DataFrame, by: list[str], members: DataFrame) -> DataFrame:

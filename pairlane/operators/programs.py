@@ -2,46 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairlane.functions.exprs import cosine, pearson, place, rmse, tie_rank
 from pairlane.functions.storage import checkpointed
+from pairlane.functions.tiles import gram, means
 
 
 def gene_correlation(cells: DataFrame, names: DataFrame, vec: str = "vec") -> DataFrame:
     """(g1, g2, r) of all gene pairs with g1 < g2 over dense rows; not finite counts as 0.
 
-    ``names`` (pos, gene): the selected genes, whose number G is a parameter of the experiment. Each
-    partition sums the products of its centred cells in one G x G matrix, and only the rows of
-    these matrices are shuffled, so the cost grows with cells x G^2 in matrix products and not in rows.
+    ``names`` (pos, gene): the selected genes, whose number G is a parameter of the experiment. Tasks multiply
+    blocks of centred cells and emit tiles of the upper half of the product, which are summed by
+    (row block, column block); the means are G numbers.
     """
-    plain = cells.select(F.transform(vec, lambda x: x.cast("double")).alias("_v"))
-    centre = plain.select(F.posexplode("_v").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"))
-    centre = centre.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("_m"))
-
-    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for batch in batches:
-            if batch.num_rows:
-                x, m = (batch.column(c).flatten().to_numpy().reshape(batch.num_rows, -1) for c in ("_v", "_m"))
-                total = (0 if total is None else total) + (x - m).T @ (x - m)
-        if total is not None:
-            yield pa.RecordBatch.from_pydict({"i": pa.array(range(len(total)), pa.int32()), "s": pa.array(total.tolist(), pa.list_(pa.float64()))})
-
-    parts = plain.crossJoin(F.broadcast(centre)).mapInArrow(products, "i int, s array<double>")  # one row
-    whole = parts.groupBy("i").agg(F.collect_list("s").alias("_all"))
-    whole = whole.select("i", F.aggregate(F.slice("_all", 2, F.size("_all")), F.get("_all", F.lit(0)), lambda a, b: F.zip_with(a, b, lambda x, y: x + y)).alias("s"))
-    whole = checkpointed(whole)
-    own = whole.select("i", F.get("s", F.col("i")).alias("_var"))
-    long = whole.select(F.col("i").alias("p1"), F.posexplode("s").alias("p2", "s")).where("p1 <> p2")
-    a, b = (names.join(own, names["pos"] == own["i"]).select(F.col("pos").alias(f"p{k}"), F.col("gene").alias(f"g{k}"), F.col("_var").alias(f"v{k}")) for k in (1, 2))
-    named = long.join(a, "p1").join(b, "p2").where("g1 < g2")
-    spread = F.sqrt(F.col("v1") * F.col("v2"))
-    return named.select("g1", "g2", F.when(spread > 0, F.col("s") / spread).otherwise(0.0).alias("r"))
+    plain = cells.select(F.col(vec).alias("v"))
+    _, centre = means(plain, "v")
+    whole = checkpointed(gram(plain, "v", centre))
+    own = whole.where("p = q").select("p", F.col("s").alias("_var"))
+    a, b = (names.join(own, names["pos"] == own["p"]).select(F.col("pos").alias(k), F.col("gene").alias(f"g_{k}"), F.col("_var").alias(f"v_{k}")) for k in ("p", "q"))
+    named = whole.where("p < q").join(a, "p").join(b, "q")
+    spread = F.sqrt(F.col("v_p") * F.col("v_q"))
+    return named.select(F.least("g_p", "g_q").alias("g1"), F.greatest("g_p", "g_q").alias("g2"), F.when(spread > 0, F.col("s") / spread).otherwise(0.0).alias("r"))
 
 
 def gene_edges(corr: DataFrame, least_r: float = 0.35, least_degree: int = 5) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pairlane.functions.exprs import r6
@@ -86,23 +87,53 @@ def _(t):
     return N.control_zscore(control, N.gene_stats(control)).select("cell_id", "gene", (F.round("value", 5) + F.lit(0.0)).alias("value"))
 
 
-@query("pca_fit_transform")
+def _axes_sql(fit: str, points: str, k: int, doublings: int = 32) -> str:
+    """Axes of ``fit`` (cell_id, i, x) by squaring the covariance over and over and taking each axis out of it; coordinates of ``points``."""
+    return f"""
+, fm as (select i, avg(x) as m from {fit} group by i), fc as (select cell_id, i, x - m as x from {fit} join fm using (i)),
+co as (select a.i, b.i as j, sum(a.x * b.x) as s from fc a join fc b using (cell_id) group by all), cr as (select i, list(s order by j) as r from co group by i), cm as (select list(r order by i) as c from cr),
+pw as (
+  select 0 as axis, 0 as step, c as m, c, null::DOUBLE[] as v from cm
+  union all
+  select axis + (step = {doublings})::INT, (step + 1) % {doublings + 1}, list_transform(nm, lambda r: list_transform(r, lambda x: x / tr)), nc, nv
+  from (select *, list_sum(list_transform(range(1, len(nm) + 1), lambda i: nm[i][i])) as tr from (
+    select axis, step, nv, case when nv is null then c else list_transform(range(1, len(c) + 1), lambda i: list_transform(range(1, len(c) + 1), lambda j: c[i][j] - ev * nv[i] * nv[j])) end as nc,
+           case when nv is null then list_transform(m, lambda r: list_transform(m, lambda k: list_dot_product(r, k))) else nc end as nm
+    from (select *, list_dot_product(nv, list_transform(c, lambda r: list_dot_product(r, nv))) as ev from (
+      select *, case when step = {doublings} then list_transform(m[big], lambda x: x / sqrt(list_dot_product(m[big], m[big]))) end as nv
+      from (select *, list_position(dg, list_max(dg)) as big from (select *, list_transform(range(1, len(m) + 1), lambda i: m[i][i]) as dg from pw where axis < {k}))))))
+),
+ax as (select axis - 1 as axis, unnest(v) * case when list_max(v) >= -list_min(v) then 1 else -1 end as w, generate_subscripts(v, 1) as i from pw where v is not null)
+select p.cell_id, ax.axis, round(sum((p.x - fm.m) * ax.w), 4) + 0.0 as value from {points} p join fm using (i) join ax using (i) group by all"""
+
+
+def _long(df):
+    return df.select("cell_id", F.posexplode("pca").alias("axis", "value")).withColumn("value", F.round("value", 4) + F.lit(0.0))
+
+
+@query("pca_fit_transform", cte("cell", recursive=True) + ", pt as (select cell_id, analysis_group, unnest(vec)::DOUBLE as x, generate_subscripts(vec, 1) as i from cell), ft as (select * from pt where analysis_group = 'control')" + _axes_sql("ft", "pt", 8))
 def _(t):
-    out = N.pca(t.cell().select("cell_id", "vec"), t.control().select("vec"), 8)
-    return out.select("cell_id", F.transform("pca", lambda x: F.round(x, 6)).alias("pca"))
+    return _long(N.pca(t.cell().select("cell_id", "vec"), t.control().select("vec"), 8))
 
 
-@query("hvg_pca_embedding")
+@query(
+    "hvg_pca_embedding",
+    _DISP.replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, x as (select gene, ln(1 + mean) as mean, ln(dispersion) as dispersion from d),
+b as (select *, case when max(mean) over () > min(mean) over () then least(floor((mean - min(mean) over ()) / ((max(mean) over () - min(mean) over ()) / 8)), 7) else 0 end::INT as bin from x),
+z as (select *, avg(dispersion) over (partition by bin) as a, stddev_samp(dispersion) over (partition by bin) as s from b),
+q as (select gene, case when s is null then dispersion / a when s > 0 then (dispersion - a) / s end as score from z),
+hv as (select gene, row_number() over (order by gene) as i from (select gene, row_number() over (order by score desc nulls last, gene) as n from q where score is not null) where n <= 10),
+cl as (select distinct cell_id from lg join hv using (gene)), pt as (select cl.cell_id, hv.i, coalesce(lg.value, 0) as x from cl cross join hv left join lg on lg.cell_id = cl.cell_id and lg.gene = hv.gene)"""
+    + _axes_sql("pt", "pt", 4),
+)
 def _(t):
     logs = N.log1p(_norm(t))
     genes = N.hvg_seurat(logs, _n_cells(t), 10, bins=8).where("highly_variable").select("gene")
-    axis = F.row_number
-    from pyspark.sql import Window
-
-    order = genes.withColumn("i", axis().over(Window.orderBy("gene")) - 1)
+    order = genes.withColumn("i", F.row_number().over(Window.orderBy("gene")) - 1)
     rows = logs.join(order, "gene").groupBy("cell_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "value"))).alias("m"))
     dense = rows.select("cell_id", F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0))).alias("vec"))
-    return N.pca(dense, dense, 4).select("cell_id", F.transform("pca", lambda x: F.round(x, 6)).alias("pca"))
+    return _long(N.pca(dense, dense, 4))
 
 
 @query(

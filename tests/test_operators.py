@@ -401,3 +401,91 @@ def test_exact_rank_tests(spark):
     # the textbook correction of a half beyond the exact sizes: u 36, mean 40.5, variance 128.25
     z = (4.5 - 0.5) / math.sqrt(128.25)
     assert not out["many"].exact and out["many"].p == pytest.approx(math.erfc(z / math.sqrt(2)), abs=1e-9)
+
+
+def matrix(spark, x, parts=4):
+    return table(spark, [(i, v.tolist()) for i, v in enumerate(x)], "cell_id long, vec array<double>").repartition(parts)
+
+
+def test_axes_of_wide_rows_agree_with_the_dense_ones(spark):
+    from pairlane.functions import tiles
+
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((400, 300)) @ np.diag(0.97 ** np.arange(300)) + 3
+    centre, axes, variances = tiles.principal_axes(matrix(spark, x), "vec", 3, extra=4)
+    _, s, want = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    assert np.allclose(centre, x.mean(axis=0)) and np.allclose(variances, s[:3] ** 2 / 399)
+    assert np.linalg.norm(axes @ axes.T - want[:3].T @ want[:3]) < 1e-6
+    # beyond the rank, axes are 0; one row has no variance; no row has no axes
+    flat = np.outer(np.arange(5.0), [1.0, 2.0, 0.0])
+    assert np.allclose(tiles.principal_axes(matrix(spark, flat), "vec", 3)[1], np.outer([1, 2, 0], [1, 0, 0]) / np.sqrt(5))
+    assert not tiles.principal_axes(matrix(spark, flat[:1]), "vec", 2)[1].any()
+    assert tiles.principal_axes(matrix(spark, flat).limit(0), "vec", 2)[1].shape == (0, 0)
+
+
+def test_tiles_add_up_to_the_product(spark, monkeypatch):
+    from pairlane.functions import tiles
+
+    monkeypatch.setattr(tiles, "SIDE", 3)
+    monkeypatch.setattr(tiles, "FAN", 2)
+    monkeypatch.setattr(tiles, "ROWS_BYTES", 100)
+    x = np.random.default_rng(2).standard_normal((50, 8))
+    n, centre = tiles.means(matrix(spark, x), "vec")
+    assert n == 50 and np.allclose(centre, x.mean(axis=0))
+    want = (x - centre).T @ (x - centre)
+    got = tiles.gram(matrix(spark, x), "vec", centre).collect()
+    assert len(got) == 36 and all(r.s == pytest.approx(want[r.p, r.q]) for r in got)
+
+
+def test_metrics_on_fitted_axes(spark):
+    """Controls and constructed rows on the axes of the controls' own PCA."""
+    from pairlane.operators import normalise
+
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((60, 12)) @ np.diag([6, 4, 2] + [0.1] * 9)
+    rows = [(0, 0, i, v.tolist()) for i, v in enumerate(x)] + [(0, 1, i, (v + 1).tolist()) for i, v in enumerate(x[::2])]
+    df = table(spark, rows, "sampling_seed int, source int, cell_id long, vec array<double>")
+    on = normalise.pca(df, df.where("source = 0").select("vec"), 3).withColumn("vec", F.col("pca")).drop("pca")
+    axes = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)[2][:3].T
+    a, b = (x - x.mean(axis=0)) @ axes, (x[::2] + 1 - x.mean(axis=0)) @ axes
+    flat = on.select("sampling_seed", "source", F.posexplode("vec").alias("gene", "value"))
+    r = one(E.centroid_metrics(flat.where("source = 1").drop("source"), flat.where("source = 0").drop("source"), ["sampling_seed"]))
+    assert r["centroid_distance"] == pytest.approx(np.linalg.norm(a.mean(axis=0) - b.mean(axis=0)))
+    assert r["total_variance_ratio"] == pytest.approx(b.var(axis=0).sum() / a.var(axis=0).sum())
+    both = np.concatenate([a, b])
+    d2 = ((both[:, None] - both[None]) ** 2).sum(axis=2)
+    upper = d2[np.triu_indices(len(both), 1)]
+    k = np.exp(-d2 / np.median(upper[upper > 0]))
+    want = k[:60, :60].mean() + k[60:, 60:].mean() - 2 * k[:60, 60:].mean()
+    assert one(E.mmd_rbf(on, ["sampling_seed"]))["mmd2"] == pytest.approx(want)
+    source = np.repeat([0, 1], [60, 30])
+    np.fill_diagonal(d2, np.inf)
+    share = [(source[np.argsort(row, kind="stable")[:30]] != s).mean() for row, s in zip(d2, source, strict=True)]
+    assert one(E.source_mixing(on, ["sampling_seed"]))["mixing"] == pytest.approx(np.mean(share))
+
+
+def test_neighbours_are_those_of_all_pairs(spark, monkeypatch):
+    from pairlane.operators import neighbors
+
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((12, 5)) * 30
+    x = np.concatenate([c + rng.standard_normal((40, 5)) for c in centres] + [np.tile(centres[0], (60, 1))])  # a sixth are copies
+    monkeypatch.setattr(neighbors, "HELD", 2000)
+    points = matrix(spark, x)
+    got, work = neighbors.knn_join(points.where("cell_id % 7 = 0"), points, 5, pivots=16, part=25)
+    d2 = np.zeros((len(x), len(x)))
+    for i in range(5):
+        d2 += (x[:, i, None] - x[None, :, i]) ** 2
+    np.fill_diagonal(d2, np.inf)
+    want = {(q, r + 1): int(p) for q in range(0, len(x), 7) for r, p in enumerate(np.lexsort((np.arange(len(x)), d2[q]))[:5])}
+    assert {(r.query_id, r["rank"]): r.neighbor_id for r in got.collect()} == want
+    w = one(work)
+    assert w["pairs"] == len(range(0, len(x), 7)) * len(x) and 0 < w["compared"] < 0.35 * w["pairs"]
+    plan = got._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    few, _ = neighbors.knn_join(points.limit(3), points.limit(3), 5)
+    assert few.groupBy("query_id").count().collect()[0][1] == 2
+    assert neighbors.knn_join(points, points.limit(0), 5)[0].count() == 0 and neighbors.knn_join(points.limit(0), points, 5)[0].count() == 0
+    names = points.withColumn("cell_id", F.format_string("c%04d", "cell_id"))
+    texts, _ = neighbors.knn_join(names.where("cell_id < 'c0030'"), names, 5)
+    assert {(int(r.query_id[1:]), r["rank"], int(r.neighbor_id[1:])) for r in texts.collect() if int(r.query_id[1:]) % 7 == 0} == {(q, n, p) for (q, n), p in want.items() if q < 30}

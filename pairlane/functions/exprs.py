@@ -88,6 +88,62 @@ def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     return out.drop("_range", "_first")
 
 
+def _matched(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on keys that may be NULL, which count as equal then."""
+    right = right.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return left.join(right, on).drop(*[f"_k_{k}" for k in keys])
+
+
+def numbered_by(df: DataFrame, by: list[str], order: dict[str, Column], name: str) -> DataFrame:
+    """Add gapless numbers from 0 within each group of ``by`` in the given (unique) order, for groups of any size.
+
+    Rows are range-partitioned by group and order, so a group that holds half of all rows is spread over
+    as many tasks; the counts by group and partition give each part of a group its first number.
+    """
+    from pairlane.functions.storage import saved
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = df.withColumns({f"_o_{k}": c for k, c in order.items()})
+    sort = [f"_o_{k}" for k in order]
+    ranged = saved(keyed.repartitionByRange(parts, *by, *sort).withColumn("_range", F.spark_partition_id()))
+    firsts = ranged.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    firsts = firsts.select(*by, "_range", F.coalesce(before, F.lit(0)).alias("_first"))
+    within = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*sort))
+    return _matched(ranged, firsts, [*by, "_range"]).withColumn(name, (F.col("_first") + within - 1).cast("long")).drop("_range", "_first", *sort)
+
+
+def percentiles(df: DataFrame, by: list[str], value: str, name: str, q: float = 0.5) -> DataFrame:
+    """(by, name): the exact ``q`` percentile of the values that are not NULL, between two values by linear interpolation.
+
+    No task holds a group's values: rows are counted by value (combined before the shuffle), the counts are range-partitioned and
+    summed, and only the one or two values at the wanted place are taken.
+    """
+    from pairlane.functions.storage import checkpointed
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    counts = checkpointed(counts.repartitionByRange(parts, *by, value).withColumn("_range", F.spark_partition_id()))
+    sums = counts.groupBy(*by, "_range").agg(F.sum("_c").alias("_s"))
+    group = Window.partitionBy(*(by or [F.lit(0)]))
+    before = F.sum("_s").over(group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    at = (F.sum("_s").over(group) - 1) * F.lit(q)
+    sums = sums.select(*by, "_range", F.coalesce(before, F.lit(0)).alias("_before"), at.alias("_at"), "_s")
+    # only the ranges that hold the place
+    sums = sums.where((F.col("_before") <= F.ceil("_at")) & (F.col("_before") + F.col("_s") > F.floor("_at"))).drop("_s")
+    near = _matched(counts, sums, [*by, "_range"])
+    upto = F.col("_before") + F.sum("_c").over(Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    near = near.withColumn("_upto", upto)
+    holds = lambda place: (F.col("_upto") - F.col("_c") <= place) & (place < F.col("_upto"))
+    low, high = (F.max(F.when(holds(p), F.col(value))) for p in (F.floor("_at"), F.ceil("_at")))
+    found = near.groupBy(*by).agg(low.alias("_low"), high.alias("_high"), F.first("_at").alias("_at"))
+    share = F.col("_at") - F.floor("_at")
+    return found.select(*by, F.when(share == 0, F.col("_low").cast("double")).otherwise((1 - share) * F.col("_low") + share * F.col("_high")).alias(name))
+
+
 def is_missing(x: Column) -> Column:
     return x.isNull() | F.isnan(x)
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairlane.functions.exprs import cosine, dot, draw, pearson, place, rmse, tie_rank, value_ranks
+from pairlane.functions.exprs import cosine, dot, draw, pearson, percentiles, place, rmse, tie_rank, value_ranks
 from pairlane.functions.storage import checkpointed
 
 
@@ -64,9 +64,9 @@ def rowwise_metrics(pairs: DataFrame, row: list[str], x: str = "x", y: str = "y"
 def summarize(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     """Rows (by, metric): mean, median, population std, standard error, finite n. NaN counts as missing."""
     long = df.unpivot(by, columns, "metric", "value").where(F.col("value").isNotNull() & ~F.isnan("value"))
-    return long.groupBy(*by, "metric").agg(
-        F.avg("value").alias("mean"), F.percentile("value", F.lit(0.5)).alias("median"), F.stddev_pop("value").alias("std"), (F.stddev_pop("value") / F.sqrt(F.count("value"))).alias("sem"), F.count("value").alias("n_valid")
-    )
+    stats = long.groupBy(*by, "metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), (F.stddev_pop("value") / F.sqrt(F.count("value"))).alias("sem"), F.count("value").alias("n_valid"))
+    out = stats.join(percentiles(long, [*by, "metric"], "value", "median"), [*by, "metric"])
+    return out.select(*by, "metric", "mean", "median", "std", "sem", "n_valid")
 
 
 def summarize_numeric(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
@@ -74,8 +74,11 @@ def summarize_numeric(df: DataFrame, by: list[str], columns: list[str]) -> DataF
     out = []
     for c in columns:
         v = F.when(~F.isnan(c), F.col(c))
-        out += [F.avg(v).alias(f"{c}_mean"), F.stddev_samp(v).alias(f"{c}_std"), F.percentile(v, F.lit(0.5)).alias(f"{c}_median"), F.min(v).alias(f"{c}_min"), F.max(v).alias(f"{c}_max"), F.count(v).alias(f"{c}_n")]
-    return df.groupBy(*by).agg(*out)
+        out += [F.avg(v).alias(f"{c}_mean"), F.stddev_samp(v).alias(f"{c}_std"), F.min(v).alias(f"{c}_min"), F.max(v).alias(f"{c}_max"), F.count(v).alias(f"{c}_n")]
+    long = df.unpivot(by, columns, "_metric", "_value").where(~F.isnan("_value"))
+    middle = percentiles(long, [*by, "_metric"], "_value", "_median").groupBy(*by).agg(*[F.max(F.when(F.col("_metric") == c, F.col("_median"))).alias(f"{c}_median") for c in columns])
+    whole = df.groupBy(*by).agg(*out).join(middle, by, "left")
+    return whole.select(*by, *[f"{c}_{s}" for c in columns for s in ("mean", "std", "median", "min", "max", "n")])
 
 
 def dimension_stats(expr: DataFrame, by: list[str]) -> DataFrame:

@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairlane.functions.exprs import distance2, draw, place
-from pairlane.functions.storage import checkpointed
+from pairlane.functions.exprs import distance2, draw, numbered_by, percentiles, place
+from pairlane.functions.storage import checkpointed, saved
 
 
 def mean_profile(controls: DataFrame, vec: str = "vec") -> DataFrame:
@@ -79,8 +79,8 @@ def average_profiles(draws: DataFrame, vectors: DataFrame, key: str, k: int, vec
 
 def balanced_metacells(treated: DataFrame, m: int, seed: int) -> DataFrame:
     """S4: inside each perturbation every metacell is used equally often (counts differ by one at most)."""
-    order = place(["perturbation"], draw("s4", seed, F.col("cell_id")), "cell_id") - 1
-    return treated.withColumn("mc_index", order % m).withColumn("use_no", F.floor(order / m))
+    placed = numbered_by(treated, ["perturbation"], {"draw": draw("s4", seed, F.col("cell_id")), "key": F.col("cell_id")}, "_nth")
+    return placed.withColumn("mc_index", F.col("_nth") % m).withColumn("use_no", F.floor(F.col("_nth") / m)).drop("_nth")
 
 
 def members(membership: DataFrame, seed: int) -> DataFrame:
@@ -115,8 +115,9 @@ def transport_cost(treated: DataFrame, metacell: DataFrame) -> DataFrame:
     """
     pairs = treated.select("cell_id", "perturbation", F.col("vec").alias("_x")).join(F.broadcast(metacell.select("mc_index", F.col("profile").alias("_p"))))
     raw = pairs.select("cell_id", "perturbation", "mc_index", F.sqrt(distance2(F.col("_x"), F.col("_p"))).alias("distance"))
-    middle = raw.groupBy("perturbation").agg(F.percentile(F.when(F.col("distance") > 0, F.col("distance")), F.lit(0.5)).alias("_scale"))
-    return raw.join(middle, "perturbation").withColumn("cost", F.col("distance") / F.coalesce("_scale", F.lit(1.0))).drop("_scale")
+    raw = saved(raw)
+    middle = percentiles(raw.where("distance > 0"), ["perturbation"], "distance", "_scale")
+    return raw.join(middle, "perturbation", "left").withColumn("cost", F.col("distance") / F.coalesce("_scale", F.lit(1.0))).drop("_scale")
 
 
 #: Cells of a perturbation up to which its scaling runs in one task.

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairlane.functions.exprs import draw, place, value_ranks
+from pairlane.functions.exprs import draw, numbered_by, percentiles, place, value_ranks
+from pairlane.functions.storage import checkpointed
 from pairlane.operators.evaluate import effect_similarity, effect_topk, row_cosine, row_pearson
 
 
@@ -23,9 +24,9 @@ def stratified_split(rows: DataFrame, label: str, key: str, seed: int, train: fl
     n_valid = F.greatest(F.floor(F.col("_n") * valid), F.lit(1))
     n_test = F.greatest(F.col("_n") - F.greatest(F.floor(F.col("_n") * train), F.lit(1)) - n_valid, F.lit(1))
     cut = F.col("_n") - n_valid - n_test
-    nth = place([label], draw("split", seed, F.col(key)), key)
     part = F.when(F.col("_i") <= cut, "train").when(F.col("_i") <= cut + n_valid, "valid").otherwise("test")
-    return rows.join(size, label).withColumn("_i", nth).withColumn("split", part).drop("_i", "_n")
+    placed = numbered_by(rows, [label], {"draw": draw("split", seed, F.col(key)), "key": F.col(key)}, "_nth").withColumn("_i", F.col("_nth") + 1).drop("_nth")
+    return placed.join(size, label).withColumn("split", part).drop("_i", "_n")
 
 
 def delta_features(pairs: DataFrame, control_mean: DataFrame) -> DataFrame:
@@ -54,11 +55,16 @@ def forward_metrics(pred: DataFrame, by: list[str], key: str = "cell_id") -> Dat
     out = out.withColumn("model_gain_mse_xt_fraction", F.col("model_gain_mse_xt") / (F.col("input_only_mse_xt") + 1e-12))
     measure = {"pearson": row_pearson, "cosine": row_cosine}
     rows = pred.groupBy(*by, key).agg(*[measure[m](F.expr(x), F.expr(y)).alias(n) for n, x, y, m in ROWWISE])
+    rows = checkpointed(rows)
     stats = [f(F.col(n)).alias(f"{n}_{s}") for n, *_ in ROWWISE for s, f in SUMMARY.items()]
-    return out.join(rows.groupBy(*by).agg(*stats), by)
+    names = [n for n, *_ in ROWWISE]
+    middle = percentiles(rows.unpivot(by, names, "_metric", "_value"), [*by, "_metric"], "_value", "_median")
+    wide = middle.groupBy(*by).agg(*[F.max(F.when(F.col("_metric") == n, F.col("_median"))).alias(f"{n}_median") for n in names])
+    out = out.join(rows.groupBy(*by).agg(*stats), by).join(wide, by, "left")
+    return out.select(*by, *[c for c in out.columns if c not in by and not c.endswith("_median") and not any(c.startswith(n) for n in names)], *[f"{n}_{s}" for n in names for s in ("mean", "median", "std", "sem", "n_valid")])
 
 
-SUMMARY = {"mean": F.avg, "median": lambda x: F.percentile(x, F.lit(0.5)), "std": F.stddev_pop, "sem": lambda x: F.stddev_pop(x) / F.sqrt(F.count(x)), "n_valid": F.count}
+SUMMARY = {"mean": F.avg, "std": F.stddev_pop, "sem": lambda x: F.stddev_pop(x) / F.sqrt(F.count(x)), "n_valid": F.count}
 
 
 def forward_per_perturbation(pred: DataFrame, by: list[str], ks: list[int], label: str = "perturbation", key: str = "cell_id") -> DataFrame:
@@ -77,7 +83,8 @@ def forward_report(pred: DataFrame, by: list[str], ks: list[int], label: str = "
     """``forward_metrics`` with the mean and median over perturbations of ``forward_per_perturbation``."""
     per = forward_per_perturbation(pred, by, ks, label)
     names = [c for c in per.columns if c not in (*by, label, "n_test_cells")]
-    stats = [f(F.col(c)).alias(f"per_perturbation_{c}_{s}") for c in names for s, f in SUMMARY.items() if s in ("mean", "median")]
+    # one row a perturbation here
+    stats = [x for c in names for x in (F.avg(c).alias(f"per_perturbation_{c}_mean"), F.percentile(c, F.lit(0.5)).alias(f"per_perturbation_{c}_median"))]
     return forward_metrics(pred, by).join(per.groupBy(*by).agg(*stats, F.count("*").alias("n_perturbations_evaluated")), by)
 
 

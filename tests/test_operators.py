@@ -489,3 +489,25 @@ def test_neighbours_are_those_of_all_pairs(spark, monkeypatch):
     names = points.withColumn("cell_id", F.format_string("c%04d", "cell_id"))
     texts, _ = neighbors.knn_join(names.where("cell_id < 'c0030'"), names, 5)
     assert {(int(r.query_id[1:]), r["rank"], int(r.neighbor_id[1:])) for r in texts.collect() if int(r.query_id[1:]) % 7 == 0} == {(q, n, p) for (q, n), p in want.items() if q < 30}
+
+
+def test_percentiles_and_numbers_of_a_hot_group(spark):
+    """One group holds most rows: the same medians and numbers, and its rows lie in several ranges."""
+    from pairlane.functions.exprs import numbered_by, percentiles
+
+    rng = np.random.default_rng(1)
+    rows = [("hot", float(v)) for v in rng.integers(0, 400, 901)] + [("even", float(v)) for v in range(10)] + [("one", 2.5), (None, 1.0), (None, 4.0), ("none", None), ("same", 3.0), ("same", 3.0)]
+    df = table(spark, rows, "g string, v double")
+    for q in (0.5, 0.25, 0.9, 0.0, 1.0):
+        got = {r.g: r.m for r in percentiles(df, ["g"], "v", "m", q).collect()}
+        want = {g: np.quantile([v for h, v in rows if h == g and v is not None], q) for g in ("hot", "even", "one", None, "same")}
+        assert got == {g: pytest.approx(v, abs=1e-12) for g, v in want.items()}
+    assert one(percentiles(df, [], "v", "m"))["m"] == np.median([v for _, v in rows if v is not None])
+    assert percentiles(df.limit(0), ["g"], "v", "m").count() == 0
+    keyed = df.withColumn("k", F.monotonically_increasing_id())
+    out = numbered_by(keyed, ["g"], {"v": F.col("v"), "k": F.col("k")}, "n").collect()
+    for g in {r.g for r in out}:
+        own = sorted((r for r in out if r.g == g), key=lambda r: (r.v is not None, r.v, r.k))
+        assert [r.n for r in own] == list(range(len(own)))
+    spread = keyed.repartitionByRange(4, "g", "v", "k").withColumn("p", F.spark_partition_id()).where("g = 'hot'").select("p").distinct().count()
+    assert spread >= 3

@@ -54,6 +54,12 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` as the file system's own listing writes it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):  # the session may have ended before
         jvm = spark.sparkContext._jvm

@@ -6,13 +6,16 @@ need the zeros divide by the number of all cells.
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairlane.functions.exprs import place
+from pairlane.functions.exprs import draw, place
 from pairlane.functions.storage import discard, saved
-from pairlane.functions.tiles import principal_axes, projected
+from pairlane.functions.tiles import dense, principal_axes, projected, summed
 from pairlane.operators.neighbors import knn_join
 
 
@@ -130,13 +133,58 @@ def metacells(expr: DataFrame, membership: DataFrame) -> DataFrame:
     return group_means(expr.join(membership, "cell_id"), ["metacell_id"], membership)
 
 
-def assign_metacells(cells: DataFrame, n: int, seed: int, vec: str = "vec") -> DataFrame:
-    """Metacell of each cell by k-means on its embedding. The reference algorithm is an archetype fit; this one differs."""
-    from pyspark.ml.clustering import KMeans
+def nearest_centre(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index of each row's nearest centre, the smallest of equal ones; squared distances to all centres)."""
+    d = np.zeros((len(x), len(centres)))
+    for i in range(x.shape[1]):
+        d += (x[:, i, None] - centres[None, :, i]) ** 2
+    return d.argmin(axis=1) if len(centres) else np.zeros(len(x), np.int64), d
+
+
+def seeded_centres(drawn: np.ndarray, n: int) -> np.ndarray:
+    """Up to ``n`` of the drawn rows: the first one, then always the row farthest from all that were taken (the first of equal ones)."""
+    taken = [0]
+    d = nearest_centre(drawn, drawn[:1])[1][:, 0]
+    while len(taken) < min(n, len(drawn)):
+        rest = d.copy()
+        rest[taken] = -1.0
+        taken.append(int(rest.argmax()))
+        d = np.minimum(d, nearest_centre(drawn, drawn[taken[-1:]])[1][:, 0])
+    return drawn[taken]
 
-    ready = cells.withColumn("_v", array_to_vector(F.transform(vec, lambda x: x.cast("double"))))
-    model = KMeans(k=n, seed=seed, featuresCol="_v", predictionCol="_c").fit(ready)
-    return model.transform(ready).select("cell_id", F.concat(F.lit("mc_"), F.col("_c").cast("string")).alias("metacell_id"))
+
+def assign_metacells(cells: DataFrame, n: int, seed: int, vec: str = "vec", key: str = "cell_id", oversample: int = 4, rounds: int = 20) -> DataFrame:
+    """(key, metacell_id): k-means on the embedding, the same for any partitioning. The reference algorithm is an archetype fit; this one differs.
+
+    ``oversample * n`` cells are drawn by a seeded hash, and ``n`` of them that lie far apart are the
+    first centres. In each round a cell belongs to its nearest centre (the first of equal ones), and tasks sum
+    their cells by centre, so only ``n`` rows of sums are gathered; rounds end when no centre moves. A centre
+    without cells stays where it is, and its metacell is empty. Fewer cells than ``n`` give as many metacells;
+    cells without a vector are left out.
+    """
+    ready = saved(cells.where(F.col(vec).isNotNull()).select(F.col(key), F.transform(vec, lambda x: x.cast("double")).alias("v")))
+    drawn = [r["v"] for r in ready.orderBy(draw("metacell", seed, F.col(key)), key).limit(oversample * n).collect()]
+    centres = seeded_centres(np.array(drawn, np.float64), n) if drawn else np.zeros((0, 1))
+    for _ in range(rounds if drawn else 0):
+
+        def sums(x: np.ndarray, at: np.ndarray = centres) -> np.ndarray:
+            own = np.eye(len(at))[nearest_centre(x, at)[0]]
+            return own.T @ np.c_[x, np.ones(len(x))]
+
+        total = summed(ready, "v", sums)
+        size = total[:, -1:]
+        moved = np.where(size > 0, total[:, :-1] / np.maximum(size, 1), centres)
+        if np.array_equal(moved, centres):
+            break
+        centres = moved
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                index = nearest_centre(dense(batch.column(1), batch.num_rows), centres)[0]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f"mc_{i}" for i in index.tolist()])], [key, "metacell_id"])
+
+    return ready.mapInArrow(assign, f"{key} {ready.schema[key].dataType.simpleString()}, metacell_id string")
 
 
 def rank_tokens(expr: DataFrame, most: int = 2048) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pairlane.functions.exprs import r6
+from pairlane.functions.exprs import draw_sql, r6
 from pairlane.operators import normalise as N
 from pairlane.plans.registry import query
 from pairlane.sources.fixtures import cte
@@ -163,7 +163,20 @@ def _(t):
     return N.metacells(t.expr(), t.view("membership")).select("metacell_id", "gene", "n_cells", r6(F.col("mean")).alias("mean"))
 
 
-@query("metacell_assign")
+def _kmeans_sql(n: int, seed: int, rounds: int = 20) -> str:
+    """Far-apart first centres and Lloyd rounds, one after another; a round after the last move changes nothing."""
+    d2 = "list_sum(list_transform(list_zip({}, {}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    out = [cte("control") + f", v as (select cell_id, list_transform(vec, lambda x: x::DOUBLE) as vec, row_number() over (order by {draw_sql(chr(39) + 'metacell' + chr(39), str(seed), 'cell_id')}, cell_id) as o from control), dr as (select * from v where o <= {4 * n}), f0 as materialized (select o, vec, 0 as j from dr where o = 1)"]
+    for j in range(1, n):
+        out.append(f"f{j} as materialized (from f{j - 1} union all (select o, vec, {j} from (select o, vec, (select min({d2.format('dr.vec', 'f.vec')}) from f{j - 1} f) as d from dr where o not in (select o from f{j - 1})) order by d desc, o limit 1))")
+    out.append(f"c0 as materialized (select j, vec from f{n - 1})")
+    for r in range(1, rounds + 1):
+        near = f"select cell_id, vec, arg_min(j, (d, j)) as j from (select v.cell_id, v.vec, c.j, {d2.format('v.vec', 'c.vec')} as d from v, c{r - 1} c) group by all"
+        out.append(f"n{r} as materialized ({near}), m{r} as materialized (select j, list(x order by i) as vec from (select j, i, avg(x) as x from (select j, unnest(vec) as x, generate_subscripts(vec, 1) as i from n{r}) group by all) group by j), c{r} as materialized (select c.j, coalesce(m.vec, c.vec) as vec from c{r - 1} c left join m{r} m using (j))")
+    return ", ".join(out)
+
+
+@query("metacell_assign", _kmeans_sql(12, 1) + f" select cell_id, 'mc_' || arg_min(j, (d, j)) as metacell_id from (select v.cell_id, c.j, list_sum(list_transform(list_zip(v.vec, c.vec), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as d from v, c20 c) group by cell_id")
 def _(t):
     return N.assign_metacells(t.control().select("cell_id", "vec"), 12, 1)
 

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import reduce
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairlane.functions.storage import qualified
+
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None, txt_separator: str = "\t") -> DataFrame:
     """A table by its suffix: .parquet, .csv, .tsv or .txt (tab by default). Text tables have a header."""
@@ -63,24 +66,39 @@ def _stream_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("length"), pa.array(digests, pa.string())], ["path", "length", "sha256"])
 
 
+#: Fixed value: sha256 of no bytes.
+_EMPTY = hashlib.sha256().hexdigest()
+
+
+def _plain(path: Column) -> Column:
+    """A path without scheme and host."""
+    return F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.\-]*:(//[^/]*)?", "")
+
+
 def file_checksums(spark: SparkSession, root: str, pattern: str = "*", most_bytes: int = 1 << 26) -> DataFrame:
-    """(path, name, bytes, sha256) of every file below ``root``.
+    """(path, name, bytes, sha256) of every file below ``root``, empty ones too; ``name`` is the path below ``root``.
 
     Files of up to ``most_bytes`` are rows of Spark's reader, longer ones are streamed in blocks, one
     file in a partition, so that a file of any length takes bounded memory. The filters on the length
-    reach the scan: no content of a longer file is read as a row. Spark's file listing leaves out
-    empty files, so an audit takes them for missing.
+    reach the scan: no content of a longer file is read as a row. Spark's listing knows empty files, but its
+    scan gives no rows for them; they are those of the listing without a row.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(root)
     small = files.where(F.col("length") <= most_bytes).select("path", "length", F.sha2("content", 256).alias("sha256"))
     large = files.where(F.col("length") > most_bytes).select("path", "length").repartition("path").mapInArrow(_stream_digests, "path string, length long, sha256 string")
-    return small.unionByName(large).select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), "sha256")
+    listed = spark.createDataFrame([(unquote(x),) for x in files.inputFiles()], "path string")
+    some = files.select(_plain(F.col("path")).alias("plain"))
+    empty = listed.withColumn("plain", _plain(F.col("path"))).join(some, "plain", "left_anti").select("path", F.lit(0).cast("long").alias("length"), F.lit(_EMPTY).alias("sha256"))
+    below = re.sub(r"^[A-Za-z][A-Za-z0-9+.\-]*:(//[^/]*)?", "", qualified(spark, root)).rstrip("/")
+    name = F.substring(_plain(F.col("path")), len(below) + 2, 1 << 30)
+    return small.unionByName(large).unionByName(empty).select("path", name.alias("name"), F.col("length").alias("bytes"), "sha256")
 
 
 def audit_files(found: DataFrame, expected: DataFrame) -> DataFrame:
-    """Status of each expected (name, sha256): reused, mismatch or missing."""
+    """Status of each expected (name, sha256), names as paths below the root: reused, mismatch or missing. An empty or NULL sha256 takes any content."""
     seen = found.select("name", F.col("sha256").alias("found_sha256"))
-    status = F.when(F.col("found_sha256").isNull(), "missing").when(F.col("sha256").isNull() | (F.col("found_sha256") == F.col("sha256")), "reused").otherwise("mismatch")
+    wanted = F.nullif(F.trim(F.lower("sha256")), F.lit(""))
+    status = F.when(F.col("found_sha256").isNull(), "missing").when(wanted.isNull() | (F.col("found_sha256") == wanted), "reused").otherwise("mismatch")
     return expected.join(seen, "name", "left").withColumn("status", status)
 
 

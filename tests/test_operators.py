@@ -350,7 +350,7 @@ def test_long_files_are_streamed(spark, tmp_path):
     texts = {"a.bin": b"", "b.bin": b"x" * 50, "c.bin": bytes(range(256)) * 40_000, "d e.bin": b"y" * 11}
     for name, content in texts.items():
         (tmp_path / name).write_bytes(content)
-    want = {(name, len(content), hashlib.sha256(content).hexdigest()) for name, content in texts.items() if content}
+    want = {(name, len(content), hashlib.sha256(content).hexdigest()) for name, content in texts.items()}
     for most_bytes in (0, 20, 1 << 26):
         got = tables.file_checksums(spark, str(tmp_path), "*.bin", most_bytes)
         assert {(r.name, r.bytes, r.sha256) for r in got.collect()} == want
@@ -511,3 +511,24 @@ def test_percentiles_and_numbers_of_a_hot_group(spark):
         assert [r.n for r in own] == list(range(len(own)))
     spread = keyed.repartitionByRange(4, "g", "v", "k").withColumn("p", F.spark_partition_id()).where("g = 'hot'").select("p").distinct().count()
     assert spread >= 3
+
+
+def test_audit_by_path_below_the_root(spark, tmp_path):
+    for name, content in {"a/x.bin": b"one", "b/x.bin": b"two", "b/empty y.bin": b""}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    expected = table(spark, [("a/x.bin", sha(b"one").upper()), ("b/x.bin", sha(b"one")), ("b/empty y.bin", sha(b"")), ("c/x.bin", sha(b"one")), ("a/none", None)], "name string, sha256 string")
+    for root in (str(tmp_path), f"file://{tmp_path}/"):
+        got = {r.name: r.status for r in tables.audit_files(tables.file_checksums(spark, root), expected).collect()}
+        assert got == {"a/x.bin": "reused", "b/x.bin": "mismatch", "b/empty y.bin": "reused", "c/x.bin": "missing", "a/none": "missing"}
+
+
+def test_metacells_without_cells_and_with_few(spark):
+    x = np.array([[0.0, 0.0]] * 5 + [[9.0, 9.0]] * 5)
+    got = {r.cell_id: r.metacell_id for r in N.assign_metacells(matrix(spark, x), 4, 1).collect()}
+    assert len(set(got.values())) == 2 and len({got[i] for i in range(5)}) == 1  # copies of a centre stay empty
+    assert N.assign_metacells(matrix(spark, x[:2]), 5, 1).count() == 2 and N.assign_metacells(matrix(spark, x).limit(0), 3, 1).count() == 0
+    y = np.random.default_rng(2).standard_normal((80, 3))
+    first = {r.cell_id: r.metacell_id for r in N.assign_metacells(matrix(spark, y, 2), 6, 3).collect()}
+    assert first == {r.cell_id: r.metacell_id for r in N.assign_metacells(matrix(spark, y[::-1], 5).withColumn("cell_id", 79 - F.col("cell_id")), 6, 3).collect()}

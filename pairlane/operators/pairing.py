@@ -120,15 +120,15 @@ def transport_cost(treated: DataFrame, metacell: DataFrame) -> DataFrame:
     return raw.join(middle, "perturbation", "left").withColumn("cost", F.col("distance") / F.coalesce("_scale", F.lit(1.0))).drop("_scale")
 
 
-#: Cells of a perturbation up to which its scaling runs in one task.
-IN_TASK = 200_000
+#: Kernel entries (cells x metacells) of a perturbation up to which its scaling runs in one task: 64 MB.
+IN_TASK = 8_000_000
 
 
 def sinkhorn(cost: DataFrame, mass: DataFrame, reg: float = 0.05, iterations: int = 2000, tolerance: float = 1e-7, in_task: int = IN_TASK) -> DataFrame:
     """Entropic transport plan of each perturbation: (perturbation, cell_id, mc_index, flow).
 
     All cells of a perturbation take part. Each has a row of the kernel, one number for each
-    metacell. A perturbation of at most ``in_task`` cells is scaled in one task; of a larger one
+    metacell. A perturbation of at most ``in_task`` kernel entries is scaled in one task; of a larger one
     only the sums by metacell leave the tasks, round after round, and the plan is the same.
     A perturbation stops when, at a tenth iteration, the cells' marginals are off by less than
     ``tolerance`` (Euclidean norm). Each cell's smallest cost is subtracted before the exponential,
@@ -139,12 +139,12 @@ def sinkhorn(cost: DataFrame, mass: DataFrame, reg: float = 0.05, iterations: in
     rows = per.select("perturbation", "cell_id", F.transform("_c", lambda c: F.greatest(F.exp(-(c["cost"] - F.col("_low")) / reg), F.lit(1e-250))).alias("_row"))
     masses = mass.agg(F.transform(F.array_sort(F.collect_list(F.struct("mc_index", "mass"))), lambda s: s["mass"]).alias("_a"))
     rows = checkpointed(rows.crossJoin(F.broadcast(masses)))  # one row
-    large = checkpointed(rows.groupBy("perturbation").agg(F.count("*").alias("_n")).where(F.col("_n") > in_task))
+    large = checkpointed(rows.groupBy("perturbation").agg(F.count("*").alias("_n"), F.max(F.size("_row")).alias("_m")).where(F.col("_n") * F.col("_m") > in_task).select("perturbation", "_n"))
     key = rows.schema["cell_id"].dataType.simpleString()
     if large.isEmpty():
         small, rounds = rows, None
     else:
-        small, rounds = rows.join(large, "perturbation", "left_anti"), _scaled_in_rounds(rows.join(F.broadcast(large), "perturbation"), iterations, tolerance)  # few: each has over in_task cells
+        small, rounds = rows.join(large, "perturbation", "left_anti"), _scaled_in_rounds(rows.join(F.broadcast(large), "perturbation"), iterations, tolerance)  # few: each has over in_task entries
 
     def solve(group: pa.Table) -> pa.Table:
         group = group.sort_by("cell_id")

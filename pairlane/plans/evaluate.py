@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pairlane.functions.exprs import draw, draw_sql, r6
+from pairlane.functions.storage import saved
 from pairlane.operators import evaluate as E
 from pairlane.operators import pairing as M
 from pairlane.plans.registry import query
@@ -21,9 +22,9 @@ def _pairs(t):
     return M.random_single(t.treated(), t.control(), _n(t), SEEDS).select("cell_id", "perturbation", "sampling_seed", "control_id", "profile")
 
 
-def _pseudo(t):
+def _pseudo(t, pairs=None):
     """Constructed rows of S1 in long form, as often as they are used."""
-    long = _pairs(t).select("sampling_seed", "cell_id", "perturbation", F.posexplode("profile").alias("i", "x"))
+    long = (pairs or _pairs(t)).select("sampling_seed", "cell_id", "perturbation", F.posexplode("profile").alias("i", "x"))
     return long.select("sampling_seed", "cell_id", "perturbation", F.format_string("g%03d", "i").alias("gene"), F.col("x").cast("double").alias("value"))
 
 
@@ -69,10 +70,10 @@ def _axes(t):
     return grid.groupBy("axis").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", weight.alias("w")))), lambda x: x["w"]).alias("weights"))
 
 
-def _sources(t):
+def _sources(t, pairs=None):
     """Controls (source 0, once for each seed) and the constructed rows of each seed (source 1), in the projected space."""
     a = t.control().select(F.explode(F.array(*map(F.lit, SEEDS))).alias("sampling_seed"), F.lit(0).alias("source"), "cell_id", "vec")
-    b = _pairs(t).select("sampling_seed", F.lit(1).alias("source"), "cell_id", F.col("profile").alias("vec"))
+    b = (pairs or _pairs(t)).select("sampling_seed", F.lit(1).alias("source"), "cell_id", F.col("profile").alias("vec"))
     return E.project(a.unionByName(b), _axes(t))
 
 
@@ -111,8 +112,8 @@ _COV = ", us as (select pc.sampling_seed, m.metacell_id, count(*) as times from
 _S1M = _S1 + ", membership as (" + SHARED["membership"].replace("{embeddings}", "embeddings") + ")"
 
 
-def _used(t):
-    return _pairs(t).join(t.view("membership").select(F.col("cell_id").alias("control_id"), F.col("metacell_id").alias("used_id")), "control_id")
+def _used(t, pairs=None):
+    return (pairs or _pairs(t)).join(t.view("membership").select(F.col("cell_id").alias("control_id"), F.col("metacell_id").alias("used_id")), "control_id")
 
 
 def _metacells(t):
@@ -139,7 +140,9 @@ _FIELDS = ["mean_pearson", "mean_r2", "mean_rmse", "variance_pearson", "variance
 )
 def _(t):
     by = ["sampling_seed"]
-    return _rounded(E.control_report(_pseudo(t), _control(t), _sources(t), _pairs(t), _used(t), _metacells(t), by), by)
+    pairs = saved(_pairs(t))  # every part of the report reads them
+    points = saved(_sources(t, pairs))
+    return _rounded(E.control_report(_pseudo(t, pairs), _control(t), points, pairs, _used(t, pairs), _metacells(t), by), by)
 
 
 @query("eligible_labels", cte("cell") + " select perturbation, count(*) as n_cells from cell group by all having count(*) >= 50")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pairlane.functions.exprs import draw_sql, r6
-from pairlane.functions.storage import checkpointed
+from pairlane.functions.storage import checkpointed, saved
 from pairlane.operators import normalise as N
 from pairlane.operators import pairing as M
 from pairlane.operators import programs as G
@@ -53,7 +53,7 @@ def _labels(t):
 
 def _effects(t):
     """(sampling_seed, perturbation, program_id, pseudo, true)."""
-    scores = _scores(t)
+    scores = saved(_scores(t))  # for the true effects and for the pseudo ones
     means = G.group_scores(scores, _labels(t), ["perturbation"])
     base = means.where("perturbation = 'control'").drop("perturbation")
     true = G.effects(means.where("perturbation <> 'control'"), base, ["program_id"]).withColumnRenamed("effect", "true")

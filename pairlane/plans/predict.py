@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from pairlane.functions.exprs import draw_sql, r6
-from pairlane.functions.storage import checkpointed
+from pairlane.functions.storage import checkpointed, saved
 from pairlane.operators import evaluate as E
 from pairlane.operators import pairing as M
 from pairlane.operators import predict as P
@@ -106,32 +105,6 @@ def _(t):
     return _rounded(P.forward_per_perturbation(_predicted(t), [], [20, 50]), ["perturbation"])
 
 
-def _classifier(t, common: bool):
-    from pyspark.ml.classification import MultilayerPerceptronClassifier
-
-    pairs = M.random_single(t.treated(), t.control(), t.cell().where("analysis_group = 'control'").count(), [0])
-    if common:
-        pairs = pairs.drop("profile").crossJoin(F.broadcast(M.mean_profile(t.control())))  # one row
-    rows = P.label_encode(pairs.select("cell_id", "perturbation", F.zip_with("vec", "profile", lambda a, b: a.cast("double") - b.cast("double")).alias("delta")), "perturbation", 3)
-    split = P.stratified_split(rows.select("cell_id", "perturbation"), "perturbation", "cell_id", 4).select("cell_id", "split")
-    ready = rows.join(split, "cell_id").select("cell_id", "split", F.col("label_id").cast("double").alias("label"), array_to_vector("delta").alias("features"))
-    n_labels = int(ready.agg(F.max("label")).first()[0]) + 1
-    width = t.cell().select(F.size("vec")).first()[0]
-    model = MultilayerPerceptronClassifier(layers=[width, 32, n_labels], maxIter=60, seed=1).fit(ready.where("split = 'train'"))
-    scored = model.transform(ready.where("split = 'test'")).select("cell_id", F.col("label").cast("int").alias("y_true"), F.posexplode(vector_to_array("probability")).alias("class", "p"))
-    return checkpointed(scored)
-
-
-@query("inverse_classifier")
-def _(t):
-    return P.inverse_report(_classifier(t, False), [3, 5])
-
-
-@query("inverse_common_reference")
-def _(t):
-    return P.inverse_report(_classifier(t, True), [3, 5]).withColumn("strategy", F.lit("COMMON_REFERENCE_DELTA"))
-
-
 _D = "sqrt(list_sum(list_transform(list_zip(c.vec, m.vec), lambda x: (x[1]::DOUBLE - x[2]) * (x[1]::DOUBLE - x[2]))))"
 _PROB = cte("cell") + f", ce as (select label, unnest(vec)::DOUBLE as x, generate_subscripts(vec, 1) as i from cell where label <> 0), mu as (select label, i, avg(x) as x from ce group by all), m as (select label as class, list(x order by i) as vec from mu group by all), ds as (select c.cell_id, c.label as y_true, m.class, -{_D} as d from cell c, m where c.label <> 0), ex as (select *, exp(d - max(d) over (partition by cell_id)) as e from ds), prob as (select cell_id, y_true, class, e / sum(e) over (partition by cell_id) as p from ex), pred as (select cell_id, y_true, class as y_pred from prob qualify row_number() over (partition by cell_id order by p desc, class) = 1)"
 
@@ -192,3 +165,53 @@ def _(t):
 def _(t):
     r = t.view("run").withColumn("n_labels", F.col("sampling_seed") - 1)
     return P.chance_baseline(r, ["strategy"], ["n_classes", "n_metacells_requested", "n_labels"])
+
+
+def _classifier(t, common: bool):
+    pairs = M.random_single(t.treated(), t.control(), t.cell().where("analysis_group = 'control'").count(), [0])
+    if common:
+        pairs = pairs.drop("profile").crossJoin(F.broadcast(M.mean_profile(t.control())))  # one row
+    rows = P.label_encode(pairs.select("cell_id", "perturbation", F.zip_with("vec", "profile", lambda a, b: a.cast("double") - b.cast("double")).alias("delta")), "perturbation", 3)
+    split = P.stratified_split(rows.select("cell_id", "perturbation"), "perturbation", "cell_id", 4).select("cell_id", "split")
+    ready = saved(rows.join(split, "cell_id"))
+    return checkpointed(P.multinomial(ready.where("split = 'train'"), ready.where("split = 'test'"), "label_id", "delta"))
+
+
+_COMMON = ", 'COMMON_REFERENCE_DELTA' as strategy"
+
+
+def _inverse_sql(common: bool, ridge: float = 0.02, rounds: int = 130, rate: float = 1.5, keep: float = 0.7) -> str:
+    """The same minimum by gradient rounds with momentum, one after another from weights of 0, and every summary of it."""
+    x, where = ("m.value", "") if common else ("e0.value", f" join n on true join control c on c.control_pos = {draw_sql(chr(39) + 's1' + chr(39), '0', 't.cell_id')} % n.n")
+    other = "(select gene_pos, avg(value) as value from expr where analysis_group = 'control' group by all) m on m.gene_pos = e.gene_pos" if common else "expr e0 on e0.cell_id = c.cell_id and e0.gene_pos = e.gene_pos"
+    delta = f"select t.cell_id, e.gene_pos + 1 as i, e.value - {x} as x from treated t{where} join expr e on e.cell_id = t.cell_id join {other}"
+    out = [
+        cte("expr", "control", "treated") + _SPLIT + f", n as (select count(*) as n from control), dl as materialized ({delta}), lb as (select perturbation, row_number() over (order by perturbation) - 1 as y from (select perturbation from treated group by all having count(*) >= 3)), ly as materialized (select cell_id, y, split.split from split join lb using (perturbation))",
+        "sl as materialized (select sqrt(avg(q)) as s from (select cell_id, sum(x * x) as q from dl join ly using (cell_id) where split = 'train' group by all))",
+        "ex as materialized (select cell_id, i, x / s as x, split, y from dl join ly using (cell_id), sl union all select cell_id, 0, 1.0::DOUBLE, split, y from ly), tx as materialized (from ex where split = 'train'), tn as (select count(*) as n from ly where split = 'train')",
+        "w0 as materialized (select y as class, i, 0.0::DOUBLE as w, 0.0::DOUBLE as v from lb, (select distinct i from ex))",
+    ]
+    soft = "select cell_id, class, e / sum(e) over (partition by cell_id) as p from (select cell_id, class, exp(z - max(z) over (partition by cell_id)) as e from ({}))"
+    for r in range(1, rounds + 1):
+        score = f"select cell_id, class, sum(x * (w + {keep} * v)) as z from tx join w{r - 1} using (i) group by all"
+        out.append(f"p{r} as materialized ({soft.format(score)}), g{r} as materialized (select class, i, sum((p - (class = y)::INT) * x) / any_value(tn.n) as g from p{r} join tx using (cell_id), tn group by all)")
+        step = f"{keep} * v - {rate} * (g + {ridge} * (i > 0)::INT * (w + {keep} * v))"
+        out.append(f"w{r} as materialized (select class, i, w + {step} as w, {step} as v from w{r - 1} join g{r} using (class, i))")
+    score = f"select cell_id, class, sum(x * w) as z from ex join w{rounds} using (i) where split = 'test' group by all"
+    out.append(f"pt as materialized ({soft.format(score)}), prob as materialized (select pt.cell_id, ly.y as y_true, class, p from pt join ly using (cell_id)), pred as (select cell_id, y_true, class as y_pred from prob qualify row_number() over (partition by cell_id order by p desc, class) = 1)")
+    parts = {"accuracy": "sum(hit) / sum(support)", "balanced_accuracy": "avg(re) filter (support > 0)", "macro_precision": "avg(pr)", "macro_recall": "avg(re)", "macro_f1": "avg(f1)", "weighted_precision": "sum(pr * support) / sum(support)", "weighted_recall": "sum(re * support) / sum(support)", "weighted_f1": "sum(f1 * support) / sum(support)"}
+    cm = "cm as (select " + ", ".join(f"round({x}, 6) + 0.0 as {n}" for n, x in parts.items()) + " from pc)"
+    ll = "ll as (select round(avg(-ln(least(greatest(p, 1e-15), 1 - 1e-15))), 6) + 0.0 as log_loss from prob where class = y_true)"
+    tk = "tk as (select " + ", ".join(f"case when max(nc) >= {k} then round(avg((place <= {k})::INT), 6) + 0.0 end as top{k}_accuracy" for k in (3, 5)) + " from (select *, row_number() over (partition by cell_id order by p desc, class) as place, (select count(distinct class) from prob) as nc from prob) where class = y_true)"
+    au = "ao as (select round(avg(auc), 6) + 0.0 as macro_auc, round(sum(auc * support) / sum(support) filter (auc is not null), 6) + 0.0 as weighted_auc, count(auc) as n_valid, count(*) as n_classes from au)"
+    return ", ".join(out) + _PC[len(_PROB) :] + _AUC[len(_PROB) :] + f", {cm}, {ll}, {tk}, {au} select *{_COMMON if common else ''} from cm, ll, tk, ao"
+
+
+@query("inverse_classifier", _inverse_sql(False))
+def _(t):
+    return _rounded(P.inverse_report(_classifier(t, False), [3, 5]), [])
+
+
+@query("inverse_common_reference", _inverse_sql(True))
+def _(t):
+    return _rounded(P.inverse_report(_classifier(t, True), [3, 5]), []).withColumn("strategy", F.lit("COMMON_REFERENCE_DELTA"))

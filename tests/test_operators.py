@@ -12,6 +12,7 @@ from pairlane.functions.exprs import numbered
 from pairlane.operators import evaluate as E
 from pairlane.operators import manifest as M
 from pairlane.operators import normalise as N
+from pairlane.operators import predict as P2
 from pairlane.operators import pairing as P
 from pairlane.operators import predict, prepare, programs
 from pairlane.operators import stats as S
@@ -532,3 +533,24 @@ def test_metacells_without_cells_and_with_few(spark):
     y = np.random.default_rng(2).standard_normal((80, 3))
     first = {r.cell_id: r.metacell_id for r in N.assign_metacells(matrix(spark, y, 2), 6, 3).collect()}
     assert first == {r.cell_id: r.metacell_id for r in N.assign_metacells(matrix(spark, y[::-1], 5).withColumn("cell_id", 79 - F.col("cell_id")), 6, 3).collect()}
+
+
+def test_multinomial_reaches_the_minimum(spark):
+    """The gradient of the stated loss vanishes, whatever the partitions."""
+    rng = np.random.default_rng(8)
+    y = rng.integers(0, 3, 90)
+    x = rng.standard_normal((90, 4)) + 2 * np.eye(3, 4)[y]
+    df = table(spark, [(i, int(c), v.tolist()) for i, (c, v) in enumerate(zip(y, x, strict=True))], "cell_id long, label_id int, vec array<double>")
+    a, b = ({(r.cell_id, r["class"]): r.p for r in P2.multinomial(df.repartition(n), df, "label_id", "vec").collect()} for n in (1, 5))
+    assert max(abs(a[k] - b[k]) for k in a) < 1e-6 and len(a) == 270
+    p = np.array([[a[i, c] for c in range(3)] for i in range(90)])
+    scaled = x / np.sqrt((x**2).sum(axis=1).mean())
+    miss = (p - np.eye(3)[y]) / 90
+    assert abs(miss.sum(axis=0)).max() < 1e-6  # intercepts
+    # weights follow from the minimum's own condition, and give the probabilities back up to the intercepts
+    w = -scaled.T @ miss / 0.02
+    z = scaled @ w
+    shift = np.log(p) - z
+    shift -= shift.mean(axis=1, keepdims=True)
+    assert np.ptp(shift, axis=0).max() < 1e-4
+    assert (p.argmax(axis=1) == y).mean() > 0.8

@@ -302,7 +302,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     # the joins stand on plain exchanges, so that rows of a hot key can be split
     classes = cut(table.where(F.col("n_words") >= window).groupBy("k").agg(F.min("row").alias("rep"), F.count("*").alias("weight")).where("weight > 1"))
     slim = table.where(F.size("marks") > 0).select("row", "k", "marks").join(classes, "k", "left").where("rep IS NULL OR row = rep")
-    marks = cut(slim.select("row", F.inline("marks")))
+    marks = saved(slim.select("row", F.inline("marks")))
     places = marks.groupBy("mark").agg(F.count("*").alias("n"), F.min(F.struct("row", "pos")).alias("first")).where("n > 1")
     places = cut(places.select("mark", "n", F.xxhash64("first.row", F.floor(F.col("first.pos") / chunk)).alias("passage")))
     total = places.agg(F.sum("n")).first()[0] or 0  # one number
@@ -313,7 +313,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
 
     wanted = marks.join(places, "mark").groupBy("row", "shard").agg(F.collect_list("pos").alias("at"), F.first("salts").alias("salts"))
     wanted = wanted.groupBy("row").agg(F.collect_list(F.struct("shard", "salts", "at")).alias("plan"))
-    texts = table.select("row", "text").join(cut(wanted), "row").select("row", "text", "plan")
+    wanted = cut(wanted)
+    discard(marks)
+    texts = table.where(F.size("marks") > 0).select("row", "text").join(wanted, "row").select("row", "text", "plan")
     pieces = saved(texts.mapInArrow(_cut(window, phrase, piece), f"row long, text string, pieces {_PIECES}"))
     flat = pieces.select("row", F.inline("pieces"))
 

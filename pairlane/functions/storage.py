@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import atexit
-import contextlib
 import tempfile
 import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,7 +61,10 @@ def qualified(spark: SparkSession, path: str) -> str:
 
 
 def _remove(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):  # the session may have ended before
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
+    if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
+        return  # the session ended before; its folder is the cluster's to clear
+    try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception as e:  # a table that is left over costs space and no result
+        warnings.warn(f"{path} was not deleted: {e}", stacklevel=2)

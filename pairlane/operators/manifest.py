@@ -166,9 +166,11 @@ def filter_manifest(manifest: DataFrame, strategies: list[str] | None = None, gr
 
 
 def upsert_latest(old: DataFrame, new: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """All rows of both, of each key the one with the highest version."""
-    both = old.unionByName(new, allowMissingColumns=True)
-    return both.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(version)))).where("_n = 1").drop("_n")
+    """All rows of both, of each key the one with the highest version; of equal versions a new row, then the one whose values come last as JSON."""
+    both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
+    values = F.to_json(F.struct(*[c for c in both.columns if c != "_new"]))
+    order = Window.partitionBy(*keys).orderBy(F.desc(version), F.desc("_new"), values.desc())
+    return both.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "_new")
 
 
 def pending(plan: DataFrame, done: DataFrame, keys: list[str], overwrite: bool = False) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pairlane.functions.cdf import chi2_sf, normal_two_sided, rank_sum_two_sided, signed_rank_two_sided, t_two_sided
 from pairlane.functions.exprs import tie_rank, value_ranks
+from pairlane.functions.storage import checkpointed
 from pairlane.operators.manifest import block_key
 
 #: Nemenyi q over sqrt(2) at 0.05 for 2 to 20 methods.
@@ -255,18 +256,23 @@ def rewrite_methods(df: DataFrame, names: dict[str, str], exclude: list[str], me
 def complete_design(df: DataFrame, block: str, method: str, forced: list[str], least: int = 2) -> tuple[DataFrame, list[str]]:
     """Drop the least covered method (ties: the largest name; forced ones stay) until ``least`` blocks are complete.
 
-    One coverage aggregate a step, and at most as many steps as methods.
+    What a method covers does not depend on the others, so the order of dropping is known at once: each
+    block needs all methods dropped up to the last one that it lacks, and the ``least``-th smallest of these numbers
+    is the number of methods to drop. Two small jobs, however many methods go.
     """
-    dropped: list[str] = []
-    while True:
-        now = df.where(~F.col(method).isin(dropped)) if dropped else df
-        if complete_blocks(now, block, method).select(block).distinct().count() >= least:
-            return complete_blocks(now, block, method), dropped
-        cover = now.where(~F.col(method).isin(forced)) if forced else now
-        row = cover.groupBy(method).agg(F.count_distinct(block).alias("n")).orderBy("n", F.desc(method)).first()
-        if row is None:
-            raise ValueError("no complete blocks")
-        dropped.append(row[method])
+    cover = df.groupBy(method).agg(F.count_distinct(block).alias("_n"))
+    order = checkpointed(cover.withColumn("_free", ~F.col(method).isin(forced)).withColumn("_drop", F.when(F.col("_free"), F.row_number().over(Window.partitionBy("_free").orderBy("_n", F.desc(method))))))  # one row a method
+    sizes = order.agg(F.count("_drop").alias("_all"), F.count_if(F.col("_drop").isNull()).alias("_kept"))
+    have = df.select(block, method).distinct().join(order.select(method, "_drop"), method)
+    have = have.groupBy(block).agg(F.collect_set("_drop").alias("_have"), F.count_if(F.col("_drop").isNull()).alias("_here")).crossJoin(F.broadcast(sizes))  # one row
+    lacks = F.array_max(F.array_except(F.filter(F.sequence(F.lit(0), F.col("_all").cast("int")), lambda x: x > 0), "_have"))
+    need = have.where("_here = _kept").select(F.coalesce(lacks, F.lit(0)).alias("_need"), "_all", "_kept").where("_kept > 0 or _need < _all")
+    steps = [r["_need"] for r in need.orderBy("_need").limit(least).collect()]
+    if len(steps) < least:
+        raise ValueError("no complete blocks")
+    dropped = [r[method] for r in order.where(F.col("_drop") <= steps[-1]).orderBy("_drop").collect()]
+    now = df.where(~F.col(method).isin(dropped)) if dropped else df
+    return complete_blocks(now, block, method), dropped
 
 
 def cd_report(levels: dict[str, tuple[DataFrame, list[str]]], method: str, value: str, higher: bool) -> DataFrame:

@@ -554,3 +554,39 @@ def test_multinomial_reaches_the_minimum(spark):
     shift -= shift.mean(axis=1, keepdims=True)
     assert np.ptp(shift, axis=0).max() < 1e-4
     assert (p.argmax(axis=1) == y).mean() > 0.8
+
+
+def test_designs_drop_as_one_by_one(spark):
+    """Against dropping the least covered method again and again."""
+    import random
+
+    r = random.Random(5)
+    for forced in ([], ["m3"], ["m0", "m5"]):
+        for _ in range(6):
+            rows = [(b, f"m{m}", 1.0) for b in range(7) for m in range(6) if r.random() < 0.75]
+            have = {b: {m for c, m, _ in rows if c == b} for b in {x[0] for x in rows}}
+            names, want = {m for _, m, _ in rows}, []
+            while True:
+                left = names - set(want)
+                full = [b for b, s in have.items() if left and s & left == left]
+                if len(full) >= 2:
+                    break
+                free = [m for m in left if m not in forced]
+                if not free:
+                    want = None
+                    break
+                want.append(min(free, key=lambda m: (sum(m in s for s in have.values()), [-ord(c) for c in m])))
+            df = table(spark, rows, "b int, m string, v double")
+            if want is None:
+                with pytest.raises(ValueError):
+                    S.complete_design(df, "b", "m", forced)
+            else:
+                out, dropped = S.complete_design(df, "b", "m", forced)
+                assert dropped == want and out.count() == len(full) * len(names - set(want))
+
+
+def test_upserts_of_equal_versions(spark):
+    old = table(spark, [("a", 1, "old"), ("b", 2, "old")], "k string, v int, x string")
+    new = table(spark, [("a", 1, "new"), ("a", 1, "newer"), ("b", 1, "new")], "k string, v int, x string")
+    for n in (1, 3):
+        assert sorted((r.k, r.x) for r in M.upsert_latest(old.repartition(n), new.repartition(n), ["k"], "v").collect()) == [("a", "newer"), ("b", "old")]

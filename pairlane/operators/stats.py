@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import math
+from collections.abc import Iterable
+from functools import cache, reduce
+
+import numpy as np
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,11 +16,8 @@ from pairlane.functions.exprs import tie_rank, value_ranks
 from pairlane.functions.storage import checkpointed
 from pairlane.operators.manifest import block_key
 
-#: Nemenyi q over sqrt(2) at 0.05 for 2 to 20 methods.
-Q_005 = {
-    2: 1.960, 3: 2.344, 4: 2.569, 5: 2.728, 6: 2.850, 7: 2.949, 8: 3.031, 9: 3.102, 10: 3.164, 11: 3.219,
-    12: 3.268, 13: 3.313, 14: 3.354, 15: 3.391, 16: 3.426, 17: 3.458, 18: 3.489, 19: 3.517, 20: 3.544,
-}
+#: Numbers of methods that a critical distance is computed for.
+METHODS = range(2, 101)
 
 
 def paired_design(df: DataFrame, by: list[str], variant: str, seed: str) -> DataFrame:
@@ -174,10 +175,29 @@ def kruskal(df: DataFrame, method: str, value: str) -> DataFrame:
     return s.withColumn("h", h).withColumn("df", F.col("k") - 1).withColumn("p", chi2_sf(F.col("h"), F.col("df"))).drop("_q", "_tie")
 
 
-def critical_distance(k: Column, n: Column) -> Column:
-    """Nemenyi critical distance at 0.05 for 2 to 20 methods."""
-    q = F.create_map(*[F.lit(x) for kv in Q_005.items() for x in kv])
-    return F.element_at(q, k.cast("int")) * F.sqrt(k * (k + 1) / (6.0 * n))
+@cache
+def range_quantile(k: int, alpha: float) -> float:
+    """Upper ``alpha`` point of the range of ``k`` independent standard normals: bisection over Simpson's rule."""
+    z = np.linspace(-9.0, 9.0, 801)
+    weight = np.where(np.arange(801) % 2, 4.0, 2.0)
+    weight[[0, -1]] = 1.0
+    weight *= np.exp(-z * z / 2) / math.sqrt(2 * math.pi) * (z[1] - z[0]) / 3
+    below = np.array([math.erfc(-x / math.sqrt(2)) / 2 for x in z])
+    low, high = 0.0, 20.0
+    while high - low > 1e-11:
+        middle = (low + high) / 2
+        shifted = np.array([math.erfc(-(x - middle) / math.sqrt(2)) / 2 for x in z])
+        if k * (weight * (below - shifted) ** (k - 1)).sum() < 1 - alpha:
+            low = middle
+        else:
+            high = middle
+    return (low + high) / 2
+
+
+def critical_distance(k: Column, n: Column, alpha: float = 0.05, methods: Iterable[int] = METHODS) -> Column:
+    """Nemenyi critical distance of ``k`` methods over ``n`` blocks; NULL for a number of methods outside ``methods``."""
+    q = F.create_map(*[F.lit(x) for m in methods for x in (m, range_quantile(m, alpha) / math.sqrt(2))])
+    return F.try_element_at(q, k.cast("int")) * F.sqrt(k * (k + 1) / (6.0 * n))
 
 
 def cd_groups(mean_rank: DataFrame, method: str, cd: float) -> DataFrame:

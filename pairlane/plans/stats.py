@@ -167,7 +167,8 @@ def _metric_means(t):
 
 
 #: Critical values of the studentised range at 0.05 for k methods, divided by the root of 2.
-_Q = "(case k when 2 then 1.960 when 3 then 2.344 when 4 then 2.569 when 5 then 2.728 when 6 then 2.850 end)::DOUBLE"
+#: Upper 0.05 points of the range of k standard normals over sqrt(2).
+_Q = "(case k when 2 then 1.959963985 when 3 then 2.343700586 when 4 then 2.569031773 when 5 then 2.727774371 when 6 then 2.849705420 end)::DOUBLE"
 
 
 @query("best_of_family", _MET + ", r as (select *, rank() over (partition by metric order by value) + (count(*) over (partition by metric, value) - 1) / 2.0::DOUBLE as r from mv where family = 'S5'), b as (select variant_id from r group by all order by avg(r), variant_id limit 1) select variant_id, metric, round(value, 6) + 0.0 as value from mv where family <> 'S5' or variant_id in (from b)")

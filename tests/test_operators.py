@@ -590,3 +590,9 @@ def test_upserts_of_equal_versions(spark):
     new = table(spark, [("a", 1, "new"), ("a", 1, "newer"), ("b", 1, "new")], "k string, v int, x string")
     for n in (1, 3):
         assert sorted((r.k, r.x) for r in M.upsert_latest(old.repartition(n), new.repartition(n), ["k"], "v").collect()) == [("a", "newer"), ("b", "old")]
+
+
+def test_critical_ranges_are_those_of_the_tables():
+    q = {k: S.range_quantile(k, 0.05) / math.sqrt(2) for k in (2, 3, 5, 10, 20)}
+    assert {k: round(v, 3) for k, v in q.items()} == {2: 1.960, 3: 2.344, 5: 2.728, 10: 3.164, 20: 3.544}
+    assert S.range_quantile(5, 0.1) / math.sqrt(2) == pytest.approx(2.459, abs=1e-3) and round(S.range_quantile(3, 0.01), 2) == 4.12

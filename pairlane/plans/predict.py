@@ -97,7 +97,7 @@ _PERS = ["common_delta_pearson", "common_delta_spearman", "common_delta_cosine",
     + ", ".join([*[f"round({n}, 6) + 0.0 as {n}" for n in _ERR], *[f"round({x}, 6) + 0.0 as {n}" for n, x in _GAIN.items()], *[f"round({n}_{s}, 6) + 0.0 as {n}_{s}" for n in _CELL for s in _STAT], *[f"{n}_n_valid" for n in _CELL], *[f"round(per_perturbation_{n}_{s}, 6) + 0.0 as per_perturbation_{n}_{s}" for n in _PERS for s in ("mean", "median")]]) + " from er, st, pa",
 )
 def _(t):
-    return _rounded(P.forward_report(_predicted(t), ["run_id"], [20, 50]), ["run_id"])
+    return _rounded(P.forward_report(saved(_predicted(t)), ["run_id"], [20, 50]), ["run_id"])
 
 
 @query("forward_per_perturbation", _PER + " select perturbation, n_test_cells, " + ", ".join(f"round({n}, 6) + 0.0 as {n}" for n in _PERS) + " from pp")

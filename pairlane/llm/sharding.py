@@ -61,6 +61,26 @@ def op3_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
-#: None: DuckDB has no crc32. The tests hold the rows against a plain Python version.
+#: crc32 by its table of 256 remainders, jumps by recursion.
+OP3_SQL = f"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS remainders
+), d AS (
+  SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS k, octet_length(encode(coalesce(text, ''))) + 8 AS size, xor(list_reduce(
+           list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT)),
+           lambda c, x: xor(c >> 8, crc.remainders[xor(c, x) % 256 + 1])), 4294967295) AS text_crc32
+  FROM documents, crc
+), j AS (
+  SELECT DISTINCT k, 0 AS i, 0::BIGINT AS shard, 0::BIGINT AS grown, 0::BIGINT AS onward FROM d
+  UNION ALL
+  SELECT k, i + 1, CASE WHEN onward < {SHARDS} THEN onward ELSE shard END, CASE WHEN onward <= {SHARDS} THEN onward ELSE grown END,
+         CASE WHEN onward <= {SHARDS} THEN floor((onward + 1) / ((('0x' || substr(md5(k || '|' || (i + 1)::VARCHAR), 1, {_BITS // 4}))::BIGINT + 1) / {1 << _BITS}.0::DOUBLE))::BIGINT ELSE onward END
+  FROM j WHERE i <= {SHARDS}
+)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard::INTEGER AS shard,
+       row_number() OVER (PARTITION BY shard ORDER BY md5(d.k), doc_id, size, text_crc32) - 1 AS slot, grown::INTEGER AS grown_shard
+FROM d JOIN j ON j.k = d.k AND j.i = {SHARDS} + 1
+"""
+
 QUERIES = {"op3_jump_shards": op3_jump_shards}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op3_jump_shards": OP3_SQL}

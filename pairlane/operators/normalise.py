@@ -86,7 +86,9 @@ def hvg_cell_ranger(expr: DataFrame, n_cells: int, top: int, bins: int = 20) ->
 
 
 def _ranked(d: DataFrame, top: int) -> DataFrame:
-    rank = F.row_number().over(Window.orderBy(F.col("score").desc_nulls_last(), "gene"))
+    """Rank by score and flag of the first ``top``. Scores are compared at nine decimals, equal ones rank by gene: the genes of any
+    bin with two have +-sqrt(1/2) (or +-1), and the last bits of that are chance."""
+    rank = F.row_number().over(Window.orderBy(F.round("score", 9).desc_nulls_last(), "gene"))
     return d.withColumn("hv_rank", rank).withColumn("highly_variable", (rank <= top) & F.col("score").isNotNull())
 
 

@@ -47,7 +47,7 @@ _DISP = _NORM + ", dp as (select gene, sum(exp(value) - 1) / n as mean, (sum((ex
 b as (select *, case when max(mean) over () > min(mean) over () then least(floor((mean - min(mean) over ()) / ((max(mean) over () - min(mean) over ()) / 8)), 7) else 0 end::INT as bin from x),
 z as (select *, avg(dispersion) over (partition by bin) as a, stddev_samp(dispersion) over (partition by bin) as s from b),
 q as (select gene, bin, case when s is null then dispersion / a when s > 0 then (dispersion - a) / s end as score from z)
-select gene, bin, round(score, 5) + 0.0 as score, row_number() over (order by score desc nulls last, gene) as hv_rank from q""",
+select gene, bin, round(score, 5) + 0.0 as score, row_number() over (order by round(score, 9) desc nulls last, gene) as hv_rank from q""",
 )
 def _(t):
     out = N.hvg_seurat(N.log1p(_norm(t)), _n_cells(t), 10, bins=8)

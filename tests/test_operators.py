@@ -108,6 +108,15 @@ def test_variance_counts_the_zeros(spark):
     assert (r["mean"], r["variance"], r["nonzero_frac"]) == (1.0, 3.0, 0.25)
 
 
+def test_genes_with_equal_scores_rank_by_name(spark):
+    """In a bin of two genes the scores are +-sqrt(1/2), whose last bits differ from bin to bin."""
+    level = lambda j, k: 1.7**j * (3 + 0.01 * k)
+    rows = [(c, f"g{7 - j}{k}", math.log1p(level(j, k) * (1 + (0.1 + 0.07 * k) * c))) for j in range(8) for k in range(2) for c in range(10)]
+    got = N.hvg_seurat(table(spark, rows, "cell_id int, gene string, value double"), 10, 4, bins=8).orderBy("hv_rank").collect()
+    assert [r.gene for r in got] == ["g61", "g71", *[f"g{i}1" for i in range(6)], "g60", *[f"g{i}0" for i in range(6)], "g70"]
+    assert [r.gene for r in got if r.highly_variable] == ["g61", "g71", "g01", "g11"]
+
+
 def test_pca_keeps_distances(spark):
     rng = np.random.default_rng(0)
     x = rng.standard_normal((30, 3)) @ rng.standard_normal((3, 6)) + 5

@@ -47,10 +47,15 @@ def tie_rank(by: list[str], value: Column, descending: bool = False) -> Column:
     return F.rank().over(Window.partitionBy(*by).orderBy(order)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, value)) - 1) / 2.0
 
 
-def value_ranks(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
-    """``tie_rank`` for groups of any size, as column ``name``: rows are counted by value, and the counts are range-partitioned and summed."""
-    from pairlane.functions.storage import checkpointed
+def value_ranks(df: DataFrame, by: list[str], value: str, name: str, stored: bool = False) -> DataFrame:
+    """``tie_rank`` for groups of any size, as column ``name``: rows are counted by value, and the counts are range-partitioned and summed.
+
+    Rows find their rank by their value, so they are stored before they are counted: a mean that is computed twice may add up in
+    another order, and a row whose last bit differs then would find none. ``stored``: the rows come from stored tables already.
+    """
+    from pairlane.functions.storage import checkpointed, saved
 
+    df = df if stored else saved(df)
     keys = [*by, value]
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = df.groupBy(*keys).agg(F.count("*").alias("_c")).repartitionByRange(parts, *keys).withColumn("_range", F.spark_partition_id())

@@ -21,7 +21,7 @@ def pair_metrics(pairs: DataFrame, by: list[str], x: str = "x", y: str = "y", le
     a, b = F.col(x), F.col(y)
     known = pairs.where(a.isNotNull() & b.isNotNull() & ~F.isnan(a) & ~F.isnan(b))
     if large:
-        ranked = value_ranks(value_ranks(known, by, x, "_rx"), by, y, "_ry")
+        ranked = value_ranks(value_ranks(known, by, x, "_rx"), by, y, "_ry", stored=True)
     else:
         ranked = known.withColumn("_rx", tie_rank(by, a)).withColumn("_ry", tie_rank(by, b))
     return ranked.groupBy(*by).agg(
